@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces, span_hashes
+from .common import distinct_spans, flat, pieces
 
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, BLANK, BREAK = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_LEFT = range(8)
@@ -183,12 +183,6 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenated ranges start, start + 1, ... of the given lengths."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class Slices:
     """Numbered slices with their ids in one array, grown by whole batches."""
 
@@ -279,11 +273,7 @@ class Encoding:
         data, place, bounds = boundaries(texts)
         if len(self.cache.known) > CACHE_SLICES:
             self.cache = Slices()
-        body, starts, lengths = np.frombuffer(data, np.uint8), place[:-1], np.diff(place)
-        _, first, same = np.unique(span_hashes(body, starts, place[1:]), return_index=True, return_inverse=True)
-        twin = first[same]
-        if not (np.array_equal(lengths[twin], lengths) and np.array_equal(body[flat(starts[twin], lengths)], body)):
-            first = same = np.arange(len(starts))  # two slices with one hash: look up each
+        first, same = distinct_spans(np.frombuffer(data, np.uint8), place[:-1], place[1:])
         get = self.cache.known.get
         keys = [data[a:b] for a, b in zip(place[first].tolist(), place[first + 1].tolist(), strict=True)]
         numbers = [get(k, -1) for k in keys]

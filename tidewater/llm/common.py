@@ -133,3 +133,27 @@ def keyed(row: np.ndarray, h: np.ndarray) -> np.ndarray:
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """Row number of each item, from the rows' bounds."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated ranges start, start + 1, ... of the given lengths."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each content, and for each span which of these it equals; found by hash, compared by bytes."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = span_hashes(data, starts, stops)
+    order = h.argsort()
+    new = np.append(True, h[order[1:]] != h[order[:-1]])
+    first, same = order[new], np.empty(len(h), np.int64)
+    same[order] = np.cumsum(new) - 1
+    lengths, twin = stops - starts, first[same]
+    if np.array_equal(lengths[twin], lengths):
+        at = flat(starts, lengths)
+        if np.array_equal(data[at + np.repeat(starts[twin] - starts, lengths)], data[at]):
+            return first, same
+    each = np.arange(len(starts))  # two contents with one hash: every span stands for itself
+    return each, each
