@@ -72,6 +72,13 @@ def per_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
+def class_counts(table: np.ndarray, data: np.ndarray, off: np.ndarray, kinds: int) -> np.ndarray:
+    """How many bytes of each class every row has (rows x kinds), by a table of the 256 bytes' classes."""
+    n = len(off) - 1
+    key = np.repeat(np.arange(n, dtype=np.int64) * kinds, np.diff(off)) + table[data]
+    return np.bincount(key, minlength=n * kinds).reshape(n, kinds)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

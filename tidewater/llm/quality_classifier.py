@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, buffers, materialize, per_row, pieces, words
+from .common import broadcast_if_small, buffers, class_counts, materialize, pieces, words
 from .quality_rules import labelled_sample
 
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -33,6 +33,9 @@ TRAIN_ROWS = 20_000
 MOST = 12.0
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), b".,;:'\"-()", b"!?", b"#*$%&", b"|<>", b"\n", range(128, 256)]
 FEATURES = len(_CLASSES) + 3
+_CLASS = np.full(256, len(_CLASSES), np.uint8)
+for _k, _bytes in enumerate(_CLASSES):
+    _CLASS[list(_bytes)] = _k
 
 
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -40,11 +43,8 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     starts, stops, bounds = words(data, off)
     n_words = np.diff(bounds)
     size = np.maximum(np.diff(off), 1)
-    columns = []
-    for kind in _CLASSES:
-        table = np.zeros(256, bool)
-        table[list(kind)] = True
-        columns.append(np.log((per_row(table[data], off) + 1.0) / (size + 20.0)))
+    counts = class_counts(_CLASS, data, off, len(_CLASSES) + 1)[:, :-1]
+    columns = list(np.log((counts + 1.0) / (size + 20.0)[:, None]).T)
     held = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(stops - starts, out=held[1:])
     inside = held[bounds[1:]] - held[bounds[:-1]]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, keyed, per_row, pieces, rows_of, span_hashes, words
+from .common import buffers, class_counts, keyed, per_row, pieces, rows_of, span_hashes, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Model features and the sign a feature's effect may have (0: free).
@@ -28,18 +28,15 @@ FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "r
 #: Bound of the labelled rows that the trees are fitted on.
 TRAIN_ROWS = 20_000
 
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(b"#*$%&|<>")] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b"!?")] = True
-_OTHER = np.zeros(256, bool)
-_OTHER[33:127] = True
-_OTHER[list(b"#*$%&|<>!?.,;:'\"()-")] = False
-_OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
+_NONE, _SYMBOL, _UPPER, _DIGIT, _MARK, _OTHER = range(6)
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _OTHER
+_CLASS[97:123] = _NONE
+_CLASS[list(b".,;:'\"()-")] = _NONE
+_CLASS[65:91] = _UPPER
+_CLASS[48:58] = _DIGIT
+_CLASS[list(b"!?")] = _MARK
+_CLASS[list(b"#*$%&|<>")] = _SYMBOL
 
 
 def statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -51,7 +48,8 @@ def statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray]
     np.cumsum((data & 0xC0) != 0x80, out=cum[1:])
     row = rows_of(bounds)
     word_chars = np.bincount(row, cum[stops] - cum[starts], n).astype(np.int64)
-    n_symbols = per_row(_SYMBOL[data], off)
+    kinds = class_counts(_CLASS, data, off, 6)
+    n_symbols = kinds[:, _SYMBOL]
 
     # Lines that hold a word, as spans of bytes; equal spans of one row are repeats.
     breaks = np.flatnonzero(data == 10)
@@ -86,8 +84,8 @@ def statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray]
     per_char = 1.0 / np.maximum(word_chars, 1)
     features = np.stack([
         np.log1p(n_words), word_chars * per_word, n_symbols * per_word, n_dup_lines / np.maximum(n_lines, 1), n_repeat_words * per_word,
-        per_row(_UPPER[data], off) * per_char, per_row(_DIGIT[data], off) * per_char, per_row(_MARK[data], off) * per_word,
-        per_row(_OTHER[data], off) * per_char, n_words / np.maximum(n_lines, 1), distinct * per_word,
+        kinds[:, _UPPER] * per_char, kinds[:, _DIGIT] * per_char, kinds[:, _MARK] * per_word,
+        kinds[:, _OTHER] * per_char, n_words / np.maximum(n_lines, 1), distinct * per_word,
     ], axis=1) if n else np.empty((0, len(FEATURES)))
     return base, features
 
