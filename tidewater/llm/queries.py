@@ -91,11 +91,11 @@ WITH convs AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 said AS (
-  SELECT *, list_filter(turns, t -> t.role = 'assistant') AS answers,
-    list_max(list_transform(range(1, len(turns) + 1), i -> CASE WHEN turns[i].role = 'assistant' THEN i END)) AS last FROM convs),
+  SELECT *, list_filter(turns, lambda t: t.role = 'assistant') AS answers,
+    list_max(list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN turns[i].role = 'assistant' THEN i END)) AS last FROM convs),
 worse AS (
   SELECT conv_id, turns AS chosen,
-    list_filter(list_transform(range(1, len(turns) + 1), i -> {'role': turns[i].role, 'text': CASE WHEN i = last THEN CASE WHEN len(answers) > 1 THEN answers[1].text ELSE '' END ELSE turns[i].text END}),
+    list_filter(list_transform(range(1, len(turns) + 1), lambda i: {'role': turns[i].role, 'text': CASE WHEN i = last THEN CASE WHEN len(answers) > 1 THEN answers[1].text ELSE '' END ELSE turns[i].text END}),
       t -> t.role <> 'assistant' OR t.text <> '') AS rejected FROM said),
 following AS (
   SELECT conv_id, turns, lead(conv_id) OVER (PARTITION BY turns[1].role, turns[1].text ORDER BY conv_id) AS other FROM convs),
@@ -103,13 +103,13 @@ pairs AS (
   SELECT 'swapped:' || conv_id AS pair_id, chosen, rejected FROM worse
   UNION ALL SELECT 'neighbour:' || f.conv_id, f.turns, c.turns FROM following f JOIN convs c ON f.other = c.conv_id),
 common AS (
-  SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), i -> chosen[i] <> rejected[i])) - 1, least(len(chosen), len(rejected))) AS n FROM pairs)
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] <> rejected[i])) - 1, least(len(chosen), len(rejected))) AS n FROM pairs)
 SELECT pair_id, n AS n_common,
-  sha256(array_to_string(list_transform(chosen[1:n], t -> '<' || t.role || '>' || chr(10) || t.text || chr(10)), '')) AS prompt_sha256,
-  sha256(array_to_string(list_transform(chosen[n + 1:], t -> '<' || t.role || '>' || chr(10) || t.text || chr(10)), '')) AS chosen_sha256,
-  sha256(array_to_string(list_transform(rejected[n + 1:], t -> '<' || t.role || '>' || chr(10) || t.text || chr(10)), '')) AS rejected_sha256,
-  coalesce(list_sum(list_transform(chosen[n + 1:], t -> CASE WHEN t.role = 'assistant' THEN length(t.text) ELSE 0 END)), 0)::BIGINT AS chosen_masked,
-  coalesce(list_sum(list_transform(rejected[n + 1:], t -> CASE WHEN t.role = 'assistant' THEN length(t.text) ELSE 0 END)), 0)::BIGINT AS rejected_masked
+  sha256(array_to_string(list_transform(chosen[1:n], lambda t: '<' || t.role || '>' || chr(10) || t.text || chr(10)), '')) AS prompt_sha256,
+  sha256(array_to_string(list_transform(chosen[n + 1:], lambda t: '<' || t.role || '>' || chr(10) || t.text || chr(10)), '')) AS chosen_sha256,
+  sha256(array_to_string(list_transform(rejected[n + 1:], lambda t: '<' || t.role || '>' || chr(10) || t.text || chr(10)), '')) AS rejected_sha256,
+  coalesce(list_sum(list_transform(chosen[n + 1:], lambda t: CASE WHEN t.role = 'assistant' THEN length(t.text) ELSE 0 END)), 0)::BIGINT AS chosen_masked,
+  coalesce(list_sum(list_transform(rejected[n + 1:], lambda t: CASE WHEN t.role = 'assistant' THEN length(t.text) ELSE 0 END)), 0)::BIGINT AS rejected_masked
 FROM common""",
     "op5_url_filter": f"""
 WITH rules(host, path, verdict) AS (VALUES {_RULES_SQL}),
