@@ -205,7 +205,8 @@ def verify(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     own = salts.select(F.col("a").alias("line"), F.col("a").alias("query"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("itself"))
     routes = own.unionByName(others).join(places, "line").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "line", "query", "salt", "itself")).alias("routes"))
     routes = materialize(routes, "routes")
-    asked = docs.join(broadcast_if_small(routes, routes.count(), 50_000), "doc_id").select("text", "routes")
+    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
+    asked = docs.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("text", "routes")
     sent = asked.mapInArrow(_cut, "line bigint, query bigint, salt int, itself boolean, text string")
     return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("itself").desc()).mapInArrow(_verified, "a bigint, b bigint")
 

@@ -4,8 +4,9 @@ Words are runs `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; shingles are 64-bit
 the whole sequence is one). A link needs |A & B| >= T with T = ceil(0.8 * size) of the larger set.
 
 1. Equal sets are one representative each.
-2. Near copies: sets that agree in a band of minima meet the smallest id of the band. Links are checked exactly, and
-   what they connect is one component from then on. This is a shortcut only: it finds no link that is not there.
+2. Near copies: sets that agree in a band of minima are put in order of their other minima, and each meets the two
+   before it. Links are checked exactly, and what they connect is one component from then on. This is a shortcut
+   only: it grows with the rows, however large a group, and finds no link that is not there.
 3. The rest is exact. Each set offers its smallest hashes (its prefix), long enough that linked sets share at least
    K of them. A hash is an inverted list; lists of one document drop out. As in DivideSkip a document sets its
    longest K - 1 lists aside, and only its short ones are merged: a task gets all short lists of a query and
@@ -36,6 +37,8 @@ from .graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 6, 3
+#: Linked sets share at least so many hashes of their prefixes (small sets offer all they have).
+LEAST_SHARED = 24
 #: Documents of a list's chunk, and candidates of a query's salt.
 CHUNK = 1024
 SALT_ROWS = 2048
@@ -54,7 +57,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 def shared(n: np.ndarray) -> np.ndarray:
     """K: how many hashes of their prefixes two linked sets share at least, if the smaller has n."""
-    return np.maximum(1, n // 12)
+    return np.minimum(needed(n), np.maximum(LEAST_SHARED, n // 12))
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,18 +232,37 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_list(route).alias("routes"))
     )
     routes = materialize(routes, "routes")
-    asked = texts.join(broadcast_if_small(routes, routes.count(), 200_000), "doc_id").select("doc_id", "text", "routes")
+    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
+    asked = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes")
     kind = "array<struct<query: bigint, salt: int, itself: boolean>>"
     sent = asked.mapInArrow(_routed, f"doc_id bigint, routes {kind}, members binary").select("doc_id", "members", F.explode("routes").alias("r"))
     sent = sent.select(F.col("r.query").alias("query"), F.col("r.salt").alias("salt"), F.when(~F.col("r.itself"), F.col("doc_id")).alias("other"), "members")
     return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("other").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (value, next, doc_id): each document with the one and the two places before it of its value."""
+    v, d = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        v = np.concatenate([v[-2:], batch.column("value").to_numpy()])
+        d = np.concatenate([d[-2:], batch.column("doc_id").to_numpy()])
+        fresh = len(v) - batch.num_rows  # pairs between rows carried over are known
+        x, y = [], []
+        for back in (1, 2):
+            at = np.flatnonzero(v[back:] == v[:-back]) + back if len(v) > back else np.zeros(0, np.int64)
+            at = at[at >= fresh]
+            x.append(d[at - back])
+            y.append(d[at])
+        x, y = np.concatenate(x), np.concatenate(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
 def _band_pairs(reps: DataFrame) -> DataFrame:
-    """Each representative with the smallest id of every band that it shares, once."""
-    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    groups = rows.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    return rows.join(groups, ["band", "value"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    """Pairs (a, b) of representatives that share a band and stand close in the order of their other bands."""
+    following = F.xxhash64(F.element_at("bands", F.expr("(band + 1) % size(bands) + 1").cast("int")), F.lit(0))
+    rows = reps.select("doc_id", "bands", F.posexplode("bands").alias("band", "value")).select("value", following.alias("next"), "doc_id")
+    # Ranges of the whole order: a value that very many sets share is cut too.
+    return rows.repartitionByRange("value", "next", "doc_id").sortWithinPartitions("value", "next", "doc_id").mapInArrow(_neighbours, "a bigint, b bigint").distinct()
 
 
 def _list_pairs(reps: DataFrame, comp: DataFrame) -> DataFrame:
@@ -248,7 +270,8 @@ def _list_pairs(reps: DataFrame, comp: DataFrame) -> DataFrame:
     postings = reps.select(F.explode("prefix").alias("token"), "doc_id").repartition("token").sortWithinPartitions("token").mapInArrow(_counted, "doc_id bigint, token bigint, size int")
     ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
     lists = postings.groupBy("doc_id").agg(ordered.alias("lists")).join(reps.select("doc_id", "n"), "doc_id")
-    aside = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 4 / 5) / 12)) - 1
+    less = F.expr("(4 * n + 4) div 5")  # the smallest set that can be linked
+    aside = F.least(F.expr("(4 * ((4 * n + 4) div 5) + 4) div 5"), F.greatest(F.lit(LEAST_SHARED), F.floor(less / 12))) - 1
     short = lists.select("doc_id", F.explode(F.slice("lists", F.lit(1), F.greatest(F.lit(0), F.size("lists") - aside).cast("int"))).alias("l")).select(F.col("l.token").alias("token"), "doc_id")
     short = materialize(short.join(comp, "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")), "lists")
     # Lists within one component have nothing to find. Else all but the largest component's documents are queries.
