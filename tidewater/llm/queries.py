@@ -96,7 +96,7 @@ said AS (
 worse AS (
   SELECT conv_id, turns AS chosen,
     list_filter(list_transform(range(1, len(turns) + 1), lambda i: {'role': turns[i].role, 'text': CASE WHEN i = last THEN CASE WHEN len(answers) > 1 THEN answers[1].text ELSE '' END ELSE turns[i].text END}),
-      t -> t.role <> 'assistant' OR t.text <> '') AS rejected FROM said),
+      lambda t: t.role <> 'assistant' OR t.text <> '') AS rejected FROM said),
 following AS (
   SELECT conv_id, turns, lead(conv_id) OVER (PARTITION BY turns[1].role, turns[1].text ORDER BY conv_id) AS other FROM convs),
 pairs AS (
