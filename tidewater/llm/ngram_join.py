@@ -13,6 +13,10 @@ the whole sequence is one). A link needs |A & B| >= T with T = ceil(0.8 * size)
    heap-merges them into candidates. Candidates are looked for between different components only.
 4. Candidates probe their sorted hashes by binary search against the query's set, long lists included, and stay if
    the overlap reaches T. The components of all links are the result.
+5. A query with more than DENSE candidates (documents much alike, but not linked) is not paired by rows. The lists of
+   such queries make blocks; a block is cut in chunks, and each two chunks are searched in one task by the same
+   T-occurrence search over a local index, which returns the links between components only. Every row of a block
+   goes to as many tasks as it has chunks, and no row stands for a pair that is not linked.
 
 Lists that many documents share are written in chunks, queries with many candidates are salted, and counts combine
 before shuffles; no list, group or component is held by one task. Ties in list length break by hash.
@@ -42,6 +46,8 @@ LEAST_SHARED = 24
 #: Documents of a list's chunk, and candidates of a query's salt.
 CHUNK = 1024
 SALT_ROWS = 2048
+#: Candidates up to which a query is checked pair by pair.
+DENSE = 64
 #: Above so many documents a list's length is not counted further: it is long.
 LONG = 4096
 
@@ -158,17 +164,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (query, component, docs, components of a list's chunk) in order of query: candidates, by a heap merge of the lists."""
+    """From rows (query, component, docs, components of a list's chunk) in order of query: candidates, by a heap merge of the lists.
+
+    A query with more than DENSE candidates is returned once, without any.
+    """
     queries: list[int] = []
-    found: list[int] = []
+    found: list[int | None] = []
 
     def search(query: int, lists: list[list[int]]) -> None:
-        before = None
+        mine: list[int | None] = []
         for doc in heapq.merge(*lists):
-            if doc != before:
-                queries.append(query)
-                found.append(doc)
-                before = doc
+            if not mine or doc != mine[-1]:
+                mine.append(doc)
+                if len(mine) > DENSE:
+                    mine = [None]
+                    break
+        found.extend(mine)
+        queries.extend([query] * len(mine))
 
     at, lists = None, []
     for batch in batches:
@@ -265,8 +277,8 @@ def _band_pairs(reps: DataFrame) -> DataFrame:
     return rows.repartitionByRange("value", "next", "doc_id").sortWithinPartitions("value", "next", "doc_id").mapInArrow(_neighbours, "a bigint, b bigint").distinct()
 
 
-def _list_pairs(reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidates of step 3: (a, b) of different components that share a short list."""
+def _list_pairs(reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Step 3: candidates (a, b) of different components that share a short list, dense queries (a), and the lists' rows."""
     postings = reps.select(F.explode("prefix").alias("token"), "doc_id").repartition("token").sortWithinPartitions("token").mapInArrow(_counted, "doc_id bigint, token bigint, size int")
     ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
     lists = postings.groupBy("doc_id").agg(ordered.alias("lists")).join(reps.select("doc_id", "n"), "doc_id")
@@ -284,8 +296,78 @@ def _list_pairs(reps: DataFrame, comp: DataFrame) -> DataFrame:
     members = members.select("token", F.col("l.doc_id").alias("docs"), F.col("l.component").alias("components"))
     queries = rows.where("component <> major").select("token", F.col("doc_id").alias("query"), "component")
     asked = queries.join(members, "token").select("query", "component", "docs", "components")
-    found = asked.repartition("query").sortWithinPartitions("query").mapInArrow(_merged, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = materialize(asked.repartition("query").sortWithinPartitions("query").mapInArrow(_merged, "a bigint, b bigint"), "found")
+    pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, found.where("b is null").select("a"), rows.select("token", "doc_id", "component")
+
+
+def _search(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links that connect components among a few sets; with two sides, between the sides only. DivideSkip on a local index."""
+    n = np.array([len(s) for s in sets])
+    off = np.concatenate([[0], np.cumsum(n)])
+    values = np.concatenate(sets)
+    _, token, size = np.unique(values, return_inverse=True, return_counts=True)
+    members = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]
+    begin = np.cumsum(size) - size
+    _, root = np.unique(comps, return_inverse=True)
+    both = sides.min() != sides.max()
+    a, b = [], []
+    for i in range(len(sets)):
+        own = token[off[i] : off[i + 1]]
+        short = own[np.argsort(size[own], kind="stable")[: n[i] - int(needed(n[i])) + 1]]
+        near = np.unique(members[flat(begin[short], size[short])])
+        near = near[(near < i) & (root[near] != root[i]) & (5 * np.minimum(n[near], n[i]) >= 4 * np.maximum(n[near], n[i]))]
+        if both:
+            near = near[sides[near] != sides[i]]
+        if not len(near):
+            continue
+        probed = values[flat(off[near], n[near])]
+        hit = sets[i][np.minimum(np.searchsorted(sets[i], probed), n[i] - 1)] == probed
+        overlap = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[near]) - n[near])
+        for j in near[100 * overlap >= 80 * (n[near] + n[i] - overlap)].tolist():
+            if root[j] != root[i]:
+                a.append(int(ids[j]))
+                b.append(int(ids[i]))
+                root[root == root[j]] = root[i]
+    return a, b
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (block, low, high, doc_id, component, side, members) in order of the first three: links of each group."""
+    key, held = None, []
+
+    def links() -> pa.RecordBatch:
+        a, b = _search(*(np.array([h[k] for h in held]) for k in range(3)), [h[3] for h in held]) if len(held) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        data, off = buffers(batch.column("members"))
+        columns = [batch.column(k).to_pylist() for k in ("block", "low", "high", "doc_id", "component", "side")]
+        for i, (block, low, high, doc, comp, side) in enumerate(zip(*columns, strict=True)):
+            if (block, low, high) != key:
+                yield links()
+                key, held = (block, low, high), []
+            held.append((doc, comp, side, data[off[i] : off[i + 1]].copy().view(np.uint64)))
+    yield links()
+
+
+def _block_links(dense: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Step 5: links (a, b) of dense queries and of all that share a list with them."""
+    lists = rows.join(dense.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select("token").distinct()
+    inside = rows.join(lists, "token", "left_semi")
+    blocks = components(inside.join(inside.groupBy("token").agg(F.min("doc_id").alias("a")), "token").select("a", F.col("doc_id").alias("b")))
+    docs = inside.select("doc_id", "component").distinct().join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
+    sizes = docs.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    dealt = docs.join(sizes, "block").select("doc_id", "component", "block", own.alias("own"), F.sequence(F.lit(0), F.col("chunks") - 1).alias("others"))
+    routes = F.transform("others", lambda o: F.struct(F.col("block").alias("block"), F.least("own", o).alias("low"), F.greatest("own", o).alias("high"), F.col("own").alias("side"), F.col("component").alias("component")))
+    routes = materialize(dealt.select("doc_id", routes.alias("routes")), "blocks")
+    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
+    kind = "array<struct<block: bigint, low: int, high: int, side: int, component: bigint>>"
+    sent = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes").mapInArrow(_routed, f"doc_id bigint, routes {kind}, members binary")
+    sent = sent.select("doc_id", "members", F.inline("routes"))
+    order = ["block", "low", "high"]
+    return sent.repartition(*order).sortWithinPartitions(*order, "doc_id").mapInArrow(_searched, "a bigint, b bigint")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -303,7 +385,10 @@ def linked(docs: DataFrame) -> DataFrame:
         texts = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("text", F.struct(F.size(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+")), F.length("text"), "text")).alias("text"))
     near = materialize(verify(_band_pairs(reps), texts), "near")
     comp = components(near)
-    rest = materialize(verify(_list_pairs(reps, comp.select(F.col("node").alias("doc_id"), "component")), texts), "rest")
+    pairs, dense, rows = _list_pairs(reps, comp.select(F.col("node").alias("doc_id"), "component"))
+    rest = materialize(verify(pairs, texts), "rest")
+    if not dense.isEmpty():
+        rest = rest.unionByName(materialize(_block_links(dense, rows, texts), "rest"))
     if not rest.isEmpty():
         comp = components(near.unionByName(rest))
     member = single.join(firsts, ["n", "d1", "d2"], "left").join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("component_id"))
