@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import distinct_spans, flat, pieces
+from .common import arrow_map, distinct_spans, flat, pieces
 
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, BLANK, BREAK = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_LEFT = range(8)
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Distinct slices kept by a worker before its cache starts anew.
-CACHE_SLICES = 600_000
+CACHE_SLICES = 250_000
 _NONE = 1 << 60
 
 
@@ -325,7 +325,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoding.counts(_texts(batch)))], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -342,7 +342,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             off = pa.array(bounds.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(at))], names=["doc_id", "ids", "begins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, begins array<bigint>")
+    return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, begins array<bigint>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -362,4 +362,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 pa.array([hashlib.sha256(body[i:j]).hexdigest() for i, j in zip(e, e[1:], strict=False)], pa.string()),
             ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once. One text is never split, so a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session has Spark's default: documents are long rows.
+BATCH_ROWS = 4000
 #: Rows up to which a table of integers is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,6 +42,21 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow with batches of fewer rows, unless the session says how many; use as df.transform(arrow_map, ...)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give memory that numpy has freed back to the system, where the C library can: workers live on between tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string (or binary) array and where each row begins; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -63,6 +81,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def per_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, buffers, pieces
+from .common import arrow_map, PIECE_BYTES, buffers, pieces
 
 BUCKETS = 256
 #: Difference of two digests whose classes are independent: 1.25 steps a bucket.
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests(*buffers(batch.column("text"))), pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -154,4 +154,4 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
             ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_next(docs).mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).transform(arrow_map, run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, flat, materialize, mix64, pieces, span_hashes
+from .common import arrow_map, broadcast_if_small, flat, materialize, mix64, pieces, span_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, pos, two hashes and bands (empty where the same line just went by) of every line with a visible character."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, bands array<bigint>")
+    return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs of line hashes (a, b) that share a band."""
     rows = lines.select(F.explode("bands").alias("band"), F.col("h1").alias("line"))
-    return rows.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_met, "a bigint, b bigint").distinct()
+    return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _met, "a bigint, b bigint").distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +207,8 @@ def verify(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     routes = materialize(routes, "routes")
     held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
     asked = docs.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("text", "routes")
-    sent = asked.mapInArrow(_cut, "line bigint, query bigint, salt int, itself boolean, text string")
-    return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("itself").desc()).mapInArrow(_verified, "a bigint, b bigint")
+    sent = asked.transform(arrow_map, _cut, "line bigint, query bigint, salt int, itself boolean, text string")
+    return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("itself").desc()).transform(arrow_map, _verified, "a bigint, b bigint")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, buffers, flat, materialize, mix64, pieces, rows_of, span_hashes, words
+from .common import arrow_map, broadcast_if_small, buffers, flat, materialize, mix64, pieces, rows_of, span_hashes, words
 from .graph import components
 
 SHINGLE = 5
@@ -120,7 +120,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, set size n, two digests of the set, bands and prefix of every row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measure, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(arrow_map, _measure, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, prefix array<bigint>")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +247,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
     asked = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes")
     kind = "array<struct<query: bigint, salt: int, itself: boolean>>"
-    sent = asked.mapInArrow(_routed, f"doc_id bigint, routes {kind}, members binary").select("doc_id", "members", F.explode("routes").alias("r"))
+    sent = asked.transform(arrow_map, _routed, f"doc_id bigint, routes {kind}, members binary").select("doc_id", "members", F.explode("routes").alias("r"))
     sent = sent.select(F.col("r.query").alias("query"), F.col("r.salt").alias("salt"), F.when(~F.col("r.itself"), F.col("doc_id")).alias("other"), "members")
-    return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("other").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
+    return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("other").asc_nulls_first()).transform(arrow_map, _verified, "a bigint, b bigint")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,12 +274,12 @@ def _band_pairs(reps: DataFrame) -> DataFrame:
     following = F.xxhash64(F.element_at("bands", F.expr("(band + 1) % size(bands) + 1").cast("int")), F.lit(0))
     rows = reps.select("doc_id", "bands", F.posexplode("bands").alias("band", "value")).select("value", following.alias("next"), "doc_id")
     # Ranges of the whole order: a value that very many sets share is cut too.
-    return rows.repartitionByRange("value", "next", "doc_id").sortWithinPartitions("value", "next", "doc_id").mapInArrow(_neighbours, "a bigint, b bigint").distinct()
+    return rows.repartitionByRange("value", "next", "doc_id").sortWithinPartitions("value", "next", "doc_id").transform(arrow_map, _neighbours, "a bigint, b bigint").distinct()
 
 
 def _list_pairs(reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Step 3: candidates (a, b) of different components that share a short list, dense queries (a), and the lists' rows."""
-    postings = reps.select(F.explode("prefix").alias("token"), "doc_id").repartition("token").sortWithinPartitions("token").mapInArrow(_counted, "doc_id bigint, token bigint, size int")
+    postings = reps.select(F.explode("prefix").alias("token"), "doc_id").repartition("token").sortWithinPartitions("token").transform(arrow_map, _counted, "doc_id bigint, token bigint, size int")
     ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
     lists = postings.groupBy("doc_id").agg(ordered.alias("lists")).join(reps.select("doc_id", "n"), "doc_id")
     less = F.expr("(4 * n + 4) div 5")  # the smallest set that can be linked
@@ -296,7 +296,7 @@ def _list_pairs(reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame,
     members = members.select("token", F.col("l.doc_id").alias("docs"), F.col("l.component").alias("components"))
     queries = rows.where("component <> major").select("token", F.col("doc_id").alias("query"), "component")
     asked = queries.join(members, "token").select("query", "component", "docs", "components")
-    found = materialize(asked.repartition("query").sortWithinPartitions("query").mapInArrow(_merged, "a bigint, b bigint"), "found")
+    found = materialize(asked.repartition("query").sortWithinPartitions("query").transform(arrow_map, _merged, "a bigint, b bigint"), "found")
     pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs, found.where("b is null").select("a"), rows.select("token", "doc_id", "component")
 
@@ -364,10 +364,10 @@ def _block_links(dense: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFra
     routes = materialize(dealt.select("doc_id", routes.alias("routes")), "blocks")
     held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
     kind = "array<struct<block: bigint, low: int, high: int, side: int, component: bigint>>"
-    sent = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes").mapInArrow(_routed, f"doc_id bigint, routes {kind}, members binary")
+    sent = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes").transform(arrow_map, _routed, f"doc_id bigint, routes {kind}, members binary")
     sent = sent.select("doc_id", "members", F.inline("routes"))
     order = ["block", "low", "high"]
-    return sent.repartition(*order).sortWithinPartitions(*order, "doc_id").mapInArrow(_searched, "a bigint, b bigint")
+    return sent.repartition(*order).sortWithinPartitions(*order, "doc_id").transform(arrow_map, _searched, "a bigint, b bigint")
 
 
 def linked(docs: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Slices
-from .common import buffers, distinct_spans, flat, materialize, pieces, words
+from .common import arrow_map, buffers, distinct_spans, flat, materialize, pieces, words
 
 WINDOW = 2048
 END_ID = 1
 #: Rows per bucket in which ranks are counted, about.
 BUCKET_ROWS = 20_000
 #: Distinct words kept by a worker before its cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -138,7 +138,7 @@ def measured(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END
                 crcs.append([zlib.crc32(body[i : i + 4 * window]) for i in range(0, len(body), 4 * window)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(starts) + 1), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "n", "crcs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, crcs array<bigint>")
+    return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, crcs array<bigint>")
 
 
 def combinations(have: np.ndarray, window: int) -> np.ndarray:
@@ -278,4 +278,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
             ], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     names = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return placed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}")
+    return placed.transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, buffers, class_counts, materialize, pieces, words
+from .common import arrow_map, broadcast_if_small, buffers, class_counts, materialize, pieces, words
 from .quality_rules import labelled_sample
 
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -96,7 +96,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
     """Fit on at most `rows` labelled documents; only their features reach the driver."""
     names = [f"f{i}" for i in range(FEATURES)]
-    table = labelled_sample(docs, labels, rows=rows).mapInArrow(_features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in names)).toPandas()
+    table = labelled_sample(docs, labels, rows=rows).transform(arrow_map, _features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in names)).toPandas()
     table = table.sort_values(["doc_id", *names], kind="stable").head(rows)
     return train(table[names].to_numpy(float), table["y"].to_numpy(float))
 
@@ -111,7 +111,7 @@ def scored(docs: DataFrame, model: Classifier, host: str, path: str) -> DataFram
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     light = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text")
-    return light.mapInArrow(run, f"doc_id {kind}, host string, path string, evidence double")
+    return light.transform(arrow_map, run, f"doc_id {kind}, host string, path string, evidence double")
 
 
 def _logit(p: Column) -> Column:
@@ -176,4 +176,4 @@ def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", p
             keep = batch.filter(pa.array(~(odds < 0)))
             yield keep.drop_columns(["_site_prior"])
 
-    return beside.mapInArrow(run, docs.schema)
+    return beside.transform(arrow_map, run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, class_counts, keyed, per_row, pieces, rows_of, span_hashes, words
+from .common import arrow_map, buffers, class_counts, keyed, per_row, pieces, rows_of, span_hashes, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Model features and the sign a feature's effect may have (0: free).
@@ -188,7 +188,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fit the trees on a bounded sample of labelled rows; only its features reach the driver."""
     sample = labelled_sample(docs, labels, rows=rows)
-    table = sample.mapInArrow(_features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in FEATURES)).toPandas()
+    table = sample.transform(arrow_map, _features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in FEATURES)).toPandas()
     table = table.sort_values(["doc_id", *FEATURES], kind="stable").head(rows)
     return train(table[list(FEATURES)].to_numpy(float), table["y"].to_numpy(float), list(FEATURES.values()))
 
@@ -208,7 +208,7 @@ def judge(docs: DataFrame, model: Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(~failed & (score >= 0)), pa.array(score)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} bigint" for k in BASE) + ", base_failed boolean, kept boolean, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(arrow_map, run, schema)
 
 
 def filter_documents(docs: DataFrame, model: Trees) -> DataFrame:
@@ -219,4 +219,4 @@ def filter_documents(docs: DataFrame, model: Trees) -> DataFrame:
             base, x = statistics(*buffers(batch.column("text")))
             yield batch.filter(pa.array(~base_failed(base) & (model.score(x) >= 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
