@@ -4,7 +4,8 @@ Lines are what "\\n" separates; a line's shingles are its runs of five character
 One pass hashes every line and keeps, of each, the smallest shingle hash in 32 bins (empty bins borrow from the next
 full one); eight bands of four bins each have a recall of 0.985 at a similarity of 0.8 and 0.999 at 0.87. Lines of
 one band meet the first line of it and their neighbour in order of hash, so that pairs grow in proportion to lines
-however many share a band. Pairs are verified by the Jaccard similarity of their shingle sets (0.8 or more), and
+however many share a band. Two bits of every bin make a sketch of a line; a pair whose sketches agree in fewer than
+20 bins of 32 is no candidate (at a similarity of 0.8 that happens to 3 pairs in 10,000). Pairs are verified by the Jaccard similarity of their shingle sets (0.8 or more), and
 linked lines and exact repeats form components by distributed union-find. Of a component only the first line, by
 (doc_id, position), stays.
 
@@ -29,6 +30,8 @@ from .graph import components
 SHINGLE = 5
 BINS, ROWS = 32, 4
 SALT_ROWS = 4096
+#: Bins of 32 in which the two bits of a candidate pair's sketches must agree.
+AGREE = 20
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _STEP = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,9 +65,10 @@ def _shingles(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[
     return mix64(value), number
 
 
-def signatures(value: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Band hashes of each span (spans x bands) from its shingles; every span has one at least."""
+def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (spans x bands) and sketch of each span from its shingles; every span has one at least."""
     n = len(number)
+    sketch = np.zeros(n, np.uint64)
     out = np.zeros((n, BINS // ROWS), np.int64)
     for low in range(0, n, 1 << 20):  # the number of a span must fit beside its hashes
         high = min(n, low + (1 << 20))
@@ -92,7 +96,15 @@ def signatures(value: np.ndarray, number: np.ndarray) -> np.ndarray:
             for r in range(ROWS):
                 joint = mix64(joint * np.uint64(31) + minima[:, b * ROWS + r].astype(np.uint64))
             out[low:high, b] = joint.view(np.int64)
-    return out
+        for b in range(BINS):
+            sketch[low:high] |= (mix64(minima[:, b].astype(np.uint64)) & np.uint64(3)) << np.uint64(2 * b)
+    return out, sketch.view(np.int64)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bins two sketches agree."""
+    x = (a ^ b).view(np.uint64)
+    return BINS - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).astype(np.int64)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,47 +125,49 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h2 = mix64(np.add.reduceat(value, np.cumsum(number) - number) + number.astype(np.uint64))
             once = np.sort(np.unique(h1, return_index=True)[1])  # a line's bands once in a piece
             keep = np.repeat(np.isin(np.arange(len(full)), once), number)
-            bands = signatures(value[keep], number[once])
+            bands, sketch = signatures(value[keep], number[once])
         else:
-            h2, once, bands = h1, np.zeros(0, np.int64), np.zeros((0, BINS // ROWS), np.int64)
+            h2, once, bands, sketch = h1, np.zeros(0, np.int64), np.zeros((0, BINS // ROWS), np.int64), np.zeros(0, np.int64)
         many = np.zeros(len(full) + 1, np.int32)
         many[once + 1] = BINS // ROWS
+        sketches = np.zeros(len(full), np.int64)
+        sketches[once] = sketch
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").take(pa.array(doc[full])), pa.array(position[full].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+            batch.column("doc_id").take(pa.array(doc[full])), pa.array(position[full].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches),
             pa.ListArray.from_arrays(pa.array(np.cumsum(many).astype(np.int32)), pa.array(bands.ravel())),
-        ], names=["doc_id", "pos", "h1", "h2", "bands"])
+        ], names=["doc_id", "pos", "h1", "h2", "sketch", "bands"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, pos, two hashes and bands (empty where the same line just went by) of every line with a visible character."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, bands array<bigint>")
+    return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, sketch bigint, bands array<bigint>")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (band, line): each line with the first of its band and with the one before it."""
-    band, lead, last = None, 0, 0
+    """From rows in order of (band, line): each line with the first of its band and with the one before it, if their sketches agree."""
+    band, lead, lead_s, last, last_s = None, 0, 0, 0, 0
     for batch in batches:
-        b, h = batch.column("band").to_numpy(), batch.column("line").to_numpy()
+        b, h, s = (batch.column(k).to_numpy() for k in ("band", "line", "sketch"))
         if not len(b):
             continue
         new = np.append(band is None or b[0] != band, b[1:] != b[:-1])
-        before = np.append(last, h[:-1])
+        before, before_s = np.append(last, h[:-1]), np.append(last_s, s[:-1])
         at = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
-        first = np.where(at >= 0, h[np.maximum(at, 0)], lead)
+        first, first_s = (np.where(at >= 0, v[np.maximum(at, 0)], w) for v, w in ((h, lead), (s, lead_s)))
         real = ~new & (h != before)
-        star = real & (first != h)
-        chain = real & (before != first)
+        star = real & (first != h) & (agreeing(first_s, s) >= AGREE)
+        chain = real & (before != first) & (agreeing(before_s, s) >= AGREE)
         x = np.concatenate([first[star], before[chain]])
         y = np.concatenate([h[star], h[chain]])
-        band, lead, last = b[-1], first[-1], h[-1]
+        band, lead, lead_s, last, last_s = b[-1], first[-1], first_s[-1], h[-1], s[-1]
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs of line hashes (a, b) that share a band."""
-    rows = lines.select(F.explode("bands").alias("band"), F.col("h1").alias("line"))
+    rows = lines.select(F.explode("bands").alias("band"), F.col("h1").alias("line"), "sketch")
     return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _met, "a bigint, b bigint").distinct()
 
 
