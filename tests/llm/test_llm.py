@@ -279,6 +279,41 @@ def test_line_dedup(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_line_dedup_loses_no_link_of_a_band(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    base = ["".join(rng.choice(letters, 120)) for _ in range(3)]
+    lines = []
+    for i in range(360):  # families of lines that are much alike, linked or not
+        x = list(base[i % 3])
+        for k in rng.choice(120, rng.integers(1, 7), replace=False):
+            x[k] = str(rng.choice(letters))
+        lines.append("".join(x))
+    lines = sorted(set(lines))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    measured = {r.doc_id: r for r in line_dedup.measured(docs).collect()}
+    sets = [frozenset(x[k : k + 5] for k in range(len(x) - 4)) for x in lines]
+    assert all(measured[i].size == len(s) for i, s in enumerate(sets))
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(lines)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            agree = line_dedup.agreeing(np.array([measured[i].sketch]), np.array([measured[j].sketch]))[0]
+            if set(measured[i].bands) & set(measured[j].bands) and agree >= line_dedup.AGREE and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i for i in range(len(lines)) if find(i) != i}
+    for block in (4096, 16):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect()} == want
+    assert 0 < len(want) < len(lines) - 3
+
+
 def test_line_dedup_on_odd_rows(spark):
     out = line_dedup.filter_documents(odd(spark))
     assert out.columns == odd(spark).columns and out.where("doc_id = 5").first().text.strip("\n") == "lorem ipsum dolor sit amet"

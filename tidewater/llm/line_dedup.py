@@ -2,12 +2,16 @@
 
 Lines are what "\\n" separates; a line's shingles are its runs of five characters (a shorter line is one shingle).
 One pass hashes every line and keeps, of each, the smallest shingle hash in 32 bins (empty bins borrow from the next
-full one); eight bands of four bins each have a recall of 0.985 at a similarity of 0.8 and 0.999 at 0.87. Lines of
-one band meet the first line of it and their neighbour in order of hash, so that pairs grow in proportion to lines
-however many share a band. Two bits of every bin make a sketch of a line; a pair whose sketches agree in fewer than
-20 bins of 32 is no candidate (at a similarity of 0.8 that happens to 3 pairs in 10,000). Pairs are verified by the Jaccard similarity of their shingle sets (0.8 or more), and
-linked lines and exact repeats form components by distributed union-find. Of a component only the first line, by
-(doc_id, position), stays.
+full one); eight bands of four bins each have a recall of 0.985 at a similarity of 0.8 and 0.999 at 0.87. Two bits
+of every bin make a sketch of a line; a pair whose sketches agree in fewer than 20 bins of 32 is no candidate (at a
+similarity of 0.8 that happens to 3 pairs in 10,000), nor is one whose set sizes exclude a similarity of 0.8.
+
+Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or more), in two rounds. First, lines
+of one band meet its first line and their neighbour in order of hash: pairs in proportion to lines, which join most
+copies. Then all pairs of a band meet whose lines are still in different components; a band of very many lines is
+cut into blocks that meet two by two. So no link of two lines that share a band is lost, and copies that are joined
+already make no pairs. Linked lines and exact repeats form components by distributed union-find. Of a component only
+the first line, by (doc_id, position), stays.
 
 Lines without a visible character are never compared and always stay. Null and empty texts stay as they are, and so
 do rows without an id. Rows that repeat an id are alike: a line stays in each of them if it stays in one. Lines
@@ -32,6 +36,8 @@ BINS, ROWS = 32, 4
 SALT_ROWS = 4096
 #: Bins of 32 in which the two bits of a candidate pair's sketches must agree.
 AGREE = 20
+#: Lines of a band that one task holds at a time (twice as many where two blocks meet).
+BLOCK = 4096
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _STEP = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,9 +71,10 @@ def _shingles(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[
     return mix64(value), number
 
 
-def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (spans x bands) and sketch of each span from its shingles; every span has one at least."""
+def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band hashes (spans x bands), sketch and set size of each span from its shingles; every span has one at least."""
     n = len(number)
+    size = np.zeros(n, np.int64)
     sketch = np.zeros(n, np.uint64)
     out = np.zeros((n, BINS // ROWS), np.int64)
     for low in range(0, n, 1 << 20):  # the number of a span must fit beside its hashes
@@ -76,6 +83,7 @@ def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
         count = number[low:high]
         own = value[first : first + int(count.sum())]
         key = np.sort(np.repeat(np.arange(high - low, dtype=np.uint64) << np.uint64(42), count) | own >> np.uint64(22))
+        size[low:high] = np.bincount((key[np.append(True, key[1:] != key[:-1])] >> np.uint64(42)).astype(np.int64), minlength=high - low)
         cell = key >> np.uint64(37)  # span and bin
         least = np.append(True, cell[1:] != cell[:-1])
         minima = np.full((high - low) * BINS, -1, np.int64)
@@ -98,7 +106,7 @@ def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
             out[low:high, b] = joint.view(np.int64)
         for b in range(BINS):
             sketch[low:high] |= (mix64(minima[:, b].astype(np.uint64)) & np.uint64(3)) << np.uint64(2 * b)
-    return out, sketch.view(np.int64)
+    return out, sketch.view(np.int64), size
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,50 +133,136 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h2 = mix64(np.add.reduceat(value, np.cumsum(number) - number) + number.astype(np.uint64))
             once = np.sort(np.unique(h1, return_index=True)[1])  # a line's bands once in a piece
             keep = np.repeat(np.isin(np.arange(len(full)), once), number)
-            bands, sketch = signatures(value[keep], number[once])
+            bands, sketch, size = signatures(value[keep], number[once])
         else:
-            h2, once, bands, sketch = h1, np.zeros(0, np.int64), np.zeros((0, BINS // ROWS), np.int64), np.zeros(0, np.int64)
+            h2, once, bands, sketch, size = h1, np.zeros(0, np.int64), np.zeros((0, BINS // ROWS), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         many = np.zeros(len(full) + 1, np.int32)
         many[once + 1] = BINS // ROWS
-        sketches = np.zeros(len(full), np.int64)
-        sketches[once] = sketch
+        sketches, sizes = np.zeros(len(full), np.int64), np.zeros(len(full), np.int32)
+        sketches[once], sizes[once] = sketch, size
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").take(pa.array(doc[full])), pa.array(position[full].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches),
+            batch.column("doc_id").take(pa.array(doc[full])), pa.array(position[full].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches), pa.array(sizes),
             pa.ListArray.from_arrays(pa.array(np.cumsum(many).astype(np.int32)), pa.array(bands.ravel())),
-        ], names=["doc_id", "pos", "h1", "h2", "sketch", "bands"])
+        ], names=["doc_id", "pos", "h1", "h2", "sketch", "size", "bands"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, two hashes and bands (empty where the same line just went by) of every line with a visible character."""
+    """doc_id, pos, two hashes, sketch, set size and bands (empty where the same line just went by) of every line with a visible character."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, sketch bigint, bands array<bigint>")
+    return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, sketch bigint, size int, bands array<bigint>")
+
+
+def _alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sketches and set sizes of rows i and j allow a similarity of 0.8."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    return (100 * small.astype(np.int64) >= 80 * large.astype(np.int64)) & (agreeing(sketch[i], sketch[j]) >= AGREE)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (band, line): those of bands with two lines or more, beside the band's first line and the one before, if alike."""
+    names = ["band", "line", "sketch", "size"]
+    # From batch to batch go the last row, which is not out yet, its band's first row and the row before it.
+    held, out = [np.zeros(0, np.int64) for _ in names], np.zeros(0, bool)
+
+    def emit(last: bool) -> pa.RecordBatch:
+        band, line, sketch, size = held
+        new = np.append(True, band[1:] != band[:-1])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
+        row = np.flatnonzero(~out[: len(band) if last else len(band) - 1])
+        row = row[~new[row] | ~np.append(new[1:], True)[row]]
+        before = np.maximum(row - 1, 0)
+        star = ~new[row] & _alike(sketch, size, lead[row], row)
+        near = ~new[row] & (before != lead[row]) & _alike(sketch, size, before, row)
+        return pa.RecordBatch.from_arrays([*(pa.array(v[row]) for v in held), pa.array(line[lead[row]], mask=~star), pa.array(line[before], mask=~near)], names=[*names, "first", "before"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = [np.concatenate([v, batch.column(k).to_numpy().astype(np.int64)]) for k, v in zip(names, held, strict=True)]
+        out = np.append(out, np.zeros(batch.num_rows, bool))
+        yield emit(False)
+        band, n = held[0], len(held[0])
+        first = int(np.flatnonzero(np.append(True, band[1:] != band[:-1]))[-1])
+        stay = sorted({first, max(first, n - 2), n - 1})
+        held, out = [v[stay] for v in held], np.arange(len(stay)) < len(stay) - 1
+    if len(out):
+        yield emit(True)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (band, line): each line with the first of its band and with the one before it, if their sketches agree."""
-    band, lead, lead_s, last, last_s = None, 0, 0, 0, 0
+def shared(lines: DataFrame) -> DataFrame:
+    """Rows (band, line, sketch, size, first, before) of bands that two different lines or more share.
+
+    A line is taken once, however often it stands in the corpus, before bands are shuffled.
+    """
+    bands = [F.min(F.col("bands")[k]).alias(f"b{k}") for k in range(BINS // ROWS)]
+    once = lines.where(F.size("bands") > 0).groupBy(F.col("h1").alias("line")).agg(F.min("sketch").alias("sketch"), F.min("size").alias("size"), *bands)
+    rows = once.select(F.explode(F.array(*(f"b{k}" for k in range(BINS // ROWS)))).alias("band"), "line", "sketch", "size")
+    return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _shared, "band bigint, line bigint, sketch bigint, size bigint, first bigint, before bigint")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of line hashes (a, b) of the first round, from rows of `shared`."""
+    met = rows.select("line", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> line")
+    return met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (band, i, j): alike pairs of a group whose components differ; of different blocks where i < j."""
+    names = ["band", "i", "j", "block", "component", "line", "sketch", "size"]
+    held = [np.zeros(0, np.int64) for _ in names]
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        band, i, j, block, component, line, sketch, size = rows
+        group = np.cumsum(np.append(False, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        starts = np.searchsorted(group, np.arange(group[-1] + 1))
+        mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        left, step, a, b, held_pairs = np.flatnonzero(mixed[group]), 0, [], [], 0
+        while len(left):
+            step += 1
+            left = left[left + step < len(group)]
+            left = left[group[left + step] == group[left]]
+            right = left + step
+            ok = (component[left] != component[right]) & ((block[left] != block[right]) | (i[left] == j[left]))
+            x, y = left[ok], right[ok]
+            ok = _alike(sketch, size, x, y)
+            a.append(line[x[ok]])
+            b.append(line[y[ok]])
+            held_pairs += len(a[-1])
+            if held_pairs > 1 << 18 or not len(left):
+                x, y = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                a, b, held_pairs = [], [], 0
+
     for batch in batches:
-        b, h, s = (batch.column(k).to_numpy() for k in ("band", "line", "sketch"))
-        if not len(b):
+        if not batch.num_rows:
             continue
-        new = np.append(band is None or b[0] != band, b[1:] != b[:-1])
-        before, before_s = np.append(last, h[:-1]), np.append(last_s, s[:-1])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
-        first, first_s = (np.where(at >= 0, v[np.maximum(at, 0)], w) for v, w in ((h, lead), (s, lead_s)))
-        real = ~new & (h != before)
-        star = real & (first != h) & (agreeing(first_s, s) >= AGREE)
-        chain = real & (before != first) & (agreeing(before_s, s) >= AGREE)
-        x = np.concatenate([first[star], before[chain]])
-        y = np.concatenate([h[star], h[chain]])
-        band, lead, lead_s, last, last_s = b[-1], first[-1], first_s[-1], h[-1], s[-1]
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs of line hashes (a, b) that share a band."""
-    rows = lines.select(F.explode("bands").alias("band"), F.col("h1").alias("line"), "sketch")
-    return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _met, "a bigint, b bigint").distinct()
+        held = [np.concatenate([v, batch.column(k).to_numpy().astype(np.int64)]) for k, v in zip(names, held, strict=True)]
+        ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1]))
+        if len(ends):  # all groups but the last are whole
+            cut = int(ends[-1]) + 1
+            yield from pairs([v[:cut] for v in held])
+            held = [v[cut:] for v in held]
+    if len(held[0]):
+        yield from pairs(held)
+
+
+def crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the second round: alike lines of one band in different components (node, component), from rows of `shared`."""
+    counts = materialize(rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "wide-bands")
+    placed = rows.join(parts.withColumnRenamed("node", "line"), "line", "left").join(broadcast_if_small(counts, counts.count()), "band", "left")
+    placed = placed.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
+    placed = placed.select("band", F.coalesce("component", "line").alias("component"), "line", "sketch", "size", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "line", "sketch", "size")
+    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _crossed, "a bigint, b bigint").distinct()
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links (a, b): only the components that these join are searched again."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = materialize(parts.join(ends, "node", "full").select("node", F.coalesce("component", "node").alias("component")), "parts")
+    of_a, of_b = (every.select(F.col("node").alias(k), F.col("component").alias(f"p{k}")) for k in "ab")
+    over = components(links.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    return every.join(over.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,13 +323,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id and the positions (array of int) of its lines that go, for documents that lose any."""
     lines = materialize(measured(docs), "lines")
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    pairs = materialize(candidates(lines), "line-pairs")
-    # Where the lines that are in a pair stand first.
-    asked = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    places = lines.select("h1", "doc_id", "pos").join(asked, "h1", "left_semi").groupBy("h1").agg(first).select(F.col("h1").alias("line"), "first.doc_id", "first.pos")
+    rows = materialize(shared(lines), "shared-bands")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    linked = verify(pairs, places, texts)
-    comp = components(linked)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+        places = lines.select("h1", "doc_id", "pos").join(asked, "h1", "left_semi").groupBy("h1").agg(first).select(F.col("h1").alias("line"), "first.doc_id", "first.pos")
+        return materialize(verify(pairs, places, texts), "line-links")
+
+    linked = links(materialize(candidates(rows), "line-pairs"))
+    parts = components(linked)
+    comp = merged(parts, links(materialize(crossing(rows, parts), "crossing-pairs")))
     groups = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"))
     groups = groups.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("rows > 1 or component is not null")
     groups = materialize(groups.select("h1", "h2", F.coalesce("component", "h1").alias("component"), F.col("component").isNotNull().alias("fuzzy"), "first"), "groups")
