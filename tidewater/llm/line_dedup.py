@@ -207,16 +207,16 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (band, i, j): alike pairs of a group whose components differ; of different blocks where i < j."""
+    """From rows in order of (band, i, j): lines with an alike one of another component in their group; of another block where i < j."""
     names = ["band", "i", "j", "block", "component", "line", "sketch", "size"]
     held = [np.zeros(0, np.int64) for _ in names]
 
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         band, i, j, block, component, line, sketch, size = rows
         group = np.cumsum(np.append(False, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         starts = np.searchsorted(group, np.arange(group[-1] + 1))
         mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-        left, step, a, b, held_pairs = np.flatnonzero(mixed[group]), 0, [], [], 0
+        left, step, met = np.flatnonzero(mixed[group]), 0, np.zeros(len(group), bool)
         while len(left):
             step += 1
             left = left[left + step < len(group)]
@@ -225,13 +225,9 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = (component[left] != component[right]) & ((block[left] != block[right]) | (i[left] == j[left]))
             x, y = left[ok], right[ok]
             ok = _alike(sketch, size, x, y)
-            a.append(line[x[ok]])
-            b.append(line[y[ok]])
-            held_pairs += len(a[-1])
-            if held_pairs > 1 << 18 or not len(left):
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-                a, b, held_pairs = [], [], 0
+            met[x[ok]] = met[y[ok]] = True
+        side = np.where(i == j, -1, block)
+        yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line)], names=["band", "i", "j", "side", "component", "line"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -240,20 +236,82 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1]))
         if len(ends):  # all groups but the last are whole
             cut = int(ends[-1]) + 1
-            yield from pairs([v[:cut] for v in held])
+            yield from groups([v[:cut] for v in held])
             held = [v[cut:] for v in held]
     if len(held[0]):
-        yield from pairs(held)
+        yield from groups(held)
 
 
 def crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the second round: alike lines of one band in different components (node, component), from rows of `shared`."""
+    """Groups of the second round, from rows of `shared`: band, i, j (blocks), and lines alike to one of another component (node, component)."""
     counts = materialize(rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "wide-bands")
     placed = rows.join(parts.withColumnRenamed("node", "line"), "line", "left").join(broadcast_if_small(counts, counts.count()), "band", "left")
     placed = placed.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
     placed = placed.select("band", F.coalesce("component", "line").alias("component"), "line", "sketch", "size", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "line", "sketch", "size")
-    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _crossed, "a bigint, b bigint").distinct()
+    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
+
+
+_KEYS = ["band", "i", "j", "side", "component", "line"]
+
+
+def _cut_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that groups ask for, each beside its group."""
+    schema = pa.schema([*((k, pa.int64()) for k in _KEYS), ("text", pa.string())])
+    for batch in pieces(batches):
+        rows = []
+        for t, routes in zip(batch.column("text").to_pylist(), batch.column("routes").to_pylist(), strict=True):
+            parts = t.split("\n")
+            rows += [{**{k: r[k] for k in _KEYS}, "text": parts[r["pos"]]} for r in routes if r["pos"] < len(parts)]
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From lines in order of (band, i, j): links of a Jaccard similarity of 0.8 or more that join components of a group.
+
+    Each link found joins two trees of the group, so that at most one link a line leaves the task.
+    """
+    key, members, root = None, [], {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in pieces(batches):
+        code, starts, stops, _, _ = _lines(batch.column("text").to_pylist())
+        value, number = _shingles(code, starts, stops)
+        _, sketch, _ = signatures(value, number)
+        end, a, b = np.cumsum(number), [], []
+        for r, (band, i, j, side, component, line) in enumerate(zip(*(batch.column(k).to_pylist() for k in _KEYS), strict=True)):
+            if (band, i, j) != key:
+                key, members, root = (band, i, j), [], {}
+                sketches, sizes = np.zeros(64, np.int64), np.zeros(64, np.int64)
+            own = np.unique(value[end[r] - number[r] : end[r]])
+            n = len(members)
+            if n == len(sizes):
+                sketches, sizes = np.append(sketches, np.zeros(n, np.int64)), np.append(sizes, np.zeros(n, np.int64))
+            near = np.flatnonzero((agreeing(sketches[:n], np.full(n, sketch[r])) >= AGREE) & (100 * np.minimum(sizes[:n], len(own)) >= 80 * np.maximum(sizes[:n], len(own))))
+            for k in near.tolist():
+                other, its_side, its_line, its = members[k]
+                if (side >= 0 and side == its_side) or find(other) == find(component):
+                    continue
+                both = int((own[np.minimum(np.searchsorted(own, its), len(own) - 1)] == its).sum())
+                if 100 * both >= 80 * (len(own) + len(its) - both):
+                    root[find(other)] = find(component)
+                    a.append(min(line, its_line))
+                    b.append(max(line, its_line))
+            sketches[n], sizes[n] = sketch[r], len(own)
+            members.append((component, side, line, own))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def verify_groups(groups: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links (a, b) within groups of `crossing`; rows are lines of groups, never pairs."""
+    routes = materialize(groups.join(places, "line").groupBy("doc_id").agg(F.collect_list(F.struct("pos", *_KEYS)).alias("routes")), "routes")
+    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
+    sent = docs.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("text", "routes").transform(arrow_map, _cut_groups, ", ".join(f"{k} bigint" for k in _KEYS) + ", text string")
+    return sent.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _verified_groups, "a bigint, b bigint")
 
 
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -326,14 +384,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     rows = materialize(shared(lines), "shared-bands")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-        places = lines.select("h1", "doc_id", "pos").join(asked, "h1", "left_semi").groupBy("h1").agg(first).select(F.col("h1").alias("line"), "first.doc_id", "first.pos")
-        return materialize(verify(pairs, places, texts), "line-links")
+    def places(asked: DataFrame) -> DataFrame:
+        return lines.select("h1", "doc_id", "pos").join(asked.distinct(), "h1", "left_semi").groupBy("h1").agg(first).select(F.col("h1").alias("line"), "first.doc_id", "first.pos")
 
-    linked = links(materialize(candidates(rows), "line-pairs"))
+    pairs = materialize(candidates(rows), "line-pairs")
+    linked = materialize(verify(pairs, places(pairs.select(F.col("a").alias("h1")).union(pairs.select("b"))), texts), "line-links")
     parts = components(linked)
-    comp = merged(parts, links(materialize(crossing(rows, parts), "crossing-pairs")))
+    groups = materialize(crossing(rows, parts), "crossing")
+    comp = merged(parts, materialize(verify_groups(groups, places(groups.select(F.col("line").alias("h1"))), texts), "line-links"))
     groups = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"))
     groups = groups.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("rows > 1 or component is not null")
     groups = materialize(groups.select("h1", "h2", F.coalesce("component", "h1").alias("component"), F.col("component").isNotNull().alias("fuzzy"), "first"), "groups")
