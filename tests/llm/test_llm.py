@@ -314,6 +314,31 @@ def test_line_dedup_loses_no_link_of_a_band(spark, monkeypatch):
     assert 0 < len(want) < len(lines) - 3
 
 
+def test_line_dedup_links_short_lines_of_a_band(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lines = []
+    for n in range(8, 21):  # a line beside the same with a mark more: alike, and alone with each other
+        for _ in range(120):
+            x = "".join(rng.choice(letters, n))
+            lines += [x, x + "."]
+    lines = sorted(set(lines))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string")
+    bands = {r.doc_id: set(r.bands) for r in line_dedup.measured(docs).collect()}
+    where = {x: i for i, x in enumerate(lines)}
+    want = {where[x + "."] for x in lines if x + "." in where and bands[where[x]] & bands[where[x + "."]]}
+    assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect()} == want and len(want) > 1500
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(12)
+    for n in (4, 60, 900, 3000):
+        a = np.unique(rng.integers(0, 1 << 62, n, np.uint64))
+        b = np.unique(np.append(a[n // 8 :], rng.integers(0, 1 << 62, n // 8, np.uint64)))
+        differ = int(np.bitwise_count(line_dedup.parities(a) ^ line_dedup.parities(b)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and not (line_dedup.parities(a) ^ line_dedup.parities(a.copy())).any()
+
+
 def test_line_dedup_on_odd_rows(spark):
     out = line_dedup.filter_documents(odd(spark))
     assert out.columns == odd(spark).columns and out.where("doc_id = 5").first().text.strip("\n") == "lorem ipsum dolor sit amet"

@@ -2,9 +2,10 @@
 
 Lines are what "\\n" separates; a line's shingles are its runs of five characters (a shorter line is one shingle).
 One pass hashes every line and keeps, of each, the smallest shingle hash in 32 bins (empty bins borrow from the next
-full one); eight bands of four bins each have a recall of 0.985 at a similarity of 0.8 and 0.999 at 0.87. Two bits
-of every bin make a sketch of a line; a pair whose sketches agree in fewer than 20 bins of 32 is no candidate (at a
-similarity of 0.8 that happens to 3 pairs in 10,000), nor is one whose set sizes exclude a similarity of 0.8.
+full one); eight bands of four bins each have a recall of 0.985 at a similarity of 0.8 and 0.999 at 0.87. Lines that
+share a band are candidates unless their set sizes exclude a similarity of 0.8; sketches (two bits of every bin) are
+measured but filter nothing, as those of short lines disagree too often. Where groups are verified, parities of shingle
+counts exclude pairs first: they differ in no more places than the sets, so that no link is lost by them.
 
 Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or more), in two rounds. First, lines
 of one band meet its first line and their neighbour in order of hash: pairs in proportion to lines, which join most
@@ -34,8 +35,10 @@ from .graph import components
 SHINGLE = 5
 BINS, ROWS = 32, 4
 SALT_ROWS = 4096
-#: Bins of 32 in which the two bits of a candidate pair's sketches must agree.
+#: Bins of 32 in which the sketches of two linked lines mostly agree: a yardstick of sketches, not a filter.
 AGREE = 20
+#: Places of a line's parities.
+PARITIES = 1024
 #: Lines of a band that one task holds at a time (twice as many where two blocks meet).
 BLOCK = 4096
 
@@ -115,6 +118,11 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BINS - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).astype(np.int64)
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """Whether each place holds an odd number of a set's hashes, as words. Sets differ in as many hashes as their parities, at least."""
+    return np.packbits(np.bincount((members & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.uint64)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
@@ -152,27 +160,27 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, sketch bigint, size int, bands array<bigint>")
 
 
-def _alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the sketches and set sizes of rows i and j allow a similarity of 0.8."""
+def _alike(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the set sizes of rows i and j allow a similarity of 0.8."""
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    return (100 * small.astype(np.int64) >= 80 * large.astype(np.int64)) & (agreeing(sketch[i], sketch[j]) >= AGREE)
+    return 100 * small.astype(np.int64) >= 80 * large.astype(np.int64)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (band, line): those of bands with two lines or more, beside the band's first line and the one before, if alike."""
-    names = ["band", "line", "sketch", "size"]
+    names = ["band", "line", "size"]
     # From batch to batch go the last row, which is not out yet, its band's first row and the row before it.
     held, out = [np.zeros(0, np.int64) for _ in names], np.zeros(0, bool)
 
     def emit(last: bool) -> pa.RecordBatch:
-        band, line, sketch, size = held
+        band, line, size = held
         new = np.append(True, band[1:] != band[:-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
         row = np.flatnonzero(~out[: len(band) if last else len(band) - 1])
         row = row[~new[row] | ~np.append(new[1:], True)[row]]
         before = np.maximum(row - 1, 0)
-        star = ~new[row] & _alike(sketch, size, lead[row], row)
-        near = ~new[row] & (before != lead[row]) & _alike(sketch, size, before, row)
+        star = ~new[row] & _alike(size, lead[row], row)
+        near = ~new[row] & (before != lead[row]) & _alike(size, before, row)
         return pa.RecordBatch.from_arrays([*(pa.array(v[row]) for v in held), pa.array(line[lead[row]], mask=~star), pa.array(line[before], mask=~near)], names=[*names, "first", "before"])
 
     for batch in batches:
@@ -190,14 +198,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared(lines: DataFrame) -> DataFrame:
-    """Rows (band, line, sketch, size, first, before) of bands that two different lines or more share.
+    """Rows (band, line, size, first, before) of bands that two different lines or more share.
 
     A line is taken once, however often it stands in the corpus, before bands are shuffled.
     """
     bands = [F.min(F.col("bands")[k]).alias(f"b{k}") for k in range(BINS // ROWS)]
-    once = lines.where(F.size("bands") > 0).groupBy(F.col("h1").alias("line")).agg(F.min("sketch").alias("sketch"), F.min("size").alias("size"), *bands)
-    rows = once.select(F.explode(F.array(*(f"b{k}" for k in range(BINS // ROWS)))).alias("band"), "line", "sketch", "size")
-    return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _shared, "band bigint, line bigint, sketch bigint, size bigint, first bigint, before bigint")
+    once = lines.where(F.size("bands") > 0).groupBy(F.col("h1").alias("line")).agg(F.min("size").alias("size"), *bands)
+    rows = once.select(F.explode(F.array(*(f"b{k}" for k in range(BINS // ROWS)))).alias("band"), "line", "size")
+    return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _shared, "band bigint, line bigint, size bigint, first bigint, before bigint")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -208,11 +216,11 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (band, i, j): lines with an alike one of another component in their group; of another block where i < j."""
-    names = ["band", "i", "j", "block", "component", "line", "sketch", "size"]
+    names = ["band", "i", "j", "block", "component", "line", "size"]
     held = [np.zeros(0, np.int64) for _ in names]
 
     def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        band, i, j, block, component, line, sketch, size = rows
+        band, i, j, block, component, line, size = rows
         group = np.cumsum(np.append(False, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
         starts = np.searchsorted(group, np.arange(group[-1] + 1))
         mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
@@ -224,7 +232,7 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right = left + step
             ok = (component[left] != component[right]) & ((block[left] != block[right]) | (i[left] == j[left]))
             x, y = left[ok], right[ok]
-            ok = _alike(sketch, size, x, y)
+            ok = _alike(size, x, y)
             met[x[ok]] = met[y[ok]] = True
         side = np.where(i == j, -1, block)
         yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line)], names=["band", "i", "j", "side", "component", "line"])
@@ -247,8 +255,8 @@ def crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
     counts = materialize(rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "wide-bands")
     placed = rows.join(parts.withColumnRenamed("node", "line"), "line", "left").join(broadcast_if_small(counts, counts.count()), "band", "left")
     placed = placed.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
-    placed = placed.select("band", F.coalesce("component", "line").alias("component"), "line", "sketch", "size", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "line", "sketch", "size")
+    placed = placed.select("band", F.coalesce("component", "line").alias("component"), "line", "size", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "line", "size")
     return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
 
 
@@ -281,17 +289,18 @@ def _verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in pieces(batches):
         code, starts, stops, _, _ = _lines(batch.column("text").to_pylist())
         value, number = _shingles(code, starts, stops)
-        _, sketch, _ = signatures(value, number)
         end, a, b = np.cumsum(number), [], []
         for r, (band, i, j, side, component, line) in enumerate(zip(*(batch.column(k).to_pylist() for k in _KEYS), strict=True)):
             if (band, i, j) != key:
                 key, members, root = (band, i, j), [], {}
-                sketches, sizes = np.zeros(64, np.int64), np.zeros(64, np.int64)
+                odd, sizes = np.zeros((64, PARITIES // 64), np.uint64), np.zeros(64, np.int64)
             own = np.unique(value[end[r] - number[r] : end[r]])
+            bits = parities(own)
             n = len(members)
             if n == len(sizes):
-                sketches, sizes = np.append(sketches, np.zeros(n, np.int64)), np.append(sizes, np.zeros(n, np.int64))
-            near = np.flatnonzero((agreeing(sketches[:n], np.full(n, sketch[r])) >= AGREE) & (100 * np.minimum(sizes[:n], len(own)) >= 80 * np.maximum(sizes[:n], len(own))))
+                odd, sizes = np.append(odd, np.zeros_like(odd), axis=0), np.append(sizes, np.zeros(n, np.int64))
+            near = np.flatnonzero(100 * np.minimum(sizes[:n], len(own)) >= 80 * np.maximum(sizes[:n], len(own)))
+            near = near[9 * np.bitwise_count(odd[near] ^ bits).sum(1, dtype=np.int64) <= sizes[near] + len(own)]  # at 0.8, sets differ in a ninth of their sizes' sum
             for k in near.tolist():
                 other, its_side, its_line, its = members[k]
                 if (side >= 0 and side == its_side) or find(other) == find(component):
@@ -301,7 +310,7 @@ def _verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     root[find(other)] = find(component)
                     a.append(min(line, its_line))
                     b.append(max(line, its_line))
-            sketches[n], sizes[n] = sketch[r], len(own)
+            odd[n], sizes[n] = bits, len(own)
             members.append((component, side, line, own))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
