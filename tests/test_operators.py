@@ -69,6 +69,12 @@ def test_story_bands(spark):
     assert [r.b for r in df.collect()] == ["merged", "possible_duplicate", "distinct", "quarantined_pair"]
 
 
+def test_shingles_read_whole_texts(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    assert one(spark, X.shingles(F.lit(text))) == text.split() and len(one(spark, X.shingles(F.lit(text), head=200))) < 60
+    assert one(spark, X.shingles(F.lit("A b  a b c"), 2)) == ["a b", "b a", "b c"] and one(spark, X.shingles(F.lit("a"), 2)) == []
+
+
 def test_upsert_adds_columns(spark):
     old = spark.createDataFrame([("a", 1, 1)], "k string, c int, o int")
     new = spark.createDataFrame([("a", 2, 2, "n"), ("b", 1, 3, "m")], "k string, c int, o int, extra string")

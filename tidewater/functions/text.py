@@ -85,11 +85,14 @@ def week(c: Column) -> Column:
     return F.date_trunc("week", c).cast("date")
 
 
-def shingles(c: Column, n: int = 1, head: int = 200) -> Column:
-    """Distinct word n-grams of the first `head` characters, lower case."""
-    words = F.filter(F.split(F.lower(F.substring(c, 1, head)), r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+def shingles(c: Column, n: int = 1, head: int | None = None) -> Column:
+    """Distinct word n-grams, lower case, of the whole text or its first `head` characters."""
+    words = F.filter(F.split(F.lower(F.substring(c, 1, head) if head else c), r"\s+"), lambda w: w != "")
+    if n == 1:
+        return F.array_distinct(words)
+    # The words are bound once: inside a lambda they would be split again for every n-gram.
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams(w))))[0]
 
 
 def confidence(extracted: Column, attempted: Column, finish: Column) -> Column:

@@ -321,7 +321,7 @@ TOKENS = """t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(
 
 @query(f"WITH {TOKENS} SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS n_shared FROM k a JOIN k b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING n_shared >= 2")
 def story_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return D.token_blocks(_documents(spark, d).select("doc_id", "text"), "doc_id", X.shingles(F.col("text")), 20)
+    return D.token_blocks(_documents(spark, d).select("doc_id", "text"), "doc_id", X.shingles(F.col("text"), head=200), 20)
 
 
 @query(f"""WITH {TOKENS}, p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS n FROM k a JOIN k b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING n >= 2),
@@ -329,7 +329,7 @@ c AS (SELECT doc_id, count(*) AS c FROM k GROUP BY 1), s AS (SELECT left_id, rig
 SELECT left_id, right_id, round(score, 6) AS score, CASE WHEN score >= 0.95 THEN 'merged' WHEN score >= 0.82 THEN 'possible_duplicate' ELSE 'distinct' END AS band FROM s""")
 def story_bands(spark: SparkSession, d: str) -> DataFrame:
     """Candidate stories scored by the Jaccard similarity of their rare tokens, and what becomes of them."""
-    docs = _documents(spark, d).select("doc_id", X.shingles(F.col("text")).alias("tokens"))
+    docs = _documents(spark, d).select("doc_id", X.shingles(F.col("text"), head=200).alias("tokens"))
     rows = docs.select("doc_id", F.explode("tokens").alias("token"))
     rare = rows.groupBy("token").agg(F.count("*").alias("n")).where("n between 2 and 20").select("token")
     sizes = rows.join(rare, "token").groupBy("doc_id").agg(F.count("*").alias("c"))
