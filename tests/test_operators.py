@@ -75,6 +75,22 @@ def test_shingles_read_whole_texts(spark):
     assert one(spark, X.shingles(F.lit("A b  a b c"), 2)) == ["a b", "b a", "b c"] and one(spark, X.shingles(F.lit("a"), 2)) == []
 
 
+def test_story_links_have_no_cap_and_whole_texts(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(base) for i in range(30)}  # copies: more than 20 hold each word
+    texts |= {100 + i: " ".join([*base, f"x{i}"]) for i in range(30)}
+    texts |= {200: " ".join([f"head{k}" for k in range(6)] + base), 201: " ".join(base[:40] + [f"y{k}" for k in range(300)]), 202: " ".join(base[:40] + [f"z{k}" for k in range(300)]), 300: "", 301: None}
+    docs = spark.createDataFrame(sorted(texts.items()), "id int, text string")
+    members, sets = D.story_classes(docs, "id", X.shingles(F.col("text")))
+    assert {r.id: r.class_id for r in members.collect()} == {i: 0 if i < 30 else i for i in texts}
+    words = {i: set((t or "").split()) for i, t in texts.items() if t and (i == 0 or i >= 30)}
+    want = {(a, b, len(words[a] & words[b])) for a in words for b in words if a < b and 100 * len(words[a] & words[b]) >= 82 * len(words[a] | words[b])}
+    for block in (1000, 7):
+        got = [(r.left_id, r.right_id, r.n_shared) for r in D.story_links(sets, block=block).collect()]
+        assert sorted(got) == sorted(want)
+    assert (0, 129, 60) in want and (0, 200, 60) in want and not any(201 in p or 202 in p for p in want)
+
+
 def test_upsert_adds_columns(spark):
     old = spark.createDataFrame([("a", 1, 1)], "k string, c int, o int")
     new = spark.createDataFrame([("a", 2, 2, "n"), ("b", 1, 3, "m")], "k string, c int, o int, extra string")

@@ -63,6 +63,44 @@ def token_blocks(df: DataFrame, id_col: str, tokens: Column, most: int, least: i
     return pairs.where(F.col("n_shared") >= least)
 
 
+def story_classes(df: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """Membership (id, class_id), and one row (class_id, tokens, n) of each distinct token set that is not empty.
+
+    A class is named by the least id with its set; a row without tokens is a class of its own. Ids are unique.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("tokens"))
+    full = rows.where(F.size("tokens") > 0).withColumn("key", F.sha2(F.array_join("tokens", "\n").cast("binary"), 256))
+    first = full.groupBy("key").agg(F.min("id").alias("class_id"))
+    members = full.select("id", "key").join(first, "key").select("id", "class_id").unionByName(rows.where(F.size("tokens") == 0).select("id", F.col("id").alias("class_id")))
+    sets = full.join(first.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "tokens", F.size("tokens").alias("n"))
+    return members, sets
+
+
+def story_links(sets: DataFrame, percent: int = round(100 * POSSIBLE_AT), block: int = 1000) -> DataFrame:
+    """All pairs of classes (left_id < right_id) whose token sets have a Jaccard similarity of `percent` or more, and n_shared.
+
+    Exact: linked sets share a token among the rarest n - ceil(percent * n) + 1 of each, so only these meet. No token is
+    left out; the list of a token of many sets is cut into blocks that meet two by two.
+    """
+    rows = sets.select("class_id", "n", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = rows.join(counts, "token").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100").cast("int") + 1
+    prefix = ranked.select("class_id", "n", F.posexplode(F.slice("ranked", F.lit(1), length)).alias("pos", "t")).select("class_id", "n", "pos", "t.token", "t.df").where("df > 1")
+    heads = prefix.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
+    placed = prefix.join(heads, "token").withColumn("blocks", F.ceil(F.col("listed") / block).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "n", "pos")
+    a, b = placed.alias("a"), placed.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # at most so many shared tokens if this is the first
+    met = a.join(b, ["token", "i", "j"]).where("a.class_id < b.class_id and (i = j or a.block <> b.block)").where((100 + percent) * left >= percent * (F.col("a.n") + F.col("b.n")))
+    pairs = met.select(F.col("a.class_id").alias("left_id"), F.col("b.class_id").alias("right_id")).distinct()
+    side = lambda k: sets.select(F.col("class_id").alias(f"{k}_id"), F.col("tokens").alias(f"{k}_tokens"))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("n_shared", F.size(F.array_intersect("left_tokens", "right_tokens")).cast("long"))
+    union = F.size("left_tokens") + F.size("right_tokens") - F.col("n_shared")
+    return both.where(100 * F.col("n_shared") >= percent * union).select("left_id", "right_id", "n_shared", (F.col("n_shared") / union).alias("score"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], score: Column, order: Column) -> DataFrame:
     """Existing and new rows by name, the best of each key."""
     return best_per_key(old.unionByName(new, allowMissingColumns=True), keys, score, order)

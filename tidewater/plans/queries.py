@@ -339,6 +339,28 @@ def story_bands(spark: SparkSession, d: str) -> DataFrame:
     return both.select("left_id", "right_id", F.round(score, 6).alias("score"), D.story_band(score).alias("band"))
 
 
+WORDS = r"""w AS (SELECT doc_id, coalesce(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))), []) AS s FROM documents)"""
+
+
+def _stories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return D.story_classes(_documents(spark, d).select("doc_id", "text"), "doc_id", X.shingles(F.col("text")))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM w")
+def story_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each story: stories of the same words, by whole texts."""
+    return _stories(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT min(doc_id) AS id, s FROM w WHERE len(s) > 0 GROUP BY s), k AS (SELECT id, len(s) AS n, unnest(s) AS token FROM c),
+p AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS n_shared, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM k a JOIN k b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
+SELECT left_id, right_id, n_shared, round(score, 6) AS score, CASE WHEN score >= 0.95 THEN 'merged' ELSE 'possible_duplicate' END AS band FROM p WHERE score >= 0.82""")
+def story_links(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of classes that are merged or possible duplicates, by all words of whole texts; all others are distinct."""
+    links = D.story_links(_stories(spark, d)[1])
+    return links.withColumn("band", D.story_band(F.col("score"))).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     """What is still to do: ids without a result."""
