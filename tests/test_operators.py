@@ -91,6 +91,12 @@ def test_story_links_have_no_cap_and_whole_texts(spark):
     assert (0, 129, 60) in want and (0, 200, 60) in want and not any(201 in p or 202 in p for p in want)
 
 
+def test_sector_trends_take_every_sector(spark):
+    rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-08"), (1, "b", "2024-01-09"), (2, "c", "2024-01-15"), (None, "a", "2024-01-01"), (1, "a", None)]
+    got = A.sector_trends(spark.createDataFrame(rows, "s int, t string, d string"), "s", "t", F.to_date("d"), 1).collect()
+    assert sorted((r.s, r.t, str(r.week_start), r.n) for r in got) == [(1, "b", "2024-01-01", 0), (1, "b", "2024-01-08", 2), (2, "c", "2024-01-15", 1)]
+
+
 def test_upsert_adds_columns(spark):
     old = spark.createDataFrame([("a", 1, 1)], "k string, c int, o int")
     new = spark.createDataFrame([("a", 2, 2, "n"), ("b", 1, 3, "m")], "k string, c int, o int, extra string")

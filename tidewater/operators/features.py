@@ -68,6 +68,14 @@ def densified(weekly: DataFrame, series: str) -> DataFrame:
     return weeks.crossJoin(F.broadcast(weekly.select(series).distinct())).join(weekly, [series, "week_start"], "left").na.fill(0, ["n"])
 
 
+def sector_trends(df: DataFrame, sector: str, series: str, day: Column, k: int) -> DataFrame:
+    """Weekly counts of each sector's k largest series, 0 in weeks of the sector where one has none; rows without sector, series or date are left out."""
+    full = df.where(truthy(F.col(sector).cast("string")) & truthy(F.col(series).cast("string")) & day.isNotNull())
+    weekly = full.groupBy(sector, series, week(day).alias("week_start")).agg(F.count("*").alias("n"))
+    top = top_k(weekly.groupBy(sector, series).agg(F.sum("n").alias("total")), [sector], [F.col("total").desc(), F.col(series)], k).select(sector, series)
+    return top.join(weekly.select(sector, "week_start").distinct(), sector).join(weekly, [sector, series, "week_start"], "left").na.fill(0, ["n"])
+
+
 def slopes(weekly: DataFrame, series: str) -> DataFrame:
     """Per series of two weeks or more: points, total, first, last and slope between its ends."""
     ends = weekly.groupBy(series).agg(F.count("*").alias("n_points"), F.sum("n").alias("total"), F.min_by("n", "week_start").alias("first_n"), F.max_by("n", "week_start").alias("last_n"))

@@ -132,6 +132,14 @@ def weekly_trend_pivot(spark: SparkSession, d: str) -> DataFrame:
     return A.densified(weekly, "event_type").join(F.broadcast(top), "event_type").select("event_type", "week_start", "n")
 
 
+@query("""WITH w AS (SELECT user_id, event_type, date_trunc('week', ts)::DATE AS week_start, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type <> '' AND ts IS NOT NULL GROUP BY ALL),
+top AS (SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY sum(n) DESC, event_type) AS r FROM w GROUP BY 1, 2) WHERE r <= 3)
+SELECT t.user_id, t.event_type, k.week_start, coalesce(w.n, 0) AS n FROM top t JOIN (SELECT DISTINCT user_id, week_start FROM w) k USING (user_id) LEFT JOIN w ON w.user_id = t.user_id AND w.event_type = t.event_type AND w.week_start = k.week_start""", days=('week_start',))
+def weekly_trend_by_sector(spark: SparkSession, d: str) -> DataFrame:
+    """Zero-filled weekly series of the three largest tools of every sector (user), over all events."""
+    return A.sector_trends(table(spark, d, "events"), "user_id", "event_type", F.to_date("ts"), 3)
+
+
 BRAND_WEEKS = "SELECT p_brand, date_trunc('week', o_orderdate)::DATE AS week_start, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 
 
