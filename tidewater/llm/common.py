@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,38 +19,63 @@ PIECE_BYTES = 1 << 20
 BATCH_ROWS = 4000
 #: Rows up to which a table of integers is broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: The same for tables whose bytes have been summed.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (as in tests), a new local one."""
+    """The cluster's shared folder. Only a local session may be without one (as in tests): it gets a new folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS, unless the session asks for others than Spark's default; then as before."""
+    before = spark.conf.get(_BATCH)
+    try:
+        if before == "10000":
+            spark.conf.set(_BATCH, BATCH_ROWS)
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps neither repeat its work nor depend on an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint for a table of narrow rows whose number has been counted; beyond the limit Spark shuffles."""
+    """A hint for a table whose rows or bytes (as the limit) have been counted; beyond the limit Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """df.mapInArrow with batches of fewer rows, unless the session says how many; use as df.transform(arrow_map, ...)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, BATCH_ROWS)
+    """df.mapInArrow, for df.transform(arrow_map, ...)."""
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, from a stem."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def release() -> None:
     """Give memory that numpy has freed back to the system, where the C library can: workers live on between tasks."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -3,94 +3,158 @@
 Lines are what "\\n" separates; a line's shingles are its runs of five characters (a shorter line is one shingle).
 One pass hashes every line and keeps, of each, the smallest shingle hash in 32 bins (empty bins borrow from the next
 full one); eight bands of four bins each have a recall of 0.985 at a similarity of 0.8 and 0.999 at 0.87. Lines that
-share a band are candidates unless their set sizes exclude a similarity of 0.8; sketches (two bits of every bin) are
-measured but filter nothing, as those of short lines disagree too often. Where groups are verified, parities of shingle
-counts exclude pairs first: they differ in no more places than the sets, so that no link is lost by them.
+share a band are candidates unless their set sizes or parities exclude a similarity of 0.8. Parities say for each of
+256 places or more, by the set's size, whether an odd number of its hashes fall there: two sets differ in no fewer
+hashes than their parities in places, so neither test loses a link.
 
 Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or more), in two rounds. First, lines
 of one band meet its first line and their neighbour in order of hash: pairs in proportion to lines, which join most
 copies. Then all pairs of a band meet whose lines are still in different components; a band of very many lines is
 cut into blocks that meet two by two. So no link of two lines that share a band is lost, and copies that are joined
-already make no pairs. Linked lines and exact repeats form components by distributed union-find. Of a component only
-the first line, by (doc_id, position), stays.
+already make no pairs. Only lines with a candidate are read again, by their hashes, from the documents. Linked lines
+and exact repeats form components by distributed union-find. Of a component only the first line, by (doc_id, position),
+stays; a line that repeats within a text goes at once.
 
 Lines without a visible character are never compared and always stay. Null and empty texts stay as they are, and so
-do rows without an id. Rows that repeat an id are alike: a line stays in each of them if it stays in one. Lines
-whose 64-bit hashes collide are compared as one of them only (the other stays). A document that had words and is
-left with no line is dropped by `filter_documents`. An empty table gives no rows; extra columns pass through.
+do rows without an id. A very long line is a task's piece of its own. Rows that repeat an id are alike if their texts
+are equal: a line stays in each of them if it stays in one; rows of one id with different texts are judged each on
+its own. Lines whose 64-bit hashes collide are compared as one of them only (the other stays). A document that had
+words and is left with no line is dropped by `filter_documents`. An empty table gives no rows; extra columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, flat, materialize, mix64, pieces, span_hashes
+from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, flat, free_name, keyed, materialize, mix64, pieces, span_hashes
 from .graph import components
 
 SHINGLE = 5
 BINS, ROWS = 32, 4
-SALT_ROWS = 4096
-#: Bins of 32 in which the sketches of two linked lines mostly agree: a yardstick of sketches, not a filter.
-AGREE = 20
-#: Places of a line's parities.
-PARITIES = 1024
-#: Lines of a band that one task holds at a time (twice as many where two blocks meet).
-BLOCK = 4096
+BANDS = BINS // ROWS
+#: Words of a line's parities, as powers of two: the least, the most, and hashes of a set for each word (of 64 places).
+LEAST_WORDS, MOST_WORDS, PER_WORD = 2, 10, 42
+#: Lines of a band, and shingles of its lines, that one task holds at a time (twice as many where two blocks meet).
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: Pairs that are verified in one numpy step, and candidates of a group that are held.
+STEP, HELD = 1 << 14, 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(99))
-_STEP = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_TURN = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = [f"b{k}" for k in range(BANDS)]
 
 
-def _lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """Code points of all texts with "\\n" between them, begin and end of each line, the same as bytes, and each line's bytes' end."""
-    joined = "\n".join(texts)
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+def _byte_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts with "\\n" between them, begin and end of each line in it, and the number of each line's text."""
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    at = np.flatnonzero(data == 10)
+    per_text = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
+    return data, np.append(0, at + 1), np.append(at, len(data)), np.repeat(np.arange(len(texts)), per_text)
+
+
+def _code_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts with "\\n" between them, begin and end of each line in them."""
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
     breaks = np.flatnonzero(code == 10)
-    raw = joined.encode()
-    at = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
-    return code, np.append(0, breaks + 1), np.append(breaks, len(code)), raw, np.append(at, len(raw))
+    return code, np.append(0, breaks + 1), np.append(breaks, len(code))
 
 
 def _shingles(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the spans' shingles, one span after the other, and how many each has."""
     number = np.maximum(stops - starts - SHINGLE + 1, np.minimum(1, stops - starts))
     padded = np.append(code, np.zeros(SHINGLE, np.uint32)).astype(np.uint64)
-    every = np.zeros(len(code), np.uint64)
-    for k in range(SHINGLE):
-        every += padded[k : k + len(code)] * _STEP[k]
+    every = np.empty(len(code), np.uint64)
+    for low in range(0, len(code), 1 << 15):  # so much of all arrays stays in a cache
+        high = min(len(code), low + (1 << 15))
+        part = padded[low:high] * _TURN[0]
+        for k in range(1, SHINGLE):
+            part += padded[low + k : high + k] * _TURN[k]
+        every[low:high] = part
     at = flat(starts, number)
     value = every[at]
     short = np.flatnonzero((stops - starts < SHINGLE) & (number > 0))
     if len(short):
         own = np.zeros(len(short), np.uint64)
         for k in range(SHINGLE):
-            own += np.where(starts[short] + k < stops[short], padded[starts[short] + k] + np.uint64(1 << 32), 0).astype(np.uint64) * _STEP[k]
+            own += np.where(starts[short] + k < stops[short], padded[starts[short] + k] + np.uint64(1 << 32), 0).astype(np.uint64) * _TURN[k]
         value[(np.cumsum(number) - number)[short]] = own
-    return mix64(value), number
+    for low in range(0, len(value), 1 << 15):
+        value[low : low + (1 << 15)] = mix64(value[low : low + (1 << 15)])
+    return value, number
+
+
+def _level(size: np.ndarray) -> np.ndarray:
+    """Logarithm of how many words the parities of a set have; linked sets are one level apart at most."""
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / PER_WORD)), LEAST_WORDS, MOST_WORDS).astype(np.int64)
+
+
+def _parities(row: np.ndarray, value: np.ndarray, bits: int, level: np.ndarray) -> np.ndarray:
+    """Words of all rows' parities, one row after the other: the high ones of a value's `bits` name a word of its row, the low six a place. Rows and values ascend."""
+    begin = np.cumsum(1 << level) - (1 << level)
+    word = begin[row] + (value >> (bits - level[row]).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int((1 << level).sum()), np.uint64)
+    if len(word):
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out[word[first]] = np.bitwise_xor.reduceat(np.uint64(1) << (value & np.uint64(63)), first)
+    return out
+
+
+class Parities:
+    """Parities of rows, to be compared by pairs: the longer of two is folded to half its words."""
+
+    def __init__(self, words: np.ndarray, level: np.ndarray) -> None:
+        self.level, begin = level, np.cumsum(1 << level) - (1 << level)
+        self.tables: dict[int, np.ndarray] = {}
+        self.at = np.zeros((2, len(level)), np.int64)  # where a row stands in the table of its level, and of the next lower
+        for k in np.unique(level).tolist():
+            rows = np.flatnonzero(level == k)
+            own = words[flat(begin[rows], np.full(len(rows), 1 << k))].reshape(-1, 1 << k)
+            below = self.tables.get(k - 1, np.zeros((0, 1 << (k - 1)), np.uint64))
+            self.at[0, rows], self.at[1, rows] = np.arange(len(rows)), len(below) + np.arange(len(rows))
+            self.tables[k - 1], self.tables[k] = np.concatenate([below, own[:, ::2] ^ own[:, 1::2]]), own
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many places rows x and y differ; their levels are one apart at most."""
+        level, out = np.minimum(self.level[x], self.level[y]), np.zeros(len(x), np.int64)
+        for k in np.unique(level).tolist():
+            for at in np.array_split(here := np.flatnonzero(level == k), 1 + (len(here) << k >> 20)):
+                a, b = (self.at[(self.level[v] > k).astype(np.int64), v] for v in (x[at], y[at]))
+                out[at] = np.bitwise_count(self.tables[k][a] ^ self.tables[k][b]).sum(1, dtype=np.int64)
+        return out
+
+    def near(self, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows x and y may be linked: at a similarity of 0.8, sets differ in a ninth of their sizes' sum."""
+        out = _alike(size, x, y)
+        at = np.flatnonzero(out)
+        out[at] = 9 * self.differ(x[at], y[at]) <= size[x[at]] + size[y[at]]
+        return out
 
 
 def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band hashes (spans x bands), sketch and set size of each span from its shingles; every span has one at least."""
+    """Band hashes (spans x bands), words of parities and set size of each span from its shingles; every span has one at least."""
     n = len(number)
-    size = np.zeros(n, np.int64)
-    sketch = np.zeros(n, np.uint64)
-    out = np.zeros((n, BINS // ROWS), np.int64)
-    for low in range(0, n, 1 << 20):  # the number of a span must fit beside its hashes
-        high = min(n, low + (1 << 20))
-        first = int(number[:low].sum())
+    size, parity, out = np.zeros(n, np.int64), [np.zeros(0, np.uint64)], np.zeros((n, BANDS), np.int64)
+    ends = np.cumsum(number)
+    low = done = 0
+    while low < n:  # the number of a span must fit beside its hashes, and the arrays into a cache
+        high = min(n, low + (1 << 20), max(low + 1, int(np.searchsorted(ends, done + (1 << 18), "right"))))
         count = number[low:high]
-        own = value[first : first + int(count.sum())]
+        own = value[done : int(ends[high - 1])]
+        done = int(ends[high - 1])
         key = np.sort(np.repeat(np.arange(high - low, dtype=np.uint64) << np.uint64(42), count) | own >> np.uint64(22))
-        size[low:high] = np.bincount((key[np.append(True, key[1:] != key[:-1])] >> np.uint64(42)).astype(np.int64), minlength=high - low)
-        cell = key >> np.uint64(37)  # span and bin
-        least = np.append(True, cell[1:] != cell[:-1])
+        key = key[np.append(True, key[1:] != key[:-1])]
+        cell = (key >> np.uint64(37)).astype(np.int64)  # span and bin
+        size[low:high] = np.bincount(cell >> 5, minlength=high - low)
+        parity.append(_parities(cell >> 5, key & np.uint64((1 << 42) - 1), 42, _level(size[low:high])))
+        least = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         minima = np.full((high - low) * BINS, -1, np.int64)
-        minima[cell[least].astype(np.int64)] = (key[least] & np.uint64((1 << 37) - 1)).astype(np.int64)
+        minima[cell[least]] = (key[least] & np.uint64((1 << 37) - 1)).astype(np.int64)
         minima = minima.reshape(-1, BINS)
         holes = np.flatnonzero((minima < 0).any(1))
         if len(holes):
@@ -102,62 +166,61 @@ def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
                 lent = np.roll(have, -step, axis=1)
                 filled = np.where(empty & (lent >= 0), lent + (step << 37), filled)
             minima[holes] = filled
-        for b in range(BINS // ROWS):
-            joint = np.full(high - low, b + 1, np.uint64)
-            for r in range(ROWS):
-                joint = mix64(joint * np.uint64(31) + minima[:, b * ROWS + r].astype(np.uint64))
-            out[low:high, b] = joint.view(np.int64)
-        for b in range(BINS):
-            sketch[low:high] |= (mix64(minima[:, b].astype(np.uint64)) & np.uint64(3)) << np.uint64(2 * b)
-    return out, sketch.view(np.int64), size
-
-
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many bins two sketches agree."""
-    x = (a ^ b).view(np.uint64)
-    return BINS - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).astype(np.int64)
-
-
-def parities(members: np.ndarray) -> np.ndarray:
-    """Whether each place holds an odd number of a set's hashes, as words. Sets differ in as many hashes as their parities, at least."""
-    return np.packbits(np.bincount((members & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.uint64)
+        joint = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], high - low, axis=0)
+        grouped = minima.astype(np.uint64).reshape(-1, BANDS, ROWS)
+        for r in range(ROWS):
+            joint = mix64(joint * np.uint64(31) + grouped[:, :, r])
+        out[low:high] = joint.view(np.int64)
+        low = high
+    return out, np.concatenate(parity), size
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         texts = batch.column("text").to_pylist()
-        code, starts, stops, raw, ends = _lines(texts)
-        data = np.frombuffer(raw, np.uint8)
-        begins = np.append(0, ends[:-1] + 1)
-        per_doc = np.fromiter((t.count("\n") + 1 for t in texts), np.int64, len(texts))
-        doc = np.repeat(np.arange(len(texts)), per_doc)
-        position = flat(np.zeros(len(texts), np.int64), per_doc)
+        data, begins, ends, doc = _byte_lines(texts)
+        code, starts, stops = _code_lines(texts)
+        position = np.arange(len(doc)) - np.searchsorted(doc, doc)
         seen = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data > 32) & (data != 127), out=seen[1:])
         full = np.flatnonzero(seen[ends] > seen[begins])
         h1 = span_hashes(data, begins[full], ends[full])
-        value, number = _shingles(code, starts[full], stops[full])
-        if len(full):
-            h2 = mix64(np.add.reduceat(value, np.cumsum(number) - number) + number.astype(np.uint64))
-            once = np.sort(np.unique(h1, return_index=True)[1])  # a line's bands once in a piece
-            keep = np.repeat(np.isin(np.arange(len(full)), once), number)
-            bands, sketch, size = signatures(value[keep], number[once])
-        else:
-            h2, once, bands, sketch, size = h1, np.zeros(0, np.int64), np.zeros((0, BINS // ROWS), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        many = np.zeros(len(full) + 1, np.int32)
-        many[once + 1] = BINS // ROWS
-        sketches, sizes = np.zeros(len(full), np.int64), np.zeros(len(full), np.int32)
-        sketches[once], sizes[once] = sketch, size
+        own = np.zeros(len(full), bool)  # not yet in the same text
+        own[np.unique(keyed(doc[full], h1), return_index=True)[1]] = True
+        once = np.sort(np.unique(h1, return_index=True)[1])  # a line's bands once in a piece
+        value, number = _shingles(code, starts[full[once]], stops[full[once]])
+        bands, parity, size = signatures(value, number)
+        place = np.zeros(len(full), np.int64)
+        place[once] = np.arange(len(once))
+        rest = np.ones(len(full), bool)
+        rest[once] = False
+        wide = lambda v: pa.array(v[place] if len(v) else np.zeros(len(full), v.dtype), mask=rest)
+        words = np.concatenate([[0], np.cumsum(8 << _level(size))]).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(once), [None, pa.py_buffer(words), pa.py_buffer(parity)])
+        h2 = span_hashes(data[::-1], len(data) - ends[full], len(data) - begins[full])
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").take(pa.array(doc[full])), pa.array(position[full].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sketches), pa.array(sizes),
-            pa.ListArray.from_arrays(pa.array(np.cumsum(many).astype(np.int32)), pa.array(bands.ravel())),
-        ], names=["doc_id", "pos", "h1", "h2", "sketch", "size", "bands"])
+            *(batch.column(k).take(pa.array(doc[full])) for k in ("doc_id", "tkey")), pa.array(position[full].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(~own), wide(size),
+            *(wide(bands[:, k]) for k in range(BANDS)), blobs.take(pa.array(place, mask=rest)),
+        ], names=["doc_id", "tkey", "pos", "h1", "h2", "again", "size", *_BAND, "parity"])
+
+
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey (a hash of the text: it tells rows of one id apart) and text of rows that have lines to compare."""
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, two hashes, sketch, set size and bands (empty where the same line just went by) of every line with a visible character."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.transform(arrow_map, _measure, "doc_id bigint, pos int, h1 bigint, h2 bigint, sketch bigint, size int, bands array<bigint>")
+    """A row for every line with a visible character: doc_id, tkey, pos, two hashes, again (a repeat in its text), and size, bands and parities.
+
+    These last are null where the same line just went by.
+    """
+    numbers = ", ".join(f"{k} bigint" for k in ("size", *_BAND))
+    return _keyed_texts(docs).transform(arrow_map, _measure, f"doc_id bigint, tkey bigint, pos int, h1 bigint, h2 bigint, again boolean, {numbers}, parity binary")
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """One row of each line: h1, h2, how many texts have it (n), the smallest doc_id, size and bands."""
+    return lines.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), *(F.min(k).alias(k) for k in ("size", *_BAND)))
 
 
 def _alike(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -197,130 +260,273 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(True)
 
 
-def shared(lines: DataFrame) -> DataFrame:
-    """Rows (band, line, size, first, before) of bands that two different lines or more share.
-
-    A line is taken once, however often it stands in the corpus, before bands are shuffled.
-    """
-    bands = [F.min(F.col("bands")[k]).alias(f"b{k}") for k in range(BINS // ROWS)]
-    once = lines.where(F.size("bands") > 0).groupBy(F.col("h1").alias("line")).agg(F.min("size").alias("size"), *bands)
-    rows = once.select(F.explode(F.array(*(f"b{k}" for k in range(BINS // ROWS)))).alias("band"), "line", "size")
+def shared(distinct: DataFrame) -> DataFrame:
+    """Rows (band, line, size, first, before) of bands that two different lines or more share."""
+    rows = distinct.select(F.explode(F.array(*_BAND)).alias("band"), F.col("h1").alias("line"), "size")
     return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _shared, "band bigint, line bigint, size bigint, first bigint, before bigint")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of line hashes (a, b) of the first round, from rows of `shared`."""
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b) beside both sizes and parities those that may be linked."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            size = np.concatenate([batch.column(k).to_numpy() for k in ("a_size", "b_size")])
+            words = np.concatenate([buffers(batch.column(k))[0].view(np.uint64) for k in ("a_parity", "b_parity")])
+            ok = pa.array(Parities(words, _level(size)).near(size, np.arange(n), np.arange(n, 2 * n)))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in "ab"], names=["a", "b"])
+
+
+def candidates(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs of line hashes (a, b) of the first round, from rows of `shared`; info has sizes and parities of their lines."""
     met = rows.select("line", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> line")
-    return met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+    pairs = met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
+    for k in "ab":
+        pairs = pairs.join(info.select(F.col("line").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("size", "parity"))), k)
+    return pairs.transform(arrow_map, _near_pairs, "a bigint, b bigint")
 
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (band, i, j): lines with an alike one of another component in their group; of another block where i < j."""
-    names = ["band", "i", "j", "block", "component", "line", "size"]
-    held = [np.zeros(0, np.int64) for _ in names]
-
-    def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        band, i, j, block, component, line, size = rows
-        group = np.cumsum(np.append(False, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        starts = np.searchsorted(group, np.arange(group[-1] + 1))
-        mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-        left, step, met = np.flatnonzero(mixed[group]), 0, np.zeros(len(group), bool)
-        while len(left):
-            step += 1
-            left = left[left + step < len(group)]
-            left = left[group[left + step] == group[left]]
-            right = left + step
-            ok = (component[left] != component[right]) & ((block[left] != block[right]) | (i[left] == j[left]))
-            x, y = left[ok], right[ok]
-            ok = _alike(size, x, y)
-            met[x[ok]] = met[y[ok]] = True
-        side = np.where(i == j, -1, block)
-        yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line)], names=["band", "i", "j", "side", "component", "line"])
+def _may(component: np.ndarray, side: np.ndarray, size: np.ndarray, parity: Parities) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which rows (x, y) of a group are to be compared: of two components and sides, and near."""
+
+    def ok(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] < 0))
+        at = np.flatnonzero(out)
+        out[at] = parity.near(size, x[at], y[at])
+        return out
+
+    return ok
 
+
+def _steps(group: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows (x < y) of equal group, one distance after the other, that `ok(x, y)` lets pass; groups are ascending."""
+    left, step = np.arange(len(group)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(group)]
+        left = left[group[left + step] == group[left]]
+        keep = ok(left, left + step)
+        yield left[keep], (left + step)[keep]
+
+
+_PLACE = ["band", "i", "j"]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows in order of (band, i, j)."""
+    held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        held = [np.concatenate([v, batch.column(k).to_numpy().astype(np.int64)]) for k, v in zip(names, held, strict=True)]
-        ends = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1]))
-        if len(ends):  # all groups but the last are whole
+        t = pa.Table.from_batches([batch])
+        key = [t.column(k).to_numpy() for k in _PLACE]
+        ends = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in key]))
+        if held and any(held[-1].column(k)[-1].as_py() != v[0] for k, v in zip(_PLACE, key, strict=True)):
+            yield pa.concat_tables(held)
+            held = []
+        if len(ends):
             cut = int(ends[-1]) + 1
-            yield from groups([v[:cut] for v in held])
-            held = [v[cut:] for v in held]
-    if len(held[0]):
-        yield from groups(held)
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+            held, t = [], t.slice(cut)
+        held.append(t)
+    if held:
+        yield pa.concat_tables(held)
 
 
-def crossing(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Groups of the second round, from rows of `shared`: band, i, j (blocks), and lines alike to one of another component (node, component)."""
-    counts = materialize(rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "wide-bands")
-    placed = rows.join(parts.withColumnRenamed("node", "line"), "line", "left").join(broadcast_if_small(counts, counts.count()), "band", "left")
-    placed = placed.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int"))
-    placed = placed.select("band", F.coalesce("component", "line").alias("component"), "line", "size", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = placed.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "line", "size")
-    return keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
+def _numbers(t: pa.Table, names: list[str]) -> list[np.ndarray]:
+    return [t.column(k).to_numpy().astype(np.int64) for k in names]
 
 
-_KEYS = ["band", "i", "j", "side", "component", "line"]
+def _group_of(band: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.append(False, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
 
 
-def _cut_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that groups ask for, each beside its group."""
-    schema = pa.schema([*((k, pa.int64()) for k in _KEYS), ("text", pa.string())])
-    for batch in pieces(batches):
-        rows = []
-        for t, routes in zip(batch.column("text").to_pylist(), batch.column("routes").to_pylist(), strict=True):
-            parts = t.split("\n")
-            rows += [{**{k: r[k] for k in _KEYS}, "text": parts[r["pos"]]} for r in routes if r["pos"] < len(parts)]
-        yield pa.RecordBatch.from_pylist(rows, schema)
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (band, i, j): lines with a near one of another component, and of the other side if there are sides, in their group."""
+    for t in _whole(batches):
+        band, i, j, side, component, line, size = _numbers(t, [*_PLACE, "side", "component", "line", "size"])
+        parity = Parities(buffers(t.column("parity"))[0].view(np.uint64), _level(size))
+        met = np.zeros(len(band), bool)
+        for x, y in _steps(_group_of(band, i, j), _may(component, side, size, parity)):
+            met[x] = met[y] = True
+        yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line)], names=[*_PLACE, "side", "component", "line"])
 
 
-def _verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From lines in order of (band, i, j): links of a Jaccard similarity of 0.8 or more that join components of a group.
+def crossing(rows: DataFrame, info: DataFrame, parts: DataFrame) -> DataFrame:
+    """Groups of the second round, from rows of `shared`: band, i, j, and lines near to one of another component (side, component, line).
 
-    Each link found joins two trees of the group, so that at most one link a line leaves the task.
+    Only bands of two components or more are dealt out. In a band of very many lines those outside its largest
+    component ask all others: blocks i of asking lines (side 1) meet blocks j of all lines (side 0).
     """
-    key, members, root = None, [], {}
+    placed = rows.select("band", "line", "size").join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    placed = materialize(placed, "placed-lines")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    mixed = materialize(mixed.where("low <> high").select("band", "blocks"), "mixed-bands")
+    line = ["component", "line", "size", "parity"]
+    placed = placed.join(mixed, "band").join(info.select("line", "parity"), "line")
+    dealt = placed.where("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *line)
+    wide = mixed.where("blocks > 1")
+    if not wide.isEmpty():
+        held = materialize(placed.where("blocks > 1"), "wide-bands")
+        each = held.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        most = each.groupBy("band").agg(F.max(F.struct("n", "component", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+        asking = blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s"))
+        held = held.join(materialize(most.select("band", F.col("most.component").alias("major"), asking.alias("asking")), "majors"), "band")
+        own = lambda n: F.pmod(F.xxhash64("line"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = dealt.unionByName(held.select("band", upto("asking").alias("i"), own("blocks").alias("j"), F.lit(0).alias("side"), *line))
+        dealt = dealt.unionByName(held.where("component <> major").select("band", own("asking").alias("i"), upto("blocks").alias("j"), F.lit(1).alias("side"), *line))
+    return dealt.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each text whose hashes it is asked for."""
     for batch in pieces(batches):
-        code, starts, stops, _, _ = _lines(batch.column("text").to_pylist())
-        value, number = _shingles(code, starts, stops)
-        end, a, b = np.cumsum(number), [], []
-        for r, (band, i, j, side, component, line) in enumerate(zip(*(batch.column(k).to_pylist() for k in _KEYS), strict=True)):
-            if (band, i, j) != key:
-                key, members, root = (band, i, j), [], {}
-                odd, sizes = np.zeros((64, PARITIES // 64), np.uint64), np.zeros(64, np.int64)
-            own = np.unique(value[end[r] - number[r] : end[r]])
-            bits = parities(own)
-            n = len(members)
-            if n == len(sizes):
-                odd, sizes = np.append(odd, np.zeros_like(odd), axis=0), np.append(sizes, np.zeros(n, np.int64))
-            near = np.flatnonzero(100 * np.minimum(sizes[:n], len(own)) >= 80 * np.maximum(sizes[:n], len(own)))
-            near = near[9 * np.bitwise_count(odd[near] ^ bits).sum(1, dtype=np.int64) <= sizes[near] + len(own)]  # at 0.8, sets differ in a ninth of their sizes' sum
-            for k in near.tolist():
-                other, its_side, its_line, its = members[k]
-                if (side >= 0 and side == its_side) or find(other) == find(component):
-                    continue
-                both = int((own[np.minimum(np.searchsorted(own, its), len(own) - 1)] == its).sum())
-                if 100 * both >= 80 * (len(own) + len(its) - both):
-                    root[find(other)] = find(component)
-                    a.append(min(line, its_line))
-                    b.append(max(line, its_line))
-            odd[n], sizes[n] = bits, len(own)
-            members.append((component, side, line, own))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def verify_groups(groups: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links (a, b) within groups of `crossing`; rows are lines of groups, never pairs."""
-    routes = materialize(groups.join(places, "line").groupBy("doc_id").agg(F.collect_list(F.struct("pos", *_KEYS)).alias("routes")), "routes")
-    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
-    sent = docs.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("text", "routes").transform(arrow_map, _cut_groups, ", ".join(f"{k} bigint" for k in _KEYS) + ", text string")
-    return sent.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "line").transform(arrow_map, _verified_groups, "a bigint, b bigint")
+        data, begins, ends, doc = _byte_lines(batch.column("text").to_pylist())
+        h = span_hashes(data, begins, ends)
+        asked = batch.column("asked")
+        wanted = keyed(np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy().view(np.uint64))
+        key = keyed(doc, h)
+        first = np.sort(np.unique(key, return_index=True)[1])
+        hit = first[np.isin(key[first], wanted)]
+        length = ends[hit] - begins[hit]
+        off = np.concatenate([[0], np.cumsum(length)])
+        body = data[flat(begins[hit], length)]
+        text = pa.Array.from_buffers(pa.large_string(), len(hit), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(body)])
+        yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), text.cast(pa.string())], names=["line", "text"])
+
+
+def line_texts(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """line and its text, for lines asked for (line, doc_id: a document that has it)."""
+    routes = materialize(asked.groupBy("doc_id").agg(F.collect_set("line").alias("asked")), "routes")
+    held = routes.agg(32 * F.count("*") + 8 * F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0]  # bytes
+    found = docs.join(broadcast_if_small(routes, held, BROADCAST_BYTES), "doc_id").select("text", "asked").transform(arrow_map, _cut, "line bigint, text string")
+    return found.dropDuplicates(["line"])
+
+
+def _sets(texts: list[str]) -> np.ndarray:
+    """Distinct shingles of each text, as number of the text << 48 | 48 bits of the hash, ascending; below 65,536 texts without line breaks."""
+    code, starts, stops = _code_lines(texts)
+    value, number = _shingles(code, starts, stops)
+    key = np.sort(np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(48), number) | value >> np.uint64(16))
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+
+
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _linked(key: np.ndarray, begin: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets x and y (numbers of `_sets`; begin: where each begins) have a Jaccard similarity of 0.8 or more."""
+    out = np.zeros(len(x), bool)
+    n = np.diff(begin)
+    cost = np.cumsum(n[x] + n[y])
+    low = done = 0
+    while low < len(x):
+        high = min(len(x), low + STEP, max(low + 1, int(np.searchsorted(cost, done + (1 << 20), "right"))))
+        done = int(cost[high - 1])
+        a, b = x[low:high], y[low:high]
+        each = np.arange(high - low, dtype=np.uint64) << np.uint64(48)
+        both = np.sort(np.concatenate([np.repeat(each, n[k]) | key[flat(begin[k], n[k])] & _LOW for k in (a, b)]))
+        same = both[1:][both[1:] == both[:-1]]
+        overlap = np.bincount((same >> np.uint64(48)).astype(np.int64), minlength=high - low)
+        out[low:high] = 100 * overlap >= 80 * (n[a] + n[b] - overlap)
+        low = high
+    return out
+
+
+def _bounds(key: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(48))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, text, other) those of a Jaccard similarity of 0.8 or more."""
+    for batch in pieces(batches):
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            n = part.num_rows
+            key = _sets(part.column("text").to_pylist() + part.column("other").to_pylist())
+            ok = pa.array(_linked(key, _bounds(key, 2 * n), np.arange(n), np.arange(n, 2 * n)))
+            yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in "ab"], names=["a", "b"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The linked pairs. texts: line, text."""
+    both = pairs.join(texts.select(F.col("line").alias("a"), "text"), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("other")), "b")
+    return both.select("a", "b", "text", "other").transform(arrow_map, _verified, "a bigint, b bigint")
+
+
+def _group_links(group: np.ndarray, side: np.ndarray, component: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of links that join components within groups, at most one for each that goes away.
+
+    Of the candidates between two components a few are verified at first, then twice as many, until one is a link or
+    none is left.
+    """
+    n = len(texts)
+    key = _sets(texts)
+    begin = _bounds(key, n)
+    size = np.diff(begin)
+    row = (key >> np.uint64(48)).astype(np.int64)
+    parity = Parities(_parities(row, key & _LOW, 48, _level(size)), _level(size))
+    root = np.unique(component, return_inverse=True)[1]
+    parent = np.arange(root.max() + 1)
+    links: list[tuple[int, int]] = []
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def settle(x: np.ndarray, y: np.ndarray) -> None:
+        few = 1
+        while len(x):
+            tops = np.array([find(k) for k in range(len(parent))])
+            a, b = tops[root[x]], tops[root[y]]
+            apart = a != b
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            pair = np.minimum(a, b) * len(parent) + np.maximum(a, b)
+            order = np.argsort(pair, kind="stable")
+            x, y, pair = x[order], y[order], pair[order]
+            first = np.maximum.accumulate(np.where(np.append(True, pair[1:] != pair[:-1]), np.arange(len(pair)), 0)) if len(pair) else pair
+            now = np.arange(len(pair)) - first < few
+            for p, q in zip(x[now][ok := _linked(key, begin, x[now], y[now])].tolist(), y[now][ok].tolist(), strict=True):
+                if find(root[p]) != find(root[q]):
+                    parent[find(root[p])] = find(root[q])
+                    links.append((p, q))
+            x, y, few = x[~now], y[~now], 2 * few
+
+    held, rows = [], 0
+    for x, y in _steps(group, _may(root, side, size, parity)):
+        held.append((x, y))
+        rows += len(x)
+        if rows > HELD:
+            settle(*(np.concatenate(v) for v in zip(*held, strict=True)))
+            held, rows = [], 0
+    if held:
+        settle(*(np.concatenate(v) for v in zip(*held, strict=True)))
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From lines in order of (band, i, j): links of a Jaccard similarity of 0.8 or more that join components of a group."""
+    for t in _whole(pieces(batches)):
+        band, i, j, side, component, line = _numbers(t, [*_PLACE, "side", "component", "line"])
+        group = _group_of(band, i, j)
+        at = 0
+        while at < len(group):  # whole groups, of 16,384 lines or one group at a time
+            to = int(np.searchsorted(group, group[at], "right"))
+            to = max(to, int(np.searchsorted(group, group[min(len(group) - 1, at + STEP)], "left")) if at + STEP < len(group) else len(group))
+            x, y = _group_links(group[at:to], side[at:to], component[at:to], t.column("text").slice(at, to - at).to_pylist())
+            a, b = line[at + x], line[at + y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            at = to
+
+
+def verify_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) within groups of `crossing`; rows are lines of groups, never pairs. texts: line, text."""
+    sent = groups.join(texts, "line")
+    return sent.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "line").transform(arrow_map, _verified_groups, "a bigint, b bigint")
 
 
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -332,98 +538,67 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return every.join(over.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that routes ask for, beside where they go."""
-    for batch in pieces(batches):
-        line, query, salt, itself, text = [], [], [], [], []
-        for t, routes in zip(batch.column("text").to_pylist(), batch.column("routes").to_pylist(), strict=True):
-            parts = t.split("\n")
-            for r in routes:
-                if r["pos"] < len(parts):
-                    line.append(r["line"])
-                    query.append(r["query"])
-                    salt.append(r["salt"])
-                    itself.append(r["itself"])
-                    text.append(parts[r["pos"]])
-        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(query, pa.int64()), pa.array(salt, pa.int32()), pa.array(itself, pa.bool_()), pa.array(text, pa.string())], names=["line", "query", "salt", "itself", "text"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (query, salt, itself first, line, text) in order: the pairs of a Jaccard similarity of 0.8 or more."""
-    query, own = None, np.zeros(0, np.uint64)
-    for batch in pieces(batches):
-        code, starts, stops, _, _ = _lines(batch.column("text").to_pylist())
-        value, number = _shingles(code, starts, stops)
-        end = np.cumsum(number).tolist()
-        a, b = [], []
-        for i, (q, itself, line) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("query", "itself", "line")), strict=True)):
-            members = np.sort(value[end[i] - number[i] : end[i]])
-            members = members[np.append(True, members[1:] != members[:-1])]
-            if itself:
-                query, own = q, members
-            elif q == query and len(own):
-                overlap = int((own[np.minimum(np.searchsorted(own, members), len(own) - 1)] == members).sum())
-                if 100 * overlap >= 80 * (len(own) + len(members) - overlap):
-                    a.append(q)
-                    b.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def verify(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked pairs. places: where a line stands (line, doc_id, pos); docs: one row per id.
-
-    Each text is read once and sends its lines to the queries that ask for them; a query with many partners is there
-    once for each salt.
-    """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    others = pairs.join(salts, "a").select(F.col("b").alias("line"), F.col("a").alias("query"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("itself"))
-    own = salts.select(F.col("a").alias("line"), F.col("a").alias("query"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("itself"))
-    routes = own.unionByName(others).join(places, "line").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "line", "query", "salt", "itself")).alias("routes"))
-    routes = materialize(routes, "routes")
-    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
-    asked = docs.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("text", "routes")
-    sent = asked.transform(arrow_map, _cut, "line bigint, query bigint, salt int, itself boolean, text string")
-    return sent.repartition("query", "salt").sortWithinPartitions("query", "salt", F.col("itself").desc()).transform(arrow_map, _verified, "a bigint, b bigint")
+def line_components(lines: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """Component of each line that is linked with another: line, h2 (of the text that was compared), component."""
+    rows = materialize(shared(distinct), "shared-bands")
+    known = lines.where("size is not null").select("h1", "h2", "doc_id", "size", "parity").join(rows.select(F.col("line").alias("h1")).distinct(), "h1", "left_semi")
+    info = known.groupBy(F.col("h1").alias("line")).agg(F.min(F.struct("doc_id", "h2", "size", "parity")).alias("r"))
+    info = materialize(info.select("line", "r.*"), "shared-lines")
+    place = info.select("line", "doc_id")
+    pairs = materialize(candidates(rows, info), "line-pairs")
+    asked = place.join(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line", "left_semi")
+    texts = materialize(line_texts(asked, docs), "line-texts")
+    parts = components(materialize(verify(pairs, texts), "line-links"))
+    groups = materialize(crossing(rows, info, parts), "crossing")
+    # Most lines of the second round have been read for the first.
+    more = place.join(groups.select("line").distinct(), "line", "left_semi").join(texts.select("line"), "line", "left_anti")
+    texts = texts.unionByName(materialize(line_texts(more, docs), "line-texts"))
+    whole = merged(parts, materialize(verify_groups(groups, texts), "line-links"))
+    return whole.join(info.select(F.col("line").alias("node"), "h2"), "node").select(F.col("node").alias("line"), "h2", "component")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and the positions (array of int) of its lines that go, for documents that lose any."""
+    """doc_id, tkey (hash of the text) and the positions (array of int) of its lines that go, for texts that lose any."""
     lines = materialize(measured(docs), "lines")
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
-    rows = materialize(shared(lines), "shared-bands")
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-
-    def places(asked: DataFrame) -> DataFrame:
-        return lines.select("h1", "doc_id", "pos").join(asked.distinct(), "h1", "left_semi").groupBy("h1").agg(first).select(F.col("h1").alias("line"), "first.doc_id", "first.pos")
-
-    pairs = materialize(candidates(rows), "line-pairs")
-    linked = materialize(verify(pairs, places(pairs.select(F.col("a").alias("h1")).union(pairs.select("b"))), texts), "line-links")
-    parts = components(linked)
-    groups = materialize(crossing(rows, parts), "crossing")
-    comp = merged(parts, materialize(verify_groups(groups, places(groups.select(F.col("line").alias("h1"))), texts), "line-links"))
-    groups = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("rows"))
-    groups = groups.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("rows > 1 or component is not null")
-    groups = materialize(groups.select("h1", "h2", F.coalesce("component", "h1").alias("component"), F.col("component").isNotNull().alias("fuzzy"), "first"), "groups")
+    distinct = materialize(distinct_lines(lines), "distinct-lines")
+    comp = line_components(lines, distinct, _keyed_texts(docs).select("doc_id", "text"))
+    comp = materialize(comp.select(F.col("line").alias("h1"), "h2", "component"), "components")
+    every = distinct.select("h1", "h2", "n", "doc_id").join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null")
     # An exact group of its own keeps its own first line; a component keeps the first of its groups.
-    keeper = groups.where("fuzzy").groupBy("component").agg(F.min("first").alias("kept")).withColumn("fuzzy", F.lit(True))
-    groups = groups.join(keeper, ["component", "fuzzy"], "left").select("h1", "h2", F.coalesce("kept", "first").alias("kept"))
-    groups = materialize(groups, "keepers")
-    repeats = lines.select("doc_id", "pos", "h1", "h2").join(broadcast_if_small(groups, groups.count(), 200_000), ["h1", "h2"])
-    gone = repeats.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("pos") != F.col("kept.pos"))).select("doc_id", "pos")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-
-
-def deduped(docs: DataFrame) -> DataFrame:
-    """docs with `_gone`, the positions of the lines that went (null: none), and text without them; other columns as they were."""
-    gone = materialize(dropped_lines(docs), "gone").select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(broadcast_if_small(gone, gone.count(), 200_000), docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    left = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    first = every.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("first_id"))
+    every = every.join(first, "component", "left")
+    alone = F.col("component").isNull()
+    every = every.select("h1", "h2", F.coalesce("component", "h1").alias("x"), F.when(alone, F.col("h2")).otherwise(0).alias("y"), alone.alias("alone"), F.coalesce("first_id", "doc_id").alias("first_id"))
+    every = materialize(every, "repeated-lines")
+    repeats = lines.where("not again").select("doc_id", "tkey", "pos", "h1", "h2").join(broadcast_if_small(every, every.count(), 200_000), ["h1", "h2"])
+    repeats = materialize(repeats.drop("h1", "h2"), "repeats")
+    # The first line stands in the component's first document; of its lines there only one stays.
+    mine, key = repeats.where("doc_id = first_id").withColumn("place", F.struct("tkey", "pos")), ["x", "y", "alone"]
+    twice = mine.join(mine.groupBy(*key).agg(F.min("place").alias("kept")), key).where("place <> kept").select("doc_id", "tkey", "pos")
+    gone = repeats.where("doc_id <> first_id").select("doc_id", "tkey", "pos").unionByName(twice).unionByName(lines.where("again").select("doc_id", "tkey", "pos"))
+    return gone.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+
+
+def deduped(docs: DataFrame, gone: str = "gone") -> DataFrame:
+    """docs with one more column, `gone`: the positions of the lines that went (null: none), and text without them."""
+    if gone in docs.columns:
+        raise ValueError(f"docs have a column {gone!r}; give another name")
+    held = materialize(dropped_lines(docs), "gone").select(F.col("doc_id").alias("id"), "tkey", F.col("gone").alias("positions"))
+    size = held.agg(48 * F.count("*") + 4 * F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]  # bytes
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no name of docs can clash
+    joined = rows.join(broadcast_if_small(held, size, BROADCAST_BYTES), (F.col("row.doc_id").cast("bigint") == F.col("id")) & (F.xxhash64("row.text") == F.col("tkey")), "left")
+    left = F.when(F.col("positions").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("positions")))
+    return joined.select(*(left.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.col("positions").alias(gone))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """docs with texts that keep one line of each component; emptied documents go; n_chars, if a column, is counted anew."""
-    out = deduped(docs).where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x00-\x20]"))
+    gone = free_name(docs, "gone")
+    out = deduped(docs, gone).where(F.col(gone).isNull() | F.col("text").rlike(r"[^\x00-\x20]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
