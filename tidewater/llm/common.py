@@ -34,30 +34,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _CLEANUP = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _short_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_ROWS, unless the session asks for others than Spark's default; then as before."""
-    before = spark.conf.get(_BATCH)
+def _for_one_table(spark: SparkSession) -> Iterator[None]:
+    """Session options while one table is written; then as before.
+
+    Arrow batches have BATCH_ROWS, unless the session asks for others than Spark's default. Shuffle files go when the
+    table is there: what follows reads the table, so that disks hold the shuffles of one table at a time.
+    """
+    before = {k: spark.conf.get(k, None) for k in (_BATCH, _CLEANUP)}
     try:
-        if before == "10000":
+        if before[_BATCH] == "10000":
             spark.conf.set(_BATCH, BATCH_ROWS)
+        if before[_CLEANUP] is not None:
+            spark.conf.set(_CLEANUP, "true")
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        for k, v in before.items():
+            if v is not None:
+                spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps neither repeat its work nor depend on an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    with _short_batches(spark):
+    with _for_one_table(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more: all that was made of them has been written."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/tidewater/" in path:
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A hint for a table whose rows or bytes (as the limit) have been counted; beyond the limit Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

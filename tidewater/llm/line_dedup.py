@@ -7,13 +7,13 @@ share a band are candidates unless their set sizes or parities exclude a similar
 256 places or more, by the set's size, whether an odd number of its hashes fall there: two sets differ in no fewer
 hashes than their parities in places, so neither test loses a link.
 
-Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or more), in two rounds. First, lines
-of one band meet its first line and their neighbour in order of hash: pairs in proportion to lines, which join most
-copies. Then all pairs of a band meet whose lines are still in different components; a band of very many lines is
-cut into blocks that meet two by two. So no link of two lines that share a band is lost, and copies that are joined
-already make no pairs. Only lines with a candidate are read again, by their hashes, from the documents. Linked lines
-and exact repeats form components by distributed union-find. Of a component only the first line, by (doc_id, position),
-stays; a line that repeats within a text goes at once.
+Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or more), in two rounds. First, each line
+of a band meets the first one in order of hash that its parities allow: fewer pairs than lines, which join most
+copies. Then all pairs of a band meet whose lines are still in different components. In a band of very many lines those
+outside its largest component ask all others, in blocks. So no link of two lines that share a band is lost, and copies
+that are joined already make no pairs. Only lines with a candidate are read again, by their hashes, from the documents.
+Linked lines and exact repeats form components by distributed union-find. Of a component only the first line, by
+(doc_id, position), stays; a line that repeats within a text goes at once.
 
 Lines without a visible character are never compared and always stay. Null and empty texts stay as they are, and so
 do rows without an id. A very long line is a task's piece of its own. Rows that repeat an id are alike if their texts
@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, flat, free_name, keyed, materialize, mix64, pieces, span_hashes
+from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, discard, flat, free_name, keyed, materialize, mix64, pieces, span_hashes
 from .graph import components
 
 SHINGLE = 5
 BINS, ROWS = 32, 4
 BANDS = BINS // ROWS
 #: Words of a line's parities, as powers of two: the least, the most, and hashes of a set for each word (of 64 places).
-LEAST_WORDS, MOST_WORDS, PER_WORD = 2, 10, 42
+LEAST_WORDS, MOST_WORDS, PER_WORD = 2, 10, 84
 #: Lines of a band, and shingles of its lines, that one task holds at a time (twice as many where two blocks meet).
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 #: Pairs that are verified in one numpy step, and candidates of a group that are held.
@@ -230,60 +230,89 @@ def _alike(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (band, line): those of bands with two lines or more, beside the band's first line and the one before, if alike."""
-    names = ["band", "line", "size"]
-    # From batch to batch go the last row, which is not out yet, its band's first row and the row before it.
-    held, out = [np.zeros(0, np.int64) for _ in names], np.zeros(0, bool)
-
-    def emit(last: bool) -> pa.RecordBatch:
-        band, line, size = held
-        new = np.append(True, band[1:] != band[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
-        row = np.flatnonzero(~out[: len(band) if last else len(band) - 1])
-        row = row[~new[row] | ~np.append(new[1:], True)[row]]
-        before = np.maximum(row - 1, 0)
-        star = ~new[row] & _alike(size, lead[row], row)
-        near = ~new[row] & (before != lead[row]) & _alike(size, before, row)
-        return pa.RecordBatch.from_arrays([*(pa.array(v[row]) for v in held), pa.array(line[lead[row]], mask=~star), pa.array(line[before], mask=~near)], names=[*names, "first", "before"])
-
+    """From rows in order of band: those of bands with two lines or more."""
+    band, line, out = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether its band is known to be shared
     for batch in batches:
         if not batch.num_rows:
             continue
-        held = [np.concatenate([v, batch.column(k).to_numpy().astype(np.int64)]) for k, v in zip(names, held, strict=True)]
-        out = np.append(out, np.zeros(batch.num_rows, bool))
-        yield emit(False)
-        band, n = held[0], len(held[0])
-        first = int(np.flatnonzero(np.append(True, band[1:] != band[:-1]))[-1])
-        stay = sorted({first, max(first, n - 2), n - 1})
-        held, out = [v[stay] for v in held], np.arange(len(stay)) < len(stay) - 1
-    if len(out):
-        yield emit(True)
+        band, line = np.append(band, batch.column("band").to_numpy()), np.append(line, batch.column("line").to_numpy())
+        same = band[1:] == band[:-1]
+        keep = np.append(out, same)[: len(band)] | np.append(same, False)
+        yield pa.RecordBatch.from_arrays([pa.array(v[:-1][keep[:-1]]) for v in (band, line)], names=["band", "line"])
+        band, line, out = band[-1:], line[-1:], bool(keep[-1])
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(line)], names=["band", "line"])
 
 
 def shared(distinct: DataFrame) -> DataFrame:
-    """Rows (band, line, size, first, before) of bands that two different lines or more share."""
-    rows = distinct.select(F.explode(F.array(*_BAND)).alias("band"), F.col("h1").alias("line"), "size")
-    return rows.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _shared, "band bigint, line bigint, size bigint, first bigint, before bigint")
+    """Rows (band, line) of bands that two different lines or more share."""
+    rows = distinct.select(F.explode(F.array(*_BAND)).alias("band"), F.col("h1").alias("line"))
+    return rows.repartition("band").sortWithinPartitions("band").transform(arrow_map, _shared, "band bigint, line bigint")
+
 
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (band, line, size, parity) in order of the first two: rows with a near one in their band, beside the first such line.
 
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b) beside both sizes and parities those that may be linked."""
+    Of a band of over BLOCK lines or BLOCK_SHINGLES shingles all rows are returned, each beside the band's first line if
+    that is near.
+    """
+
+    def narrow(t: pa.Table) -> pa.RecordBatch:
+        band, line, size = _numbers(t, ["band", "line", "size"])
+        parity = Parities(buffers(t.column("parity"))[0].view(np.uint64), _level(size))
+        near, first = np.zeros(len(band), bool), np.full(len(band), -1)
+        for x, y in _steps(np.cumsum(np.append(False, band[1:] != band[:-1])), lambda x, y: parity.near(size, x, y)):
+            near[x] = near[y] = True
+            first[y] = x  # a farther one comes later and takes its place
+        alone = first[near] < 0
+        return pa.RecordBatch.from_arrays([pa.array(band[near]), pa.array(line[near]), pa.array(line[np.maximum(first[near], 0)], mask=alone)], names=["band", "line", "first"])
+
+    def wide(t: pa.Table, head: pa.Table) -> pa.RecordBatch:
+        whole = pa.concat_tables([head, t])
+        size = _numbers(whole, ["size"])[0]
+        ok = Parities(buffers(whole.column("parity"))[0].view(np.uint64), _level(size)).near(size, np.zeros(t.num_rows, np.int64), np.arange(1, t.num_rows + 1))
+        line = head.column("line")[0].as_py()
+        ok &= t.column("line").to_numpy() != line
+        return pa.RecordBatch.from_arrays([t.column("band").combine_chunks(), t.column("line").combine_chunks(), pa.array(np.full(t.num_rows, line), mask=~ok)], names=["band", "line", "first"])
+
+    held: list[pa.Table] = []  # rows of the last band, as long as it is narrow
+    head, rows, shingles = None, 0, 0  # the first row of a wide band
     for batch in batches:
-        n = batch.num_rows
-        if n:
-            size = np.concatenate([batch.column(k).to_numpy() for k in ("a_size", "b_size")])
-            words = np.concatenate([buffers(batch.column(k))[0].view(np.uint64) for k in ("a_parity", "b_parity")])
-            ok = pa.array(Parities(words, _level(size)).near(size, np.arange(n), np.arange(n, 2 * n)))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in "ab"], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        band, size = t.column("band").to_numpy(), t.column("size").to_numpy()
+        last = head if head is not None else held[-1] if held else None
+        if last is not None and last.column("band")[-1].as_py() != band[0]:
+            if held:
+                yield narrow(pa.concat_tables(held))
+            held, head, rows, shingles = [], None, 0, 0
+        if head is not None:
+            stop = int(np.searchsorted(band, band[0], "right"))
+            yield wide(t.slice(0, stop), head)
+            t, band, size = t.slice(stop), band[stop:], size[stop:]
+            if not t.num_rows:
+                continue
+            head = None
+        begin = int(np.searchsorted(band, band[-1]))  # where the last band begins
+        if begin:
+            yield narrow(pa.concat_tables([*held, t.slice(0, begin)]))
+            held, rows, shingles = [], 0, 0
+        held.append(t.slice(begin))
+        rows, shingles = rows + t.num_rows - begin, shingles + int(size[begin:].sum())
+        if rows > BLOCK or shingles > BLOCK_SHINGLES:
+            whole = pa.concat_tables(held)
+            head = whole.slice(0, 1)
+            yield wide(whole, head)
+            held, rows, shingles = [], 0, 0
+    if held:
+        yield narrow(pa.concat_tables(held))
 
 
-def candidates(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs of line hashes (a, b) of the first round, from rows of `shared`; info has sizes and parities of their lines."""
-    met = rows.select("line", F.explode(F.array("first", "before")).alias("other")).where("other is not null and other <> line")
-    pairs = met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct()
-    for k in "ab":
-        pairs = pairs.join(info.select(F.col("line").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("size", "parity"))), k)
-    return pairs.transform(arrow_map, _near_pairs, "a bigint, b bigint")
+def mates(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows (band, line, first) of `shared` that have a near line in their band; info has sizes and parities of lines."""
+    beside = rows.join(info.select("line", "size", "parity"), "line").select("band", "line", "size", "parity")
+    return beside.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _mates, "band bigint, line bigint, first bigint")
 
 
 def _may(component: np.ndarray, side: np.ndarray, size: np.ndarray, parity: Parities) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -353,18 +382,20 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crossing(rows: DataFrame, info: DataFrame, parts: DataFrame) -> DataFrame:
-    """Groups of the second round, from rows of `shared`: band, i, j, and lines near to one of another component (side, component, line).
+    """Groups of the second round, from rows of `mates`: band, i, j, and lines near to one of another component (side, component, line).
 
     Only bands of two components or more are dealt out. In a band of very many lines those outside its largest
     component ask all others: blocks i of asking lines (side 1) meet blocks j of all lines (side 0).
     """
-    placed = rows.select("band", "line", "size").join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    placed = rows.select("band", "line").join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     placed = materialize(placed, "placed-lines")
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks(F.count("*"), F.sum("size")).alias("blocks"))
-    mixed = materialize(mixed.where("low <> high").select("band", "blocks"), "mixed-bands")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     line = ["component", "line", "size", "parity"]
-    placed = placed.join(mixed, "band").join(info.select("line", "parity"), "line")
+    placed = materialize(placed.join(mixed, "band").join(info.select("line", "size", "parity"), "line"), "mixed-lines")
+    mixed = placed.groupBy("band").agg(blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    mixed = materialize(mixed, "mixed-bands")
+    placed = placed.join(mixed, "band")
     dealt = placed.where("blocks = 1").select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *line)
     wide = mixed.where("blocks > 1")
     if not wide.isEmpty():
@@ -540,21 +571,27 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """Component of each line that is linked with another: line, h2 (of the text that was compared), component."""
-    rows = materialize(shared(distinct), "shared-bands")
-    known = lines.where("size is not null").select("h1", "h2", "doc_id", "size", "parity").join(rows.select(F.col("line").alias("h1")).distinct(), "h1", "left_semi")
+    met = materialize(shared(distinct), "shared-bands")
+    known = lines.where("size is not null").select("h1", "h2", "doc_id", "size", "parity").join(met.select(F.col("line").alias("h1")).distinct(), "h1", "left_semi")
     info = known.groupBy(F.col("h1").alias("line")).agg(F.min(F.struct("doc_id", "h2", "size", "parity")).alias("r"))
     info = materialize(info.select("line", "r.*"), "shared-lines")
+    rows = materialize(mates(met, info), "near-bands")
+    discard(met)
+    pairs = rows.where("first is not null").select(F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b")).distinct()
+    pairs = materialize(pairs, "line-pairs")
     place = info.select("line", "doc_id")
-    pairs = materialize(candidates(rows, info), "line-pairs")
     asked = place.join(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line", "left_semi")
     texts = materialize(line_texts(asked, docs), "line-texts")
     parts = components(materialize(verify(pairs, texts), "line-links"))
     groups = materialize(crossing(rows, info, parts), "crossing")
     # Most lines of the second round have been read for the first.
     more = place.join(groups.select("line").distinct(), "line", "left_semi").join(texts.select("line"), "line", "left_anti")
-    texts = texts.unionByName(materialize(line_texts(more, docs), "line-texts"))
-    whole = merged(parts, materialize(verify_groups(groups, texts), "line-links"))
-    return whole.join(info.select(F.col("line").alias("node"), "h2"), "node").select(F.col("node").alias("line"), "h2", "component")
+    rest = materialize(line_texts(more, docs), "line-texts")
+    links = materialize(verify_groups(groups, texts.unionByName(rest)), "line-links")
+    whole = merged(parts, links)
+    whole = materialize(whole.join(info.select(F.col("line").alias("node"), "h2"), "node").select(F.col("node").alias("line"), "h2", "component"), "components")
+    discard(info, rows, pairs, texts, rest, groups, links)
+    return whole
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -562,7 +599,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(measured(docs), "lines")
     distinct = materialize(distinct_lines(lines), "distinct-lines")
     comp = line_components(lines, distinct, _keyed_texts(docs).select("doc_id", "text"))
-    comp = materialize(comp.select(F.col("line").alias("h1"), "h2", "component"), "components")
+    comp = comp.select(F.col("line").alias("h1"), "h2", "component")
     every = distinct.select("h1", "h2", "n", "doc_id").join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null")
     # An exact group of its own keeps its own first line; a component keeps the first of its groups.
     first = every.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("first_id"))
@@ -570,6 +607,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     alone = F.col("component").isNull()
     every = every.select("h1", "h2", F.coalesce("component", "h1").alias("x"), F.when(alone, F.col("h2")).otherwise(0).alias("y"), alone.alias("alone"), F.coalesce("first_id", "doc_id").alias("first_id"))
     every = materialize(every, "repeated-lines")
+    discard(distinct)
     repeats = lines.where("not again").select("doc_id", "tkey", "pos", "h1", "h2").join(broadcast_if_small(every, every.count(), 200_000), ["h1", "h2"])
     repeats = materialize(repeats.drop("h1", "h2"), "repeats")
     # The first line stands in the component's first document; of its lines there only one stays.
