@@ -6,12 +6,17 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.functions import fixed
 from tidewater.functions import metrics as M
 from tidewater.functions import text as X
 from tidewater.operators import dedup as D
 from tidewater.operators import features as A
+from tidewater.operators import ranges
+from tidewater.operators import records as R
 from tidewater.operators import splits as S
+from tidewater.operators import tasks as K
 from tidewater.sources import tables
+from tidewater.streaming import jobs
 
 
 def one(spark, column):
@@ -23,9 +28,20 @@ def test_refang(spark):
         assert one(spark, X.refang(F.lit(raw))) == want
 
 
-def test_observable_key_folds_domains_only(spark):
-    assert one(spark, X.observable_key(F.lit("\tEvil.COM "), F.lit("domain"))) == "evil.com::domain"
-    assert one(spark, X.observable_key(F.lit("Mutex"), F.lit("mutex"))) == "Mutex::mutex"
+def test_observable_key_folds_values_of_types_without_case(spark):
+    for value, kind, want in [("\tEvil.COM ", "domain", "evil.com::domain"), ("Evil.com", "Domain", "evil.com::domain"), ("http://A/B", "C2_Domain", "http://a/b::c2_domain"), ("ABC", "MD5", "ABC::md5"), ("Mutex", "mutex", "Mutex::mutex"), (None, None, "::")]:
+        assert one(spark, X.observable_key(F.lit(value).cast("string"), F.lit(kind).cast("string"))) == want
+
+
+def test_addresses(spark):
+    for raw, want in [("from 10[.]0[.]0[.]1.", ["10[.]0[.]0[.]1"]), ("99921.2.3.45678", []), ("1.2.3.4 5.6.7.8", ["1.2.3.4", "5.6.7.8"]), ("v1.2.3", [])]:
+        assert one(spark, X.extract_all(F.lit(raw), fixed.IP_PATTERN)) == want
+
+
+def test_labels_read_whole_signs(spark):
+    for tags, score, want in [(["Observed-in-the-Wild:Yes"], 0.0, 1), (["observed-in-the-wild:no"], 0.0, 0), (["exploited"], 0.1, 0), ([], 0.11, 1), (["was-zero-day:yes"], None, 1), ([], None, 0)]:
+        made = F.array(*(F.lit(t) for t in tags)).cast("array<string>")
+        assert one(spark, A.label(made, F.lit(score).cast("double"))) == want
 
 
 def test_tags(spark):
@@ -58,7 +74,8 @@ def test_html(spark):
 def test_canonical_merge(spark):
     rows = spark.createDataFrame([("a", "k", "f1", 5, 1), ("b", "k", "f2", 9, 2), ("c", "k", "f2", 9, 3), ("d", "z", "f1", None, 4)], "id string, k string, feed string, conf int, ord int")
     got = {r.dedup_key: r for r in D.canonical(rows, F.col("k"), "id", "feed", F.coalesce("conf", F.lit(0)), "ord", ["id", "feed"]).collect()}
-    assert (got["k"].canonical_id, got["k"].merged_from, got["k"].source_feed_count, got["k"].distinct_event_count) == ("canonical-b", ["a", "b", "c"], 2, 3)
+    assert (got["k"].canonical_id, got["k"].source_feed_count, got["k"].distinct_event_count) == ("canonical-b", 2, 3)
+    assert sorted((r.dedup_key, r.id) for r in D.members(rows, F.col("k"), "id").collect()) == [("k", "a"), ("k", "b"), ("k", "c"), ("z", "d")]
     assert round(got["k"].corroboration_score, 3) == 0.477
     assert (got["z"].dedup_status, got["z"].corroboration_score, got["z"].canonical_id) == ("singleton", 0.0, None)
     assert sum(r.distinct_event_count for r in got.values()) == 4
@@ -162,3 +179,146 @@ def test_readers(spark, tmp_path):
     assert [(r.id, r.score) for r in tables.csv_records(spark, str(tmp_path / "v.csv"), {"score": "double"}).collect()] == [("a", 0.5), ("b", None)]
     tables.write_batch(good, str(tmp_path / "raw"), "b1", "actor")
     assert spark.read.parquet(str(tmp_path / "raw")).where("batch_id = 'b1' and record_type = 'actor'").count() == 3
+
+
+def test_json_records_lose_nothing(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {"id": "1",\n   "n": 2},\n  {"id": "2"}, 5\n]\n')
+    (tmp_path / "b.json").write_text('42\n"abc"\n{"id": "3", "n": 1}\n\n{"id": "4"\n[{"id": "5"}]\n')
+    (tmp_path / "c.json").write_text('[{"id": "6"}]\n[{"id": "7"}]\n')
+    (tmp_path / "d.json").write_text('[\n{"id": "8"},\n')
+    good, bad = tables.json_records(spark, str(tmp_path), T.StructType.fromDDL("id string, n int"))
+    assert sorted((r.id, r.n) for r in good.collect()) == [("1", 2), ("2", None), ("3", 1), ("5", None), ("6", None), ("7", None)]
+    assert sorted(r.reason.strip() for r in bad.collect()) == ['malformed json: [\n{"id": "8"},', 'malformed json: {"id": "4"', "no object: 42", "no object: 5", "no object: abc"]
+
+
+def test_sources(spark, tmp_path):
+    folder = str(tmp_path / "f")
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 5, 3)], "id string, n int, ord int")
+    assert tables.write_rows(rows, f"{folder}/t") and not tables.write_rows(rows.limit(0), f"{folder}/t") and spark.read.parquet(f"{folder}/t").count() == 3
+    tables.merge_table(spark.createDataFrame([("b", 4, 9), ("c", 1, 4)], "id string, n int, ord int"), f"{folder}/t", ["id"], F.col("n"), F.col("ord"))
+    assert sorted((r.id, r.n) for r in spark.read.parquet(f"{folder}/t").collect()) == [("a", 2), ("b", 5), ("c", 1)]
+    tables.upsert_json(rows, f"{folder}/j", "id", "ord")
+    tables.upsert_json(spark.createDataFrame([("b", 7, 1)], "id string, n int, ord int"), f"{folder}/j", "id", "ord")
+    got = spark.read.schema("id string, n int").option("recursiveFileLookup", "true").json(f"{folder}/j")
+    assert sorted((r.id, r.n) for r in got.collect()) == [("a", 2), ("b", 7)]
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "x.json").write_text('{"id": "x", "n": 1}')
+    (raw / "bad.json").write_text('{"id": ')
+    assert {r.id for r in tables.checkpoints(spark, str(raw), T.StructType.fromDDL("id string, n int")).collect()} == {"x"}
+    import shutil
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"id": ["y"], "n": pa.array([2], pa.int32())}), raw / "bulk.parquet")
+    (raw / "bad.json").unlink()
+    assert {r.id for r in tables.raw_store(spark, str(raw), T.StructType.fromDDL("id string, n int")).collect()} == {"x", "y"}
+    import hashlib
+
+    want = [("x.json", hashlib.sha256((raw / "x.json").read_bytes()).hexdigest().upper()), ("bulk.parquet", "0")]
+    assert {r.path.rpartition("/")[2]: r.ok for r in tables.verified(spark, str(raw), spark.createDataFrame(want, "name string, sha256 string")).collect()} == {"x.json": True, "bulk.parquet": False}
+    (tmp_path / "n").mkdir()
+    for name in ("Attack_Patterns.json", "sizing.json", "odd.json"):
+        shutil.copy(raw / "x.json", tmp_path / "n" / name)
+    kinds = spark.read.text(str(tmp_path / "n")).select(tables.record_type().alias("t")).collect()
+    assert sorted(str(r.t) for r in kinds) == ["None", "_sizing", "attackpattern"]
+    tables.write_report(spark.createDataFrame([("b1", 3)], "batch string, n int"), f"{folder}/r")
+    assert spark.read.json(f"{folder}/r").first().n == 3
+
+
+def test_running_sums_and_splits_over_ranges(spark):
+    rows = spark.createDataFrame([(i, i % 7, 1 if i % 3 else 0) for i in range(500)], "i int, v int, k int")
+    got = {r.i: (r.total, r.number) for r in ranges.numbered(ranges.running_sums(rows, [F.col("i")], {"total": "v"}), [F.col("i").desc()]).collect()}
+    total = 0
+    for i in range(500):
+        total += i % 7
+        assert got[i] == (total, 500 - i)
+    split = S.fraction_split(rows, ["i"], F.col("k")).groupBy("k", "split").agg(F.count("*").alias("n"), F.max("i").alias("m"), F.min("i").alias("l")).collect()
+    sides = {(r.k, r.split): r for r in split}
+    assert sides[(1, "train")].n == 333 * 3 // 4 and sides[(1, "train")].m < sides[(1, "test")].l and sides[(0, "train")].n == 167 * 3 // 4
+    assert S.fraction_split(rows.limit(0), ["i"]).count() == 0
+
+
+def test_records(spark):
+    raw = spark.createDataFrame([("1", "evil[.]com", "domain", "", "f", 5, "2024", ["PIR-1", "beacon", "", "x"]), (None, "a", "url", "s", None, 1, None, []), ("3", None, "url", "s", None, 1, None, None)],
+                                "id string, value string, itype string, source string, source_feed string, confidence int, created_ts string, tags array<string>")
+    good, bad = R.clean_observables(raw, "r1")
+    row = good.collect()[0]
+    assert (row.entity_id, row.value, row.source_feed, row.tags, row.provenance.tier) == ("1", "evil.com", "f", ["Cobalt Strike", "x"], "OBSERVED")
+    assert sorted((r.record_id, r.reason) for r in bad.collect()) == [("3", "no value"), ("?", "no id")]
+    a = spark.createDataFrame([("1", "2024-01-02T03"), ("2", ""), ("3", "2024-05-05")], "id string, ts string")
+    b = spark.createDataFrame([("1", "2023-01-01"), ("3", None)], "id string, ts string")
+    assert {r.entity_id: r.created_ts for r in R.day_lookup([a, b], "id", "ts").collect()} == {"1": "2023-01-01", "3": "2024-05-05"}
+
+
+def test_tasks(spark):
+    with pytest.raises(ValueError):
+        K.task("t9", spark.range(1))
+    few = spark.createDataFrame([("s", "t", "2024-01-01", 1)], "industry string, tool string, created_ts string, ord int")
+    assert K.task("t2-industry", few).evaluate().first().status == "insufficient_data"
+    rows = [("s", "a", f"2024-01-{d:02}", d, "DERIVED") for d in range(1, 21)] + [("s", "b", "2024-01-20", 99, "UNVALIDATED")]
+    out = K.task("t2-industry", spark.createDataFrame(rows, "industry string, tool string, created_ts string, ord int, tier string")).evaluate().first()
+    assert (out.split, out.holdout_start, out.train_rows, out.holdout_rows, out.accuracy) == ("time", "2024-01-13", 12, 8, 1.0)
+    plain = K.task("t2-industry", spark.createDataFrame([(*r[:2], None, r[3]) for r in rows[:8]], "industry string, tool string, created_ts string, ord int")).evaluate().first()
+    assert (plain.split, plain.train_rows, plain.holdout_rows) == ("fraction", 6, 2)
+    flat = K.task("t2", spark.createDataFrame([("a",), ("a",), ("",)], "tool string")).predict().collect()
+    assert [(r.tool, r.total, r.trending_up) for r in flat] == [("a", 2, False)]
+    vulnerabilities = spark.createDataFrame([((i % 7) / 10, 5.0 * (i % 5 > 2) + i % 2, 1, int(i % 5 > 2), f"2024-0{1 + i // 20}-{1 + i % 20:02}", i) for i in range(60)], "epss_score double, cvss_score double, tag_count int, exploited int, first_seen string, ord int")
+    got = K.task("t1", vulnerabilities.where("ord < 30")).evaluate().first()
+    assert got.status == "ok" and got.train_size + got.test_size == 30 and got.pr_auc >= 0.9 and abs(got.lift - (got.pr_auc - got.baseline_pr_auc)) < 1e-9
+    assert K.task("t1", vulnerabilities.limit(3)).evaluate().first().status == "insufficient_data"
+    assert K.task("t3", spark.createDataFrame([("c",), ("",)], "company_name string")).predict().first().status == "not_supported"
+
+
+def test_story_groups(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (20, 30), (5, 6), (6, 7), (7, 8), (8, 11)], "left_id long, right_id long")
+    assert {r.class_id: r.group_id for r in D.story_groups(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20, 30: 20, 5: 5, 6: 5, 7: 5, 8: 5, 11: 5}
+
+
+def test_stream_goes_on_from_its_folder(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    inside = tmp_path / "in" / "t.parquet"
+    inside.mkdir(parents=True)
+    pq.write_table(pa.table({"k": [1, 2], "v": [1.0, 5.0]}), inside / "a.parquet")
+    run = lambda: jobs.drained(jobs.stream_of(spark, str(inside)), str(tmp_path / "job"))
+    assert run().count() == 2 and run().count() == 2
+    pq.write_table(pa.table({"k": [1], "v": [7.0]}), inside / "b.parquet")
+    assert run().count() == 3
+    best = jobs.drained(jobs.best(jobs.stream_of(spark, str(inside)), ["k"], F.col("v"), F.col("k"), ["v"]), str(tmp_path / "best"), "complete")
+    assert {r.k: r.v for r in best.collect()} == {1: 7.0, 2: 5.0}
+
+
+def test_html_blocks_as_a_parser_finds_them(spark):
+    """Every event block of the pages against the standard library's HTML parser."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found, self.open = [], None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "div" and "event" in (dict(attrs).get("class") or ""):
+                self.open = [] if self.open is None else self.open
+
+        def handle_endtag(self, tag):
+            if tag == "div" and self.open is not None:
+                self.found.append(" ".join("".join(self.open).split()))
+                self.open = None
+
+        def handle_data(self, data):
+            if self.open is not None:
+                self.open.append(data + " ")
+
+    pages = spark.createDataFrame([(i, "".join(f'<div class="{"event" if (i + k) % 3 else "other"} x"><b>2024-0{1 + k}-0{1 + i % 9}</b> T10{k}{i % 10} <i>at 10[.]0[.]{k}[.]{i}</i></div><p>between</p>' for k in range(4))) for i in range(30)], "page_id int, html string")
+    got = {}
+    for r in X.parse(pages, "timeline").orderBy("page_id", "event_no").collect():
+        got.setdefault(r.page_id, []).append(r.raw_text)
+        assert r.event_date in r.raw_text and r.ioc.replace(".", "[.]") in r.raw_text and all(t in r.raw_text for t in r.techniques)
+    for r in pages.collect():
+        p = Blocks()
+        p.feed(r.html)
+        assert got.get(r.page_id, []) == p.found

@@ -7,9 +7,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewater.plans.queries import ORACLES, QUERIES
+from tidewater.plans import queries, tasks  # noqa: F401  (they register)
+from tidewater.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+#: Their tables have no such rows at this size.
+MAY_BE_EMPTY: set[str] = set()
 
 
 def canonical(df: pd.DataFrame) -> list[tuple[str, ...]]:
@@ -33,6 +36,7 @@ def duck():
 def test_same_rows_as_sql(spark, duck, name):
     got, want = QUERIES[name](spark, FOLDER).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert len(got) or name in MAY_BE_EMPTY
     assert canonical(got) == canonical(want)
 
 

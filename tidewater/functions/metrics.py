@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The ten bins' edges as a linear space in doubles has them.
-BIN_EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]
+from ..operators.ranges import running_sums
+from .fixed import BIN_EDGES
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row `average_precision`: precision summed over recall steps at distinct scores; 0 with one class only.
 
-    Scores are counted before the running sums, so these see one row per distinct score.
+    Scores are counted before the running sums, which go over ranges of scores, not over all in one task.
     """
     by_score = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("hits"), F.count("*").alias("rows"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by_score.select("hits", F.sum("hits").over(down).alias("tp"), F.sum("rows").over(down).alias("seen"))
+    run = running_sums(by_score, [F.col("s").desc()], {"tp": "hits", "seen": "rows"})
     sums = run.agg(F.sum(F.col("hits") * F.col("tp") / F.col("seen")).alias("area"), F.sum("hits").alias("p"), F.max("seen").alias("n"))
     return sums.select(F.when((F.col("p") == 0) | (F.col("p") == F.col("n")) | F.col("p").isNull(), 0.0).otherwise(F.col("area") / F.col("p")).alias("average_precision"))
 

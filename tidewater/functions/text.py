@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Indicator types whose values compare without case.
-CASELESS_TYPES = ["domain", "fqdn", "hostname", "url", "uri", "email", "md5", "sha1", "sha256", "sha512", "filehash", "ssdeep"]
-# Prefixes of tags that belong to a workflow.
-WORKFLOW_PREFIXES = ["Ilamona_", "PIR", "ilamona_", "pir"]
-# Patterns for what is pulled out of text.
-DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"
-TECHNIQUE_PATTERN = r"T\d{4}(?:\.\d{3})?"
-IP_PATTERN = r"\d{1,3}(?:\[?\.\]?\d{1,3}){3}"
-SCOPES = ["direct", "indirect", "suspected", "unknown"]
+from .fixed import CASELESS_TYPES, DATE_PATTERN, IP_PATTERN, SCOPES, TECHNIQUE_PATTERN, WORKFLOW_PREFIXES
 
 
 def strip(c: Column) -> Column:
@@ -35,9 +24,10 @@ def refang(c: Column) -> Column:
 
 
 def observable_key(value: Column, kind: Column) -> Column:
-    """value::type with white space stripped, and lower case for types that have none."""
-    lowered = F.when(F.lower(kind).isin(CASELESS_TYPES), F.lower(strip(value))).otherwise(strip(value))
-    return F.concat(F.coalesce(lowered, F.lit("")), F.lit("::"), F.coalesce(kind, F.lit("")))
+    """value::type, the type in lower case, the value without white space around it and in lower case if its type has none."""
+    kind = F.lower(F.coalesce(kind, F.lit("")))
+    bare = strip(F.coalesce(value, F.lit("")))
+    return F.concat(F.when(kind.isin(CASELESS_TYPES), F.lower(bare)).otherwise(bare), F.lit("::"), kind)
 
 
 def alias(c: Column, names: dict[str, str]) -> Column:
@@ -136,8 +126,3 @@ def parse(pages: DataFrame, feed: str) -> DataFrame:
     if feed not in PARSERS:
         raise KeyError(f"no parser for feed {feed!r}; known: {sorted(PARSERS)}")
     return PARSERS[feed](pages)
-
-
-def schema_of(columns: Iterable[str]) -> T.StructType:
-    """All-string schema of the given columns."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])

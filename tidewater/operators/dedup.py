@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MERGE_AT, POSSIBLE_AT = 0.95, 0.82  # fixed values: similarity bands of stories
+from ..functions.fixed import ACTOR_ALIASES, MALWARE_ALIASES, MERGE_AT, POSSIBLE_AT
+from ..functions.text import alias
+from .ranges import written
 
 
 def corroboration(feeds: Column) -> Column:
@@ -14,24 +20,35 @@ def corroboration(feeds: Column) -> Column:
 
 
 def canonical(df: DataFrame, key: Column, id_col: str, feed: str, score: Column, order: str, keep: list[str]) -> DataFrame:
-    """One record per key: the row of best score (earliest on ties) with what the group's rows say together.
+    """One record per key: the row of best score (a missing one is 0; the least `order` on ties) with what the group's rows say together.
 
-    One grouped aggregation with partial sums; no self join. Groups of one row are singletons without corroboration.
+    Grouped aggregations with partial sums; no self join and no list of ids, however large a group (`members` has those,
+    a row each). Groups of one row are singletons without corroboration.
     """
     rows = df.withColumn("_key", key)
-    best = F.max_by(F.struct(*keep), F.struct(score, -F.col(order))).alias("best")
-    grouped = rows.groupBy("_key").agg(
-        best, F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_col).cast("string").alias("i")))).alias("from"),
-        F.count_distinct(F.coalesce(F.col(feed), F.lit(""))).alias("feeds"), F.count("*").alias("events"), F.min(score).alias("source_confidence_min"), F.max(score).alias("source_confidence_max"),
-    )
+    top = F.coalesce(score, F.lit(0))
+    feeds = rows.groupBy("_key", F.coalesce(F.col(feed), F.lit("")).alias("_feed")).agg(
+        F.min(F.struct((-top).alias("s"), F.col(order).alias("o"), F.struct(*keep).alias("r"))).alias("best"), F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high")
+    )
+    grouped = feeds.groupBy("_key").agg(F.min("best")["r"].alias("best"), F.count("*").alias("feeds"), F.sum("n").alias("events"), F.min("low").alias("source_confidence_min"), F.max("high").alias("source_confidence_max"))
     merged = F.col("events") > 1
     return grouped.select(
         F.col("_key").alias("dedup_key"), F.when(merged, F.concat(F.lit("canonical-"), F.col(f"best.{id_col}").cast("string"))).alias("canonical_id"), *(F.col(f"best.{c}").alias(c) for c in keep),
-        F.transform("from", lambda x: x["i"]).alias("merged_from"), F.when(merged, F.col("feeds")).otherwise(1).alias("source_feed_count"), F.col("events").alias("distinct_event_count"),
+        F.when(merged, F.col("feeds")).otherwise(1).alias("source_feed_count"), F.col("events").alias("distinct_event_count"),
         F.when(merged, corroboration(F.col("feeds"))).otherwise(0.0).alias("corroboration_score"), F.when(merged, "merged").otherwise("singleton").alias("dedup_status"), "source_confidence_min", "source_confidence_max",
     )
 
 
+def members(df: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """What records were merged from: a row (dedup_key, id) for each row of df."""
+    return df.select(key.alias("dedup_key"), F.col(id_col).cast("string").alias("id"))
+
+
+def entity_bucket(name: Column, kind: Column) -> Column:
+    """The name that entities are merged by: actors, malware and tools go by their aliases' names, others by their own."""
+    return F.when(kind.isin("actor", "threat-actor"), alias(name, ACTOR_ALIASES)).when(kind.isin("malware", "tool"), alias(name, MALWARE_ALIASES)).otherwise(name)
+
+
 def best_per_key(df: DataFrame, keys: list[str], score: Column, order: Column) -> DataFrame:
     """The row of the best score for each key (ties by order); rows with a null or empty key are left out."""
     full = df.where(F.reduce(F.array(*(F.coalesce(F.col(k).cast("string"), F.lit("")) != "" for k in keys)), F.lit(True), lambda a, b: a & b))
@@ -50,19 +67,6 @@ def story_band(score: Column) -> Column:
     return F.when(score.isNull(), "quarantined_pair").when(score >= MERGE_AT, "merged").when(score >= POSSIBLE_AT, "possible_duplicate").otherwise("distinct")
 
 
-def token_blocks(df: DataFrame, id_col: str, tokens: Column, most: int, least: int = 2) -> DataFrame:
-    """Pairs (left_id < right_id) that share `least` tokens which at most `most` rows have.
-
-    Tokens above `most` say nothing about a story and would pair all rows with all; they are left out by definition
-    of the block, so no list of a token is longer than that.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    rare = rows.groupBy("token").agg(F.count("*").alias("n")).where((F.col("n") <= most) & (F.col("n") > 1)).select("token")
-    kept = rows.join(rare, "token")
-    pairs = kept.alias("a").join(kept.alias("b"), "token").where("a.id < b.id").groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(F.count("*").alias("n_shared"))
-    return pairs.where(F.col("n_shared") >= least)
-
-
 def story_classes(df: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """Membership (id, class_id), and one row (class_id, tokens, n) of each distinct token set that is not empty.
 
@@ -76,31 +80,83 @@ def story_classes(df: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame
     return members, sets
 
 
-def story_links(sets: DataFrame, percent: int = round(100 * POSSIBLE_AT), block: int = 1000) -> DataFrame:
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows (token, i, j, block, class_id, n, pos) in order of (token, i, j, n): pairs that may be linked, by sizes and what is left of both sets."""
+    names = ["token", "i", "j", "block", "class_id", "n", "pos"]
+
+    def met(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, i, j, block, cls, n, pos = rows
+        same = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        left, step = np.arange(len(same)), 0
+        while len(left):
+            step += 1
+            left = left[left + step < len(same)]
+            # Sizes ascend in a group: if one is too large, so are all after it.
+            left = left[(same[left + step] == same[left]) & (100 * n[left] >= percent * n[left + step])]
+            right = left + step
+            most = np.minimum(n[left] - pos[left], n[right] - pos[right])  # so many shared tokens at most, if this is the first
+            ok = ((100 + percent) * most >= percent * (n[left] + n[right])) & ((i[left] == j[left]) | (block[left] != block[right]))
+            a, b = cls[left[ok]], cls[right[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["left_id", "right_id"])
+
+    held = [np.zeros(0, np.int64)] * len(names)
+    for batch in batches:
+        if batch.num_rows:
+            held = [np.concatenate([v, batch.column(k).to_numpy().astype(np.int64)]) for k, v in zip(names, held, strict=True)]
+            ends = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in held[:3]]))
+            if len(ends):  # all groups but the last are whole
+                cut = int(ends[-1]) + 1
+                yield from met([v[:cut] for v in held])
+                held = [v[cut:] for v in held]
+    if len(held[0]):
+        yield from met(held)
+
+
+def story_links(sets: DataFrame, percent: int = round(100 * POSSIBLE_AT), block: int = 4096) -> DataFrame:
     """All pairs of classes (left_id < right_id) whose token sets have a Jaccard similarity of `percent` or more, and n_shared.
 
     Exact: linked sets share a token among the rarest n - ceil(percent * n) + 1 of each, so only these meet. No token is
-    left out; the list of a token of many sets is cut into blocks that meet two by two.
+    left out; the list of a token of many sets is cut into blocks that meet two by two, in one task each. Tokens are
+    64-bit hashes; sets are compared by these.
     """
-    rows = sets.select("class_id", "n", F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
+    hashed = written(sets.select(F.col("class_id").cast("bigint").alias("class_id"), "n", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")), "story-sets")
+    rows = hashed.select("class_id", "n", F.explode("h").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Tokens of one set only head the order and meet nothing: only how many there are matters.
     ranked = rows.join(counts, "token").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100").cast("int") + 1
-    prefix = ranked.select("class_id", "n", F.posexplode(F.slice("ranked", F.lit(1), length)).alias("pos", "t")).select("class_id", "n", "pos", "t.token", "t.df").where("df > 1")
-    heads = prefix.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
-    placed = prefix.join(heads, "token").withColumn("blocks", F.ceil(F.col("listed") / block).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("n") - F.size("ranked")
+    length = F.greatest(F.lit(0), F.col("n") - F.expr(f"({percent} * n + 99) div 100").cast("int") + 1 - alone)
+    prefix = ranked.select("class_id", "n", alone.alias("alone"), F.posexplode(F.slice("ranked", F.lit(1), length)).alias("pos", "t")).select("class_id", "n", (F.col("pos") + F.col("alone")).alias("pos"), "t.token")
+    prefix = written(prefix, "story-prefixes")
+    heads = prefix.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("listed")).where("listed > 1").drop("listed")
+    placed = prefix.join(heads, "token").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "n", "pos")
-    a, b = placed.alias("a"), placed.alias("b")
-    left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # at most so many shared tokens if this is the first
-    met = a.join(b, ["token", "i", "j"]).where("a.class_id < b.class_id and (i = j or a.block <> b.block)").where((100 + percent) * left >= percent * (F.col("a.n") + F.col("b.n")))
-    pairs = met.select(F.col("a.class_id").alias("left_id"), F.col("b.class_id").alias("right_id")).distinct()
-    side = lambda k: sets.select(F.col("class_id").alias(f"{k}_id"), F.col("tokens").alias(f"{k}_tokens"))
-    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("n_shared", F.size(F.array_intersect("left_tokens", "right_tokens")).cast("long"))
-    union = F.size("left_tokens") + F.size("right_tokens") - F.col("n_shared")
+    met = placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n").mapInArrow(lambda b: _pairs(b, percent), "left_id bigint, right_id bigint")
+    pairs = written(met.distinct(), "story-pairs")
+    side = lambda k: hashed.select(F.col("class_id").alias(f"{k}_id"), F.col("h").alias(f"{k}_h"))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("n_shared", F.size(F.array_intersect("left_h", "right_h")).cast("long"))
+    union = F.size("left_h") + F.size("right_h") - F.col("n_shared")
     return both.where(100 * F.col("n_shared") >= percent * union).select("left_id", "right_id", "n_shared", (F.col("n_shared") / union).alias("score"))
 
 
+def story_groups(links: DataFrame) -> DataFrame:
+    """class_id and group_id (the least class it is joined with, directly or not) of all classes of links (left_id, right_id).
+
+    Each round every class takes the least label around it and then that label's own; minima combine before shuffles and
+    each round is a written table.
+    """
+    both = written(links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).union(links.select("right_id", "left_id")), "story-edges")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class_id"), F.least("a", "m").alias("group_id")), "story-labels")
+    while True:
+        seen = both.join(labels.select(F.col("class_id").alias("b"), "group_id"), "b").groupBy(F.col("a").alias("class_id")).agg(F.min("group_id").alias("m"))
+        least = labels.join(seen, "class_id").select("class_id", F.col("group_id").alias("old"), F.least("group_id", "m").alias("group_id"))
+        jump = labels.select(F.col("class_id").alias("group_id"), F.col("group_id").alias("next"))
+        after = written(least.join(jump, "group_id", "left").select("class_id", "old", F.least("group_id", F.coalesce("next", "group_id")).alias("group_id")), "story-labels")
+        labels = after.select("class_id", "group_id")
+        if after.where("old <> group_id").isEmpty():
+            return labels
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], score: Column, order: Column) -> DataFrame:
     """Existing and new rows by name, the best of each key."""
     return best_per_key(old.unionByName(new, allowMissingColumns=True), keys, score, order)

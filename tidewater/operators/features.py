@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import EXPLOIT_SCORE, EXPLOIT_TAGS, TIERS
 from ..functions.text import truthy, week
 
-TIERS = ["OBSERVED", "DERIVED", "LLM_EXTRACTED", "EXTERNAL", "UNVALIDATED"]
-EXPLOIT_TAGS = ["exploited", "in-the-wild", "kev", "weaponized"]
-
 
 def tier_filter(df: DataFrame, accepted: list[str], tier: str = "tier") -> DataFrame:
     """Rows of accepted tiers; a missing tier is OBSERVED. Unknown tiers asked for are an error."""
@@ -46,10 +44,10 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
 
 
 def label(tags: Column, score: Column) -> Column:
-    """1 if a tag says so, else if the score is over 0.1, else 0."""
+    """1 if the tags, joined in lower case, hold one of EXPLOIT_TAGS, else if the score is over 0.1, else 0."""
     text = F.lower(F.array_join(tags, " "))
     said = F.reduce(F.array(*(F.lit(t) for t in EXPLOIT_TAGS)), F.lit(False), lambda a, t: a | F.contains(text, t))
-    return F.when(said, 1).when(score > 0.1, 1).otherwise(0)
+    return F.when(said, 1).when(score > EXPLOIT_SCORE, 1).otherwise(0)
 
 
 def first_nonzero(*cols: Column) -> Column:
@@ -62,10 +60,11 @@ def weekly_counts(df: DataFrame, series: str, day: Column) -> DataFrame:
     return df.where(day.isNotNull()).groupBy(series, week(day).alias("week_start")).agg(F.count("*").alias("n"))
 
 
-def densified(weekly: DataFrame, series: str) -> DataFrame:
-    """Every observed week for every series, 0 where it has none."""
+def densified(weekly: DataFrame, series: str, k: int) -> DataFrame:
+    """Every observed week for each of the k largest series, 0 where it has none; k rows meet the weeks, not all series."""
+    top = weekly.groupBy(series).agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), series).limit(k).select(series)
     weeks = weekly.select("week_start").distinct()
-    return weeks.crossJoin(F.broadcast(weekly.select(series).distinct())).join(weekly, [series, "week_start"], "left").na.fill(0, ["n"])
+    return weeks.crossJoin(F.broadcast(top)).join(weekly, [series, "week_start"], "left").na.fill(0, ["n"])
 
 
 def sector_trends(df: DataFrame, sector: str, series: str, day: Column, k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def time_split(df: DataFrame, day: Column, holdout_days: int) -> DataFrame:
     """df with `part`: train up to the last day less the holdout, test after it; rows without a day are left out."""
@@ -28,14 +30,23 @@ def rolling_windows(df: DataFrame, day: Column, train_days: int = 90, test_days:
     return counts.where("n_train > 0 and n_test > 0")
 
 
-def fraction_split(df: DataFrame, order: list[str], part: Column, fraction: float = 0.75) -> DataFrame:
-    """df with `part_no` train / test: the first fraction of each part in order. One part means one task: give a part."""
-    w = Window.partitionBy(part)
-    rn, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    return df.withColumn("split", F.when(rn <= F.floor(n * fraction), "train").otherwise("test"))
+def fraction_split(df: DataFrame, order: list[str], part: Column | None = None, fraction: float = 0.75) -> DataFrame:
+    """df with `split` train / test: the first fraction of all rows in a total order, or of each part's.
+
+    Rows are numbered by ranges of (part, order), so a part of a third of all rows is dealt over many tasks.
+    """
+    rows = df.withColumn("_part", F.lit(0) if part is None else part)
+    placed = numbered(rows, [F.col("_part"), *(F.col(c) for c in order)], "_rn")
+    ends = placed.groupBy("_part").agg(F.min("_rn").alias("_first"), F.count("*").alias("_n"))
+    out = placed.join(ends.withColumnRenamed("_part", "_of"), F.col("_part").eqNullSafe(F.col("_of")))
+    return out.withColumn("split", F.when(F.col("_rn") - F.col("_first") < F.floor(F.col("_n") * fraction), "train").otherwise("test")).drop("_part", "_of", "_rn", "_first", "_n")
 
 
 def stratified(df: DataFrame, stratum: Column, quota: DataFrame, order: list[Column]) -> DataFrame:
-    """The newest rows of each stratum up to its quota (stratum, quota); strata without one have no rows."""
-    rows = df.withColumn("stratum", stratum).join(F.broadcast(quota), "stratum")
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy("stratum").orderBy(*order))).where("_rn <= quota").drop("_rn", "quota")
+    """The newest rows of each stratum up to its quota (stratum, quota); strata without one have no rows.
+
+    The largest quota is a number in the plan, by which each task keeps so many rows of a stratum before they are shuffled.
+    """
+    most = quota.agg(F.max("quota")).first()[0] or 0
+    ranked = df.withColumn("stratum", stratum).withColumn("_rn", F.row_number().over(Window.partitionBy("stratum").orderBy(*order))).where(F.col("_rn") <= int(most))
+    return ranked.join(quota, "stratum").where("_rn <= quota").drop("_rn", "quota")

@@ -6,11 +6,10 @@ are tools, documents are observables and stories, events are dated sightings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import dedup as D
@@ -18,33 +17,8 @@ from ..operators import features as A
 from ..operators import splits as S
 from ..sources.tables import by_name, table
 from ..streaming import jobs
+from .registry import STAR, query, star
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, days: tuple[str, ...] = ()) -> Callable:
-    """Register a query by its name, with its SQL if there is any; `days` are dates that are returned as text."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("string") for c in days})) if days else f
-        if sql:
-            ORACLES[f.__name__] = f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in days)}) FROM ({sql})" if days else sql
-        return f
-
-    return put
-
-
-def star(spark: SparkSession, d: str) -> DataFrame:
-    """Orders' lines with nation (sector), part (tool), brand and order date; dimensions go by AQE's choice of join."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderdate")
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    sector = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(nations, "c_nationkey").select("c_custkey", "n_name")
-    return lines.join(orders, "l_orderkey").join(sector, "c_custkey").select("n_name", F.col("l_partkey").alias("p_partkey"), F.to_date("o_orderdate").alias("day"))
-
-
-STAR = "SELECT n_name, l_partkey AS p_partkey, o_orderdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 TFIDF = f"""star AS ({STAR}), tf AS (SELECT n_name, p_partkey, count(*) AS tf FROM star GROUP BY ALL), n AS (SELECT count(DISTINCT n_name) AS n FROM tf),
 w AS (SELECT n_name, p_partkey, tf, count(*) OVER (PARTITION BY p_partkey) AS df, tf * ln(n / count(*) OVER (PARTITION BY p_partkey)) AS tfidf FROM tf, n)"""
 
@@ -70,14 +44,27 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-@query("""WITH g AS (SELECT md5(coalesce(text, '')) || '::' || lang AS dedup_key, count(*) AS n, count(DISTINCT source) AS feeds, list(doc_id::VARCHAR ORDER BY doc_id) AS ids,
-min(n_chars) AS lo, max(n_chars) AS hi, arg_max(doc_id, {'c': n_chars, 'o': -doc_id}) AS doc_id, arg_max(source, {'c': n_chars, 'o': -doc_id}) AS source FROM documents GROUP BY 1)
-SELECT dedup_key, CASE WHEN n > 1 THEN 'canonical-' || doc_id END AS canonical_id, doc_id, source, array_to_string(ids, ',') AS merged_from, CASE WHEN n > 1 THEN feeds ELSE 1 END AS source_feed_count, n AS distinct_event_count,
+DEDUP_KEY = "md5(coalesce(text, '')) || '::' || coalesce(lang, '')"
+
+
+def _dedup_key() -> F.Column:
+    return F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit("::"), F.coalesce("lang", F.lit("")))
+
+
+@query(f"""WITH g AS (SELECT {DEDUP_KEY} AS dedup_key, count(*) AS n, count(DISTINCT coalesce(source, '')) AS feeds,
+min(n_chars) AS lo, max(n_chars) AS hi, arg_max(doc_id, {{'c': coalesce(n_chars, 0), 'o': -doc_id}}) AS doc_id, arg_max(source, {{'c': coalesce(n_chars, 0), 'o': -doc_id}}) AS source FROM documents GROUP BY 1)
+SELECT dedup_key, CASE WHEN n > 1 THEN 'canonical-' || doc_id END AS canonical_id, doc_id, source, CASE WHEN n > 1 THEN feeds ELSE 1 END AS source_feed_count, n AS distinct_event_count,
 round(CASE WHEN n > 1 THEN least(1.0, ln(feeds + 1) / ln(10)) ELSE 0 END, 6) AS corroboration_score, CASE WHEN n > 1 THEN 'merged' ELSE 'singleton' END AS dedup_status, lo AS source_confidence_min, hi AS source_confidence_max FROM g""")
 def l1_dedup_canonical(spark: SparkSession, d: str) -> DataFrame:
-    key = F.concat(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit("::"), "lang")
-    out = D.canonical(_documents(spark, d).select("doc_id", "source", "n_chars", "lang", "text"), key, "doc_id", "source", F.col("n_chars"), "doc_id", ["doc_id", "source"])
-    return out.withColumn("merged_from", F.array_join("merged_from", ",")).withColumn("corroboration_score", F.round("corroboration_score", 6))
+    """One record for each text; what it was merged from is in l1_dedup_members."""
+    out = D.canonical(_documents(spark, d).select("doc_id", "source", "n_chars", "lang", "text"), _dedup_key(), "doc_id", "source", F.col("n_chars"), "doc_id", ["doc_id", "source"])
+    return out.withColumn("corroboration_score", F.round("corroboration_score", 6))
+
+
+@query(f"SELECT {DEDUP_KEY} AS dedup_key, doc_id::VARCHAR AS id FROM documents")
+def l1_dedup_members(spark: SparkSession, d: str) -> DataFrame:
+    """What each record was merged from, a row for each."""
+    return D.members(_documents(spark, d).select("doc_id", "lang", "text"), _dedup_key(), "doc_id")
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS rn FROM documents WHERE source <> '' AND lang <> '') WHERE rn = 1")
@@ -122,14 +109,12 @@ def weekly_counts(spark: SparkSession, d: str) -> DataFrame:
     return _event_weeks(spark, d)
 
 
-@query("""WITH w AS (SELECT event_type, date_trunc('week', ts)::DATE AS week_start, count(*) AS n FROM events WHERE user_id % 2 = 0 GROUP BY ALL),
+@query("""WITH w AS (SELECT event_type, date_trunc('week', ts)::DATE AS week_start, count(*) AS n FROM events GROUP BY ALL),
 top AS (SELECT event_type FROM w GROUP BY 1 ORDER BY sum(n) DESC, event_type LIMIT 3)
 SELECT t.event_type, k.week_start, coalesce(w.n, 0) AS n FROM top t CROSS JOIN (SELECT DISTINCT week_start FROM w) k LEFT JOIN w ON w.event_type = t.event_type AND w.week_start = k.week_start""", days=('week_start',))
 def weekly_trend_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Zero-filled weekly series of a sector's three largest tools."""
-    weekly = A.weekly_counts(table(spark, d, "events").where("user_id % 2 = 0"), "event_type", F.to_date("ts"))
-    top = weekly.groupBy("event_type").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "event_type").limit(3).select("event_type")
-    return A.densified(weekly, "event_type").join(F.broadcast(top), "event_type").select("event_type", "week_start", "n")
+    """Zero-filled weekly series of the three largest tools of all events."""
+    return A.densified(_event_weeks(spark, d), "event_type", 3).select("event_type", "week_start", "n")
 
 
 @query("""WITH w AS (SELECT user_id, event_type, date_trunc('week', ts)::DATE AS week_start, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type <> '' AND ts IS NOT NULL GROUP BY ALL),
@@ -144,7 +129,8 @@ BRAND_WEEKS = "SELECT p_brand, date_trunc('week', o_orderdate)::DATE AS week_sta
 
 
 def _brand_weeks(spark: SparkSession, d: str) -> DataFrame:
-    rows = star(spark, d).join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    rows = lines.join(table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "o_orderkey").join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
     return A.weekly_counts(rows, "p_brand", F.col("day"))
 
 
@@ -176,6 +162,7 @@ def rolling_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, sum((rn <= floor(n * 0.75))::INT)::BIGINT AS n_train, sum((rn > floor(n * 0.75))::INT)::BIGINT AS n_test FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) GROUP BY 1")
 def fraction_split(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's first three quarters in order of id."""
     rows = S.fraction_split(_documents(spark, d).select("doc_id", "source"), ["doc_id"], F.col("source"))
     return rows.groupBy("source").agg(F.sum((F.col("split") == "train").cast("int")).alias("n_train"), F.sum((F.col("split") == "test").cast("int")).alias("n_test"))
 
@@ -234,7 +221,7 @@ def pr_auc(spark: SparkSession, d: str) -> DataFrame:
     return M.average_precision(_scored(spark, d), "quality", "score").select(F.round("average_precision", 6).alias("average_precision"))
 
 
-_BIN = " ".join(f"WHEN score >= {lo!r}::DOUBLE AND score < {hi!r}::DOUBLE THEN {i}" for i, (lo, hi) in enumerate(zip(M.BIN_EDGES, M.BIN_EDGES[1:], strict=False)))
+_BIN = " ".join(f"WHEN score >= {lo!r}::DOUBLE AND score < {hi!r}::DOUBLE THEN {i}" for i, (lo, hi) in enumerate(zip(fixed.BIN_EDGES, fixed.BIN_EDGES[1:], strict=False)))
 
 
 @query(f"""WITH b AS (SELECT CASE {_BIN} END AS bin, count(*) AS n, avg(score) AS c, avg(quality) AS a, sum(count(*)) OVER () AS t FROM ({SCORED}) GROUP BY 1)
@@ -249,11 +236,13 @@ def topk_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return M.top_k_accuracy(_scored(spark, d), "quality", "score", 50).select(F.round("top_k_accuracy", 6).alias("top_k_accuracy"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(coalesce(source, '') || CASE WHEN quality = 0 THEN ' Exploited' ELSE '' END), 'exploited') THEN 1 WHEN toxic * 0.5 > 0.1 THEN 1 ELSE 0 END AS exploited,
-coalesce(nullif(toxic, 0)::DOUBLE, nullif(quality, 0)::DOUBLE, 0.0) AS first_score FROM documents JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, CASE WHEN contains(lower(coalesce(source, '') || ' ' || tag), 'observed-in-the-wild:yes') OR contains(lower(tag), 'was-zero-day:yes') OR contains(lower(tag), 'exploitation-state:weaponized') OR contains(lower(tag), 'exploitation-state:exploited') THEN 1 WHEN toxic * 0.5 > 0.1 THEN 1 ELSE 0 END AS exploited,
+coalesce(nullif(toxic, 0)::DOUBLE, nullif(quality, 0)::DOUBLE, 0.0) AS first_score FROM (SELECT *, ['Observed-In-The-Wild:Yes', 'observed-in-the-wild:no', 'was-zero-day:Yes', 'exploitation-state:anticipated', 'exploitation-state:Weaponized'][doc_id % 5 + 1] AS tag FROM documents) JOIN labels USING (doc_id)""")
 def label_derivation(spark: SparkSession, d: str) -> DataFrame:
+    """Labels from tags and a score; the tags of a document are its source and one made up from its id."""
     rows = _documents(spark, d).select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
-    tags = F.array(F.coalesce("source", F.lit("")), F.when(F.col("quality") == 0, "Exploited").otherwise(""))
+    made = F.array(*(F.lit(t) for t in ("Observed-In-The-Wild:Yes", "observed-in-the-wild:no", "was-zero-day:Yes", "exploitation-state:anticipated", "exploitation-state:Weaponized")))
+    tags = F.array(F.coalesce("source", F.lit("")), made[(F.col("doc_id") % 5).cast("int")])
     return rows.select("doc_id", A.label(tags, F.col("toxic") * 0.5).alias("exploited"), A.first_nonzero(F.col("toxic"), F.col("quality")).alias("first_score"))
 
 
@@ -282,9 +271,13 @@ def coverage_by_sector(spark: SparkSession, d: str) -> DataFrame:
     return star(spark, d).groupBy("n_name").agg(F.count("*").alias("n")).where("n >= 5").orderBy(F.col("n").desc(), "n_name")
 
 
-@query("SELECT page_id, replace(replace(url, '.', '[.]'), 'http', 'hxxp') AS defanged, regexp_replace(replace(replace(url, '.', '.'), 'http', 'http'), '^hxxp', 'http') AS refanged FROM pages")
+@query("""SELECT page_id, defanged, regexp_replace(regexp_replace(replace(defanged, '[.]', '.'), '\\[dot\\]', '.', 'gi'), '^hxxp', 'http', 'i') AS refanged
+FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(replace(url, '.', '[.]'), 'http', 'hxxp') WHEN 1 THEN replace(replace(url, '.', '[dot]'), 'http', 'HXXP') ELSE replace(replace(url, '.', '[DOT]'), 'http', 'hXXp') END AS defanged FROM pages)""")
 def refang_urls(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", F.replace(F.replace("url", F.lit("."), F.lit("[.]")), F.lit("http"), F.lit("hxxp")).alias("defanged"))
+    """Urls that were made harmless in three ways, made whole again."""
+    ways = [("[.]", "hxxp"), ("[dot]", "HXXP"), ("[DOT]", "hXXp")]
+    made = [F.replace(F.replace("url", F.lit("."), F.lit(dot)), F.lit("http"), F.lit(scheme)) for dot, scheme in ways]
+    pages = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, made[0]).when(F.col("page_id") % 3 == 1, made[1]).otherwise(made[2]).alias("defanged"))
     return pages.withColumn("refanged", X.refang(F.col("defanged")))
 
 
@@ -306,9 +299,9 @@ def taxonomy_map(spark: SparkSession, d: str) -> DataFrame:
     return raw.withColumn("sector", X.taxonomy(F.col("raw"), TAXONOMY))
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d{1,3}(?:\[?\.\]?\d{1,3}){3}'), ' ') AS ips FROM documents WHERE regexp_matches(text, '\d{1,3}(?:\[?\.\]?\d{1,3}){3}')")
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\b(?:\d{1,3}[\.\[\]]{1,3}){3}\d{1,3}\b'), ' ') AS ips FROM documents WHERE regexp_matches(text, '\b(?:\d{1,3}[\.\[\]]{1,3}){3}\d{1,3}\b')")
 def regex_extract_ips(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", F.array_join(X.extract_all(F.col("text"), X.IP_PATTERN), " ").alias("ips")).where("ips <> ''")
+    return _documents(spark, d).select("doc_id", F.array_join(X.extract_all(F.col("text"), fixed.IP_PATTERN), " ").alias("ips")).where("ips <> ''")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, len(string_split(regexp_extract(url, '://([^/?#]+)', 1), '.')) AS n_labels FROM pages")
@@ -324,29 +317,6 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return X.parse(pages, "timeline").drop("html").withColumn("techniques", F.array_join("techniques", " "))
 
 
-TOKENS = """t AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text[:200]), '\\s+'), lambda w: w <> '')) AS token FROM documents), r AS (SELECT token FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT * FROM t JOIN r USING (token))"""
-
-
-@query(f"WITH {TOKENS} SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS n_shared FROM k a JOIN k b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING n_shared >= 2")
-def story_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return D.token_blocks(_documents(spark, d).select("doc_id", "text"), "doc_id", X.shingles(F.col("text"), head=200), 20)
-
-
-@query(f"""WITH {TOKENS}, p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS n FROM k a JOIN k b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING n >= 2),
-c AS (SELECT doc_id, count(*) AS c FROM k GROUP BY 1), s AS (SELECT left_id, right_id, n / (a.c + b.c - n) AS score FROM p JOIN c a ON left_id = a.doc_id JOIN c b ON right_id = b.doc_id)
-SELECT left_id, right_id, round(score, 6) AS score, CASE WHEN score >= 0.95 THEN 'merged' WHEN score >= 0.82 THEN 'possible_duplicate' ELSE 'distinct' END AS band FROM s""")
-def story_bands(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate stories scored by the Jaccard similarity of their rare tokens, and what becomes of them."""
-    docs = _documents(spark, d).select("doc_id", X.shingles(F.col("text"), head=200).alias("tokens"))
-    rows = docs.select("doc_id", F.explode("tokens").alias("token"))
-    rare = rows.groupBy("token").agg(F.count("*").alias("n")).where("n between 2 and 20").select("token")
-    sizes = rows.join(rare, "token").groupBy("doc_id").agg(F.count("*").alias("c"))
-    pairs = D.token_blocks(docs, "doc_id", F.col("tokens"), 20)
-    both = pairs.join(sizes.withColumnsRenamed({"doc_id": "left_id", "c": "lc"}), "left_id").join(sizes.withColumnsRenamed({"doc_id": "right_id", "c": "rc"}), "right_id")
-    score = F.col("n_shared") / (F.col("lc") + F.col("rc") - F.col("n_shared"))
-    return both.select("left_id", "right_id", F.round(score, 6).alias("score"), D.story_band(score).alias("band"))
-
-
 WORDS = r"""w AS (SELECT doc_id, coalesce(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))), []) AS s FROM documents)"""
 
 
@@ -360,19 +330,57 @@ def story_members(spark: SparkSession, d: str) -> DataFrame:
     return _stories(spark, d)[0].withColumnRenamed("id", "doc_id")
 
 
-@query(f"""WITH {WORDS}, c AS (SELECT min(doc_id) AS id, s FROM w WHERE len(s) > 0 GROUP BY s), k AS (SELECT id, len(s) AS n, unnest(s) AS token FROM c),
-p AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS n_shared, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM k a JOIN k b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
-SELECT left_id, right_id, n_shared, round(score, 6) AS score, CASE WHEN score >= 0.95 THEN 'merged' ELSE 'possible_duplicate' END AS band FROM p WHERE score >= 0.82""")
+LINKS = f"""{WORDS}, c AS (SELECT min(doc_id) AS id, s FROM w WHERE len(s) > 0 GROUP BY s), k AS (SELECT id, len(s) AS n, unnest(s) AS token FROM c),
+p AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS n_shared, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM k a JOIN k b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2 HAVING score >= 0.82)"""
+
+
+@query(f"WITH {LINKS} SELECT left_id, right_id, n_shared FROM p")
+def story_candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of story classes that are more than distinct, with the number of words that they share; no word is left out."""
+    return D.story_links(_stories(spark, d)[1]).select("left_id", "right_id", "n_shared")
+
+
+@query(f"WITH {LINKS} SELECT left_id, right_id, round(score, 6) AS score, CASE WHEN score >= 0.95 THEN 'merged' ELSE 'possible_duplicate' END AS band FROM p")
+def story_bands(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the pairs of story classes, by the Jaccard similarity of all their words."""
+    links = D.story_links(_stories(spark, d)[1])
+    return links.select("left_id", "right_id", F.round("score", 6).alias("score"), D.story_band(F.col("score")).alias("band"))
+
+
+@query(f"WITH {LINKS} SELECT left_id, right_id, n_shared, round(score, 6) AS score, CASE WHEN score >= 0.95 THEN 'merged' ELSE 'possible_duplicate' END AS band FROM p")
 def story_links(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of classes that are merged or possible duplicates, by all words of whole texts; all others are distinct."""
     links = D.story_links(_stories(spark, d)[1])
     return links.withColumn("band", D.story_band(F.col("score"))).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query(f"""WITH RECURSIVE {LINKS}, m AS (SELECT left_id AS a, right_id AS b FROM p WHERE score >= 0.95 UNION SELECT right_id, left_id FROM p WHERE score >= 0.95),
+r AS (SELECT DISTINCT a AS id, a AS seen FROM m UNION SELECT r.id, m.b FROM r JOIN m ON r.seen = m.a),
+g AS (SELECT id, min(seen) AS group_id FROM r GROUP BY 1), possible AS (SELECT DISTINCT unnest([left_id, right_id]) AS id FROM p WHERE score < 0.95),
+x AS (SELECT w.doc_id, CASE WHEN len(w.s) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY w.s) END AS class_id FROM w),
+y AS (SELECT d.doc_id, d.source, d.n_chars, coalesce(g.group_id, x.class_id) AS story_id, q.id IS NOT NULL AS possible FROM documents d JOIN x USING (doc_id) LEFT JOIN g ON g.id = x.class_id LEFT JOIN possible q ON q.id = x.class_id)
+SELECT story_id, arg_max(doc_id, {{'c': coalesce(n_chars, 0), 'o': -doc_id}}) AS doc_id, count(*) AS distinct_event_count, CASE WHEN count(*) > 1 THEN count(DISTINCT coalesce(source, '')) ELSE 1 END AS source_feed_count,
+round(CASE WHEN count(*) > 1 THEN least(1.0, ln(count(DISTINCT coalesce(source, '')) + 1) / ln(10)) ELSE 0 END, 6) AS corroboration_score, CASE WHEN count(*) > 1 THEN 'merged' WHEN bool_or(possible) THEN 'possible_duplicate' ELSE 'singleton' END AS dedup_status FROM y GROUP BY 1""")
+def story_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each story: equal and merged classes are one, by components; a possible duplicate stays, marked as such."""
+    docs = _documents(spark, d).select("doc_id", "source", "n_chars", "text")
+    members, sets = D.story_classes(docs, "doc_id", X.shingles(F.col("text")))
+    links = D.written(D.story_links(sets), "story-links")
+    groups = D.story_groups(links.where(F.col("score") >= fixed.MERGE_AT))
+    unsure = links.where(F.col("score") < fixed.MERGE_AT).select(F.explode(F.array("left_id", "right_id")).alias("class_id")).distinct().withColumn("possible", F.lit(True))
+    story = members.join(groups, "class_id", "left").join(unsure, "class_id", "left").select(F.col("id").alias("doc_id"), F.coalesce("group_id", "class_id").alias("story_id"), F.coalesce("possible", F.lit(False)).alias("possible"))
+    rows = D.written(docs.drop("text").join(story, "doc_id"), "stories")
+    out = D.canonical(rows, F.col("story_id"), "doc_id", "source", F.col("n_chars"), "doc_id", ["doc_id"])
+    marked = rows.groupBy("story_id").agg(F.max("possible").alias("possible")).withColumnRenamed("story_id", "dedup_key")
+    status = F.when((F.col("dedup_status") == "singleton") & F.col("possible"), "possible_duplicate").otherwise(F.col("dedup_status"))
+    return out.join(marked, "dedup_key").select(F.col("dedup_key").alias("story_id"), "doc_id", "distinct_event_count", "source_feed_count", F.round("corroboration_score", 6).alias("corroboration_score"), status.alias("dedup_status"))
+
+
+@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """What is still to do: ids without a result."""
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """What is still to do: ids without a result; orders of which a line came back are done."""
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer SEMI JOIN orders ON c_custkey = o_custkey GROUP BY 1")
@@ -415,10 +423,10 @@ def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("role").agg(tokens.alias("tokens")).withColumn("cost", F.round(F.col("tokens") / 1e6 * F.when(F.col("role") == "assistant", 15.0).otherwise(3.0), 4))
 
 
-@query("SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id = 7")
+@query("SELECT doc_id, source, lang, n_chars FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)")
 def evidence_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """A record by id; the filter goes to the scan."""
-    return _documents(spark, d).where("doc_id = 7").select("doc_id", "source", "lang", "n_chars").limit(1)
+    """The records of a set of ids: of all that are labelled toxic."""
+    return _documents(spark, d).select("doc_id", "source", "lang", "n_chars").join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
 @query("SELECT year(o_orderdate)::INT AS batch, count(*) AS n, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day FROM orders GROUP BY 1", days=('first_day', 'last_day'))
@@ -432,23 +440,6 @@ def company_flag(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").agg(named.alias("n_companies"), F.when(named >= 20, "sufficient").otherwise("sparse").alias("coverage"))
 
 
-@query()
-def label_forest(spark: SparkSession, d: str) -> DataFrame:
-    """A random forest on three document features, its average precision against the plain score, and the gate."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    docs = _documents(spark, d).select("doc_id", F.col("n_chars").cast("double").alias("size"), F.length(F.regexp_replace("text", r"[^#*$%&|!]", "")).cast("double").alias("marks"), F.size(F.split("text", "\n")).cast("double").alias("lines"))
-    rows = docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").withColumn("test", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
-    data = VectorAssembler(inputCols=["size", "marks", "lines"], outputCol="features").transform(rows)
-    forest = RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=5, seed=42).fit(data.where("not test"))
-    scored = forest.transform(data.where("test")).select("y", vector_to_array("probability")[1].alias("p"), "size")
-    own = M.average_precision(scored, "y", "p").withColumnRenamed("average_precision", "model_ap")
-    plain = M.average_precision(scored, "y", "size").withColumnRenamed("average_precision", "plain_ap")
-    return own.crossJoin(plain).withColumn("passes_gate", F.col("model_ap") > F.col("plain_ap"))  # one row each
-
-
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the clusters of the embeddings."""
@@ -469,14 +460,21 @@ def linear_trend(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, each id once."""
     events = jobs.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.drained(jobs.deduplicated(events, ["event_id"], "ts", "60 days")).select("event_id", "event_type")
+    return jobs.drained(jobs.deduplicated(events, ["event_id"], "ts", "60 days"), jobs.folder_of(spark)).select("event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 0) DESC, event_id) AS rn FROM events) WHERE rn = 1")
+def stream_best_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, the one of largest value of each user as running state."""
+    events = jobs.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "user_id", "value")
+    return jobs.drained(jobs.best(events, ["user_id"], F.col("value"), F.col("event_id"), ["event_id", "event_type"]), jobs.folder_of(spark), "complete").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_type, date_trunc('week', ts)::DATE AS week_start, count(*) AS n FROM events GROUP BY ALL", days=('week_start',))
 def stream_weekly(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, counted by week; the last state is the result."""
     events = jobs.stream_of(spark, f"{d}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.drained(jobs.weekly(events, "event_type", "ts"), "complete").select("event_type", "week_start", "n")
+    return jobs.drained(jobs.weekly(events, "event_type", "ts"), jobs.folder_of(spark), "complete").select("event_type", "week_start", "n")
 
 
 @query(r"""WITH f AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '\d') THEN 'digit' END, CASE WHEN contains(text, '@') THEN 'mail' END, CASE WHEN contains(text, '|') THEN 'table' END], lambda x: x IS NOT NULL) AS got, n_chars FROM documents)
