@@ -9,20 +9,24 @@ the whole sequence is one). A link needs |A & B| >= T with T = ceil(0.8 * size)
    only: it grows with the rows, however large a group, and finds no link that is not there.
 3. The rest is exact. Each set offers its smallest hashes (its prefix), long enough that linked sets share at least
    K of them. A hash is an inverted list; lists of one document drop out. As in DivideSkip a document sets its
-   longest K - 1 lists aside, and only its short ones are merged: a task gets all short lists of a query and
-   heap-merges them into candidates. Candidates are looked for between different components only.
-4. Candidates probe their sorted hashes by binary search against the query's set, long lists included, and stay if
-   the overlap reaches T. The components of all links are the result.
-5. A query with more than DENSE candidates (documents much alike, but not linked) is not paired by rows. The lists of
-   such queries make blocks; a block is cut in chunks, and each two chunks are searched in one task by the same
-   T-occurrence search over a local index, which returns the links between components only. Every row of a block
-   goes to as many tasks as it has chunks, and no row stands for a pair that is not linked.
-
-Lists that many documents share are written in chunks, queries with many candidates are salted, and counts combine
+   longest K - MEET lists aside, and only its short ones are merged: a task gets all short lists of a query,
+   heap-merges them and counts how often each document occurs. Of K shared lists at least MEET are short for both, so
+   that a pair is retained if it occurs MEET times. Only documents of different components count.
+4. For what is retained the rest of the lists is probed: whether a list holds a document is whether the list's hash
+   is among the document's sorted hashes, a binary search. A pair stays if the overlap reaches T. The components of
+   all links are the result.
+5. A query that finds more than DENSE documents in one list, or in all (documents much alike, but not linked), is not
+   paired by rows, and its lists are not sent. It makes a block with all that share a list with it; blocks of queries
+   meet blocks of documents in one task, where the same T-occurrence search runs over a local index: short lists are
+   merged, long ones probed by binary search, so that counts are overlaps. It returns the links between components
+   only; no row stands for a pair that is not linked.
+
+Lists of more than 2 * DENSE documents are never held, queries with many candidates are salted, and counts combine
 before shuffles; no list, group or component is held by one task. Ties in list length break by hash.
 
-Null and empty texts have no shingles and link with nothing. Rows without an id are returned with their size and no
-component. Rows that repeat an id count as one document: its largest set is searched, and all get one component.
+Null and empty texts have no shingles and link with nothing. A very long text is a piece of its own. Rows without an
+id are returned with their size and no component. Rows that repeat an id count as one document: its largest set is
+searched, and all get one component.
 An empty table gives no rows. Extra columns are ignored (`keep_first` passes them through).
 """
 
@@ -36,18 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, buffers, flat, materialize, mix64, pieces, rows_of, span_hashes, words
+from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, flat, free_name, materialize, mix64, pieces, rows_of, span_hashes, words
 from .graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 6, 3
 #: Linked sets share at least so many hashes of their prefixes (small sets offer all they have).
 LEAST_SHARED = 24
-#: Documents of a list's chunk, and candidates of a query's salt.
+#: Documents of a block, and candidates of a query's salt.
 CHUNK = 1024
 SALT_ROWS = 2048
 #: Candidates up to which a query is checked pair by pair.
 DENSE = 64
+#: How many short lists a linked pair shares at least (sets of one hash have no links but to equal sets).
+MEET = 2
 #: Above so many documents a list's length is not counted further: it is long.
 LONG = 4096
 
@@ -113,14 +119,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = values[flat(begin[:-1], length)].view(np.int64)
         off = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
+            batch.column("doc_id"), batch.column("tkey"), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
             pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())), pa.ListArray.from_arrays(off, pa.array(prefix)),
-        ], names=["doc_id", "n", "d1", "d2", "bands", "prefix"])
+        ], names=["doc_id", "tkey", "n", "d1", "d2", "bands", "prefix"])
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey (a hash of the text: it tells rows of one id apart) and text."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, set size n, two digests of the set, bands and prefix of every row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(arrow_map, _measure, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, prefix array<bigint>")
+    """doc_id, tkey, set size n, two digests of the set, bands and prefix of every row."""
+    return keyed_texts(docs).transform(arrow_map, _measure, "doc_id bigint, tkey bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, prefix array<bigint>")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,38 +175,48 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (query, component, docs, components of a list's chunk) in order of query: candidates, by a heap merge of the lists.
+    """From rows (query, component, major, docs, components of a list) in order of query: documents and how many lists have them, by a heap merge.
 
-    A query with more than DENSE candidates is returned once, without any.
+    A pair is counted by the side that is not in a list's major component, by the smaller id if neither is. A query
+    with more than DENSE documents is returned once, without any.
     """
     queries: list[int] = []
     found: list[int | None] = []
+    times: list[int] = []
 
     def search(query: int, lists: list[list[int]]) -> None:
         mine: list[int | None] = []
+        counts: list[int] = []
         for doc in heapq.merge(*lists):
-            if not mine or doc != mine[-1]:
+            if mine and doc == mine[-1]:
+                counts[-1] += 1
+            elif len(mine) == DENSE:
+                mine, counts = [None], [0]
+                break
+            else:
                 mine.append(doc)
-                if len(mine) > DENSE:
-                    mine = [None]
-                    break
+                counts.append(1)
         found.extend(mine)
+        times.extend(counts)
         queries.extend([query] * len(mine))
 
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(found, pa.int64()), pa.array(times, pa.int64())], names=["a", "b", "times"])
+
     at, lists = None, []
     for batch in batches:
-        for query, own, docs, comps in zip(*(batch.column(k).to_pylist() for k in ("query", "component", "docs", "components")), strict=True):
+        for query, own, major, docs, comps in zip(*(batch.column(k).to_pylist() for k in ("query", "component", "major", "docs", "components")), strict=True):
             if query != at:
                 if at is not None:
                     search(at, lists)
                 at, lists = query, []
-            lists.append([d for d, c in zip(docs, comps, strict=True) if c != own])
+            lists.append([d for d, c in zip(docs, comps, strict=True) if c != own and (c == major or query < d)])
         if len(found) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
-            queries, found = [], []
+            yield out()
+            queries, found, times = [], [], []
     if at is not None:
         search(at, lists)
-    yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
+    yield out()
 
 
 def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +265,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .groupBy("doc_id").agg(F.collect_list(route).alias("routes"))
     )
     routes = materialize(routes, "routes")
-    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
-    asked = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes")
+    size = routes.agg(16 * F.count("*") + 24 * F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # bytes
+    asked = texts.join(broadcast_if_small(routes, size, BROADCAST_BYTES), "doc_id").select("doc_id", "text", "routes")
     kind = "array<struct<query: bigint, salt: int, itself: boolean>>"
     sent = asked.transform(arrow_map, _routed, f"doc_id bigint, routes {kind}, members binary").select("doc_id", "members", F.explode("routes").alias("r"))
     sent = sent.select(F.col("r.query").alias("query"), F.col("r.salt").alias("salt"), F.when(~F.col("r.itself"), F.col("doc_id")).alias("other"), "members")
@@ -278,52 +299,61 @@ def _band_pairs(reps: DataFrame) -> DataFrame:
 
 
 def _list_pairs(reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Step 3: candidates (a, b) of different components that share a short list, dense queries (a), and the lists' rows."""
+    """Step 3: retained pairs (a, b) of different components, dense queries (a), and the lists' rows (token, doc_id, component)."""
     postings = reps.select(F.explode("prefix").alias("token"), "doc_id").repartition("token").sortWithinPartitions("token").transform(arrow_map, _counted, "doc_id bigint, token bigint, size int")
     ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
     lists = postings.groupBy("doc_id").agg(ordered.alias("lists")).join(reps.select("doc_id", "n"), "doc_id")
     less = F.expr("(4 * n + 4) div 5")  # the smallest set that can be linked
-    aside = F.least(F.expr("(4 * ((4 * n + 4) div 5) + 4) div 5"), F.greatest(F.lit(LEAST_SHARED), F.floor(less / 12))) - 1
+    aside = F.greatest(F.lit(0), F.least(F.expr("(4 * ((4 * n + 4) div 5) + 4) div 5"), F.greatest(F.lit(LEAST_SHARED), F.floor(less / 12))) - MEET)
     short = lists.select("doc_id", F.explode(F.slice("lists", F.lit(1), F.greatest(F.lit(0), F.size("lists") - aside).cast("int"))).alias("l")).select(F.col("l.token").alias("token"), "doc_id")
     short = materialize(short.join(comp, "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component")), "lists")
     # Lists within one component have nothing to find. Else all but the largest component's documents are queries.
-    by_comp = short.groupBy("token", "component").agg(F.count("*").alias("rows"))
-    mixed = by_comp.groupBy("token").agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("comps"), F.sum("rows").alias("all_rows")).where("comps > 1")
-    mixed = mixed.select("token", F.col("most.component").alias("major"), F.ceil(F.col("all_rows") / CHUNK).cast("int").alias("chunks"))
-    rows = materialize(short.join(mixed, "token"), "mixed")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
-    members = rows.groupBy("token", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "component"))).alias("l"))
+    by_comp = short.groupBy("token", "component").agg(F.count("*").alias("own"))
+    mixed = by_comp.groupBy("token").agg(F.max(F.struct("own", "component")).alias("most"), F.count("*").alias("comps"), F.sum("own").alias("listed")).where("comps > 1")
+    mixed = materialize(mixed.select("token", F.col("most.component").alias("major"), "listed").join(by_comp, "token"), "mixed-lists")
+    rows = materialize(short.join(mixed, ["token", "component"]).select("token", "doc_id", "component", "major", "listed", (F.col("listed") - F.col("own")).alias("others")), "mixed")
+    # A list that gives a query more than DENSE documents says so without being sent.
+    known = materialize(rows.where((F.col("component") != F.col("major")) & (F.col("others") > DENSE)).select("doc_id").distinct(), "dense")
+    queries = rows.where(F.col("component") != F.col("major")).join(known, "doc_id", "left_anti").select("token", F.col("doc_id").alias("query"), "component", "major")
+    # The lists of all other queries have 2 * DENSE documents at most, as no component has more of them than the major one.
+    members = rows.where(F.col("listed") <= 2 * DENSE).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "component"))).alias("l"))
     members = members.select("token", F.col("l.doc_id").alias("docs"), F.col("l.component").alias("components"))
-    queries = rows.where("component <> major").select("token", F.col("doc_id").alias("query"), "component")
-    asked = queries.join(members, "token").select("query", "component", "docs", "components")
-    found = materialize(asked.repartition("query").sortWithinPartitions("query").transform(arrow_map, _merged, "a bigint, b bigint"), "found")
-    pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, found.where("b is null").select("a"), rows.select("token", "doc_id", "component")
+    asked = queries.join(members, "token").select("query", "component", "major", "docs", "components")
+    found = materialize(asked.repartition("query").sortWithinPartitions("query").transform(arrow_map, _merged, "a bigint, b bigint, times bigint"), "found")
+    pairs = found.where("b is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("times").alias("times")).where(F.col("times") >= MEET).select("a", "b")
+    return pairs, known.select(F.col("doc_id").alias("a")).unionByName(found.where("b is null").select("a")), rows.select("token", "doc_id", "component")
+
 
+def _search(ids: np.ndarray, comps: np.ndarray, asks: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links that connect components, between asking sets and the others (and among asking ones): DivideSkip on a local index.
 
-def _search(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Links that connect components among a few sets; with two sides, between the sides only. DivideSkip on a local index."""
+    asks: 1 for a query, 0 for a set of the index; -1 is both.
+    """
     n = np.array([len(s) for s in sets])
     off = np.concatenate([[0], np.cumsum(n)])
-    values = np.concatenate(sets)
-    _, token, size = np.unique(values, return_inverse=True, return_counts=True)
-    members = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]
-    begin = np.cumsum(size) - size
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
     _, root = np.unique(comps, return_inverse=True)
-    both = sides.min() != sides.max()
+    held = np.flatnonzero(asks <= 0)
+    listed = token[flat(off[held], n[held])]
+    size = np.bincount(listed, minlength=int(token.max()) + 1)
+    members = np.repeat(held, n[held])[np.argsort(listed, kind="stable")]  # ascending in each list
+    begin = np.cumsum(size) - size
     a, b = [], []
-    for i in range(len(sets)):
+    for i in np.flatnonzero(asks != 0).tolist():
         own = token[off[i] : off[i + 1]]
-        short = own[np.argsort(size[own], kind="stable")[: n[i] - int(needed(n[i])) + 1]]
-        near = np.unique(members[flat(begin[short], size[short])])
-        near = near[(near < i) & (root[near] != root[i]) & (5 * np.minimum(n[near], n[i]) >= 4 * np.maximum(n[near], n[i]))]
-        if both:
-            near = near[sides[near] != sides[i]]
+        own = own[np.argsort(size[own], kind="stable")]
+        least = int(needed(n[i]))  # T
+        aside = min(least - 1, int(least / (0.01 * np.log2(int(size[own[-1]]) + 2) + 1)))
+        short, long = own[: n[i] - aside], own[n[i] - aside :]
+        near, overlap = np.unique(members[flat(begin[short], size[short])], return_counts=True)
+        keep = (overlap >= least - aside) & (near != i) & (root[near] != root[i]) & (5 * np.minimum(n[near], n[i]) >= 4 * np.maximum(n[near], n[i]))
+        near, overlap = near[keep], overlap[keep]
         if not len(near):
             continue
-        probed = values[flat(off[near], n[near])]
-        hit = sets[i][np.minimum(np.searchsorted(sets[i], probed), n[i] - 1)] == probed
-        overlap = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[near]) - n[near])
+        for t in long.tolist():
+            probed = members[begin[t] : begin[t] + size[t]]
+            if len(probed):
+                overlap += probed[np.minimum(np.searchsorted(probed, near), len(probed) - 1)] == near
         for j in near[100 * overlap >= 80 * (n[near] + n[i] - overlap)].tolist():
             if root[j] != root[i]:
                 a.append(int(ids[j]))
@@ -333,7 +363,7 @@ def _search(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (block, low, high, doc_id, component, side, members) in order of the first three: links of each group."""
+    """From rows (block, i, j, doc_id, component, asks, members) in order of the first three: links of each group."""
     key, held = None, []
 
     def links() -> pa.RecordBatch:
@@ -342,47 +372,55 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         data, off = buffers(batch.column("members"))
-        columns = [batch.column(k).to_pylist() for k in ("block", "low", "high", "doc_id", "component", "side")]
-        for i, (block, low, high, doc, comp, side) in enumerate(zip(*columns, strict=True)):
-            if (block, low, high) != key:
+        columns = [batch.column(k).to_pylist() for k in ("block", "i", "j", "doc_id", "component", "asks")]
+        for r, (block, i, j, doc, comp, asks) in enumerate(zip(*columns, strict=True)):
+            if (block, i, j) != key:
                 yield links()
-                key, held = (block, low, high), []
-            held.append((doc, comp, side, data[off[i] : off[i + 1]].copy().view(np.uint64)))
+                key, held = (block, i, j), []
+            held.append((doc, comp, asks, data[off[r] : off[r + 1]].copy().view(np.uint64)))
     yield links()
 
 
 def _block_links(dense: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Step 5: links (a, b) of dense queries and of all that share a list with them."""
-    lists = rows.join(dense.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select("token").distinct()
-    inside = rows.join(lists, "token", "left_semi")
+    """Step 5: links (a, b) of dense queries with all that share a list with them."""
+    asking = materialize(dense.select(F.col("a").alias("doc_id")).distinct(), "asking")
+    lists = rows.join(asking, "doc_id", "left_semi").select("token").distinct()
+    inside = materialize(rows.join(lists, "token", "left_semi"), "dense-lists")
     blocks = components(inside.join(inside.groupBy("token").agg(F.min("doc_id").alias("a")), "token").select("a", F.col("doc_id").alias("b")))
     docs = inside.select("doc_id", "component").distinct().join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-    sizes = docs.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    dealt = docs.join(sizes, "block").select("doc_id", "component", "block", own.alias("own"), F.sequence(F.lit(0), F.col("chunks") - 1).alias("others"))
-    routes = F.transform("others", lambda o: F.struct(F.col("block").alias("block"), F.least("own", o).alias("low"), F.greatest("own", o).alias("high"), F.col("own").alias("side"), F.col("component").alias("component")))
-    routes = materialize(dealt.select("doc_id", routes.alias("routes")), "blocks")
-    held = routes.agg(F.count("*") + F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # rows and routes
-    kind = "array<struct<block: bigint, low: int, high: int, side: int, component: bigint>>"
-    sent = texts.join(broadcast_if_small(routes, held, 400_000), "doc_id").select("doc_id", "text", "routes").transform(arrow_map, _routed, f"doc_id bigint, routes {kind}, members binary")
+    docs = materialize(docs.join(asking.withColumn("asking", F.lit(True)), "doc_id", "left").withColumn("asking", F.coalesce("asking", F.lit(False))), "dense-documents")
+    parts = lambda n: F.ceil(n / CHUNK).cast("int")
+    sizes = docs.groupBy("block").agg(parts(F.count("*")).alias("parts"), parts(F.count_if("asking")).alias("asking_parts"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    route = lambda i, j, asks: F.struct(F.col("block").alias("block"), i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"), F.col("component").alias("component"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = F.transform(upto("asking_parts"), lambda i: route(i, own("parts"), 0))
+    asks = F.transform(upto("parts"), lambda j: route(own("asking_parts"), j, 1))
+    whole = (F.col("parts") == 1) & (F.col("asking_parts") == 1)
+    both = F.array(route(F.lit(0), F.lit(0), -1))
+    goes = F.when(whole, F.when(F.col("asking"), both).otherwise(held)).when(F.col("asking"), F.concat(held, asks)).otherwise(held)
+    routes = materialize(docs.join(sizes, "block").select("doc_id", goes.alias("routes")), "blocks")
+    size = routes.agg(16 * F.count("*") + 40 * F.coalesce(F.sum(F.size("routes")), F.lit(0))).first()[0]  # bytes
+    kind = "array<struct<block: bigint, i: int, j: int, asks: int, component: bigint>>"
+    sent = texts.join(broadcast_if_small(routes, size, BROADCAST_BYTES), "doc_id").select("doc_id", "text", "routes").transform(arrow_map, _routed, f"doc_id bigint, routes {kind}, members binary")
     sent = sent.select("doc_id", "members", F.inline("routes"))
-    order = ["block", "low", "high"]
+    order = ["block", "i", "j"]
     return sent.repartition(*order).sortWithinPartitions(*order, "doc_id").transform(arrow_map, _searched, "a bigint, b bigint")
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, one row per document row."""
     sets = materialize(measured(docs), "sets")
-    light = sets.select("doc_id", "n", "d1", "d2")
-    single = light.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.n", "s.d1", "s.d2")
+    light = sets.select("doc_id", "tkey", "n", "d1", "d2")
+    single = light.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "tkey")).alias("s")).select("doc_id", "s.*")
     firsts = single.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    chosen = firsts.select(F.col("rep").alias("doc_id"), "n", "d1", "d2")
-    reps = materialize(sets.where("n > 0").join(chosen, ["doc_id", "n", "d1", "d2"]).dropDuplicates(["doc_id"]), "reps")
-    # A representative's text: of rows that repeat an id, any one whose set is the representative's (its size tells).
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    twice = single.count() < light.where("doc_id is not null").count()
-    if twice:
-        texts = texts.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("text", F.struct(F.size(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+")), F.length("text"), "text")).alias("text"))
+    chosen = single.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = materialize(sets.where("n > 0").join(chosen.select("doc_id", "tkey"), ["doc_id", "tkey"]).dropDuplicates(["doc_id"]), "reps")
+    # A representative's text: of rows that repeat an id, one whose set was chosen.
+    texts = keyed_texts(docs)
+    if single.count() < light.where("doc_id is not null").count():
+        texts = texts.join(chosen.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id"])
+    texts = texts.select("doc_id", "text")
     near = materialize(verify(_band_pairs(reps), texts), "near")
     comp = components(near)
     pairs, dense, rows = _list_pairs(reps, comp.select(F.col("node").alias("doc_id"), "component"))
@@ -397,6 +435,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all columns; rows without an id stay."""
-    found = linked(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = materialize(found, "dropped")
-    return docs.join(broadcast_if_small(dropped, dropped.count()), docs["doc_id"] == F.col("_dropped"), "left_anti")
+    dropped = materialize(linked(docs).where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    name = free_name(docs, "dropped")
+    dropped = broadcast_if_small(dropped, dropped.count()).select(F.col("doc_id").alias(name))
+    return docs.join(dropped, docs["doc_id"].cast("bigint") == F.col(name), "left_anti")
