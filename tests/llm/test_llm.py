@@ -43,6 +43,16 @@ def texts_of(spark):
     return {r.doc_id: r.text or "" for r in documents(spark).select("doc_id", "text").collect()}
 
 
+def test_every_code_point_has_the_librarys_class():
+    """Letters, numbers and white space as the library's own patterns see them."""
+    table, single = bpe.classes(), {bytes([i]): i for i in range(256)}
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for pattern, kinds in ((r"\p{L}", {bpe.LETTER}), (r"\p{N}", {bpe.NUMBER}), (r"\s", {bpe.SPACE, bpe.BLANK})):
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        seen = "".join(bytes(library.encode_ordinary("".join(map(chr, every[i : i + 4096])))).decode() for i in range(0, len(every), 4096))
+        assert seen == "".join(chr(c) for c in every if table[c] in kinds)
+
+
 def test_bpe_as_the_library(spark):
     ranks = bpe.load(queries.BYTE_RANKS).ranks
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -399,3 +409,221 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert {"pipeline", *queries.QUERIES} <= set(__spark_entry__.queries())
+
+
+def test_a_sample_is_bounded_before_the_driver(spark):
+    many = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words here "), F.col("id").cast("string")).alias("text"))
+    docs = many.union(spark.range(100, 140).select("id", F.lit("other words")))
+    said = spark.createDataFrame([(7, 1), *((i, i % 2) for i in range(100, 140))], "doc_id long, quality int")
+    for rows in (10, 100):
+        names = list(quality_rules.FEATURES)
+        found = quality_rules.labelled_sample(docs, said, rows=rows).mapInArrow(quality_rules._features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in names))
+        got = [r.doc_id for r in quality_rules.one_per_id(found, names, rows).collect()]
+        assert len(got) == len(set(got)) == min(rows, 41)
+
+
+def test_quality_rules_kept_by_a_plain_walk(spark):
+    """`kept` and score against trees that are walked node by node, row by row."""
+    docs = documents(spark)
+    model = quality_rules.fit(docs, labels(spark))
+    texts = texts_of(spark)
+    for r in quality_rules.judge(docs, model).collect():
+        _, x = quality_rules.statistics(*buffers(pa.array([texts[r.doc_id]])))
+        score = model.prior
+        for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (1 if x[0, f[node]] <= t[node] else 2)
+            score += v[node - len(f)]
+        assert abs(score - r.score) < 1e-9 and r.kept == (not r.base_failed and r.score >= 0)
+
+
+def test_posteriors_by_hand(spark):
+    """Site rates and qualities of op2 against sums over lists."""
+    docs, said = documents(spark), labels(spark)
+    model = quality_classifier.fit(docs, said)
+    light = [r for r in quality_classifier.scored(docs, model, "source", "lang").collect()]
+    known = {r.doc_id: float(r.quality) for r in said.collect()}
+    prior = np.log(model.share / (1 - model.share))
+    paths, hosts = {}, {}
+    for r in light:
+        p = known.get(r.doc_id, 1 / (1 + np.exp(-(r.evidence + prior))))
+        for table, key in ((paths, (r.host, r.path)), (hosts, r.host)):
+            n, good = table.get(key, (0, 0.0))
+            table[key] = (n + 1, good + p)
+    rate = (sum(g for _, g in hosts.values()) + 1) / (len(light) + 2)
+
+    def strength(rows):
+        n = np.array([a for a, _, _ in rows], float)
+        r = np.array([g / a for a, g, _ in rows])
+        t = np.array([x for _, _, x in rows])
+        between = max(0.0, (n * (r - t) ** 2).sum() - (t * (1 - t)).sum()) / n.sum()
+        within = (n * t * (1 - t)).sum() / n.sum()
+        return float(np.clip(within / between - 1 if between > 0 else 1e4, 1.0, 1e4))
+
+    pull = strength([(n, g, rate) for n, g in hosts.values()])
+    host_rate = {h: (g + pull * rate) / (n + pull) for h, (n, g) in hosts.items()}
+    pull = strength([(n, g, host_rate[k[0]]) for k, (n, g) in paths.items()])
+    path_rate = {k: (g + pull * host_rate[k[0]]) / (n + pull) for k, (n, g) in paths.items()}
+    evidence = {r.doc_id: r.evidence for r in light}
+    for r in quality_classifier.judge(docs, said, model=model).collect():
+        own = path_rate[(r.host, r.path)]
+        odds = evidence[r.doc_id] + np.log(own / (1 - own))
+        assert abs(r.path_rate - own) < 1e-9 and abs(r.quality - 1 / (1 + np.exp(-odds))) < 1e-9 and r.kept == (odds >= 0)
+
+
+def test_classifier_on_odd_rows(spark):
+    rows = quality_classifier.judge(odd(spark), labels(spark)).collect()
+    assert len(rows) == len(ODD) and all(0 < r.quality < 1 for r in rows)
+    none = spark.createDataFrame([(9, None, None, None)], "doc_id long, text string, source string, lang string")
+    assert [r.host for r in quality_classifier.judge(none, labels(spark)).collect()] == [""]
+    assert quality_classifier.judge(odd(spark).limit(0), labels(spark)).count() == 0
+    assert quality_classifier.filter_documents(odd(spark), labels(spark)).columns == odd(spark).columns
+
+
+def test_fingerprints_by_hand():
+    """Digests and likeness against counts over triplets, one byte at a time."""
+
+    def digest(t):
+        data, counts = t.encode(), [0] * 256
+        for salt, shape in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 4))):
+            for i in range(len(data) - shape[2]):
+                a, b, c = (data[i + k] for k in shape)
+                counts[((a | b << 8 | c << 16) + (salt << 24)) * 2654435761 % (1 << 32) >> 24] += 1
+        q1, q2, q3 = (sorted(counts)[64 * k - 1] for k in (1, 2, 3))
+        top = max(q3, 1)
+        head = [min(255, round(12 * np.log2(1 + len(data)))), (q1 * 15 // top) << 4 | q2 * 15 // top]
+        return head, [(c > q1) + (c > q2) + (c > q3) for c in counts]
+
+    texts = ["", "ab", "abc", "the quick brown fox " * 7, "the quick brown fix " * 7, "Ünïcødé 漢字 🙂", "x" * 5000, *("".join(chr(97 + (i * i + j) % 26) for i in range(900)) for j in range(3))]
+    plain, got = [digest(t) for t in texts], fingerprints.of_texts(texts)
+    for (head, codes), f in zip(plain, got, strict=True):
+        raw = bytes.fromhex(f)
+        assert list(raw[:2]) == head and [raw[2 + i // 4] >> (6 - 2 * (i % 4)) & 3 for i in range(256)] == codes
+    for i, (h, x) in enumerate(plain):
+        for j, (g, y) in enumerate(plain):
+            far = sum(abs(a - b) for a, b in zip(x, y, strict=True)) + abs(h[0] - g[0]) // 2 + abs((h[1] >> 4) - (g[1] >> 4)) + abs((h[1] & 15) - (g[1] & 15))
+            assert abs(fingerprints.likeness([got[i]], [got[j]])[0] - (1 - min(far, 320) / 320)) < 1e-12
+
+
+def test_fingerprints_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 400)
+    ids = [*range(0, 90, 3), 5, 5, None]
+    docs = spark.createDataFrame([(i, f"text {i} number {k} " * 3) for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = sorted([(i, f"text {i} number {k} " * 3) for k, i in enumerate(ids)], key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {(i, t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows)}
+    assert {(r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(docs).collect()} == want
+
+
+def test_chat_format_on_odd_turns(spark):
+    long = "word " * 40_000
+    turns = [("a", 0, "user", "hi"), ("a", 1, "assistant", ""), ("a", 2, "user", "go on"), ("a", 3, "assistant", long), ("b", 0, "user", "hi"), ("b", 1, "assistant", "yes"), ("b", 1, "assistant", "yes"), (None, 0, "user", "x"), ("c", None, None, None)]
+    table = spark.createDataFrame([(*t, "x", "y") for t in turns], "conv_id string, turn long, role string, text string, pair_id string, chosen string")
+    got = {r.pair_id: r for r in chat_format.swapped(table).collect()}
+    assert [t.text for t in got["a"].chosen] == ["hi", "", "go on", long] and [t.text for t in got["a"].rejected] == ["hi", "", "go on"]
+    assert [t.text for t in got["b"].rejected] == ["hi", "yes", "yes"] and len(got["c"].chosen) == 1
+    out = {r.pair_id: r for r in chat_format.format_pairs(chat_format.swapped(table)).collect()}
+    assert out["a"].n_common == 3 and [(s.begin, s.end) for s in out["a"].chosen_mask] == [(12, 12 + len(long))] and out["a"].rejected_completion == ""
+    assert out["b"].n_common == 3 and chat_format.neighbours(table).count() == 1 and chat_format.neighbours(table.limit(0)).count() == 0
+
+
+def test_url_filter_on_long_and_hostless_urls(spark):
+    urls = [None, "no scheme", "http://", "http:///path", "https://A.ORG/" + "x" * 100_000, "http://example.org/en/1" + "?" * 9, "http://b.com/de/", "http://b.com/de/"]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id int, url string, host string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")).collect()}
+    assert len(got) == len(urls) and [got[i][2:] for i in range(4)] == [(None, "allow")] * 4 and got[3][:2] == ("", "/path")
+    assert got[4][2:] == ("org/", "allow") and got[5][2:] == ("example.org/en/1", "block") and got[6][2:] == got[7][2:] == ("com/de/", "block")
+
+
+def test_ngram_join_of_one_id_with_different_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, "spam " * 1000), (1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "spam " * 1000), (None, " ".join(words))]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1): 1, (1, 56): 1, (2, 57): 1, (3, 1): 3, (None, 56): None}
+
+
+def test_ngram_join_of_dense_groups(spark, monkeypatch):
+    """Documents much alike, of which some are linked: by rows and by blocks the components are those of brute force."""
+    rng = np.random.default_rng(21)
+    base = [f"w{k}" for k in range(120)]
+    texts = {}
+    for i in range(260):
+        x, at = list(base), rng.integers(0, 116, rng.integers(2, 6))
+        for k in at:
+            x[k] = f"n{i if i % 3 else i // 6}x{k}"
+        texts[i] = " ".join(x)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in texts}
+    assert 20 < len(set(want.values())) < 250
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    for dense, chunk in ((64, 1024), (3, 16), (10_000, 1024)):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        assert {r.doc_id: r.component_id for r in ngram_join.linked(docs).collect()} == want
+
+
+def test_divide_skip_counts_overlaps():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = []
+    for i in range(80):
+        x = pool[(i % 4) * 60 : (i % 4) * 60 + 110].copy()
+        for k in rng.choice(110, rng.integers(2, 12), replace=False):
+            x[k] = rng.integers(0, 1 << 63, dtype=np.uint64)
+        sets.append(np.unique(x))
+    for asks in (np.full(80, -1), np.arange(80) % 2):
+        a, b = ngram_join._search(np.arange(80), np.arange(80), asks, sets)
+        root = list(range(80))
+        own = list(range(80))
+
+        def find(r, x):
+            while r[x] != x:
+                x = r[x]
+            return x
+
+        for i, j in zip(a, b, strict=True):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+            root[find(root, i)] = find(root, j)
+        for i in range(80):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (asks[i] != asks[j] or asks[i] < 0) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    own[find(own, i)] = find(own, j)
+        parts = lambda r: {frozenset(k for k in range(80) if find(r, k) == t) for t in {find(r, k) for k in range(80)}}  # noqa: E731, B023
+        assert parts(root) == parts(own) and len(a) > 10
+
+
+def test_pipeline_end_to_end_on_odd_rows(spark, tmp_path):
+    """`run` over documents with odd rows and clashing columns: every piece is one of what the stages kept, and clean documents stay."""
+    shared = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = odd(spark).select(*(F.col(c).cast(shared.schema[c].dataType) for c in shared.columns))
+    more = shared.unionByName(rows).withColumn("_gone", F.lit(1)).withColumn("gone", F.lit("x"))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    docs, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), more.columns
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), f"test-{name}")
+        assert docs.columns == columns
+        kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert all(b <= a for a, b in zip(kept, kept[1:], strict=False))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    assert {r.doc_id for r in got} == kept[-1]
+    sizes = Counter()
+    for r in got:
+        sizes[r.sequence_id] += r.length
+    assert max(sizes.values()) <= 2048

@@ -6,7 +6,8 @@ whose functions are composed side by side, chained, and then replayed from the k
 boundaries go through a cache of merged pairs, and the ids of a whole piece are gathered with array indexing.
 Token byte offsets are kept, so that decoding is one gather too.
 
-Null text counts as empty: no ids, and the hash of no bytes. A long run without a boundary is merged with a heap
+Null text counts as empty: no ids, and the hash of no bytes; an empty table gives no rows. A very long text is a piece
+of its own. A long run without a boundary is merged with a heap
 in O(n log n). Rows are independent, so repeated ids and ties need no rule; extra columns are ignored.
 """
 
@@ -29,6 +30,16 @@ LETTER, NUMBER, OTHER, SHORT, LONG, SPACE, BLANK, BREAK = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_LEFT, TWO_LEFT = range(8)
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters and numbers that Unicode 15.1 and 16.0 added to those of 15.0 (first and last code point).
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    (0x2EBF0, 0x2EE5D),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Versions of Python's Unicode tables that these complete to 16.0, which the encoder's pattern is read by.
+UNICODE = ("15.0.0", "15.1.0", "16.0.0")
 #: Distinct slices kept by a worker before its cache starts anew.
 CACHE_SLICES = 250_000
 _NONE = 1 << 60
@@ -36,9 +47,14 @@ _NONE = 1 << 60
 
 @lru_cache(1)
 def classes() -> np.ndarray:
-    """Class of every code point."""
+    """Class of every code point, by Unicode 16.0 whichever of UNICODE the worker's Python has."""
+    if unicodedata.unidata_version not in UNICODE:
+        raise RuntimeError(f"code point classes are known for Unicode {', '.join(UNICODE)}, this Python has {unicodedata.unidata_version}")
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+    for ranges, kind in ((NEWER_LETTERS, LETTER), (NEWER_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            table[first : last + 1] = kind
     table[WHITE_SPACE] = BLANK
     table[0x20] = SPACE
     return table

@@ -8,8 +8,8 @@ mask: the spans of assistant text, in characters of the completion, that a loss
 The order is total (opening, id) and is dealt by ranges of it, so an opening that a third of the conversations share
 is spread over many tasks.
 
-Turns are ordered by (turn, role, text), null turn numbers first; repeated turns stay. Null roles and texts count as
-empty. A side without turns has an empty completion; equal sides have all turns in the prompt and two empty
+Turns are ordered by (turn, role, text), null turn numbers first; ties and repeated turns stay, and the text of a turn
+is taken whole, however long. Null roles and texts count as empty. Empty tables give no rows. A side without turns has an empty completion; equal sides have all turns in the prompt and two empty
 completions. Rows without a pair id are left out. Extra columns are ignored.
 """
 
@@ -59,14 +59,16 @@ def swapped(turns: DataFrame) -> DataFrame:
     """pair_id, chosen and rejected turns: each conversation against itself without its last assistant turn's answer.
 
     The rejected side answers the last assistant turn with that conversation's first assistant turn, a known way to
-    get a wrong but fluent answer; a conversation with fewer than two assistant turns is answered with nothing.
+    get a wrong but fluent answer; a conversation with fewer than two assistant turns is answered with nothing: its
+    last turn of the assistant is left out. Other turns stay, also empty ones.
     """
     convs = conversations(turns)
     said = F.filter("turns", lambda t: t["role"] == "assistant")
     last = F.array_max(F.transform(F.col("turns"), lambda t, i: F.when(t["role"] == "assistant", i)))
     other = F.when(F.size(said) > 1, F.try_element_at(said, F.lit(1))["text"]).otherwise("")
     wrong = F.transform(F.col("turns"), lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(i == last, other).otherwise(t["text"]).alias("text")))
-    return convs.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.filter(wrong, lambda t: (t["role"] != "assistant") | (t["text"] != "")).alias("rejected"))
+    rejected = F.filter(wrong, lambda t, i: ~F.coalesce((i == last) & (t["text"] == ""), F.lit(False)))
+    return convs.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def _render(turn: Column) -> Column:

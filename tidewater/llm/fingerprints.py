@@ -7,8 +7,9 @@ that unrelated digests reach, so that likeness lies between 0 and 1.
 
 Null text counts as empty. Texts under three bytes have no triplets, and all bucket classes are 0. Equal texts have
 equal fingerprints. Documents are put in order of descending id (null ids last, equal ids by text) by ranges of ids,
-never in one task; the text of a range's first row is added to the range before it as its end. Repeated rows stay
-in the order and each has its own next document. A single document is its own next. An empty table gives no rows.
+never in one task; the ranges are as many as the corpus' bytes ask for, and the text of a range's first row is added
+to the range before it as its end. A very long text is a piece of its own. Repeated rows stay in the order and each
+has its own next document. A single document is its own next. An empty table gives no rows.
 Only doc_id and text are read, so extra columns cannot clash.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, PIECE_BYTES, buffers, pieces
@@ -27,6 +28,8 @@ from .common import arrow_map, PIECE_BYTES, buffers, pieces
 BUCKETS = 256
 #: Difference of two digests whose classes are independent: 1.25 steps a bucket.
 MOST = 1.25 * BUCKETS
+#: Bytes of text in a range of ids, about, and how many ranges there may be.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 50_000
 _SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 
 
@@ -107,24 +110,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def _part(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts lie below a value: first among every n-th of them, then within that stretch."""
+    if not cuts:
+        return F.lit(0)
+    n = max(1, int(len(cuts) ** 0.5))
+    array = lambda v: F.array(*(F.lit(int(c)) for c in v)).cast("array<bigint>")
+    below = lambda a: F.size(F.filter(a, lambda c: c < value))
+    whole = F.greatest(below(array(cuts[::n])) - 1, F.lit(0)) * n
+    return (whole + below(F.slice(array(cuts), whole + 1, n))).cast("int")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text: that of the document with the next lower id; the last has the first as its next."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] or []
+    size = docs.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
+    ranges = min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
-    # Range 0 has the highest ids; the cuts are as many as shuffle partitions, whatever the corpus.
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>"), lambda c: c >= F.col("doc_id")))).cast("int")
-    docs = docs.withColumn("part", part)
+    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(_part(F.col("doc_id"), cuts)))
     heads = {r["part"]: r["head"] for r in docs.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # one row per range
     if not heads:
         return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    order = sorted(heads)
+    order = sorted(heads, reverse=True)  # the highest ids first, null ids last
     # A copy of each range's first row ends the range before it.
     goes = spark.createDataFrame([(p, heads[p], order[i - 1]) for i, p in enumerate(order)], "part int, head bigint, goes int")
     ends = docs.join(F.broadcast(goes), "part").where(F.col("doc_id").eqNullSafe(F.col("head")))
     rows = docs.select("part", "doc_id", "text", F.lit(False).alias("ends")).unionByName(ends.select(F.col("goes").alias("part"), "doc_id", "text", F.lit(True).alias("ends")))
+    rows = rows.repartition(len(order), "part")  # by what the corpus holds, not by the session's number
     down = Window.partitionBy("part").orderBy("ends", F.col("doc_id").desc_nulls_last(), "text")
     return rows.withColumn("next_text", F.lead("text").over(down)).where(~F.col("ends")).select("doc_id", "text", "next_text")
 

@@ -10,8 +10,10 @@ Only the classifier is fitted on a bounded sample of labelled rows; counts cover
 first and combines before the shuffle, so a host with a third of all rows is a few sums.
 
 Null texts count as empty, null hosts and paths as groups of their own, and repeated rows each count. Labels that
-disagree on one id are averaged. With no usable labels the ratio is 0 and every document is kept. Empty tables give
-no rows. Extra columns pass through `filter_documents` untouched.
+disagree on one id are averaged; of rows that repeat a labelled id one is sampled, that of the least features. Odds
+of exactly 0 keep a document. A very long text is read whole, as a piece of its own. With no usable labels the ratio
+is 0 and every document is kept. Empty tables give no rows. Extra columns pass through `filter_documents` untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, buffers, class_counts, materialize, pieces, words
-from .quality_rules import labelled_sample
+from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, class_counts, free_name, materialize, pieces, words
+from .quality_rules import labelled_sample, one_per_id
 
 #: Bound of the labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 20_000
@@ -96,8 +98,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
     """Fit on at most `rows` labelled documents; only their features reach the driver."""
     names = [f"f{i}" for i in range(FEATURES)]
-    table = labelled_sample(docs, labels, rows=rows).transform(arrow_map, _features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in names)).toPandas()
-    table = table.sort_values(["doc_id", *names], kind="stable").head(rows)
+    found = labelled_sample(docs, labels, rows=rows).transform(arrow_map, _features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in names))
+    table = one_per_id(found, names, rows).toPandas().sort_values("doc_id")
     return train(table[names].to_numpy(float), table["y"].to_numpy(float))
 
 
@@ -148,6 +150,11 @@ def sites(light: DataFrame, labels: DataFrame, share: float) -> tuple[DataFrame,
     return both.select("host", "path", "n", "host_rate", ((F.col("good") + pull * F.col("host_rate")) / (F.col("n") + pull)).alias("path_rate")), rate
 
 
+def _bytes(rates: DataFrame) -> int:
+    """Size of a table of sites: their names may be long."""
+    return rates.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
+
+
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", model: Classifier | None = None) -> DataFrame:
     """doc_id, evidence, host and path posterior rates, posterior of good quality and kept, one row per document row."""
     model = model or fit(docs, labels)
@@ -155,7 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     rates, _ = sites(light, labels, model.share)
     rates = materialize(rates, "rates")
     odds = F.col("evidence") + _logit(F.col("path_rate"))
-    joined = light.join(broadcast_if_small(rates, rates.count()), ["host", "path"])
+    joined = light.join(broadcast_if_small(rates, _bytes(rates), BROADCAST_BYTES), ["host", "path"])
     return joined.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-odds))).alias("quality"), (odds >= 0).alias("kept"))
 
 
@@ -166,14 +173,16 @@ def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", p
     """
     model = model or fit(docs, labels)
     rates, _ = sites(materialize(scored(docs, model, host, path), "evidence"), labels, model.share)
-    prior = materialize(rates.select(F.col("host").alias("_site_host"), F.col("path").alias("_site_path"), _logit(F.col("path_rate")).alias("_site_prior")), "rates")
-    at = (F.coalesce(docs[host].cast("string"), F.lit("")) == F.col("_site_host")) & (F.coalesce(docs[path].cast("string"), F.lit("")) == F.col("_site_path"))
-    beside = docs.join(broadcast_if_small(prior, prior.count()), at, "left").drop("_site_host", "_site_path")
+    rates = materialize(rates, "rates")
+    own_host, own_path, own_prior = (free_name(docs, k) for k in ("site_host", "site_path", "site_prior"))
+    prior = broadcast_if_small(rates, _bytes(rates), BROADCAST_BYTES).select(F.col("host").alias(own_host), F.col("path").alias(own_path), _logit(F.col("path_rate")).alias(own_prior))
+    at = (F.coalesce(docs[host].cast("string"), F.lit("")) == F.col(own_host)) & (F.coalesce(docs[path].cast("string"), F.lit("")) == F.col(own_path))
+    beside = docs.join(prior, at, "left").drop(own_host, own_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            odds = model.evidence(features(*buffers(batch.column("text")))) + batch.column("_site_prior").to_numpy(zero_copy_only=False)
+            odds = model.evidence(features(*buffers(batch.column("text")))) + batch.column(own_prior).to_numpy(zero_copy_only=False)
             keep = batch.filter(pa.array(~(odds < 0)))
-            yield keep.drop_columns(["_site_prior"])
+            yield keep.drop_columns([own_prior])
 
     return beside.transform(arrow_map, run, docs.schema)

@@ -7,7 +7,9 @@ words never raise a score.
 
 Null text counts as empty: no words, so base_failed. Repeated rows are judged alike, each on its own. An empty
 documents table gives no rows; with no usable label (or one class only) the model says "keep" to all, and only
-the base rules decide. Extra columns pass through `filter_documents` untouched.
+the base rules decide. Labels that disagree on one id count by their mean, a tie as good; of rows that repeat a
+labelled id one is sampled, that of the least features. Splits of equal gain go to the first feature and threshold.
+A very long text is counted whole, as a piece of its own. Extra columns pass through `filter_documents` untouched.
 """
 
 from __future__ import annotations
@@ -171,7 +173,7 @@ def train(x: np.ndarray, y: np.ndarray, signs: list[int] | None = None, trees: i
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, y) of at most `rows` labelled documents, chosen by a hash of the id alone."""
+    """(doc_id, text, y) of all rows of at most `rows` labelled ids, chosen by a hash of the id alone."""
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -179,6 +181,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `rows` rows
 
 
+def one_per_id(table: DataFrame, names: list[str], rows: int) -> DataFrame:
+    """Of features (doc_id, y, names) one row an id and at most `rows`: what may go to the driver. Rows of one id combine before they are shuffled."""
+    least = table.groupBy("doc_id").agg(F.min(F.struct("y", *names)).alias("r"))
+    return least.select("doc_id", "r.*").limit(rows)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         _, x = statistics(*buffers(batch.column("text")))
@@ -188,8 +196,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fit the trees on a bounded sample of labelled rows; only its features reach the driver."""
     sample = labelled_sample(docs, labels, rows=rows)
-    table = sample.transform(arrow_map, _features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in FEATURES)).toPandas()
-    table = table.sort_values(["doc_id", *FEATURES], kind="stable").head(rows)
+    found = sample.transform(arrow_map, _features, "doc_id bigint, y double, " + ", ".join(f"{k} double" for k in FEATURES))
+    table = one_per_id(found, list(FEATURES), rows).toPandas().sort_values("doc_id")
     return train(table[list(FEATURES)].to_numpy(float), table["y"].to_numpy(float), list(FEATURES.values()))
 
 

@@ -95,8 +95,8 @@ said AS (
     list_max(list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN turns[i].role = 'assistant' THEN i END)) AS last FROM convs),
 worse AS (
   SELECT conv_id, turns AS chosen,
-    list_filter(list_transform(range(1, len(turns) + 1), lambda i: {'role': turns[i].role, 'text': CASE WHEN i = last THEN CASE WHEN len(answers) > 1 THEN answers[1].text ELSE '' END ELSE turns[i].text END}),
-      lambda t: t.role <> 'assistant' OR t.text <> '') AS rejected FROM said),
+    list_transform(list_filter(range(1, len(turns) + 1), lambda i: last IS NULL OR i <> last OR (len(answers) > 1 AND answers[1].text <> '')),
+      lambda i: {'role': turns[i].role, 'text': CASE WHEN i = last THEN answers[1].text ELSE turns[i].text END}) AS rejected FROM said),
 following AS (
   SELECT conv_id, turns, lead(conv_id) OVER (PARTITION BY turns[1].role, turns[1].text ORDER BY conv_id) AS other FROM convs),
 pairs AS (

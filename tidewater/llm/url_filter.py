@@ -6,9 +6,10 @@ rules). Expressions meet rules in an equi-join on four bytes of SHA-256; the ful
 longest rule wins. A tie goes to the longer host, then to "block", then to the smaller text. Without a rule the
 verdict is "allow".
 
-A null url, or one without "://", has an empty host and path and fits no rule. Pages that repeat a url are judged
-once and joined back, so that one hot url or host is summed before it is shuffled. Empty tables give no rows; no
-rules: all "allow". Only the named columns of the input are read, so extra columns cannot clash.
+A null url, or one without "://", has an empty host and path and fits no rule; such pages go no further. All others
+are judged once for each host and path, which are counted before they are shuffled, and joined back by them: a hot url
+is one large key of that join, which adaptive execution splits. Very long urls are expanded only to the lengths of
+rules. Repeated rows each have a verdict. Empty tables give no rows; no rules: all "allow". Only the named columns of the input are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -64,8 +65,11 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     )
     if shape["rows"] <= BROADCAST_ROWS // 10:  # counted; more rules are shuffled by their short hashes
         known = F.broadcast(known)
+    none = pages.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    pages = pages.where("host <> ''")
     hosts = pages.select("host", "path").distinct()
     asked = expressions(hosts, sorted(shape["labels"]), sorted(shape["lengths"])).withColumn("sha", _digest(F.col("expression")))
     hits = asked.withColumn("short", F.substring("sha", 1, 8)).join(known, "short").where(F.col("sha") == F.col("digest"))
     best = hits.groupBy("host", "path").agg(F.max("found").alias("best"))
-    return pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit("allow")).alias("verdict"))
+    judged = pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.said", F.lit("allow")).alias("verdict"))
+    return judged.unionByName(none)
