@@ -40,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_rules", rules_stage), ("quality_classifier", classifier_stage), ("line_dedup", lines_stage), ("ngram_join", near_stage), ("packing", packing_stage)]
 
-#: Trained models and tokenizers stand in the way of SQL; tests/llm checks the stages against brute force.
+#: Trained models and tokenizers stand in the way of SQL. tests/llm has each operator against brute force, and `run` end to end on odd rows.
 ORACLE_SQL = None
 
 
