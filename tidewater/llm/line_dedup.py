@@ -618,7 +618,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def _without(text: Column, gone: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    """text without the lines at the ascending positions `gone`: what lies between two of them is cut out as one stretch."""
+
+    def stretches(lines: Column) -> Column:
+        before = lambda i: F.when(i == 0, -1).otherwise(F.get(gone, i - 1))
+        after = lambda i: F.coalesce(F.get(gone, i), F.size(lines))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, before(i) + 2, after(i) - before(i) - 1)))
+
+    # The lines are bound once: inside a lambda they would be split again for every stretch.
+    return F.array_join(F.transform(F.array(F.split(text, "\n", -1)), stretches)[0], "\n")
 
 
 def deduped(docs: DataFrame, gone: str = "gone") -> DataFrame:

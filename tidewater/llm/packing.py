@@ -5,11 +5,12 @@ are combined. Their histogram has fewer than `window` bins at any corpus size, s
 shallow combinations (two or three lengths that fill a window exactly) are enumerated, their repeat counts solved
 against the histogram with all counts >= 0, rounded down, and what is left is packed greedily, longest first and
 best fit, whole runs of equal patterns at a time. The plan is a table whose size depends on the window only. Each
-rest gets a rank among the rests of its length (counted by buckets of ids, so that one common length does not meet
-in a task), and looks its sequence and offset up by that rank.
+rest gets a rank among the rests of its length (counted by buckets of ids and contents, so that neither one common
+length nor one id of many texts meets in a task), and looks its sequence and offset up by that rank.
 
-Null text counts as empty and still has its end token, so every row gets a piece. Rows that repeat an id are packed
-each on their own. An empty table gives no pieces. Extra columns are ignored.
+Null text counts as empty and still has its end token, so every row gets a piece. A very long text is a piece of work
+of its own and is cut at whole windows. Rows that repeat an id are packed each on their own; ties go by id, then by
+contents. An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -238,7 +239,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     buckets = max(8, int(have.sum()) // BUCKET_ROWS)
     have[0] = 0
     table, sequences = plan(have, window)
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
+    key = F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(buckets)).cast("int").alias("bucket")
     sizes = sizes.select("*", key, F.floor(F.col("n") / window).alias("whole"))
 
     # Ranks: counts by bucket and length give each bucket its first rank; inside a bucket rows are numbered in order of id.

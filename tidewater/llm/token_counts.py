@@ -5,7 +5,8 @@ shuffle. Suffix sums go over blocks of lengths first (few rows) and then inside
 whole histogram. A limit between two lengths has the answers of the next lower length, moved by `n_longer` tokens
 for each step.
 
-Null text counts as empty: a document of 0 tokens. Repeated rows count each. An empty table gives an empty
+Null text counts as empty: a document of 0 tokens. A very long text is encoded whole, as a piece of its own. Repeated
+rows count each. An empty table gives an empty
 histogram. Extra columns are ignored unless named in `by`.
 """
 
