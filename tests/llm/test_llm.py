@@ -627,3 +627,18 @@ def test_pipeline_end_to_end_on_odd_rows(spark, tmp_path):
     for r in got:
         sizes[r.sequence_id] += r.length
     assert max(sizes.values()) <= 2048
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    duck = duckdb.connect()
+    for p in glob.glob(f"{FOLDER}/*.parquet"):
+        duck.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    got, want = queries.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(queries.ORACLES[name]).df()
+    rows = lambda df: sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and len(got) and rows(got) == rows(want)
