@@ -138,7 +138,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     goes = spark.createDataFrame([(p, heads[p], order[i - 1]) for i, p in enumerate(order)], "part int, head bigint, goes int")
     ends = docs.join(F.broadcast(goes), "part").where(F.col("doc_id").eqNullSafe(F.col("head")))
     rows = docs.select("part", "doc_id", "text", F.lit(False).alias("ends")).unionByName(ends.select(F.col("goes").alias("part"), "doc_id", "text", F.lit(True).alias("ends")))
-    rows = rows.repartition(len(order), "part")  # by what the corpus holds, not by the session's number
+    rows = rows.repartitionByRange(len(order), "part")  # by what the corpus holds, not by the session's number; hashes would put several ranges together
     down = Window.partitionBy("part").orderBy("ends", F.col("doc_id").desc_nulls_last(), "text")
     return rows.withColumn("next_text", F.lead("text").over(down)).where(~F.col("ends")).select("doc_id", "text", "next_text")
 
