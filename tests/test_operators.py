@@ -69,6 +69,8 @@ def test_html(spark):
     assert [(r.target_ref, r.attribution_scope) for r in got] == [("B", "direct"), ("C", "unknown")]
     with pytest.raises(KeyError):
         X.parse(spark.range(1), "none")
+    X.parser("own")(lambda pages: pages.select("id"))
+    assert X.parse(spark.range(2), "own").count() == 2 and X.PARSERS.pop("own")
 
 
 def test_canonical_merge(spark):
@@ -223,6 +225,12 @@ def test_sources(spark, tmp_path):
         shutil.copy(raw / "x.json", tmp_path / "n" / name)
     kinds = spark.read.text(str(tmp_path / "n")).select(tables.record_type().alias("t")).collect()
     assert sorted(str(r.t) for r in kinds) == ["None", "_sizing", "attackpattern"]
+    for k in (1, 2):
+        (tmp_path / "frozen" / f"b{k}").mkdir(parents=True)
+        (tmp_path / "frozen" / f"b{k}" / "manifest.json").write_text(f'{{"run_id": "r{k}", "rows": {k}}}')
+    assert [r.run_id for r in tables.manifests(spark, str(tmp_path / "frozen"), T.StructType.fromDDL("run_id string, rows int")).collect()] == ["r2", "r1"]
+    assert tables.batch_id("0123456789", {"a": 1, "b": 2}) == "01234567-" + tables.config_digest({"b": 2, "a": 1}) and len(tables.config_digest({})) == 12
+    assert {r.name: r.n for r in tables.row_counts(spark, "/root/testdata/sf0.001", ["region", "orders"]).collect()} == {"region": 5, "orders": 1500}
     tables.write_report(spark.createDataFrame([("b1", 3)], "batch string, n int"), f"{folder}/r")
     assert spark.read.json(f"{folder}/r").first().n == 3
 

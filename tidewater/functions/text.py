@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,8 +119,22 @@ def table_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(*pages.columns, "row_no", cell(1).alias("source_ref"), cell(2).alias("relationship_type"), cell(3).alias("target_ref"), F.when(scope.isin(SCOPES), scope).otherwise("unknown").alias("attribution_scope"))
 
 
-#: Parsers of HTML by feed.
-PARSERS = {"timeline": timeline_events, "associations": table_edges}
+#: Parsers of HTML by feed: DataFrame of pages to DataFrame of rows.
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def parser(feed: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    """Register the parser of a feed; a later one takes its place."""
+
+    def put(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        PARSERS[feed] = f
+        return f
+
+    return put
+
+
+parser("timeline")(timeline_events)
+parser("associations")(table_edges)
 
 
 def parse(pages: DataFrame, feed: str) -> DataFrame:

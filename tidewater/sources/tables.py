@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +102,21 @@ def row_counts(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     return by_name([table(spark, folder, k).agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k in names])
 
 
+def config_digest(config: dict) -> str:
+    """Twelve hex digits that tell configurations apart, whatever the order of their keys."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
+
+
+def batch_id(run_id: str, config: dict) -> str:
+    """Name of a batch: the head of its run and its configuration's digest."""
+    return f"{run_id[:8]}-{config_digest(config)}"
+
+
+def manifests(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The manifests of all batches below a root, the last run first."""
+    return spark.read.schema(schema).json(f"{root}/*/manifest.json").orderBy(F.col("run_id").desc())
+
+
 def write_rows(df: DataFrame, path: str) -> bool:
     """Overwrite a Parquet table; without rows nothing is written and the old table stays. Says whether it wrote."""
     if df.isEmpty():
