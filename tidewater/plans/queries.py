@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import features as A
 from ..operators import splits as S
+from ..operators.ranges import numbered
 from ..sources.tables import by_name, table
 from ..streaming import jobs
 from .registry import STAR, query, star
@@ -137,9 +138,9 @@ def _brand_weeks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT p_brand, n_points, total::BIGINT AS total, first_n, last_n, round((last_n - first_n) / greatest(n_points - 1, 1), 6) AS slope, last_n > first_n AS trending_up, row_number() OVER (ORDER BY last_n > first_n DESC, (last_n - first_n) / greatest(n_points - 1, 1) DESC, total DESC, p_brand) AS rank
 FROM (SELECT p_brand, count(*) AS n_points, sum(n) AS total, arg_min(n, week_start) AS first_n, arg_max(n, week_start) AS last_n FROM ({BRAND_WEEKS}) GROUP BY 1) WHERE n_points >= 2""")
 def trend_slope_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Series in order of trend, slope and total; one row per series is left to rank."""
-    order = Window.orderBy(F.col("trending_up").desc(), F.col("slope").desc(), F.col("total").desc(), "p_brand")
-    return A.slopes(_brand_weeks(spark, d), "p_brand").withColumn("rank", F.row_number().over(order)).withColumn("slope", F.round("slope", 6))
+    """Series in order of trend, slope and total, numbered by ranges of that order."""
+    order = [F.col("trending_up").desc(), F.col("slope").desc(), F.col("total").desc(), F.col("p_brand")]
+    return numbered(A.slopes(_brand_weeks(spark, d), "p_brand"), order, "rank").withColumn("slope", F.round("slope", 6))
 
 
 @query(f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY week_start) AS rn, count(*) OVER (PARTITION BY p_brand) AS c FROM ({BRAND_WEEKS}))
