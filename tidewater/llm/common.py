@@ -22,8 +22,6 @@ BATCH_ROWS = 4000
 BROADCAST_ROWS = 1_000_000
 #: The same for tables whose bytes have been summed.
 BROADCAST_BYTES = 16 << 20
-
-
 _BATCH, _CLEANUP = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, discard, flat, free_name, keyed, materialize, mix64, pieces, span_hashes
+from .common import BROADCAST_BYTES, PIECE_BYTES, arrow_map, broadcast_if_small, buffers, discard, flat, free_name, keyed, materialize, mix64, pieces, span_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -176,7 +176,7 @@ def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=PIECE_BYTES // 2):
         texts = batch.column("text").to_pylist()
         data, begins, ends, doc = _byte_lines(texts)
         code, starts, stops = _code_lines(texts)
