@@ -8,7 +8,7 @@ share a band are candidates unless their set sizes or parities exclude a similar
 hashes than their parities in places, so neither test loses a link.
 
 Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or more), in two rounds. First, each line
-of a band meets the first one in order of hash that its parities allow: fewer pairs than lines, which join most
+of a band meets the first one in order of size that its parities allow: fewer pairs than lines, which join most
 copies. Then all pairs of a band meet whose lines are still in different components. In a band of very many lines those
 outside its largest component ask all others, in blocks. So no link of two lines that share a band is lost, and copies
 that are joined already make no pairs. Only lines with a candidate are read again, by their hashes, from the documents.
@@ -251,7 +251,7 @@ def shared(distinct: DataFrame) -> DataFrame:
 
 
 def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (band, line, size, parity) in order of the first two: rows with a near one in their band, beside the first such line.
+    """From rows (band, line, size, parity) in order of (band, size, line): rows with a near one in their band, beside the first such line.
 
     Of a band of over BLOCK lines or BLOCK_SHINGLES shingles all rows are returned, each beside the band's first line if
     that is near.
@@ -261,7 +261,7 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, line, size = _numbers(t, ["band", "line", "size"])
         parity = Parities(buffers(t.column("parity"))[0].view(np.uint64), _level(size))
         near, first = np.zeros(len(band), bool), np.full(len(band), -1)
-        for x, y in _steps(np.cumsum(np.append(False, band[1:] != band[:-1])), lambda x, y: parity.near(size, x, y)):
+        for x, y in _steps(np.cumsum(np.append(False, band[1:] != band[:-1])), lambda x, y: parity.near(size, x, y), size):
             near[x] = near[y] = True
             first[y] = x  # a farther one comes later and takes its place
         alone = first[near] < 0
@@ -312,7 +312,7 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mates(rows: DataFrame, info: DataFrame) -> DataFrame:
     """Rows (band, line, first) of `shared` that have a near line in their band; info has sizes and parities of lines."""
     beside = rows.join(info.select("line", "size", "parity"), "line").select("band", "line", "size", "parity")
-    return beside.repartition("band").sortWithinPartitions("band", "line").transform(arrow_map, _mates, "band bigint, line bigint, first bigint")
+    return beside.repartition("band").sortWithinPartitions("band", "size", "line").transform(arrow_map, _mates, "band bigint, line bigint, first bigint")
 
 
 def _may(component: np.ndarray, side: np.ndarray, size: np.ndarray, parity: Parities) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -327,13 +327,15 @@ def _may(component: np.ndarray, side: np.ndarray, size: np.ndarray, parity: Pari
     return ok
 
 
-def _steps(group: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _steps(group: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray], size: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows (x < y) of equal group, one distance after the other, that `ok(x, y)` lets pass; groups are ascending."""
     left, step = np.arange(len(group)), 0
     while len(left):
         step += 1
         left = left[left + step < len(group)]
         left = left[group[left + step] == group[left]]
+        if size is not None:  # sizes ascend in a group: if one is too large, so are all after it
+            left = left[100 * size[left] >= 80 * size[left + step]]
         keep = ok(left, left + step)
         yield left[keep], (left + step)[keep]
 
@@ -371,12 +373,12 @@ def _group_of(band: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (band, i, j): lines with a near one of another component, and of the other side if there are sides, in their group."""
+    """From rows in order of (band, i, j, size): lines with a near one of another component, and of the other side if there are sides, in their group."""
     for t in _whole(batches):
         band, i, j, side, component, line, size = _numbers(t, [*_PLACE, "side", "component", "line", "size"])
         parity = Parities(buffers(t.column("parity"))[0].view(np.uint64), _level(size))
         met = np.zeros(len(band), bool)
-        for x, y in _steps(_group_of(band, i, j), _may(component, side, size, parity)):
+        for x, y in _steps(_group_of(band, i, j), _may(component, side, size, parity), size):
             met[x] = met[y] = True
         yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line)], names=[*_PLACE, "side", "component", "line"])
 
@@ -408,7 +410,7 @@ def crossing(rows: DataFrame, info: DataFrame, parts: DataFrame) -> DataFrame:
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = dealt.unionByName(held.select("band", upto("asking").alias("i"), own("blocks").alias("j"), F.lit(0).alias("side"), *line))
         dealt = dealt.unionByName(held.where("component <> major").select("band", own("asking").alias("i"), upto("blocks").alias("j"), F.lit(1).alias("side"), *line))
-    return dealt.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
+    return dealt.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "size", "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
