@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprints, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_counts, url_filter
+from ..operators.ranges import shared_dir
+from . import bpe, chat_format, fingerprints, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter, vector_codes
+from .common import materialize
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,11 +84,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_fingerprints, op4_chat_format, op5_url_filter, op6_byte_bpe, op7_packing, op8_line_dedup, op9_ngram_join, op10_quality_rules)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the files of all ids."""
+    out = f"{shared_dir(spark)}/tidewater/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER, out, end_id=2)
+    return token_files.read_tokens(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector by codebooks trained on all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    coded = materialize(vector_codes.encode(vectors, books), "codes")
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_fingerprints, op4_chat_format, op5_url_filter, op6_byte_bpe, op7_packing, op8_line_dedup, op9_ngram_join, op10_quality_rules, op11_token_files, op12_vector_codes)}
+
+#: One round of op12 in SQL: every distinct part to its nearest entry, every entry to the mean of its parts.
+_CODES_ROUND_SQL = """
+near{k} AS MATERIALIZED (
+  SELECT d.p, d.part, d.n, arg_min(e, dist * 16 + e) AS e, min(dist) AS dist
+  FROM (SELECT d.*, b.e, list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i])))::HUGEINT AS dist FROM parts d JOIN book{k} b ON d.p = b.p) d
+  GROUP BY d.p, d.part, d.n),"""
+_CODES_BOOK_SQL = """
+book{next} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry FROM book{k} b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS entry
+    FROM (SELECT p, e, i, sum(part[i] * n) AS s, sum(n) AS n FROM near{k}, (SELECT unnest(range(1, (SELECT max(len(part)) FROM parts) + 1)) AS i) GROUP BY p, e, i) GROUP BY p, e) m
+  ON b.p = m.p AND b.e = m.e),"""
+_CODES_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // {vector_codes.PARTS}) + 1 : (p + 1) * (len(v) // {vector_codes.PARTS})] AS part FROM kept, (SELECT unnest(range({vector_codes.PARTS})) AS p)),
+parts AS MATERIALIZED (SELECT p, part, count(*) AS n FROM cut GROUP BY p, part),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS entry FROM cut WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {vector_codes.ENTRIES})),""" + "".join(
+    _CODES_ROUND_SQL.format(k=k) + _CODES_BOOK_SQL.format(k=k, next=k + 1) for k in range(vector_codes.ROUNDS)
+) + _CODES_ROUND_SQL.format(k=vector_codes.ROUNDS) + f"""
+books AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{vector_codes.ROUNDS}),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', near.e), '' ORDER BY c.p) AS code, sum(dist)::BIGINT AS error
+  FROM cut c JOIN near{vector_codes.ROUNDS} near ON c.p = near.p AND c.part = near.part GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": _CODES_SQL,
     "op4_chat_format": """
 WITH convs AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
