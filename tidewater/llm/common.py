@@ -133,9 +133,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each run `[^\\x20\\x09-\\x0D]+`, and for each row the number of its first word."""
-    space = _SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each run `[^\\x20\\x09-\\x0D]+` (or of bytes outside another gap), and for each row the number of its first word."""
+    space = gap[data]
     begin = ~space
     end = begin.copy()
     begin[1:] &= space[:-1]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import shared_dir
-from . import bpe, chat_format, fingerprints, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter, vector_codes
+from . import bpe, chat_format, fingerprints, line_dedup, ngram_join, packing, phrases, quality_classifier, quality_rules, token_counts, token_files, url_filter, vector_codes
 from .common import materialize
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -99,7 +99,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_fingerprints, op4_chat_format, op5_url_filter, op6_byte_bpe, op7_packing, op8_line_dedup, op9_ngram_join, op10_quality_rules, op11_token_files, op12_vector_codes)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first collocations over all texts."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_fingerprints, op4_chat_format, op5_url_filter, op6_byte_bpe, op7_packing, op8_line_dedup, op9_ngram_join, op10_quality_rules, op11_token_files, op12_vector_codes, op13_phrases)}
 
 #: One round of op12 in SQL: every distinct part to its nearest entry, every entry to the mean of its parts.
 _CODES_ROUND_SQL = """
@@ -130,9 +135,32 @@ coded AS (
   FROM cut c JOIN near{vector_codes.ROUNDS} near ON c.p = near.p AND c.part = near.part GROUP BY vec_id, label)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
 
+_PHRASES_SQL = f"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+said AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM said, (SELECT unnest(range(1, {phrases.MOST_WORDS + 1})) AS k))
+  GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= {phrases.MIN_COUNT}),
+inside AS (SELECT DISTINCT s.lang, s.phrase FROM often s JOIN often b ON s.lang = b.lang AND b.k > s.k AND 100 * b.f >= 100 * s.f AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.w, unnest(range(1, c.k)) AS cut FROM often c ANTI JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase WHERE c.k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN totals t ON c.lang = t.lang
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {phrases.TOP}"""
+
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES: dict[str, str] = {
+    "op13_phrases": _PHRASES_SQL,
     "op12_vector_codes": _CODES_SQL,
     "op4_chat_format": """
 WITH convs AS (
