@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..operators.ranges import running_sums
-from .common import BATCH_ROWS, arrow_map, broadcast_if_small, buffers, materialize, pieces
+from .common import BATCH_ROWS, arrow_map, broadcast_if_small, buffers, discard, materialize, pieces
 from .packing import load
 
 #: Packed bytes of a file, about. It is one row while it is written and read.
@@ -142,10 +142,14 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int) -> None:
 
     files = dealt.transform(arrow_map, run, "part int, body binary").select("part", F.col("body").cast("string").alias("value"))
     files.write.partitionBy("part").option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).option("maxRecordsPerFile", 1).text(out)
+    discard(packed)
 
 
 def _files(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary, part int").load(out).select("part", "path", "content", F.lit(None).cast("array<bigint>").alias("frames"))
+    files = spark.read.format("binaryFile").load(out)
+    if "part" not in files.columns:  # no folder, as there were no documents
+        files = files.withColumn("part", F.lit(None).cast("int"))
+    return files.select("part", "path", "content", F.lit(None).cast("array<bigint>").alias("frames"))
 
 
 def _opened(files: DataFrame, kind: str, with_ids: bool) -> DataFrame:
