@@ -4,17 +4,17 @@ Words are runs `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; shingles are 64-bit
 the whole sequence is one). A link needs |A & B| >= T with T = ceil(0.8 * size) of the larger set.
 
 1. Equal sets are one representative each.
-2. Near copies: sets that agree in a band of minima are put in order of their other minima, and each meets the two
-   before it. Links are checked exactly, and what they connect is one component from then on. This is a shortcut
-   only: it grows with the rows, however large a group, and finds no link that is not there.
-3. The rest is exact. Each set offers its smallest hashes (its prefix), long enough that linked sets share at least
-   K of them. A hash is an inverted list; lists of one document drop out. As in DivideSkip a document sets its
-   longest K - MEET lists aside, and only its short ones are merged: a task gets all short lists of a query,
-   heap-merges them and counts how often each document occurs. Of K shared lists at least MEET are short for both, so
-   that a pair is retained if it occurs MEET times. Only documents of different components count.
-4. For what is retained the rest of the lists is probed: whether a list holds a document is whether the list's hash
-   is among the document's sorted hashes, a binary search. A pair stays if the overlap reaches T. The components of
-   all links are the result.
+2. Each set offers its smallest hashes (its prefix), long enough that linked sets share at least K of them. A hash is an
+   inverted list of the sets that offer it. The search runs over these lists twice, and every link comes from it.
+3. The first time it looks at neighbours only: where two lists that follow each other in a prefix meet, the sets that
+   both hold are put in order of their next hashes, and each meets the two before it if sizes allow a link. This grows with the rows,
+   however large a group of near copies, and what it links is one component from then on.
+4. The second time it looks at whole lists, for pairs of different components; lists of one document drop out. As in
+   DivideSkip a document sets its longest K - MEET lists aside, and only its short ones are merged: a task gets all
+   short lists of a query, heap-merges them and counts how often each document occurs. Of K shared lists at least MEET
+   are short for both, so that a pair is retained if it occurs MEET times. For what is retained, both times, the rest of
+   the lists is probed: whether a list holds a document is whether the list's hash is among the document's sorted
+   hashes, a binary search. A pair stays if the overlap reaches T. The components of all links are the result.
 5. A query that finds more than DENSE documents in one list, or in all (documents much alike, but not linked), is not
    paired by rows, and its lists are not sent. It makes a block with all that share a list with it; blocks of queries
    meet blocks of documents in one task, where the same T-occurrence search runs over a local index: short lists are
@@ -44,7 +44,8 @@ from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, fla
 from .graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 6, 3
+#: Places of a prefix where the first search looks for two lists that meet.
+HEADS = 8
 #: Linked sets share at least so many hashes of their prefixes (small sets offer all they have).
 LEAST_SHARED = 24
 #: Documents of a block, and candidates of a query's salt.
@@ -59,7 +60,6 @@ LONG = 4096
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _STEP = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_TURN = _rng.integers(1, 1 << 62, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -104,24 +104,17 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(begin)
         full = np.flatnonzero(n)
         digest = np.zeros((2, len(n)), np.int64)
-        bands = np.zeros((len(n), BANDS), np.int64)
         if len(full):
             at = begin[:-1][full]
             digest[0, full] = np.add.reduceat(mix64(values), at).view(np.int64)
             digest[1, full] = np.add.reduceat(mix64(values ^ np.uint64(0x5BF03635)), at).view(np.int64)
-            for b in range(BANDS):
-                joint = np.zeros(len(full), np.uint64)
-                for r in range(ROWS):
-                    least = np.minimum.reduceat(values * _TURN[b * ROWS + r], at)
-                    joint = mix64(joint * np.uint64(31) + least)
-                bands[full, b] = joint.view(np.int64)
         length = np.where(n > 0, n - needed(n) + shared(n), 0)
         prefix = values[flat(begin[:-1], length)].view(np.int64)
         off = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("tkey"), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())), pa.ListArray.from_arrays(off, pa.array(prefix)),
-        ], names=["doc_id", "tkey", "n", "d1", "d2", "bands", "prefix"])
+            pa.ListArray.from_arrays(off, pa.array(prefix)),
+        ], names=["doc_id", "tkey", "n", "d1", "d2", "prefix"])
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -130,8 +123,8 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, set size n, two digests of the set, bands and prefix of every row."""
-    return keyed_texts(docs).transform(arrow_map, _measure, "doc_id bigint, tkey bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>, prefix array<bigint>")
+    """doc_id, tkey, set size n, two digests of the set and prefix of every row."""
+    return keyed_texts(docs).transform(arrow_map, _measure, "doc_id bigint, tkey bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,32 +267,32 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (value, next, doc_id): each document with the one and the two places before it of its value."""
-    v, d = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """From rows in order of (lists, next, doc_id): each document with the one and the two places before it in its lists, if their sizes allow a link."""
+    v, d, n = (np.zeros(0, np.int64) for _ in range(3))
     for batch in batches:
-        v = np.concatenate([v[-2:], batch.column("value").to_numpy()])
-        d = np.concatenate([d[-2:], batch.column("doc_id").to_numpy()])
+        v, d, n = (np.concatenate([x[-2:], batch.column(k).to_numpy()]) for k, x in (("lists", v), ("doc_id", d), ("n", n)))
         fresh = len(v) - batch.num_rows  # pairs between rows carried over are known
         x, y = [], []
         for back in (1, 2):
             at = np.flatnonzero(v[back:] == v[:-back]) + back if len(v) > back else np.zeros(0, np.int64)
-            at = at[at >= fresh]
+            at = at[(at >= fresh) & (d[at] != d[at - back]) & (5 * np.minimum(n[at], n[at - back]) >= 4 * np.maximum(n[at], n[at - back]))]
             x.append(d[at - back])
             y.append(d[at])
         x, y = np.concatenate(x), np.concatenate(y)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _band_pairs(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives that share a band and stand close in the order of their other bands."""
-    following = F.xxhash64(F.element_at("bands", F.expr("(band + 1) % size(bands) + 1").cast("int")), F.lit(0))
-    rows = reps.select("doc_id", "bands", F.posexplode("bands").alias("band", "value")).select("value", following.alias("next"), "doc_id")
-    # Ranges of the whole order: a value that very many sets share is cut too.
-    return rows.repartitionByRange("value", "next", "doc_id").sortWithinPartitions("value", "next", "doc_id").transform(arrow_map, _neighbours, "a bigint, b bigint").distinct()
+def _neighbour_pairs(reps: DataFrame) -> DataFrame:
+    """Step 3: pairs (a, b) of representatives that are neighbours where two lists meet."""
+    at = lambda k: F.get("prefix", F.col("pos") + k)
+    heads = reps.where(F.size("prefix") > 1).select("doc_id", "n", F.slice("prefix", 1, HEADS + 2).alias("prefix"), F.explode(F.sequence(F.lit(0), F.least(F.lit(HEADS), F.size("prefix") - 1) - 1)).alias("pos"))
+    rows = heads.select(F.xxhash64(at(0), at(1)).alias("lists"), F.coalesce(at(2), F.lit(0)).alias("next"), "doc_id", "n")
+    order = ["lists", "next", "doc_id"]  # ranges of the whole order: two lists that very many sets share are cut too
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).transform(arrow_map, _neighbours, "a bigint, b bigint").distinct()
 
 
 def _list_pairs(reps: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Step 3: retained pairs (a, b) of different components, dense queries (a), and the lists' rows (token, doc_id, component)."""
+    """Step 4: retained pairs (a, b) of different components, dense queries (a), and the lists' rows (token, doc_id, component)."""
     postings = reps.select(F.explode("prefix").alias("token"), "doc_id").repartition("token").sortWithinPartitions("token").transform(arrow_map, _counted, "doc_id bigint, token bigint, size int")
     ordered = F.sort_array(F.collect_list(F.struct("size", "token")))
     lists = postings.groupBy("doc_id").agg(ordered.alias("lists")).join(reps.select("doc_id", "n"), "doc_id")
@@ -421,7 +414,7 @@ def linked(docs: DataFrame) -> DataFrame:
     if single.count() < light.where("doc_id is not null").count():
         texts = texts.join(chosen.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id"])
     texts = texts.select("doc_id", "text")
-    near = materialize(verify(_band_pairs(reps), texts), "near")
+    near = materialize(verify(_neighbour_pairs(reps), texts), "near")
     comp = components(near)
     pairs, dense, rows = _list_pairs(reps, comp.select(F.col("node").alias("doc_id"), "component"))
     rest = materialize(verify(pairs, texts), "rest")
