@@ -3,8 +3,10 @@
 A phrase can only be frequent if its first words without the last, and its last words without the first, are. So a pass
 over all texts counts, beside all single words, every phrase whose two such parts are proposed: this covers the proposed
 phrases and the whole negative border (what is not proposed although its parts are), as far as it occurs at all. If a
-phrase of the border turns out to be frequent, the sample missed it; it is then proposed too, and a further pass counts
-what this opens and no pass has counted yet, until no failure is left. The result is then exact, whatever the sample was.
+phrase of the border turns out to be frequent, the sample missed it: a failure. Any frequent phrase that the pass did not
+count holds a failure, for its smallest part that is not proposed is in the border, and as frequent at least. So the
+expansion pass counts, at any length at once, what holds a failure and only has frequent words, and with it the set is
+closed; without failures it is closed after the first pass. The result is exact, whatever the sample was.
 
 Proposed phrases are held by hash in a filter of FILTER_BITS bits, the one thing that every task gets; its size does not
 grow with the corpus. A bit set for two phrases lets a pass count a phrase more than it had to, which changes no result.
@@ -29,12 +31,13 @@ from xxhash import xxh64_intdigest
 from .common import arrow_map, buffers, distinct_spans, flat, materialize, mix64, pieces, span_hashes, words
 
 MOST_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-#: Share of documents in the sample. A phrase is proposed at half the count that MIN_COUNT gives to expect there.
-SAMPLE_SHARE = 1 / 16
+#: Share of the text in the sample: a stretch of STRETCH bytes every so often, so that what repeats within one document is seen
+#: as well. A phrase is proposed at half the count that MIN_COUNT gives to expect there.
+SAMPLE_SHARE, STRETCH = 1 / 16, 512
 #: Bits of the filter of proposed phrases (16 MiB).
 FILTER_BITS = 1 << 27
 #: Bytes of text whose phrases are counted at once in a task.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Groups that a language's phrases are dealt into before the last ranking, which sees TOP rows of each.
 DEALT = 256
 
@@ -107,20 +110,35 @@ class Piece:
             at, key = at[:-1][both], key[:-1][both]
             key = mix64(key * _STEP + self.hash[at + k])
 
-    def counts(self, chosen: Filter, counted: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Words of a phrase, where each distinct phrase begins first, and how often it occurs; without those counted before."""
-        before = {k: at for k, at, _ in self.levels(counted)} if counted is not None else {}
+    def counts(self, chosen: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Words of a phrase, where each distinct phrase of a first pass begins first, and how often it occurs."""
         number, many = np.zeros(len(self.word), np.int64), int(self.word.max(initial=0)) + 1
         for k, at, _ in self.levels(chosen):
             ids = self.word if k == 1 else number[at] * many + self.word[at + k - 1]
             _, first, inverse, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
             number[at] = inverse.reshape(-1)
-            first = at[first]
-            if counted is not None:
-                known = np.zeros(len(self.word) + 1, bool)
-                known[before[k]] = True
-                first, n = first[~known[first]], n[~known[first]]
-            yield k, first, n
+            yield k, at[first], n
+
+    def expansion(self, chosen: Filter, failed: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same for phrases that hold a failure and have frequent words only; without those of the first pass."""
+        holds = failed.has(self.hash)
+        often, many = chosen.has(self.hash) | holds, int(self.word.max(initial=0)) + 1
+        whole = often
+        for k, at, key in self.levels(chosen):
+            if k == 1:
+                continue
+            end = max(0, len(self.word) - k + 1)
+            whole = whole[:end] & often[k - 1 :] & self.joined[k - 2 :]
+            holds = holds[:end] | holds[1 : end + 1]
+            known = np.zeros(end, bool)
+            known[at] = True
+            picked = np.flatnonzero(whole & holds & ~known)
+            holds[at[failed.has(key)]] = True
+            ids = self.word[picked]
+            for j in range(1, k):
+                ids = np.unique(ids, return_inverse=True)[1].reshape(-1) * many + self.word[picked + j]
+            _, first, n = np.unique(ids, return_index=True, return_counts=True)
+            yield k, picked[first], n
 
     def phrases(self, first: np.ndarray, k: int) -> pa.Array:
         """Texts of the phrases of k words from these words on."""
@@ -150,47 +168,54 @@ def _bits(keys: DataFrame) -> DataFrame:
     return keys.transform(arrow_map, run, "slot int, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
 
 
-def _with(chosen: Filter, keys: DataFrame) -> tuple[Filter, bool]:
-    """The filter with more keys, and whether that changed it. What reaches the driver is the filter itself, FILTER_BITS at most."""
-    found = _bits(keys).toArrow()
-    slots = chosen.bits.copy().view(np.int64)
-    at, bits = found.column("slot").to_numpy(), found.column("bits").to_numpy()
-    changed = bool((bits & ~slots[at]).any())
-    slots[at] |= bits
-    return Filter(slots.view(np.uint8)), changed
+def gathered(keys: DataFrame) -> Filter:
+    """The filter of all keys. What reaches the driver is the filter itself, FILTER_BITS at most."""
+    found, out = _bits(keys).toArrow(), Filter.empty()
+    out.bits.view(np.int64)[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def stretches(data: np.ndarray, off: np.ndarray, langs: list[str], share: float, at: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A share of some texts, from byte `at` of them on, as texts of their own; words torn at their ends are proposals too many at most."""
+    begin = np.arange(at, len(data), max(STRETCH, round(STRETCH / share)))
+    row = np.searchsorted(off, begin, "right") - 1
+    size = np.minimum(STRETCH, off[row + 1] - begin)
+    return data[flat(begin, size)], np.concatenate([[0], np.cumsum(size)]), [langs[r] for r in row.tolist()]
 
 
 def proposed(docs: DataFrame, share: float = SAMPLE_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
-    """Keys of phrases that are frequent in a sample of the documents, at half the count to expect of a frequent one."""
+    """Keys of phrases that are frequent in a sample of the texts, at half the count to expect of a frequent one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=PIECE_BYTES):
-            piece = Piece(*buffers(batch.column("text")), batch.column("lang").to_pylist())
+        chance = np.random.default_rng(13)
+        for batch in pieces(batches, limit=round(PIECE_BYTES / max(share, 1 / 16))):
+            at = int(chance.integers(0, max(STRETCH, round(STRETCH / share))))
+            piece = Piece(*stretches(*buffers(batch.column("text")), batch.column("lang").to_pylist(), share, 0 if share >= 1 else at))
             for k, _, key in piece.levels(None):
                 if k < MOST_WORDS and len(key):
                     keys, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    counts = _texts(docs.sample(share, seed=13)).transform(arrow_map, run, "key bigint, n bigint")
+    counts = _texts(docs).transform(arrow_map, run, "key bigint, n bigint")
     return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, int(min_count * share / 2))).select("key")
 
 
-def counted(docs: DataFrame, chosen: Filter, before: Filter | None) -> DataFrame:
-    """lang, words, phrase and n of all phrases whose two parts are chosen, without those of the filter before.
+def counted(docs: DataFrame, chosen: Filter, failed: Filter | None = None) -> DataFrame:
+    """lang, words, phrase and n of all phrases of the first pass, or, with its failures, of the expansion pass.
 
-    Without a filter before, a row of no words a language has the number of its words.
+    The first pass also has a row of no words for each language, with the number of its words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((chosen.bits, None if before is None else before.bits))
+    sent = docs.sparkSession.sparkContext.broadcast((chosen.bits, None if failed is None else failed.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, old = (None if b is None else Filter(b) for b in sent.value)
+        now, missed = (None if b is None else Filter(b) for b in sent.value)
         for batch in pieces(batches, limit=PIECE_BYTES):
             piece = Piece(*buffers(batch.column("text")), batch.column("lang").to_pylist())
             names = pa.array(piece.langs, pa.string())
-            if old is None:
+            if missed is None:
                 n = np.bincount(piece.lang, minlength=len(names))
                 yield pa.RecordBatch.from_arrays([names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(n)], names=["lang", "words", "phrase", "n"])
-            for k, first, n in piece.counts(now, old):
+            for k, first, n in piece.counts(now) if missed is None else piece.expansion(now, missed):
                 for at in range(0, len(first), 1 << 16):
                     some = first[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([
@@ -201,8 +226,9 @@ def counted(docs: DataFrame, chosen: Filter, before: Filter | None) -> DataFrame
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _keys(phrases: DataFrame) -> DataFrame:
-    """Keys of phrases given by their text."""
+def lacking(phrases: DataFrame, chosen: Filter) -> DataFrame:
+    """Keys of the phrases that are not proposed."""
+    sent = phrases.sparkSession.sparkContext.broadcast(chosen.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaces = np.zeros(256, bool)
@@ -216,20 +242,19 @@ def _keys(phrases: DataFrame) -> DataFrame:
             for k in range(1, int(many.max(initial=1))):
                 more = many > k
                 key[more] = mix64(key[more] * _STEP + piece.hash[begin[more] + k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[~Filter(sent.value).has(key)].view(np.int64))], names=["key"])
 
     return phrases.transform(arrow_map, run, "key bigint")
 
 
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, share: float = SAMPLE_SHARE) -> DataFrame:
     """lang, words, phrase and n of every phrase of 1 .. MOST_WORDS words that occurs min_count times or more; words = 0: all words."""
-    chosen, before, found = _with(Filter.empty(), proposed(docs, share, min_count))[0], None, None
-    while True:
-        fresh = materialize(counted(docs, chosen, before).where((F.col("n") >= min_count) | (F.col("words") == 0)), "phrases")
-        found = fresh if found is None else found.unionByName(fresh)
-        before, (chosen, failed) = chosen, _with(chosen, _keys(fresh.where(F.col("words").between(1, MOST_WORDS - 1))))
-        if not failed:
-            return found
+    chosen = gathered(proposed(docs, share, min_count))
+    found = materialize(counted(docs, chosen).where((F.col("n") >= min_count) | (F.col("words") == 0)), "phrases")
+    failed = gathered(lacking(found.where(F.col("words").between(1, MOST_WORDS - 1)), chosen))
+    if not failed.bits.any():
+        return found
+    return found.unionByName(materialize(counted(docs, chosen, failed).where(F.col("n") >= min_count), "phrases"))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, share: float = SAMPLE_SHARE) -> DataFrame:
