@@ -185,7 +185,7 @@ def brute_phrases(rows, least, top=2000):
 
 @pytest.mark.parametrize("share", [1 / 16, 1.0, 1e-9])
 def test_phrases_are_exact_whatever_the_sample(spark, share):
-    """Even a sample of nothing, where every frequent phrase is a failure of the border, gives all phrases."""
+    """Even a sample of nothing, where every frequent word is a failure of the border, gives all phrases."""
     docs = documents(spark).where("doc_id < 120")
     got = sorted(tuple(r) for r in phrases.collocations(docs, 12, 50, share).collect())
     assert got == brute_phrases([(r.text, r.lang) for r in docs.collect()], 12, 50) and len(got) > 30

@@ -1,18 +1,20 @@
 """Phrase collocation mining after Toivonen: a sample proposes phrases, full passes count them and their negative border.
 
-A phrase can only be frequent if its first words without the last, and its last words without the first, are. So a pass
-over all texts counts, beside all single words, every phrase whose two such parts are proposed: this covers the proposed
-phrases and the whole negative border (what is not proposed although its parts are), as far as it occurs at all. If a
-phrase of the border turns out to be frequent, the sample missed it: a failure. Any frequent phrase that the pass did not
-count holds a failure, for its smallest part that is not proposed is in the border, and as frequent at least. So the
-expansion pass counts, at any length at once, what holds a failure and only has frequent words, and with it the set is
-closed; without failures it is closed after the first pass. The result is exact, whatever the sample was.
-
-Proposed phrases are held by hash in a filter of FILTER_BITS bits, the one thing that every task gets; its size does not
-grow with the corpus. A bit set for two phrases lets a pass count a phrase more than it had to, which changes no result.
-Counting itself compares words, not hashes: within a piece of text phrases get numbers from their words, each distinct
-phrase leaves with its count, and grouping by the phrase adds up, with sums in each task first, so that a very common
-phrase or language is a row a task. Texts are never shuffled.
+A phrase can only be frequent if its first words without the last, and its last words without the first, are. So the first
+pass over all texts counts, beside all single words, every phrase whose two such parts are proposed: this covers the
+proposed phrases and the whole negative border (what is not proposed although its parts are), as far as it occurs at all.
+It counts by 64-bit keys, so that the many phrases of the border, nearly all of them rare, travel as numbers; as keys could
+collide, these counts are upper bounds. If a phrase of the border is frequent, the sample missed it: a failure. Any frequent
+phrase that the pass did not count holds a failure, for its smallest part that is not proposed is in the border, and as
+frequent at least. So the second pass counts, word by word, all phrases with a frequent key, and expands all failures: it
+also counts, at any length at once, what holds a failure and only has frequent words. With it the set is closed, and the
+result exact, whatever the sample was and whichever keys collide.
+
+Phrases that are proposed, frequent by their keys, or failures are held in filters of FILTER_BITS bits, the one thing that
+every task gets; their size does not grow with the corpus. A bit set for two phrases lets a pass count a phrase more than
+it had to, which changes no result. In a task phrases get numbers from their words, each distinct phrase leaves with its
+count, and grouping adds up, with sums in each task first, so that a very common phrase or language is a row a task. Texts
+are never shuffled.
 
 Null text counts as empty, null language as `und`. A very long text is a piece of its own. Repeated rows count each; ids
 are not read. Ties of score go by frequency, then by the phrase's bytes. An empty table gives no phrases. Extra columns are ignored.
@@ -20,7 +22,9 @@ are not read. Ties of score go by frequency, then by the phrase's bytes. An empt
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,8 @@ MOST_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 SAMPLE_SHARE, STRETCH = 1 / 16, 512
 #: Bits of the filter of proposed phrases (16 MiB).
 FILTER_BITS = 1 << 27
-#: Bytes of text whose phrases are counted at once in a task.
-PIECE_BYTES = 1 << 20
+#: Bytes of text that a task works on at once, and keys that it holds before they are counted.
+PIECE_BYTES, HELD_KEYS = 1 << 20, 1 << 22
 #: Groups that a language's phrases are dealt into before the last ranking, which sees TOP rows of each.
 DEALT = 256
 
@@ -72,9 +76,9 @@ class Filter:
 class Piece:
     """The words of some texts: lower-cased, with the language's hash in theirs, and which of them follow each other in a piece."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, langs: list[str], gap: np.ndarray = _GAP) -> None:
+    def __init__(self, data: np.ndarray, off: np.ndarray, langs: list[str]) -> None:
         lower = _LOWER[data]
-        starts, stops, bounds = words(lower, off, gap)
+        starts, stops, bounds = words(lower, off, _GAP)
         names = list(dict.fromkeys(langs))
         number = {x: i for i, x in enumerate(names)}
         per_row = np.array([number[x] for x in langs], np.int64)
@@ -84,17 +88,23 @@ class Piece:
         splits = np.concatenate([[0], np.cumsum(_SPLIT[lower])])
         self.joined = splits[starts[1:]] == splits[stops[:-1]]
         self.joined[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(starts))] - 1] = False
-        self._texts(lower, starts, stops)
-
-    def _texts(self, lower: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
-        """All words with one space behind each, so that a phrase is a slice, and the words' numbers by language and bytes."""
+        self._spans = lower, starts, stops
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        """Numbers of the words, by language and bytes."""
+        same = distinct_spans(*self._spans)[1]
+        return np.unique(same * max(1, len(self.langs)) + self.lang, return_inverse=True)[1].reshape(-1)
+
+    @cached_property
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words with one space behind each, so that a phrase is a slice, and where each word begins and ends there."""
+        lower, starts, stops = self._spans
         lengths = stops - starts
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.begins = self.ends - lengths
-        self.text = np.full(int(lengths.sum()) + len(starts), 0x20, np.uint8)
-        self.text[flat(self.begins, lengths)] = lower[flat(starts, lengths)]
-        _, same = distinct_spans(lower, starts, stops)
-        self.word = np.unique(same * max(1, len(self.langs)) + self.lang, return_inverse=True)[1].reshape(-1)
+        ends = np.cumsum(lengths + 1) - 1
+        text = np.full(int(lengths.sum()) + len(starts), 0x20, np.uint8)
+        text[flat(ends - lengths, lengths)] = lower[flat(starts, lengths)]
+        return text, ends - lengths, ends
 
     def levels(self, chosen: Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For 1 .. MOST_WORDS words: where the phrases begin whose two parts are chosen (all, without a filter), and their keys."""
@@ -110,41 +120,36 @@ class Piece:
             at, key = at[:-1][both], key[:-1][both]
             key = mix64(key * _STEP + self.hash[at + k])
 
-    def counts(self, chosen: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Words of a phrase, where each distinct phrase of a first pass begins first, and how often it occurs."""
-        number, many = np.zeros(len(self.word), np.int64), int(self.word.max(initial=0)) + 1
-        for k, at, _ in self.levels(chosen):
-            ids = self.word if k == 1 else number[at] * many + self.word[at + k - 1]
-            _, first, inverse, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
-            number[at] = inverse.reshape(-1)
-            yield k, at[first], n
-
-    def expansion(self, chosen: Filter, failed: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The same for phrases that hold a failure and have frequent words only; without those of the first pass."""
+    def picked(self, chosen: Filter, often: Filter, failed: Filter) -> Iterator[tuple[int, np.ndarray]]:
+        """Words of a phrase, and where those begin that the second pass counts: with a frequent key, or expanding a failure."""
         holds = failed.has(self.hash)
-        often, many = chosen.has(self.hash) | holds, int(self.word.max(initial=0)) + 1
-        whole = often
+        words = whole = often.has(self.hash)
         for k, at, key in self.levels(chosen):
-            if k == 1:
-                continue
-            end = max(0, len(self.word) - k + 1)
-            whole = whole[:end] & often[k - 1 :] & self.joined[k - 2 :]
-            holds = holds[:end] | holds[1 : end + 1]
-            known = np.zeros(end, bool)
-            known[at] = True
-            picked = np.flatnonzero(whole & holds & ~known)
+            end = max(0, len(self.hash) - k + 1)
+            if k > 1:
+                whole = whole[:end] & words[k - 1 :] & self.joined[k - 2 :]
+                holds = holds[:end] | holds[1 : end + 1]
+            take = whole & holds
+            take[at] = often.has(key)  # the first pass counted these
             holds[at[failed.has(key)]] = True
-            ids = self.word[picked]
+            yield k, np.flatnonzero(take)
+
+    def counts(self, chosen: Filter, often: Filter, failed: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Words of a phrase, where each distinct phrase of the second pass begins first, and how often it occurs."""
+        many = int(self.word.max(initial=0)) + 1
+        for k, at in self.picked(chosen, often, failed):
+            ids = self.word[at]
             for j in range(1, k):
-                ids = np.unique(ids, return_inverse=True)[1].reshape(-1) * many + self.word[picked + j]
+                ids = np.unique(ids, return_inverse=True)[1].reshape(-1) * many + self.word[at + j]
             _, first, n = np.unique(ids, return_index=True, return_counts=True)
-            yield k, picked[first], n
+            yield k, at[first], n
 
     def phrases(self, first: np.ndarray, k: int) -> pa.Array:
         """Texts of the phrases of k words from these words on."""
-        begins, lengths = self.begins[first], self.ends[first + k - 1] - self.begins[first]
+        text, begins, ends = self.spaced
+        begins, lengths = begins[first], ends[first + k - 1] - begins[first]
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(self.text[flat(begins, lengths)]))
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text[flat(begins, lengths)]))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -183,78 +188,83 @@ def stretches(data: np.ndarray, off: np.ndarray, langs: list[str], share: float,
     return data[flat(begin, size)], np.concatenate([[0], np.cumsum(size)]), [langs[r] for r in row.tolist()]
 
 
+def _summed(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Keys and how often they occur, for HELD_KEYS of them at a time."""
+    held, size = [np.zeros(0, np.uint64)], 0
+    for last, keys in itertools.chain(((False, k) for k in batches), [(True, np.zeros(0, np.uint64))]):
+        held.append(keys)
+        size += len(keys)
+        if size >= HELD_KEYS or (last and size):
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(found), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], names=["key", "n"])
+            held, size = [np.zeros(0, np.uint64)], 0
+
+
 def proposed(docs: DataFrame, share: float = SAMPLE_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
     """Keys of phrases that are frequent in a sample of the texts, at half the count to expect of a frequent one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         chance = np.random.default_rng(13)
         for batch in pieces(batches, limit=round(PIECE_BYTES / max(share, 1 / 16))):
             at = int(chance.integers(0, max(STRETCH, round(STRETCH / share))))
             piece = Piece(*stretches(*buffers(batch.column("text")), batch.column("lang").to_pylist(), share, 0 if share >= 1 else at))
-            for k, _, key in piece.levels(None):
-                if k < MOST_WORDS and len(key):
-                    keys, n = np.unique(key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            yield from (key for k, _, key in piece.levels(None) if k < MOST_WORDS)
 
-    counts = _texts(docs).transform(arrow_map, run, "key bigint, n bigint")
+    counts = _texts(docs).transform(arrow_map, lambda b: _summed(keys(b)), "key bigint, n bigint")
     return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, int(min_count * share / 2))).select("key")
 
 
-def counted(docs: DataFrame, chosen: Filter, failed: Filter | None = None) -> DataFrame:
-    """lang, words, phrase and n of all phrases of the first pass, or, with its failures, of the expansion pass.
-
-    The first pass also has a row of no words for each language, with the number of its words.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((chosen.bits, None if failed is None else failed.bits))
+def frequent_keys(docs: DataFrame, chosen: Filter, min_count: int = MIN_COUNT) -> DataFrame:
+    """The first pass: keys, of the phrases that are proposed or in their border, that occur min_count times or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(chosen.bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, missed = (None if b is None else Filter(b) for b in sent.value)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in pieces(batches, limit=PIECE_BYTES):
             piece = Piece(*buffers(batch.column("text")), batch.column("lang").to_pylist())
-            names = pa.array(piece.langs, pa.string())
-            if missed is None:
-                n = np.bincount(piece.lang, minlength=len(names))
-                yield pa.RecordBatch.from_arrays([names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(n)], names=["lang", "words", "phrase", "n"])
-            for k, first, n in piece.counts(now) if missed is None else piece.expansion(now, missed):
-                for at in range(0, len(first), 1 << 16):
-                    some = first[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([
-                        names.take(pa.array(piece.lang[some])), pa.array(np.full(len(some), k, np.int32)), piece.phrases(some, k), pa.array(n[at : at + (1 << 16)]),
-                    ], names=["lang", "words", "phrase", "n"])
+            yield from (key for _, _, key in piece.levels(Filter(sent.value)))
 
-    rows = _texts(docs).transform(arrow_map, run, "lang string, words int, phrase string, n bigint")
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    counts = _texts(docs).transform(arrow_map, lambda b: _summed(keys(b)), "key bigint, n bigint")
+    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("key")
 
 
-def lacking(phrases: DataFrame, chosen: Filter) -> DataFrame:
-    """Keys of the phrases that are not proposed."""
-    sent = phrases.sparkSession.sparkContext.broadcast(chosen.bits)
+def lacking(keys: DataFrame, chosen: Filter) -> DataFrame:
+    """The keys that are not proposed."""
+    sent = keys.sparkSession.sparkContext.broadcast(chosen.bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces = np.zeros(256, bool)
-        spaces[0x20] = True
         for batch in batches:
-            data, off = buffers(batch.column("phrase"))
-            piece = Piece(data, off, batch.column("lang").to_pylist(), spaces)
-            many = batch.column("words").to_numpy()
-            begin = np.cumsum(many) - many
-            key = piece.hash[begin]
-            for k in range(1, int(many.max(initial=1))):
-                more = many > k
-                key[more] = mix64(key[more] * _STEP + piece.hash[begin[more] + k])
-            yield pa.RecordBatch.from_arrays([pa.array(key[~Filter(sent.value).has(key)].view(np.int64))], names=["key"])
+            yield batch.filter(pa.array(~Filter(sent.value).has(batch.column("key").to_numpy().view(np.uint64))))
+
+    return keys.transform(arrow_map, run, "key bigint")
+
+
+def counted(docs: DataFrame, chosen: Filter, often: Filter, failed: Filter) -> DataFrame:
+    """The second pass: lang, words, phrase and n; a row of no words for each language has the number of its words."""
+    sent = docs.sparkSession.sparkContext.broadcast((chosen.bits, often.bits, failed.bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = [Filter(b) for b in sent.value]
+        for batch in pieces(batches, limit=PIECE_BYTES):
+            piece = Piece(*buffers(batch.column("text")), batch.column("lang").to_pylist())
+            names = pa.array(piece.langs, pa.string())
+            n = np.bincount(piece.lang, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(n)], names=["lang", "words", "phrase", "n"])
+            for k, first, n in piece.counts(*filters):
+                yield pa.RecordBatch.from_arrays([
+                    names.take(pa.array(piece.lang[first])), pa.array(np.full(len(first), k, np.int32)), piece.phrases(first, k), pa.array(n),
+                ], names=["lang", "words", "phrase", "n"])
 
-    return phrases.transform(arrow_map, run, "key bigint")
+    rows = _texts(docs).transform(arrow_map, run, "lang string, words int, phrase string, n bigint")
+    return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, share: float = SAMPLE_SHARE) -> DataFrame:
     """lang, words, phrase and n of every phrase of 1 .. MOST_WORDS words that occurs min_count times or more; words = 0: all words."""
     chosen = gathered(proposed(docs, share, min_count))
-    found = materialize(counted(docs, chosen).where((F.col("n") >= min_count) | (F.col("words") == 0)), "phrases")
-    failed = gathered(lacking(found.where(F.col("words").between(1, MOST_WORDS - 1)), chosen))
-    if not failed.bits.any():
-        return found
-    return found.unionByName(materialize(counted(docs, chosen, failed).where(F.col("n") >= min_count), "phrases"))
+    keys = materialize(frequent_keys(docs, chosen, min_count), "frequent-keys")
+    often, failed = gathered(keys), gathered(lacking(keys, chosen))
+    return materialize(counted(docs, chosen, often, failed).where((F.col("n") >= min_count) | (F.col("words") == 0)), "phrases")
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, share: float = SAMPLE_SHARE) -> DataFrame:
