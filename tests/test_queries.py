@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewater.plans import queries, tasks  # noqa: F401  (they register)
+from tidewater.plans import mining, queries, tasks  # noqa: F401  (they register)
 from tidewater.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"

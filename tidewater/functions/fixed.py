@@ -67,5 +67,8 @@ RECORD_TYPES = {
 # Similarity bands of stories.
 MERGE_AT, POSSIBLE_AT = 0.95, 0.82
 
+# Likeness of names of one entity.
+FUZZY_AT = 0.88
+
 # The ten bins' edges as a linear space in doubles has them.
 BIN_EDGES = [0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0]

@@ -62,3 +62,32 @@ def ranking(predicted: DataFrame, actual: DataFrame, group: str, item: str, gain
         group, "hits", "n_predicted", "n_actual", p.alias("precision"), r.alias("recall"), F.when(F.col("hits") == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"),
         (F.col("ap") / F.col("n_actual")).alias("average_precision"), F.when(F.col("ideal") == 0, 0.0).otherwise(F.col("dcg") / F.col("ideal")).alias("ndcg"),
     )
+
+
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row `roc_auc`: the chance that a positive has the higher score of a positive and a negative, ties counting half; null with one class only.
+
+    By mid-ranks: scores are counted first, then summed over ranges of scores. Rows without score or label do not count.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    by_score = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
+    run = running_sums(by_score, [F.col("s")], {"below": "neg"})
+    sums = run.agg(F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return sums.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / (F.col("p") * F.col("n"))).alias("roc_auc"))
+
+
+def calibrated(df: DataFrame, label: str, score: str, out: str = "calibrated", fitted: DataFrame | None = None) -> DataFrame:
+    """df with `out`: the score as a probability, by isotonic regression of the labels on the scores of `fitted` (df itself by default).
+
+    Rows are counted by distinct score first. Blocks are pooled within ranges of scores and then at their seams; scores
+    between two blocks are interpolated. Null without a score, or without a labelled row.
+    """
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = (df if fitted is None else fitted).where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    by_score = rows.groupBy(F.col(score).cast("double").alias("_score")).agg(F.avg(F.col(label).cast("double")).alias("_rate"), F.count("*").cast("double").alias("_weight"))
+    if by_score.isEmpty():
+        return df.withColumn(out, F.lit(None).cast("double"))
+    model = IsotonicRegression(featuresCol="_score", labelCol="_rate", weightCol="_weight", predictionCol="_calibrated").fit(by_score)
+    asked = df.select("*", F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_score"))
+    return model.transform(asked).withColumn(out, F.when(F.col(score).isNotNull(), F.col("_calibrated"))).drop("_score", "_calibrated")

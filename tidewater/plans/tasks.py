@@ -90,12 +90,12 @@ def window_status_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TYPES = ["signup", "click", "view", "purchase"]
-LOOKUP = f"""SELECT entity_id, max_by(day, k || day) AS created_ts FROM (SELECT user_id::VARCHAR AS entity_id, ts::DATE::VARCHAR AS day, list_position({_TYPES}, event_type) AS k FROM events WHERE event_type IN {tuple(_TYPES)} AND event_id % 3 = 0) GROUP BY 1"""
+LOOKUP = f"""SELECT entity_id, max_by(day, k || day) AS created_ts FROM (SELECT user_id::VARCHAR AS entity_id, ts::DATE::VARCHAR AS day, list_position({_TYPES}, event_type) AS k FROM events WHERE event_type IN {tuple(_TYPES)}) GROUP BY 1"""
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Dates of users, from a table for each kind of event; some events are undated."""
-    events = table(spark, d, "events").select("user_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("ts"))
+    """Dates of users, from a table for each kind of event; users without an event have none."""
+    events = table(spark, d, "events").select("user_id", "event_type", "ts")
     return R.day_lookup([events.where(F.col("event_type") == k) for k in _TYPES], "user_id", "ts")
 
 

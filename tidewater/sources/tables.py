@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from ..functions.fixed import RECORD_TYPES
 from ..operators.features import tier_filter
-from ..operators.ranges import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -137,15 +137,24 @@ def upsert_json(df: DataFrame, path: str, key: str, order: str) -> None:
 
 
 def merge_table(new: DataFrame, path: str, keys: list[str], score: Column, order: Column) -> None:
-    """Existing and new rows, the best of each key, written beside the old table and then put in its place.
+    """Existing and new rows of a plain Parquet folder, the best of each key; `versions.merge` does this for committed tables.
 
-    The result is whole in the shared folder before the old table is overwritten, so a job that fails there can be repeated.
+    The result is written beside the old table and moved in its place by two renames, so that a write that fails leaves the
+    old rows; if a job ends between the renames, the next call puts the old table back first.
     """
     from ..operators.dedup import upsert
 
     spark = new.sparkSession
-    old = spark.read.parquet(path)
-    written(upsert(old, new, keys, score, order), "merge").write.mode("overwrite").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    before, after = where(f"{path.rstrip('/')}.before"), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    if fs.exists(before) and not fs.exists(where(path)):
+        fs.rename(before, where(path))
+    upsert(spark.read.parquet(path), new, keys, score, order).write.parquet(after)
+    fs.delete(before, True)
+    if not (fs.rename(where(path), before) and fs.rename(where(after), where(path))):
+        raise OSError(f"{path} could not be replaced; its rows are in it or in {path}.before")
+    fs.delete(before, True)
 
 
 def write_batch(df: DataFrame, root: str, batch_id: str, kind: str) -> None:
