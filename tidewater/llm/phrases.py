@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, buffers, distinct_spans, flat, materialize, mix64, pieces, span_hashes, words
+from .common import arrow_map, buffers, distinct_spans, flat, materialize, mix64, pieces, release, span_hashes, words
 
 MOST_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Share of the text in the sample: a stretch of STRETCH bytes every so often, so that what repeats within one document is seen
 #: as well. A phrase is proposed at half the count that MIN_COUNT gives to expect there.
 SAMPLE_SHARE, STRETCH = 1 / 16, 512
-#: Bits of the filter of proposed phrases (16 MiB).
-FILTER_BITS = 1 << 27
+#: Bits of a filter of phrases (8 MiB).
+FILTER_BITS = 1 << 26
 #: Bytes of text that a task works on at once, and keys that it holds before they are counted.
-PIECE_BYTES, HELD_KEYS = 1 << 20, 1 << 22
+PIECE_BYTES, HELD_KEYS = 1 << 20, 1 << 20
 #: Groups that a language's phrases are dealt into before the last ranking, which sees TOP rows of each.
 DEALT = 256
 
@@ -199,6 +199,7 @@ def _summed(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(found), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], names=["key", "n"])
             held, size = [np.zeros(0, np.uint64)], 0
+            release()
 
 
 def proposed(docs: DataFrame, share: float = SAMPLE_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
