@@ -13,6 +13,8 @@ from .ranges import written
 
 #: Rows that the cells' centres are fitted on, rounds of fitting, and the most cells.
 SAMPLE_ROWS, ROUNDS, MOST_CELLS = 20_000, 8, 4096
+#: Rows of the sample that the number of probes is measured on.
+ASKED = 200
 #: Rows of a cell, and queries of a cell, that meet in one task.
 BLOCK = 4096
 
@@ -31,11 +33,14 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
 
 
-def centres(rows: DataFrame, cells: int | None = None) -> np.ndarray:
-    """Centres of cells from SAMPLE_ROWS rows at most, in order of a hash; all rows are indexed by them afterwards."""
+def centres(rows: DataFrame, k: int, cells: int | None = None, recall: float = 0.95) -> tuple[np.ndarray, int]:
+    """Centres of cells from SAMPLE_ROWS rows at most, in order of a hash, and the probes that find `recall` of the k nearest there.
+
+    All rows are indexed by these centres afterwards. The probes are measured on ASKED rows of the sample, each against all of it.
+    """
     sample = rows.withColumn("h", F.xxhash64("id", F.lit(5))).orderBy("h", "id").limit(SAMPLE_ROWS).select("vec").toArrow()
     if not sample.num_rows:
-        return np.zeros((0, 1))
+        return np.zeros((0, 1)), 0
     x = unit_rows(sample.column("vec").combine_chunks())
     n = min(len(x), cells or max(1, min(MOST_CELLS, round(len(x) ** 0.5))))
     c = x[np.linspace(0, len(x) - 1, n).astype(int)].copy()
@@ -45,7 +50,14 @@ def centres(rows: DataFrame, cells: int | None = None) -> np.ndarray:
         np.add.at(sums, near, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(length > 0, sums / np.where(length > 0, length, 1), c)
-    return c
+    asked = np.arange(min(ASKED, len(x)))
+    cosine = x[asked] @ x.T
+    cosine[asked, asked] = -2
+    best = np.argsort(-cosine, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(x[asked] @ c.T), axis=1, kind="stable"), axis=1, kind="stable")  # of each cell among a row's
+    near = (x @ c.T).argmax(axis=1)
+    at = np.sort(np.take_along_axis(place, near[best], axis=1).ravel())
+    return c, int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1 if len(at) else 1
 
 
 def _celled(rows: DataFrame, c: np.ndarray, probes: int) -> DataFrame:
@@ -100,15 +112,16 @@ def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield from found()
 
 
-def shortlist(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 10, probes: int = 8, cells: int | None = None) -> DataFrame:
+def shortlist(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 10, probes: int | None = None, cells: int | None = None, recall: float = 0.95) -> DataFrame:
     """query_id, rank, id and cosine: of each query the k rows of highest cosine in the cells of its nearest centres.
 
-    Every row is in one cell. Rows of a large cell are dealt into blocks and so are a cell's many queries; each block meets
+    Without `probes` they are as many as find `recall` of the k nearest in the sample. Every row is in one cell. Rows of a large cell are dealt into blocks and so are a cell's many queries; each block meets
     each in one task, which returns k rows a query. With probes = cells the result is exact. Rows without a vector, or with
     one of zeros or that is not finite, are in no list; vectors have one length.
     """
     rows = usable(vectors, id_col, vector)
-    c = centres(rows, cells)
+    c, measured = centres(rows, k, cells, recall)
+    probes = probes or measured
     kind = rows.schema["id"].dataType.simpleString()
     if not len(c):
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank bigint, id {kind}, cosine double")

@@ -41,7 +41,7 @@ def fuzzy_name_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cosine_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most like vectors of every vector whose id is divisible by 50, by a coarse quantiser with 8 probes."""
+    """The ten most like vectors of every vector whose id is divisible by 50, by a coarse quantiser."""
     vectors = table(spark, d, "embeddings")
     return shortlist.shortlist(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
