@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from test_llm import FOLDER, ODD, documents, odd
 from tokenizers import Tokenizer
 
-from tidewater.llm import phrases, queries, token_files, vector_codes
+from tidewater.llm import fingerprints, phrases, queries, token_files, vector_codes
 
 
 def library():
@@ -205,3 +205,18 @@ def test_scores_pass_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "frequencies", lambda *_: spark.createDataFrame(big, "lang string, words int, phrase string, n bigint"))
     r = phrases.collocations(spark.range(0)).first()
     assert r.score == 1000 * (5 * 10**14 + 9) * (9 * 10**15 + 7) // ((7 * 10**14 + 3) * (6 * 10**14 + 1))
+
+
+def test_fingerprints_deal_rows_of_one_id(spark, monkeypatch):
+    """Null ids and copies of one id lie in many ranges, and every row still has the next one as its next."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 20_000)
+    rows = [(None, f"text {k % 500:03d}") for k in range(3000)] + [(7, "copy")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    pairs = Counter((i, t, want[(k + 1) % len(want)][1]) for k, (i, t) in enumerate(want))
+    dealt = fingerprints.with_next(df)
+    assert Counter((r.doc_id, r.text, r.next_text) for r in dealt.collect()) == pairs
+    seen = fingerprints.compare_with_edits(df)
+    assert seen.count() == 5000 and seen.where("doc_id = 7 and near_next = 1").count() == 1999
+    assert fingerprints.with_next(df.limit(0)).count() == 0
+    assert [tuple(r) for r in fingerprints.with_next(df.limit(1)).collect()] == [(None, "text 000", "text 000")]

@@ -6,30 +6,32 @@ quartiles relate. The difference of two digests is the sum of class steps and he
 that unrelated digests reach, so that likeness lies between 0 and 1.
 
 Null text counts as empty. Texts under three bytes have no triplets, and all bucket classes are 0. Equal texts have
-equal fingerprints. Documents are put in order of descending id (null ids last, equal ids by text) by ranges of ids,
-never in one task; the ranges are as many as the corpus' bytes ask for, and the text of a range's first row is added
-to the range before it as its end. A very long text is a piece of its own. Repeated rows stay in the order and each
-has its own next document. A single document is its own next. An empty table gives no rows.
+equal fingerprints. Documents are put in order of descending id (null ids last; equal ids by the first 64 characters of
+their text, then by its hash, then by place) by ranges of all this, never in one task, so that neither null ids nor one id of
+very many rows meets in one. The ranges are as many as the corpus' bytes ask for; the last row of each goes to a table
+beside the first of the next, two rows a range, where they are compared. A very long text is a piece of its own. Repeated
+rows stay in the order and each has its own next document. A single document is its own next. An empty table gives no rows.
 Only doc_id and text are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, PIECE_BYTES, buffers, pieces
+from .common import PIECE_BYTES, arrow_map, buffers, materialize, pieces
 
 BUCKETS = 256
 #: Difference of two digests whose classes are independent: 1.25 steps a bucket.
 MOST = 1.25 * BUCKETS
-#: Bytes of text in a range of ids, about, and how many ranges there may be.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 50_000
+#: Bytes of text in a range of the order, about.
+RANGE_BYTES = 32 << 20
 _SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 
 
@@ -110,37 +112,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").transform(arrow_map, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def _part(value: Column, cuts: list[int]) -> Column:
-    """How many of the ascending cuts lie below a value: first among every n-th of them, then within that stretch."""
-    if not cuts:
-        return F.lit(0)
-    n = max(1, int(len(cuts) ** 0.5))
-    array = lambda v: F.array(*(F.lit(int(c)) for c in v)).cast("array<bigint>")
-    below = lambda a: F.size(F.filter(a, lambda c: c < value))
-    whole = F.greatest(below(array(cuts[::n])) - 1, F.lit(0)) * n
-    return (whole + below(F.slice(array(cuts), whole + 1, n))).cast("int")
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text: that of the document with the next lower id; the last has the first as its next."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
-    ranges = min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(_part(F.col("doc_id"), cuts)))
-    heads = {r["part"]: r["head"] for r in docs.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # one row per range
-    if not heads:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    order = sorted(heads, reverse=True)  # the highest ids first, null ids last
-    # A copy of each range's first row ends the range before it.
-    goes = spark.createDataFrame([(p, heads[p], order[i - 1]) for i, p in enumerate(order)], "part int, head bigint, goes int")
-    ends = docs.join(F.broadcast(goes), "part").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    rows = docs.select("part", "doc_id", "text", F.lit(False).alias("ends")).unionByName(ends.select(F.col("goes").alias("part"), "doc_id", "text", F.lit(True).alias("ends")))
-    rows = rows.repartitionByRange(len(order), "part")  # by what the corpus holds, not by the session's number; hashes would put several ranges together
-    down = Window.partitionBy("part").orderBy("ends", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.withColumn("next_text", F.lead("text").over(down)).where(~F.col("ends")).select("doc_id", "text", "next_text")
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+
+
+def _both(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch
+
+
+def with_next(docs: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch] = _both, fields: str = "text string, next_text string") -> DataFrame:
+    """doc_id and `fields`: what `make` gives for rows (doc_id, text, next_text), next_text being that of the document with the next lower id.
+
+    The last document has the first as its next. Texts are shuffled once.
+    """
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = held.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
+    keyed = held.withColumns({"_head": F.substring("text", 1, 64), "_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").desc_nulls_last(), "_head", "_hash", "_place"]
+    dealt = keyed.repartitionByRange(int(size) // RANGE_BYTES + 1, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = [f.split() for f in fields.split(", ")]
+
+    def asked(rows: pa.Table, after: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), rows.column("text").combine_chunks(), after], names=["doc_id", "text", "next_text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+        names = ["doc_id", *(n for n, _ in made), "part", "edge", "edge_text"]
+
+        def edge(row: pa.Table, number: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([row.column("doc_id").combine_chunks(), *(pa.nulls(1, _KINDS[k]) for _, k in made), pa.array([part], pa.int32()), pa.array([number], pa.int32()), row.column("text").combine_chunks()], names=names)
+
+        for batch in pieces(batches, limit=PIECE_BYTES):
+            rows = pa.Table.from_batches([batch])
+            if last is None:
+                yield edge(rows.slice(0, 1), 1)
+            else:
+                rows = pa.concat_tables([last, rows])
+            n = rows.num_rows - 1
+            if n:
+                out = make(asked(rows.slice(0, n), rows.column("text").slice(1).combine_chunks()))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([part] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+            last = rows.slice(n)
+        if last is not None:
+            yield edge(last, 2)
+
+    table = materialize(dealt.transform(arrow_map, run, f"doc_id {kind}, {fields}, part int, edge int, edge_text string"), "next")
+    firsts, lasts = (table.where(F.col("edge") == k).select("doc_id", "part", F.col("edge_text").alias("text")) for k in (1, 2))
+    every = Window.orderBy("part")
+    parts = firsts.select("part").select("part", F.coalesce(F.lead("part").over(every), F.min("part").over(every)).alias("ahead"))  # a number for each range
+    ends = lasts.join(parts, "part").join(firsts.select(F.col("part").alias("ahead"), F.col("text").alias("next_text")), "ahead").select("doc_id", "text", "next_text")
+    seams = ends.transform(arrow_map, lambda batches: (make(b) for b in pieces(batches)), f"doc_id {kind}, {fields}")
+    return table.where("edge = 0").select("doc_id", *(n for n, _ in made)).unionByName(seams)
 
 
 def edited(text: str, following: str) -> str:
@@ -152,20 +174,18 @@ def edited(text: str, following: str) -> str:
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that of the next document's."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=PIECE_BYTES):
-            texts, nexts = batch.column("text").to_pylist(), batch.column("next_text").to_pylist()
-            changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
-            own = digests(*buffers(batch.column("text")))
-            apart = [i for i in range(len(texts)) if i + 1 == len(texts) or nexts[i] != texts[i + 1]]  # else the next row has it
-            after = [*own[1:], ""]
-            for i, f in zip(apart, of_texts([nexts[i] for i in apart]), strict=True):
-                after[i] = f
-            new = of_texts(changed)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-                pa.array(own, pa.string()), pa.array(new, pa.string()), pa.array(likeness(own, new)), pa.array(likeness(own, after)),
-            ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_next(docs).transform(arrow_map, run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, nexts = batch.column("text").to_pylist(), batch.column("next_text").to_pylist()
+        changed = [edited(t, n) for t, n in zip(texts, nexts, strict=True)]
+        own = digests(*buffers(batch.column("text")))
+        apart = [i for i in range(len(texts)) if i + 1 == len(texts) or nexts[i] != texts[i + 1]]  # else the next row has it
+        after = [*own[1:], ""]
+        for i, f in zip(apart, of_texts([nexts[i] for i in apart]), strict=True):
+            after[i] = f
+        new = of_texts(changed)
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+            pa.array(own, pa.string()), pa.array(new, pa.string()), pa.array(likeness(own, new)), pa.array(likeness(own, after)),
+        ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+    return with_next(docs, make, "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
