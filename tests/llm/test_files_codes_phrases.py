@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from test_llm import FOLDER, ODD, documents, odd
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidewater.llm import fingerprints, phrases, queries, token_files, vector_codes
 
 
@@ -220,3 +221,16 @@ def test_fingerprints_deal_rows_of_one_id(spark, monkeypatch):
     assert seen.count() == 5000 and seen.where("doc_id = 7 and near_next = 1").count() == 1999
     assert fingerprints.with_next(df.limit(0)).count() == 0
     assert [tuple(r) for r in fingerprints.with_next(df.limit(1)).collect()] == [(None, "text 000", "text 000")]
+
+
+def test_pipeline_on_no_rows_and_without_labels(spark, tmp_path):
+    """No documents give no rows, no labels keep what passes the base rules, and the session's options stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = documents(spark).where("doc_id < 40").withColumn("prior", F.lit("x"))
+    rules = corpus_pipeline.rules_stage(spark, docs, str(tmp_path))
+    kept = corpus_pipeline.classifier_stage(spark, rules, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == rules.count() > 0 and spark.conf.get(key) == before

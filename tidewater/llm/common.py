@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import shared_dir
@@ -73,6 +73,19 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def text_filter(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], **more: Column) -> DataFrame:
+    """The rows of docs for which `keep` says so, of batches of `text` and more columns; only these go to the workers, other columns stay behind."""
+
+    names = ["text", *more]
+
+    def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for held in columns:
+            batch = pa.RecordBatch.from_arrays(list(held) if len(names) > 1 else [held], names=names)
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(keep(b) for b in pieces(iter([batch])))]), pa.bool_())
+
+    return docs.where(F.arrow_udf(run, "boolean")(docs["text"], *more.values()))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, from a stem."""
     taken = {c.lower() for c in df.columns}

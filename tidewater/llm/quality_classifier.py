@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, class_counts, free_name, materialize, pieces, words
+from .common import BROADCAST_BYTES, arrow_map, broadcast_if_small, buffers, class_counts, free_name, materialize, pieces, text_filter, words
 from .quality_rules import labelled_sample, one_per_id
 
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -179,10 +179,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, host: str = "source", p
     at = (F.coalesce(docs[host].cast("string"), F.lit("")) == F.col(own_host)) & (F.coalesce(docs[path].cast("string"), F.lit("")) == F.col(own_path))
     beside = docs.join(prior, at, "left").drop(own_host, own_path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            odds = model.evidence(features(*buffers(batch.column("text")))) + batch.column(own_prior).to_numpy(zero_copy_only=False)
-            keep = batch.filter(pa.array(~(odds < 0)))
-            yield keep.drop_columns([own_prior])
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        return ~(model.evidence(features(*buffers(batch.column("text")))) + batch.column("prior").to_numpy(zero_copy_only=False) < 0)
 
-    return beside.transform(arrow_map, run, docs.schema)
+    return text_filter(beside, keep, prior=F.col(own_prior)).drop(own_prior)

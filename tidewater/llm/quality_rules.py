@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, buffers, class_counts, keyed, per_row, pieces, rows_of, span_hashes, words
+from .common import arrow_map, buffers, class_counts, keyed, per_row, pieces, rows_of, span_hashes, text_filter, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Model features and the sign a feature's effect may have (0: free).
@@ -222,9 +222,8 @@ def judge(docs: DataFrame, model: Trees) -> DataFrame:
 def filter_documents(docs: DataFrame, model: Trees) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            base, x = statistics(*buffers(batch.column("text")))
-            yield batch.filter(pa.array(~base_failed(base) & (model.score(x) >= 0)))
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        base, x = statistics(*buffers(batch.column("text")))
+        return ~base_failed(base) & (model.score(x) >= 0)
 
-    return docs.transform(arrow_map, run, docs.schema)
+    return text_filter(docs, keep)
