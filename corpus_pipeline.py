@@ -1,4 +1,12 @@
-"""A training corpus from raw documents: five stages, each on all that the one before it kept."""
+"""A training corpus from raw documents: five stages, each on all that the one before it kept.
+
+Null and empty texts have no words and fall to the quality rules; very long texts are judged and cut whole. Rows that repeat
+an id are judged each on its own by rules and classifier; line dedup and the n-gram join take rows of one id as their own
+docstrings say, and ties go to the smaller id, then to the earlier line. Rows without an id pass line dedup and the join as
+they are. Extra columns go along through the first four stages, whatever their names; packing returns its own columns.
+Empty documents or labels give no rows and no failure: without labels all that passes the base rules is kept. No option
+of the session is changed.
+"""
 
 from __future__ import annotations
 
@@ -9,47 +17,32 @@ from tidewater.llm.common import materialize
 from tidewater.llm.queries import WORD_TOKENIZER
 
 
-#: Rows of an Arrow batch in this job, where the session has Spark's default: workers keep tokenizers and caches from stage to stage.
-BATCH_ROWS = "2000"
-
-
-def _short_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trees keep."""
-    _short_batches(spark)
     return quality_rules.filter_documents(docs, quality_rules.fit(docs, _labels(spark, sf_dir)))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is 1/2 or more."""
-    _short_batches(spark)
     return quality_classifier.filter_documents(docs, _labels(spark, sf_dir))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one line of each component of like lines; emptied documents go."""
-    _short_batches(spark)
     return line_dedup.filter_documents(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each component of near duplicates."""
-    _short_batches(spark)
     return ngram_join.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    _short_batches(spark)
     return packing.pack(docs, WORD_TOKENIZER)
 
 
