@@ -248,3 +248,53 @@ def test_merge_of_a_plain_table_loses_nothing(spark, tmp_path):
     (tmp_path / "t").rename(tmp_path / "t.before")  # as if a job had ended between its renames
     tables.merge_table(spark.createDataFrame([("b", 1, 1)], kind), path, ["id"], F.col("n"), F.col("ord"))
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "b"] and not (tmp_path / "t.before").exists()
+
+
+def test_a_saved_forest_predicts_without_fitting(spark, tmp_path, monkeypatch):
+    from tidewater.operators import tasks as K
+
+    rows = spark.createDataFrame([((i % 7) / 10, 5.0 * (i % 5 > 2) + i % 2, 1, int(i % 5 > 2), i) for i in range(60)], "epss_score double, cvss_score double, tag_count int, exploited int, ord int")
+    monkeypatch.setattr(K.ExploitTask, "trees", 7)
+    task = K.ExploitTask(rows)
+    first = {r.ord: r.score for r in task.predict().collect()}
+    assert task.save(str(tmp_path)) == 1 and task.save(str(tmp_path)) == 2
+    monkeypatch.setattr(K.ExploitTask, "_train", None)  # from here on nothing may be fitted
+    other = K.ExploitTask.load(rows.where("ord < 9"), str(tmp_path))
+    assert {r.ord: r.score for r in other.predict().collect()} == {i: s for i, s in first.items() if i < 9}
+    assert {r.ord: r.score for r in other.predict(rows.where("ord > 50")).collect()} == {i: s for i, s in first.items() if i > 50}
+    told = other.explain().collect()
+    assert {r.feature for r in told} == set(K.ExploitTask.inputs) and abs(sum(r.normalised for r in told) - 1) < 1e-9 and told == task.explain().collect()
+    with pytest.raises(FileNotFoundError):
+        K.ExploitTask.load(rows, str(tmp_path / "none"))
+
+
+def test_saved_tables_of_tasks(spark, tmp_path):
+    from tidewater.operators import tasks as K
+
+    rows = spark.createDataFrame([("s", "a", "2024-01-01", 1), ("s", "b", "2024-01-02", 2), ("r", "a", "2024-01-03", 3)], "industry string, tool string, created_ts string, ord int")
+    task = K.task("t2-industry", rows)
+    assert task.save(str(tmp_path)) == 1
+    assert sorted(map(tuple, task.saved(str(tmp_path)).collect())) == sorted(map(tuple, task.fit().collect()))
+
+
+def test_whole_forecast_states(spark):
+    from tidewater.operators import tasks as K
+
+    rows = spark.createDataFrame([("s", t, i) for i, t in enumerate("aabbbcdefg")] + [("r", "a", 99), ("", "a", 1), ("q", None, 1)], "sector string, tool string, o int")
+    report = spark.createDataFrame([("ok", 0.7, 0.5, True)], "status string, accuracy double, baseline double, passes_gate boolean")
+    out = {r.sector: r for r in K.whole_forecast(rows, report, "sector", "tool").collect()}
+    assert set(out) == {"s", "r"} and out["s"].status == "ok" and out["r"].status == "sparse" and abs(out["s"].lift - 0.2) < 1e-12
+    assert abs(out["s"].coverage - 10 / 11) < 1e-12 and [p.tool for p in out["s"].prediction] == ["b", "c", "d"] and len(out["s"].contributions) == 5
+    assert {r.status for r in K.whole_forecast(rows, None, "sector", "tool").collect()} == {"no_model"}
+    bad = report.withColumn("status", F.lit("insufficient_data"))
+    assert {r.status for r in K.whole_forecast(rows, bad, "sector", "tool").collect()} == {"insufficient_data"}
+    named = K.company_forecast(spark.createDataFrame([("c",), ("c",), ("",), (None,)], "company string"), "company").collect()
+    assert [(r.company, r.status) for r in named] == [("c", "not_supported")]
+
+
+def test_clean_observables_keep_all_fields(spark):
+    from tidewater.operators import records as R
+
+    raw = spark.createDataFrame([("1", "evil[.]com", "domain", "", "f", 5, "2024", [("beacon",), ("PIR-1",), (None,)], "2025", "high")], "id string, value string, itype string, source string, source_feed string, confidence int, created_ts string, tags array<struct<name string>>, modified_ts string, severity string")
+    r = R.clean_observables(raw, "run")[0].first()
+    assert (r.tags, r.modified_ts, r.severity, r.first_seen, r.observable.value, r.observable.type, r.indicator_type, r.confidence, r.created_ts) == (["Cobalt Strike"], "2025", "high", None, "evil.com", "domain", "domain", 5, "2024")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import ACTOR_ALIASES, MALWARE_ALIASES, MERGE_AT, POSSIBLE_AT
 from ..functions.text import alias
+from .graph import components
 from .ranges import written
 
 
@@ -70,11 +71,14 @@ def story_band(score: Column) -> Column:
 def story_classes(df: DataFrame, id_col: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
     """Membership (id, class_id), and one row (class_id, tokens, n) of each distinct token set that is not empty.
 
-    A class is named by the least id with its set; a row without tokens is a class of its own. Ids are unique.
+    Tokens are 64-bit hashes, ascending; they are made of the texts once and written, and all else is made of that table. A
+    class is named by the least id with its set; a row without tokens is a class of its own. Ids are unique.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>")))).alias("tokens"))
-    full = rows.where(F.size("tokens") > 0).withColumn("key", F.sha2(F.array_join("tokens", "\n").cast("binary"), 256))
-    first = full.groupBy("key").agg(F.min("id").alias("class_id"))
+    hashed = F.array_sort(F.array_distinct(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.xxhash64(t))))
+    rows = df.select(F.col(id_col).alias("id"), hashed.alias("tokens")).select("id", "tokens", F.sha2(F.array_join("tokens", ",").cast("binary"), 256).alias("key"))
+    rows = written(rows, "story-tokens")
+    full = rows.where(F.size("tokens") > 0)
+    first = written(full.groupBy("key").agg(F.min("id").alias("class_id")), "story-classes")
     members = full.select("id", "key").join(first, "key").select("id", "class_id").unionByName(rows.where(F.size("tokens") == 0).select("id", F.col("id").alias("class_id")))
     sets = full.join(first.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("class_id"), "tokens", F.size("tokens").alias("n"))
     return members, sets
@@ -119,7 +123,7 @@ def story_links(sets: DataFrame, percent: int = round(100 * POSSIBLE_AT), block:
     left out; the list of a token of many sets is cut into blocks that meet two by two, in one task each. Tokens are
     64-bit hashes; sets are compared by these.
     """
-    hashed = written(sets.select(F.col("class_id").cast("bigint").alias("class_id"), "n", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")), "story-sets")
+    hashed = written(sets.select(F.col("class_id").cast("bigint").alias("class_id"), "n", F.col("tokens").alias("h")), "story-sets")
     rows = hashed.select("class_id", "n", F.explode("h").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # Tokens of one set only head the order and meet nothing: only how many there are matters.
@@ -140,21 +144,9 @@ def story_links(sets: DataFrame, percent: int = round(100 * POSSIBLE_AT), block:
 
 
 def story_groups(links: DataFrame) -> DataFrame:
-    """class_id and group_id (the least class it is joined with, directly or not) of all classes of links (left_id, right_id).
-
-    Each round every class takes the least label around it and then that label's own; minima combine before shuffles and
-    each round is a written table.
-    """
-    both = written(links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).union(links.select("right_id", "left_id")), "story-edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class_id"), F.least("a", "m").alias("group_id")), "story-labels")
-    while True:
-        seen = both.join(labels.select(F.col("class_id").alias("b"), "group_id"), "b").groupBy(F.col("a").alias("class_id")).agg(F.min("group_id").alias("m"))
-        least = labels.join(seen, "class_id").select("class_id", F.col("group_id").alias("old"), F.least("group_id", "m").alias("group_id"))
-        jump = labels.select(F.col("class_id").alias("group_id"), F.col("group_id").alias("next"))
-        after = written(least.join(jump, "group_id", "left").select("class_id", "old", F.least("group_id", F.coalesce("next", "group_id")).alias("group_id")), "story-labels")
-        labels = after.select("class_id", "group_id")
-        if after.where("old <> group_id").isEmpty():
-            return labels
+    """class_id and group_id (the least class it is joined with, directly or not) of all classes of links (left_id, right_id)."""
+    found = components(links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    return found.select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], score: Column, order: Column) -> DataFrame:

@@ -26,16 +26,22 @@ def of_types(df: DataFrame, kind: str, types: list[str], body: str | None = None
 def clean_observables(raw: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
     """Entities of raw observables, and (record_id, reason) of those without an id or a value.
 
-    raw: id, value, itype, source, source_feed, confidence, created_ts, tags (array of text). Values are made whole
-    again, the workflow's tags go, and aliases become names.
+    raw: id, value, itype, source, source_feed, confidence, created_ts, tags (array of text, or of structs with a name), and
+    if there are such columns modified_ts, first_seen, last_seen and severity. Values are made whole again, the workflow's
+    tags go, and aliases become names.
     """
     ok = F.col("id").isNotNull() & F.col("value").isNotNull()
     reason = F.when(F.col("id").isNull(), "no id").otherwise("no value")
     good, bad = quarantine(raw, ok, reason, "id")
-    tags = F.filter(X.normalise_tags(F.coalesce("tags", F.array().cast("array<string>")), MALWARE_ALIASES), lambda t: t != "")
+    named = F.transform("tags", lambda t: F.coalesce(t["name"], F.lit(""))) if "struct" in raw.schema["tags"].dataType.simpleString() else F.col("tags")
+    tags = F.filter(X.normalise_tags(F.coalesce(named, F.array().cast("array<string>")), MALWARE_ALIASES), lambda t: t != "")
+    given = lambda c: (F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c)
+    value = X.refang(F.col("value"))
     entities = good.select(
         F.col("id").cast("string").alias("entity_id"), F.coalesce("itype", F.lit("observable")).alias("entity_type"), F.coalesce(F.nullif("source", F.lit("")), "source_feed", F.lit("")).alias("source_feed"),
-        F.col("confidence").alias("source_confidence"), F.col("created_ts").alias("observed_ts"), X.refang(F.col("value")).alias("value"), tags.alias("tags"), F.lit("ok").alias("validation_status"),
+        F.col("confidence").alias("source_confidence"), F.col("created_ts").alias("observed_ts"), value.alias("value"), tags.alias("tags"), F.lit("ok").alias("validation_status"),
+        "created_ts", given("modified_ts"), given("first_seen"), given("last_seen"), F.struct(value.alias("value"), F.coalesce("itype", F.lit("")).alias("type")).alias("observable"),
+        F.col("itype").alias("indicator_type"), given("severity"), "confidence",
         F.struct(F.lit(run_id).alias("run_id"), F.lit("OBSERVED").alias("tier")).alias("provenance"),
     )
     return entities, bad.withColumn("record_id", F.coalesce("record_id", F.lit("?")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.text import day, truthy
+from ..sources import versions
 from . import features as A
 from .ranges import written
 from .splits import fraction_split, time_split
@@ -79,6 +80,42 @@ def forecast(scores: DataFrame, report: DataFrame | None, sector: str, tool: str
     return listed.crossJoin(told).select(sector, "status", "prediction", F.col("accuracy").alias("confidence"), "passes_gate", "holdout_start")
 
 
+def contributions(weights: DataFrame, group: list[str], item: str, weight: str, most: int = 5) -> DataFrame:
+    """The `most` heaviest items of each group: rank, item, weight and its share of the group's whole weight (of 1 where that is 0)."""
+    whole = weights.groupBy(*group).agg(F.sum(weight).alias("_whole"))
+    top = A.top_k(weights, group, [F.col(weight).desc(), F.col(item)], most)
+    joined = top.join(whole, group) if group else top.crossJoin(whole)  # one row without groups
+    return joined.select(*group, "rank", item, weight, (F.col(weight) / F.when(F.col("_whole") == 0, 1.0).otherwise(F.col("_whole"))).alias("normalised"))
+
+
+def whole_forecast(rows: DataFrame, report: DataFrame | None, sector: str, tool: str, k: int = 3) -> DataFrame:
+    """A row for each sector: status, prediction, contributions, coverage and what the report says of accuracy, baseline and lift.
+
+    status: `no_model` without a report, the report's own if it is not ok, else `sparse` for a sector of under LEAST_ROWS
+    rows, else `ok`. coverage is the sector's share of all rows with a tool; contributions are the five heaviest scores.
+    """
+    full = written(rows.where(truthy(F.col(sector).cast("string")) & truthy(F.col(tool).cast("string"))).select(sector, tool), "forecast-rows")
+    scores = written(summed_scores(full, sector, tool), "forecast-scores")
+    counts = full.groupBy(sector).agg(F.count("*").alias("evidence"))
+    total = counts.agg(F.sum("evidence").alias("all_rows"))
+    top = A.top_k(scores, [sector], [F.col("score").desc(), F.col(tool)], k).groupBy(sector).agg(F.array_sort(F.collect_list(F.struct("rank", tool, "score"))).alias("prediction"))  # k elements at most
+    parts = contributions(scores, [sector], tool, "score").groupBy(sector).agg(F.array_sort(F.collect_list(F.struct("rank", tool, "normalised"))).alias("contributions"))  # five at most
+    base = counts.crossJoin(F.broadcast(total)).join(top, sector).join(parts, sector)  # one row
+    said = base.select(sector, "evidence", (F.col("evidence") / F.col("all_rows")).alias("coverage"), "prediction", "contributions")
+    if report is None:
+        none = [F.lit(None).cast("double").alias(c) for c in ("confidence", "baseline", "lift")]
+        return said.select(sector, F.lit("no_model").alias("status"), *said.columns[1:], *none, F.lit(None).cast("boolean").alias("passes_gate"))
+    told = F.broadcast(report.select(F.col("status").alias("_status"), F.col("accuracy").alias("confidence"), "baseline", (F.col("accuracy") - F.col("baseline")).alias("lift"), "passes_gate"))  # one row
+    status = F.when(F.col("_status") != "ok", F.col("_status")).when(F.col("evidence") < LEAST_ROWS, "sparse").otherwise("ok")
+    return said.crossJoin(told).select(sector, status.alias("status"), *said.columns[1:], "confidence", "baseline", "lift", "passes_gate")
+
+
+def company_forecast(companies: DataFrame, company: str) -> DataFrame:
+    """Companies have no forecast of their own: a row for each, `not_supported` and why."""
+    reason = "signals of single companies are too sparse; the sector's forecast stands for them"
+    return companies.where(truthy(F.col(company).cast("string"))).select(company).distinct().select(company, F.lit("not_supported").alias("status"), F.lit(reason).alias("reason"))
+
+
 def note_start(note: Column) -> Column:
     """The day after `holdout_start=` in a note; null without one."""
     return F.nullif(F.regexp_extract(note, r"holdout_start=(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
@@ -101,6 +138,14 @@ class Task(ABC):
     def __init__(self, rows: DataFrame) -> None:
         self.rows = A.tier_filter(rows, self.accepted_tiers) if "tier" in rows.columns else rows
 
+    def save(self, root: str) -> int:
+        """Commit what was fitted as a new version below `root`; returns the version."""
+        return versions.commit(self.fit(), f"{root}/{self.name}")
+
+    def saved(self, root: str, version: int | None = None) -> DataFrame:
+        """What was fitted and saved last, or in an earlier version."""
+        return versions.read_version(self.rows.sparkSession, f"{root}/{self.name}", version)
+
     @abstractmethod
     def fit(self) -> DataFrame: ...
 
@@ -157,11 +202,22 @@ class ExploitTask(Task):
     inputs = ("epss_score", "cvss_score", "tag_count")
     trees, depth = 100, 12
 
-    def _model(self, rows: DataFrame) -> object:
+    def __init__(self, rows: DataFrame, model: object | None = None) -> None:
+        super().__init__(rows)
+        self._fitted = model
+
+    def _train(self, rows: DataFrame) -> object:
         from pyspark.ml.classification import RandomForestClassifier
 
         return RandomForestClassifier(labelCol="exploited", numTrees=self.trees, maxDepth=self.depth, seed=42).fit(self._vectors(rows))
 
+    @property
+    def model(self) -> object:
+        """The forest: fitted on the task's rows once, or loaded."""
+        if self._fitted is None:
+            self._fitted = self._train(self.rows)
+        return self._fitted
+
     def _vectors(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
 
@@ -172,16 +228,30 @@ class ExploitTask(Task):
 
         return model.transform(self._vectors(rows)).withColumn("score", F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0))).drop("features", "rawPrediction", "probability", "prediction")
 
+    def save(self, root: str) -> int:
+        """Save the forest as a new version below `root`, which is seen once it is whole; returns the version."""
+        return versions.commit_with(self.rows.sparkSession, f"{root}/{self.name}", lambda folder: self.model.write().save(folder))
+
+    @classmethod
+    def load(cls, rows: DataFrame, root: str, version: int | None = None) -> ExploitTask:
+        """The task over other rows with a saved forest, which is not fitted again."""
+        from pyspark.ml.classification import RandomForestClassificationModel
+
+        return cls(rows, RandomForestClassificationModel.load(versions.folder_of(rows.sparkSession, f"{root}/{cls.name}", version)))
+
     def fit(self) -> DataFrame:
         """What the model says of its own rows."""
-        return self.predict()
+        return self._scored(self.model, self.rows)
 
-    def predict(self) -> DataFrame:
-        return self._scored(self._model(self.rows), self.rows)
+    def predict(self, rows: DataFrame | None = None) -> DataFrame:
+        """Scores of rows, of the task's own by default."""
+        return self._scored(self.model, self.rows if rows is None else rows)
 
     def explain(self) -> DataFrame:
-        weights = self._model(self.rows).featureImportances.toArray().tolist()
-        return self.rows.sparkSession.createDataFrame(list(zip(self.inputs, weights, strict=True)), "feature string, importance double")
+        """Each input's weight in the forest, with its share of all."""
+        weights = self.model.featureImportances.toArray().tolist()
+        table = self.rows.sparkSession.createDataFrame(list(zip(self.inputs, weights, strict=True)), "feature string, importance double")
+        return contributions(table, [], "feature", "importance").select("feature", "importance", "normalised")
 
     def evaluate(self) -> DataFrame:
         """One row: average precision of the model and of the plain score, lift, calibration error, sizes and the gate.
@@ -196,7 +266,7 @@ class ExploitTask(Task):
         if split.where("part = 'test'").isEmpty() or split.where("part = 'train'").isEmpty():
             split = fraction_split(rows, ["ord"], fraction=0.8).withColumnRenamed("split", "part")
         split = written(split, "split")
-        scored = written(self._scored(self._model(split.where("part = 'train'")), split.where("part = 'test'")), "scored")
+        scored = written(self._scored(self._train(split.where("part = 'train'")), split.where("part = 'test'")), "scored")
         own = M.average_precision(scored, "exploited", "score").withColumnRenamed("average_precision", "pr_auc")
         plain = M.average_precision(scored, "exploited", "epss_score").withColumnRenamed("average_precision", "baseline_pr_auc")
         error = M.calibration_bins(scored, "exploited", "score").agg(F.coalesce(F.sum("gap"), F.lit(0.0)).alias("ece"))

@@ -212,6 +212,22 @@ def distinct_top_scores(spark: SparkSession, d: str) -> DataFrame:
     return A.top_k(scores, ["n_name"], [F.col("score").desc()], 3)
 
 
+@query(f"{SUMMED} SELECT n_name, p_partkey, each AS score, row_number() OVER (PARTITION BY n_name ORDER BY each DESC, p_partkey) AS rank FROM (SELECT DISTINCT n_name, p_partkey, each FROM w) QUALIFY rank <= 3")
+def distinct_top_tools(spark: SparkSession, d: str) -> DataFrame:
+    """The three tools of largest score of each sector, of different pairs of tool and score."""
+    scores = A.tfidf(star(spark, d), "n_name", "p_partkey").select("n_name", "p_partkey", F.round("tfidf", 4).alias("score")).distinct()
+    return A.top_k(scores, ["n_name"], [F.col("score").desc(), F.col("p_partkey")], 3)
+
+
+@query("SELECT coalesce(nullif(source, ''), 'unknown') AS feed, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes, min(doc_id) AS first_id, max(doc_id) AS last_id, count(DISTINCT md5(text)) AS n_different FROM documents GROUP BY 1")
+def feed_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of every feed summed up: how many, how many different ones, their bytes; no feed is one row of its texts."""
+    feed = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("feed")
+    rows = table(spark, d, "documents").select(feed, "doc_id", F.octet_length("text").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    each = rows.groupBy("feed", "digest").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return each.groupBy("feed").agg(F.sum("n").alias("n"), F.sum("bytes").alias("n_bytes"), F.min("low").alias("first_id"), F.max("high").alias("last_id"), F.count("digest").alias("n_different"))
+
+
 @query("SELECT event_type AS tool, 0.0::DOUBLE AS slope, count(*) AS last_n, count(*) AS total, 1 AS n_points, false AS trending_up FROM events WHERE event_type <> '' GROUP BY 1")
 def flat_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Totals of tools in the form of trends."""
@@ -307,6 +323,21 @@ def sector_forecast(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("prediction", F.array_join(F.transform("prediction", lambda p: p["event_type"]), ","))
 
 
+@query(f"""WITH r AS ({TIMED}), tf AS (SELECT user_id, event_type, count(*) AS tf FROM events WHERE event_type <> '' AND user_id IS NOT NULL GROUP BY ALL), n AS (SELECT count(DISTINCT user_id) AS n FROM tf), w AS (SELECT user_id, event_type, tf, round(tf * ln(n / count(*) OVER (PARTITION BY event_type)), 4) AS each FROM tf, n),
+s AS (SELECT user_id, event_type, tf, CASE WHEN (SELECT max(each) FROM w) > 0 THEN tf * each ELSE tf END AS score FROM w),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS rank, sum(score) OVER (PARTITION BY user_id) AS whole, sum(tf) OVER (PARTITION BY user_id) AS evidence, sum(tf) OVER () AS all_rows FROM s)
+SELECT user_id, CASE WHEN any_value(evidence) < 5 THEN 'sparse' ELSE 'ok' END AS status, any_value(evidence)::BIGINT AS evidence, round(any_value(evidence) / any_value(all_rows), 6) AS coverage, string_agg(event_type, ',' ORDER BY rank) FILTER (rank <= 3) AS prediction,
+string_agg(event_type || ':' || printf('%.4f', score / CASE WHEN whole = 0 THEN 1 ELSE whole END), ',' ORDER BY rank) FILTER (rank <= 5) AS contributions, any_value(accuracy) AS confidence, any_value(baseline) AS baseline, round(any_value(accuracy) - any_value(baseline), 6) AS lift, bool_or(passes_gate) AS passes_gate FROM t, r GROUP BY 1""")
+def whole_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Every sector's forecast with contributions, coverage, baseline and lift, and the state that it is in."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    report = T.sector_report(rows, "user_id", "event_type", F.to_date("ts"), ["event_id"]).withColumns({c: F.round(c, 6) for c in ("accuracy", "baseline")})
+    out = T.whole_forecast(rows, report, "user_id", "event_type").withColumns({"coverage": F.round("coverage", 6), "lift": F.round("lift", 6)})
+    return out.withColumns({
+        "prediction": F.array_join(F.transform("prediction", lambda p: p["event_type"]), ","), "contributions": F.array_join(F.transform("contributions", lambda p: F.concat(p["event_type"], F.lit(":"), F.format_string("%.4f", p["normalised"]))), ","),
+    })
+
+
 @query("SELECT CASE WHEN row_number() OVER (ORDER BY source, doc_id) <= floor(count(*) OVER () * 0.75) THEN 'train' ELSE 'test' END AS split, doc_id FROM documents")
 def fraction_split_global(spark: SparkSession, d: str) -> DataFrame:
     """The first three quarters of all documents in order of source and id."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -20,8 +21,12 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(s.getPath().getName()) for s in fs.listStatus(log) if s.getPath().getName().isdigit()) if fs.exists(log) else []
 
 
-def _folder(spark: SparkSession, root: str, version: int) -> str:
-    fs, path = _fs(spark, f"{root}/{_LOG}/{version:012d}")
+def folder_of(spark: SparkSession, root: str, version: int | None = None) -> str:
+    """The folder of the last committed version, or of an earlier one."""
+    known = versions(spark, root)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no committed version {'' if version is None else version} of {root}")
+    fs, path = _fs(spark, f"{root}/{_LOG}/{known[-1] if version is None else version:012d}")
     stream = fs.open(path)
     try:
         return f"{root}/{bytes(stream.readAllBytes()).decode()}"
@@ -31,23 +36,19 @@ def _folder(spark: SparkSession, root: str, version: int) -> str:
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The last committed version of a table, or an earlier one. What a writer left half-way is never seen."""
-    known = versions(spark, root)
-    if not known or (version is not None and version not in known):
-        raise FileNotFoundError(f"no committed version {'' if version is None else version} of {root}")
-    return spark.read.parquet(_folder(spark, root, known[-1] if version is None else version))
+    return spark.read.parquet(folder_of(spark, root, version))
 
 
-def commit(df: DataFrame, root: str, seen: int | None = None) -> int:
-    """Write a table as a new version and return its number.
+def commit_with(spark: SparkSession, root: str, write: Callable[[str], object], seen: int | None = None) -> int:
+    """Let `write` fill a new folder, then point a new version at it; returns its number.
 
-    `seen` is the version that df was made of (0 for none; by default the last): if another writer has committed meanwhile,
-    this one fails with FileExistsError and nothing changes. The pointer is one small file that must not exist before, so a version
-    is there as a whole or not at all.
+    `seen` is the version that the new one was made of (0 for none; by default the last): if another writer has committed
+    meanwhile, this one fails with FileExistsError and nothing changes. The pointer is one small file that must not exist
+    before, so a version is there as a whole or not at all.
     """
-    spark = df.sparkSession
     number = (max(versions(spark, root), default=0) if seen is None else seen) + 1
     name = f"v{number}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}")
+    write(f"{root}/{name}")
     fs, pointer = _fs(spark, f"{root}/{_LOG}/{number:012d}")
     _, draft = _fs(spark, f"{root}/{_LOG}/.{name}")
     stream = fs.create(draft, False)
@@ -59,13 +60,18 @@ def commit(df: DataFrame, root: str, seen: int | None = None) -> int:
     return number
 
 
+def commit(df: DataFrame, root: str, seen: int | None = None) -> int:
+    """Write a table as a new version; see `commit_with`."""
+    return commit_with(df.sparkSession, root, df.write.parquet, seen)
+
+
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
     """Delete all but the last `keep` committed versions and every folder that no version names; how many folders went.
 
     Not while a writer is at work: its folder is not named yet.
     """
     known = versions(spark, root)
-    kept = {_folder(spark, root, v).rpartition("/")[2] for v in known[-keep:]}
+    kept = {folder_of(spark, root, v).rpartition("/")[2] for v in known[-keep:]}
     fs, where = _fs(spark, root)
     gone = 0
     for old in known[:-keep]:
