@@ -298,3 +298,49 @@ def test_clean_observables_keep_all_fields(spark):
     raw = spark.createDataFrame([("1", "evil[.]com", "domain", "", "f", 5, "2024", [("beacon",), ("PIR-1",), (None,)], "2025", "high")], "id string, value string, itype string, source string, source_feed string, confidence int, created_ts string, tags array<struct<name string>>, modified_ts string, severity string")
     r = R.clean_observables(raw, "run")[0].first()
     assert (r.tags, r.modified_ts, r.severity, r.first_seen, r.observable.value, r.observable.type, r.indicator_type, r.confidence, r.created_ts) == (["Cobalt Strike"], "2025", "high", None, "evil.com", "domain", "domain", 5, "2024")
+
+
+def test_stream_of_changes_is_cleared_and_goes_on(spark, tmp_path):
+    from tidewater.streaming import best, jobs
+
+    kind = "user string, value double, id bigint, what string, ts timestamp"
+    day = lambda n: __import__("datetime").datetime(2024, 1, 1) + __import__("datetime").timedelta(days=n)
+    batches = [
+        [("a", 1.0, 1, "x", day(0)), ("a", 3.0, 2, "y", day(1)), ("a", 3.0, 1, "z", day(1)), ("b", None, 5, "n", day(1))],
+        [("a", 2.0, 7, "low", day(2)), ("b", 0.5, 6, "up", day(2)), ("c", 1.0, 8, "c", day(100))],
+        [("d", 1.0, 9, "d", day(101))],
+        [("a", 1.5, 10, "anew", day(102)), ("c", 2.0, 11, "more", day(102))],
+    ]
+    seen, sizes = [], []
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(batches):  # each time the job goes on from its folder
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        query = best.best_changes(stream, ["user"], "value", "id", ["what"], "ts", "1 day", 30).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        every = sorted((r.user, r.value, r.id, r.what) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        seen.append([x for x in every if x not in sum(seen, [])])
+        sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in [query.lastProgress]))
+    assert seen[0] == [("a", 3.0, 1, "z"), ("b", 0.0, 5, "n")] and seen[1] == [("b", 0.5, 6, "up"), ("c", 1.0, 8, "c")] and seen[2] == [("d", 1.0, 9, "d")]
+    assert seen[3] == [("a", 1.5, 10, "anew"), ("c", 2.0, 11, "more")]  # a's state had gone, c's had not
+    assert sizes[2] < sizes[1] + sizes[0] and jobs  # two keys were cleared
+
+
+def test_json_fields_of_another_type_are_quarantined_whole(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    long = '{"id": "3", "n": "' + "x" * 500 + '"}'
+    (tmp_path / "a.json").write_text('{"id": "1", "n": 2}\n{"id": "2", "n": "abc"}\n' + long + '\n{"id": "4"}\n')
+    (tmp_path / "b.json").write_text('[\n{"id": "5", "n": 1},\n{"id": "6", "n": [1]}]\n')
+    good, bad = tables.json_records(spark, str(tmp_path), StructType.fromDDL("id string, n int"))
+    assert sorted((r.id, r.n) for r in good.collect()) == [("1", 2), ("4", None), ("5", 1)]
+    assert good.columns == ["id", "n"] and sorted(r.record for r in bad.collect()) == sorted(['{"id": "2", "n": "abc"}', long, '{"id":"6","n":[1]}'])
+    assert all(r.reason.startswith("field of another type: ") for r in bad.collect())
+
+
+def test_upserted_records_lie_in_few_folders(spark, tmp_path):
+    path, kind = str(tmp_path / "j"), "id string, n int, ord int"
+    tables.upsert_json(spark.createDataFrame([(f"k{i}", i, 1) for i in range(300)], kind), path, "id", "ord", 8)
+    tables.upsert_json(spark.createDataFrame([("k7", 70, 1), ("k7", 71, 2), ("new", 1, 1)], kind), path, "id", "ord", 8)
+    got = {r.id: r.n for r in spark.read.schema("id string, n int").option("recursiveFileLookup", "true").json(path).collect()}
+    assert got == {f"k{i}": i for i in range(300)} | {"k7": 71, "new": 1} and len([p for p in (tmp_path / "j").iterdir() if p.name.startswith("bucket=")]) == 8

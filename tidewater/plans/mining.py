@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import metrics as M
-from ..operators import density, fuzzy, isolation, patterns, series, shortlist, trust
+from ..operators import dedup, density, fuzzy, isolation, patterns, series, shortlist, trust
 from ..sources.tables import table
+from ..streaming import best, jobs
 from .registry import query
 
 #: Words of so many letters or more are taken as names: below, no edit is allowed at this likeness.
@@ -187,3 +188,11 @@ def pattern_first_match(spark: SparkSession, d: str) -> DataFrame:
 def row_cap(spark: SparkSession, d: str) -> DataFrame:
     """The first thousand events by id: a reader's cap on rows, the same ones each time."""
     return table(spark, d, "events").where("event_id is not null").orderBy("event_id").limit(1000).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 0) DESC, event_id) AS rn FROM events) WHERE rn = 1 AND user_id IS NOT NULL")
+def stream_best_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream that says when a user's largest value changes, its state cleared in time; the best of what went out."""
+    events = jobs.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    changes = jobs.drained(best.best_changes(events, ["user_id"], "value", "event_id", ["event_type"], "ts", "60 days"), jobs.folder_of(spark))
+    return dedup.best_per_key(changes, ["user_id"], F.col("value"), F.col("event_id")).select("user_id", "event_id", "event_type")

@@ -327,14 +327,14 @@ def sector_forecast(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT user_id, event_type, tf, CASE WHEN (SELECT max(each) FROM w) > 0 THEN tf * each ELSE tf END AS score FROM w),
 t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS rank, sum(score) OVER (PARTITION BY user_id) AS whole, sum(tf) OVER (PARTITION BY user_id) AS evidence, sum(tf) OVER () AS all_rows FROM s)
 SELECT user_id, CASE WHEN any_value(evidence) < 5 THEN 'sparse' ELSE 'ok' END AS status, any_value(evidence)::BIGINT AS evidence, round(any_value(evidence) / any_value(all_rows), 6) AS coverage, string_agg(event_type, ',' ORDER BY rank) FILTER (rank <= 3) AS prediction,
-string_agg(event_type || ':' || printf('%.4f', score / CASE WHEN whole = 0 THEN 1 ELSE whole END), ',' ORDER BY rank) FILTER (rank <= 5) AS contributions, any_value(accuracy) AS confidence, any_value(baseline) AS baseline, round(any_value(accuracy) - any_value(baseline), 6) AS lift, bool_or(passes_gate) AS passes_gate FROM t, r GROUP BY 1""")
+string_agg(event_type || ':' || printf('%.4f', round(score / CASE WHEN whole = 0 THEN 1 ELSE whole END, 4)), ',' ORDER BY rank) FILTER (rank <= 5) AS contributions, any_value(accuracy) AS confidence, any_value(baseline) AS baseline, round(any_value(accuracy) - any_value(baseline), 6) AS lift, bool_or(passes_gate) AS passes_gate FROM t, r GROUP BY 1""")
 def whole_forecast(spark: SparkSession, d: str) -> DataFrame:
     """Every sector's forecast with contributions, coverage, baseline and lift, and the state that it is in."""
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     report = T.sector_report(rows, "user_id", "event_type", F.to_date("ts"), ["event_id"]).withColumns({c: F.round(c, 6) for c in ("accuracy", "baseline")})
     out = T.whole_forecast(rows, report, "user_id", "event_type").withColumns({"coverage": F.round("coverage", 6), "lift": F.round("lift", 6)})
     return out.withColumns({
-        "prediction": F.array_join(F.transform("prediction", lambda p: p["event_type"]), ","), "contributions": F.array_join(F.transform("contributions", lambda p: F.concat(p["event_type"], F.lit(":"), F.format_string("%.4f", p["normalised"]))), ","),
+        "prediction": F.array_join(F.transform("prediction", lambda p: p["event_type"]), ","), "contributions": F.array_join(F.transform("contributions", lambda p: F.concat(p["event_type"], F.lit(":"), F.format_string("%.4f", F.round(p["normalised"], 4)))), ","),
     })
 
 

@@ -9,10 +9,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.fixed import RECORD_TYPES
 from ..operators.features import tier_filter
+from ..operators.ranges import written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,14 +29,14 @@ def _array_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def json_records(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON arrays and lines, and what is neither (record_id, reason): nothing is dropped silently.
+    """Rows of JSON arrays and lines, and what is none (record_id: its file, reason, record): nothing is dropped silently.
 
-    A file that begins with "[" is read as one array, however it is laid out; other files by line, of which each is an
-    object or an array of objects. Broken lines, and lines or elements that are JSON but no objects, go to quarantine;
-    so does an array that is not well-formed, as one record.
+    A file that begins with "[" is read as one array, however it is laid out (a file of that kind is one row, so under 2
+    GB); other files by line, of which each is an object or an array of objects. Broken lines, lines or elements that are
+    JSON but no objects, and objects with a field that is not of its type go to quarantine as a whole, so that they can be
+    mended and read again; so does an array that is not well-formed, as one record. The reason shows a record's head.
     """
     arrays = _array_files(spark, path)
-    kind = schema.simpleString()
     text = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file")).where("line <> ''")
     text = text.where(~F.col("file").isin(arrays)) if arrays else text
     if arrays:
@@ -46,10 +47,15 @@ def json_records(spark: SparkSession, path: str, schema: StructType) -> tuple[Da
     parsed = text.select("file", "line", F.try_parse_json("line").isNull().alias("broken"), each.alias("each"))
     rows = parsed.where("not broken").select("file", F.explode("each").alias("item")).withColumn("item", F.trim("item"))
     ok = F.coalesce(F.col("item").startswith("{"), F.lit(False))
-    good = rows.where(ok).select(F.from_json("item", kind).alias("r")).select("r.*")
-    said = lambda why, c: F.concat(F.lit(f"{why}: "), F.coalesce(F.substring(c, 1, 200), F.lit("null")))
-    bad = parsed.where("broken").select(F.col("file").alias("record_id"), said("malformed json", "line").alias("reason"))
-    return good, bad.unionByName(rows.where(~ok).select(F.col("file").alias("record_id"), said("no object", "item").alias("reason")))
+    strict = StructType([*schema.fields, StructField("_misfit", StringType())])
+    read = rows.where(ok).select("file", "item", F.from_json("item", strict, {"columnNameOfCorruptRecord": "_misfit"}).alias("r"))
+    fits = F.col("r._misfit").isNull()
+    good = read.where(fits).select(*(F.col(f"r.`{f.name}`") for f in schema.fields))
+
+    def said(df: DataFrame, why: str, c: str) -> DataFrame:
+        return df.select(F.col("file").alias("record_id"), F.concat(F.lit(f"{why}: "), F.coalesce(F.substring(c, 1, 200), F.lit("null"))).alias("reason"), F.col(c).alias("record"))
+
+    return good, by_name([said(parsed.where("broken"), "malformed json", "line"), said(rows.where(~ok), "no object", "item"), said(read.where(~fits), "field of another type", "item")])
 
 
 def csv_records(spark: SparkSession, path: str, casts: dict[str, str] | None = None) -> DataFrame:
@@ -83,12 +89,12 @@ def verified(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
 
 def raw_store(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """A raw store's records of one type: its `*.json` rows, then those of its Parquet files; not of folders below."""
-    names = {f.rpartition(".")[2] for f in (r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path").collect())}
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     parts = []
-    if "json" in names:
-        parts.append(spark.read.schema(schema).option("pathGlobFilter", "*.json").json(folder))
-    if "parquet" in names:
-        parts.append(spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder))
+    for kind in ("json", "parquet"):
+        if len(fs.globStatus(where(f"{folder}/*.{kind}"))):  # names alone, no contents
+            parts.append(spark.read.format(kind).schema(schema).option("pathGlobFilter", f"*.{kind}").load(folder))
     return by_name(parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -130,10 +136,23 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def upsert_json(df: DataFrame, path: str, key: str, order: str) -> None:
-    """One JSON record for each key, the last by order, in a folder by key: a key that is written again is replaced, others stay."""
-    last = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
-    last.withColumn("record", F.to_json(F.struct(*df.columns))).select(F.col(key).cast("string").alias("key"), F.col("record").alias("value")).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("key").text(path)
+def upsert_json(df: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
+    """One JSON record for each key, the last by order: a key that is written again is replaced, others stay.
+
+    Records lie in folders by a hash of their key, `buckets` of them, however many keys there are. Only the folders of new
+    keys are read and written again; the merged ones are written aside first, and Spark puts each in its place as a whole.
+    """
+    spark, columns = df.sparkSession, df.columns
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    last = df.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*")
+    fresh = last.select(bucket.alias("bucket"), F.col(key).cast("string").alias("_key"), F.to_json(F.struct(*columns)).alias("value"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        old = spark.read.schema("value string, bucket int").text(path)
+        old = old.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi").withColumn("_key", F.get_json_object("value", f"$['{key}']"))  # `buckets` rows at most
+        fresh = fresh.unionByName(old.join(fresh.select("_key"), "_key", "left_anti"))
+    ready = written(fresh.select("bucket", "value"), "records")
+    ready.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").text(path)
 
 
 def merge_table(new: DataFrame, path: str, keys: list[str], score: Column, order: Column) -> None:
