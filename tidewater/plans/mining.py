@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import metrics as M
-from ..operators import dedup, density, fuzzy, isolation, patterns, series, shortlist, trust
+from ..operators import dedup, density, fuzzy, isolation, patterns, ranges, series, shortlist, trust
 from ..sources.tables import table
 from ..streaming import best, jobs
 from .registry import query
@@ -47,12 +47,25 @@ def cosine_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return shortlist.shortlist(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
+@query("""WITH v AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+c AS (SELECT q.id AS query_id, v.id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS cosine FROM v JOIN v q ON q.id % 50 = 0 AND q.id <> v.id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank, id, round(cosine, 6) AS cosine FROM c QUALIFY rank <= 10""")
+def cosine_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The same shortlist without loss: every cell is probed, in blocks."""
+    vectors = table(spark, d, "embeddings")
+    return shortlist.shortlist(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", probes=shortlist.MOST_CELLS).withColumn("cosine", F.round("cosine", 6))
+
+
 def _hours(spark: SparkSession, d: str) -> DataFrame:
     """Events as points: hours since the epoch and value."""
     return table(spark, d, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("hour"), "value")
 
 
-@query()
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT event_id AS id, epoch_us(ts) / 3.6e9 AS x, value AS y FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL AND isfinite(value)),
+near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON b.x >= a.x - 2.0 AND b.x <= a.x + 2.0 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0),
+core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 4), links AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN core c ON a = c.id SEMI JOIN core d ON b = d.id),
+r AS (SELECT id, id AS seen FROM core UNION SELECT r.id, l.b FROM r JOIN links l ON r.seen = l.a), k AS MATERIALIZED (SELECT id, min(seen) AS cluster FROM r GROUP BY 1)
+SELECT p.id, bool_or(p.id = k.id) IS TRUE AS core, coalesce(min(k.cluster) FILTER (p.id = k.id), min(k.cluster)) AS cluster FROM p LEFT JOIN near ON near.a = p.id LEFT JOIN k ON k.id = near.b GROUP BY 1""")
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Density-based clusters of events that are near in time (hours) and value."""
     return density.dbscan(_hours(spark, d), "event_id", ["hour", "value"], 2.0, 4)
@@ -184,6 +197,13 @@ def pattern_first_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", patterns.first_match(F.lower("text"), SYLLABLES).alias("place"))
 
 
+@query("SELECT coalesce(source, '') AS sector, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(source, '')) AS rank FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN '' ELSE source END AS source FROM documents) GROUP BY 1")
+def sector_volume_all(spark: SparkSession, d: str) -> DataFrame:
+    """Volume of every sector, that without a name kept, the largest first; a tenth of the records are made nameless."""
+    named = table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.coalesce("source", F.lit(""))).alias("sector"))
+    return ranges.numbered(named.groupBy("sector").agg(F.count("*").alias("n")), [F.col("n").desc(), F.col("sector")], "rank")
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id IS NOT NULL ORDER BY event_id LIMIT 1000")
 def row_cap(spark: SparkSession, d: str) -> DataFrame:
     """The first thousand events by id: a reader's cap on rows, the same ones each time."""
