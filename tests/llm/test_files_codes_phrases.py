@@ -234,3 +234,45 @@ def test_pipeline_on_no_rows_and_without_labels(spark, tmp_path):
     rules = corpus_pipeline.rules_stage(spark, docs, str(tmp_path))
     kept = corpus_pipeline.classifier_stage(spark, rules, str(tmp_path))
     assert kept.columns == docs.columns and kept.count() == rules.count() > 0 and spark.conf.get(key) == before
+
+
+def test_token_counts_of_odd_rows(spark):
+    """Null texts are documents of no tokens, long ones count whole, repeated rows each; no rows give no lengths."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    from tidewater.llm import bpe, token_counts
+
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load(queries.BYTE_RANKS).ranks, special_tokens={})
+    want = Counter(len(own.encode_ordinary(t or "")) for _, t in ODD)
+    got = token_counts.length_histogram(odd(spark), queries.BYTE_RANKS)
+    assert {r.n_tokens: r.n_docs for r in got.collect()} == want and want[0] >= 2
+    sums = token_counts.with_suffix_sums(got).collect()
+    assert max(r.n_at_most for r in sums) == len(ODD) and {r.tokens_at_most + r.tokens_longer for r in sums} == {sum(k * n for k, n in want.items())}
+    assert bpe.digests(odd(spark).limit(0), queries.BYTE_RANKS).count() == 0 == token_counts.length_histogram(odd(spark).limit(0), queries.BYTE_RANKS).count()
+
+
+def test_labels_that_disagree_count_by_their_mean(spark):
+    """Two labels of one document count by their mean, a tie as good, in whatever order they come."""
+    from tidewater.llm import quality_rules
+
+    docs = documents(spark).where("doc_id < 60")
+    said = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1 - i % 2) for i in range(0, 60, 10)], "doc_id long, quality int")
+    rows = {r.doc_id: r.y for r in quality_rules.labelled_sample(docs, said).select("doc_id", "y").collect()}
+    turned = {r.doc_id: r.y for r in quality_rules.labelled_sample(docs, said.orderBy("quality")).select("doc_id", "y").collect()}
+    assert rows == turned and all(rows[i] == (1 if i % 10 == 0 else i % 2) for i in rows) and len(rows) > 40
+
+
+def test_fingerprints_of_odd_rows_by_value(spark):
+    """Each odd row's fingerprint is that of its text alone, and its edited text is made of the next row in the order."""
+    import hashlib
+
+    rows = sorted([(i, t or "") for i, t in ODD], key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = {(r.doc_id, r.fingerprint): r for r in fingerprints.compare_with_edits(odd(spark)).collect()}
+    assert len(got) == len({(i, fingerprints.of_texts([t])[0]) for i, t in rows})
+    for k, (i, t) in enumerate(rows):
+        r, after = got[i, fingerprints.of_texts([t])[0]], rows[(k + 1) % len(rows)][1]
+        if (i, t) in [x for j, x in enumerate(rows) if j != k]:
+            continue  # one of two equal rows: which of them is read here is not fixed
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(fingerprints.edited(t, after).encode()).hexdigest()
+        assert abs(r.near_next - fingerprints.likeness([r.fingerprint], fingerprints.of_texts([after]))[0]) < 1e-12

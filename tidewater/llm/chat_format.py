@@ -9,8 +9,9 @@ The order is total (opening, id) and is dealt by ranges of it, so an opening tha
 is spread over many tasks.
 
 Turns are ordered by (turn, role, text), null turn numbers first; ties and repeated turns stay, and the text of a turn
-is taken whole, however long. Null roles and texts count as empty. Empty tables give no rows. A side without turns has an empty completion; equal sides have all turns in the prompt and two empty
-completions. Rows without a pair id are left out. Extra columns are ignored.
+is taken whole, however long. A conversation is one row, so that its turns together must fit an executor's memory, as they
+must in any form that a trainer reads. Null roles and texts count as empty. Empty tables give no rows. A side
+without turns has an empty completion; equal sides have all turns in the prompt and two empty completions. Rows without a pair id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
