@@ -35,7 +35,7 @@ from .common import BATCH_ROWS, arrow_map, broadcast_if_small, buffers, discard,
 from .packing import load
 
 #: Packed bytes of a file, about. It is one row while it is written and read.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 #: Files whose first places (three numbers each) are broadcast when all are read; beyond it that join shuffles.
 MOST_FILES = 4_000_000
 #: Folders that a request for single documents names to the reader; a wider one reads all folders and joins.
