@@ -276,3 +276,21 @@ def test_fingerprints_of_odd_rows_by_value(spark):
             continue  # one of two equal rows: which of them is read here is not fixed
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(fingerprints.edited(t, after).encode()).hexdigest()
         assert abs(r.near_next - fingerprints.likeness([r.fingerprint], fingerprints.of_texts([after]))[0]) < 1e-12
+
+
+def test_keys_travel_packed_and_are_counted_by_groups(spark):
+    """However many keys a task finds, it sends a row a group of keys; counts and filters stay exact."""
+    found = np.random.default_rng(5).integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2)
+    keys = np.concatenate([found, found[:1000], found[:1000], np.zeros(5, np.uint64), np.full(3, 2**64 - 1, np.uint64)])
+    sent = pa.Table.from_batches(phrases._summed(iter([keys[:2500], keys[2500:]]), 7))
+    assert sent.num_rows == 7 and sent.column("dealt").to_pylist() == list(range(7))
+    assert np.array_equal(np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64), np.unique(keys))
+    docs = spark.createDataFrame([(k, "x", "en") for k in range(40)], "doc_id long, text string, lang string").repartition(3)
+    often = phrases._often(docs, lambda batches: (keys for b in batches for _ in range(b.num_rows)), 120)
+    want = np.unique(np.concatenate([found[:1000], np.array([0, 2**64 - 1], np.uint64)]))
+    got = np.array([r.key for r in often.collect()], np.int64)
+    assert np.array_equal(np.sort(got.view(np.uint64)), want)
+    chosen = phrases.gathered(often)
+    assert chosen.has(want).all() and not chosen.has(found[1000:]).any()
+    ones = sum(int(b).bit_count() for b in chosen.bits)
+    assert ones == len(np.unique(phrases.Filter.places(want)))

@@ -13,8 +13,8 @@ result exact, whatever the sample was and whichever keys collide.
 Phrases that are proposed, frequent by their keys, or failures are held in filters of FILTER_BITS bits, the one thing that
 every task gets; their size does not grow with the corpus. A bit set for two phrases lets a pass count a phrase more than
 it had to, which changes no result. In a task phrases get numbers from their words, each distinct phrase leaves with its
-count, and grouping adds up, with sums in each task first, so that a very common phrase or language is a row a task. Texts
-are never shuffled.
+count, and grouping adds up, with sums in each task first, so that a very common phrase or language is a row a task. Keys
+travel packed, many to a row, in groups by their high bits. Texts are never shuffled.
 
 Null text counts as empty, null language as `und`. A very long text is a piece of its own. Repeated rows count each; ids
 are not read. Ties of score go by frequency, then by the phrase's bytes. An empty table gives no phrases. Extra columns are ignored.
@@ -23,7 +23,7 @@ are not read. Ties of score go by frequency, then by the phrase's bytes. An empt
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -42,6 +42,8 @@ SAMPLE_SHARE, STRETCH = 1 / 16, 512
 FILTER_BITS = 1 << 26
 #: Bytes of text that a task works on at once, and keys that it holds before they are counted.
 PIECE_BYTES, HELD_KEYS = 1 << 20, 1 << 20
+#: Groups of keys for each of Spark's shuffle partitions; a task counts one at a time.
+GROUPS = 16
 #: Groups that a language's phrases are dealt into before the last ranking, which sees TOP rows of each.
 DEALT = 256
 
@@ -158,19 +160,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _bits(keys: DataFrame) -> DataFrame:
     """slot and bits of the filter, from a table of keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Filter.empty()
-        for batch in batches:
-            p = Filter.places(batch.column("key").to_numpy().view(np.uint64)).ravel()
-            np.bitwise_or.at(mine.bits, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
-        slots = mine.bits.view(np.int64)
-        used = np.flatnonzero(slots)
-        for at in range(0, len(used), 1 << 16):
-            some = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(slots[some])], names=["slot", "bits"])
-
-    return keys.transform(arrow_map, run, "slot int, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    mask = FILTER_BITS - 1
+    place = F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("place")
+    one = F.expr("shiftleft(1L, int(place & 63))")
+    return keys.select(place).groupBy(F.expr("int(place >> 6)").alias("slot")).agg(F.bit_or(one).alias("bits"))
 
 
 def gathered(keys: DataFrame) -> Filter:
@@ -188,20 +181,39 @@ def stretches(data: np.ndarray, off: np.ndarray, langs: list[str], share: float,
     return data[flat(begin, size)], np.concatenate([[0], np.cumsum(size)]), [langs[r] for r in row.tolist()]
 
 
-def _summed(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Keys and how often they occur, for HELD_KEYS of them at a time."""
+def _summed(batches: Iterator[np.ndarray], groups: int) -> Iterator[pa.RecordBatch]:
+    """Keys and how often they occur, for HELD_KEYS of them at a time: a row a group of keys, as the high bits deal them."""
     held, size = [np.zeros(0, np.uint64)], 0
     for last, keys in itertools.chain(((False, k) for k in batches), [(True, np.zeros(0, np.uint64))]):
         held.append(keys)
         size += len(keys)
         if size >= HELD_KEYS or (last and size):
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(found), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], names=["key", "n"])
+            bounds = np.searchsorted((found >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32), np.arange(groups + 1))
+            full = np.flatnonzero(np.diff(bounds))
+            ends = np.append(bounds[full], len(found))
+            blobs = [pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((v.itemsize * ends).astype(np.int32)), pa.py_buffer(v)]) for v in (found, n.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *blobs], names=["dealt", "keys", "n"])
             held, size = [np.zeros(0, np.uint64)], 0
             release()
 
 
+def _often(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], min_count: int) -> DataFrame:
+    """The keys that `keys` finds min_count times or more in the texts; tasks send packed counts, and a group of keys is counted at a time."""
+    groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(table: pa.Table) -> pa.Table:
+        key, n = (np.frombuffer(buffers(table.column(k))[0], kind) for k, kind in (("keys", np.uint64), ("n", "<u4")))
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        often = np.add.reduceat(n[order].astype(np.int64), first) >= min_count
+        return pa.table({"key": key[first[often]].view(np.int64)})
+
+    counts = _texts(docs).transform(arrow_map, lambda b: _summed(keys(b), groups), "dealt int, keys binary, n binary")
+    return counts.groupBy("dealt").applyInArrow(count, "key bigint")
+
+
 def proposed(docs: DataFrame, share: float = SAMPLE_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
     """Keys of phrases that are frequent in a sample of the texts, at half the count to expect of a frequent one."""
 
@@ -212,8 +224,7 @@ def proposed(docs: DataFrame, share: float = SAMPLE_SHARE, min_count: int = MIN_
             piece = Piece(*stretches(*buffers(batch.column("text")), batch.column("lang").to_pylist(), share, 0 if share >= 1 else at))
             yield from (key for k, _, key in piece.levels(None) if k < MOST_WORDS)
 
-    counts = _texts(docs).transform(arrow_map, lambda b: _summed(keys(b)), "key bigint, n bigint")
-    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, int(min_count * share / 2))).select("key")
+    return _often(docs, keys, max(1, int(min_count * share / 2)))
 
 
 def frequent_keys(docs: DataFrame, chosen: Filter, min_count: int = MIN_COUNT) -> DataFrame:
@@ -225,8 +236,7 @@ def frequent_keys(docs: DataFrame, chosen: Filter, min_count: int = MIN_COUNT) -
             piece = Piece(*buffers(batch.column("text")), batch.column("lang").to_pylist())
             yield from (key for _, _, key in piece.levels(Filter(sent.value)))
 
-    counts = _texts(docs).transform(arrow_map, lambda b: _summed(keys(b)), "key bigint, n bigint")
-    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("key")
+    return _often(docs, keys, min_count)
 
 
 def lacking(keys: DataFrame, chosen: Filter) -> DataFrame:
