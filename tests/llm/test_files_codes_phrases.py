@@ -17,7 +17,7 @@ from test_llm import FOLDER, ODD, documents, odd
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewater.llm import fingerprints, phrases, queries, token_files, vector_codes
+from tidewater.llm import common, fingerprints, packing, phrases, queries, token_files, vector_codes
 
 
 def library():
@@ -294,3 +294,19 @@ def test_keys_travel_packed_and_are_counted_by_groups(spark):
     assert chosen.has(want).all() and not chosen.has(found[1000:]).any()
     ones = sum(int(b).bit_count() for b in chosen.bits)
     assert ones == len(np.unique(phrases.Filter.places(want)))
+
+
+@pytest.mark.parametrize("spread", [1 << 64, 50])
+def test_words_are_kept_by_bytes_in_a_small_table(monkeypatch, spread):
+    """A cache of 64 places, full at once, and hashes that many words share: the ids stay the library's."""
+    real = common.span_hashes
+    monkeypatch.setattr(packing, "span_hashes", lambda *a: np.array([int(x) % spread for x in real(*a)], np.uint64))
+    monkeypatch.setattr(packing, "CACHE_PLACES", 64)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 150)
+    encoding, lib = packing.WordEncoding(queries.WORD_TOKENIZER), library()
+    words = [f"{a}{b}{c}" for a in ("The", "straße", "x1", "né!") for b in ("house", "of", "ünder", "don't") for c in ("", "s.", "##", "ing")]
+    for k in range(6):
+        texts = [" ".join(words[k * 7 : k * 7 + n]) for n in (0, 3, 20, 40)] + [" ".join(words) * (k == 3), " ".join(t for _, t in ODD if t)]
+        ids, begin = encoding.encode(*common.buffers(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(begin.tolist())] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoding.cache.placed <= 48

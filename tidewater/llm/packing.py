@@ -15,6 +15,7 @@ contents. An empty table gives no pieces. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -25,15 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Slices
-from .common import arrow_map, buffers, distinct_spans, flat, materialize, pieces, words
+from .common import arrow_map, buffers, distinct_spans, flat, materialize, pieces, span_hashes, words
 
 WINDOW = 2048
 END_ID = 1
 #: Rows per bucket in which ranks are counted, about.
 BUCKET_ROWS = 20_000
-#: Distinct words kept by a worker before its cache starts anew.
-CACHE_WORDS = 250_000
+#: Distinct words kept by a worker before its cache starts anew, and places of the cache's hash table.
+CACHE_WORDS, CACHE_PLACES = 450_000, 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +52,65 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[97:123] = True
 
 
+def _longer(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """An array whose first `used` items stay, with more behind them and, if it had to grow, some room."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.empty(len(more) + used // 4, held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
+class Words:
+    """Numbered words with their bytes and ids, all in arrays: a fraction of what a dict of them takes. Found by hash, compared by bytes."""
+
+    def __init__(self) -> None:
+        self.place, self.slot, self.placed = np.zeros(CACHE_PLACES, np.uint64), np.zeros(CACHE_PLACES, np.int32), 0
+        self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.begin, self.at, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64), 0  # of ids and bytes
+
+    def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Numbers of the spans with these hashes; -1: not known."""
+        h = h | np.uint64(1)
+        number, left, at = np.full(len(h), -1), np.arange(len(h)), (h % np.uint64(CACHE_PLACES)).astype(np.int64)
+        while len(left):
+            there = self.place[at]
+            hit = there == h[left]
+            number[left[hit]] = self.slot[at[hit]]
+            on = (there != 0) & ~hit
+            left, at = left[on], (at[on] + 1) % CACHE_PLACES
+        known = np.flatnonzero(number >= 0)
+        own, length = self.at[number[known]], (stops - starts)[known]
+        same = self.at[number[known] + 1] - own == length
+        number[known[~same]] = -1
+        known, own, length = known[same], own[same], length[same]
+        if len(known):  # no word is empty
+            offset = flat(np.zeros(len(known), np.int64), length)
+            equal = self.text[np.repeat(own, length) + offset] == data[np.repeat(starts[known], length) + offset]
+            number[known[~np.logical_and.reduceat(equal, np.cumsum(length) - length)]] = -1
+        return number
+
+    def add(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers for new spans with their ids. Beyond three quarters of the places, and if a hash is taken, a number is not found again."""
+        number, size = self.n + np.arange(len(h)), stops - starts
+        self.ids, self.text = _longer(self.ids, self.begin[self.n], ids), _longer(self.text, self.at[self.n], data[flat(starts, size)])
+        self.begin = _longer(self.begin, self.n + 1, self.begin[self.n] + np.cumsum(lengths))
+        self.at = _longer(self.at, self.n + 1, self.at[self.n] + np.cumsum(size))
+        self.n += len(h)
+        h, first = np.unique(h | np.uint64(1), return_index=True)
+        h, left = h[: (room := max(0, 3 * CACHE_PLACES // 4 - self.placed))], number[first][:room]
+        at = (h % np.uint64(CACHE_PLACES)).astype(np.int64)
+        while len(left):
+            there = self.place[at]
+            free = np.flatnonzero(there == 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.place[at[free]], self.slot[at[free]] = h[free], left[free]
+            self.placed += len(free)
+            on = there != h
+            on[free] = False
+            h, left, at = h[on], left[on], (at[on] + 1) % CACHE_PLACES
+        return number
+
+
 class WordEncoding:
     """A tokenizer file that never joins across ASCII white space, nor a letter with a mark; with a cache of words."""
 
@@ -61,7 +120,7 @@ class WordEncoding:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = Slices()
+        self.cache = Words()
         self.marks: dict[str, list[int]] = {}
 
     def _whole(self, text: str) -> list[int]:
@@ -93,21 +152,23 @@ class WordEncoding:
         bounds = bounds + np.cumsum(more)[bounds]
         stops = np.insert(stops, cut, marks)
         starts = np.insert(starts, cut + 1, marks)
-        if len(self.cache.known) > CACHE_WORDS:
-            self.cache = Slices()
-        first, same = distinct_spans(lower, starts, stops)
-        get, raw = self.cache.known.get, lower.tobytes()
-        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        numbers = [get(k, -1) for k in keys]
-        if -1 in numbers:
-            new = list(dict.fromkeys(k for n, k in zip(numbers, keys, strict=True) if n < 0))
-            ids = [self._ids(k) for k in new]
-            self.cache.add(new, np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-            numbers = [n if n >= 0 else get(k) for n, k in zip(numbers, keys, strict=True)]
-        numbers = np.array(numbers, np.int64)[same]
-        lengths = np.diff(self.cache.begin)[numbers]
+        if self.cache.n > CACHE_WORDS:
+            self.cache = Words()
+        h, raw = span_hashes(lower, starts, stops), lower.tobytes()
+        first, same = distinct_spans(lower, starts, stops, h)
+        h, a, b = h[first], starts[first], stops[first]
+        numbers = self.cache.find(h, lower, a, b)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            h, a, b = h[new], a[new], b[new]
+            found = [self._ids(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            numbers[new] = self.cache.add(h, lower, a, b, np.fromiter(itertools.chain.from_iterable(found), np.uint32, counts.sum()), counts)
+        numbers = numbers[same]
+        at = self.cache.begin[numbers]
+        lengths = self.cache.begin[numbers + 1] - at
         total = np.concatenate([[0], np.cumsum(lengths)])
-        ids, begin = self.cache.ids[flat(self.cache.begin[:-1][numbers], lengths)], total[bounds]
+        ids, begin = self.cache.ids[flat(at, lengths)], total[bounds]
         if any(s in raw for s in self.special):  # the library treats their strings apart: encode such texts whole
             o, body, parts = off.tolist(), data.tobytes(), np.split(ids, begin[1:-1])
             for i, (a, b) in enumerate(zip(o, o[1:], strict=False)):
