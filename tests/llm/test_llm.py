@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -642,3 +642,24 @@ def test_same_rows_as_sql(spark, name):
     got, want = queries.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(queries.ORACLES[name]).df()
     rows = lambda df: sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(got.columns) == sorted(want.columns) and len(got) and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("held", [8, 1 << 20])
+def test_shared_bands_travel_packed(spark, monkeypatch, held):
+    """A task sends a row a group of bands; all lines of bands of two lines or more come back, also from a group that is not held whole."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    draw = np.random.default_rng(3)
+    lines = [(int(draw.integers(-(1 << 62), 1 << 62)), [k // 7 - 5, 1 << 40, *(int(x) for x in draw.integers(-(1 << 62), 1 << 62, 6))]) for k in range(200)]
+    lines += lines[:50]  # of other texts
+    have = defaultdict(set)
+    for line, bands in lines:
+        for b in bands:
+            have[b].add(line)
+    want = {(b, x) for b, v in have.items() if len(v) > 1 for x in v}
+
+    table = pa.table({"line": [x for x, _ in lines], **{k: [b[j] for _, b in lines] for j, k in enumerate(line_dedup._BAND)}})
+    sent = pa.Table.from_batches(line_dedup._bands(iter(table.to_batches(max_chunksize=30)), 5))
+    got = pa.Table.from_batches(line_dedup._shared(iter(sent.sort_by("dealt").to_batches())))
+    assert {(r["band"], r["line"]) for r in got.to_pylist()} == want
+    if held > 8:
+        assert sent.num_rows <= 5 and got.num_rows == len(want)

@@ -15,6 +15,9 @@ that are joined already make no pairs. Only lines with a candidate are read agai
 Linked lines and exact repeats form components by distributed union-find. Of a component only the first line, by
 (doc_id, position), stays; a line that repeats within a text goes at once.
 
+Bands travel packed, many to a row, in groups by their high bits; the tables with bands and parities go when those of shared
+bands are there.
+
 Lines without a visible character are never compared and always stay. Null and empty texts stay as they are, and so
 do rows without an id. A very long line is a task's piece of its own. Rows that repeat an id are alike if their texts
 are equal: a line stays in each of them if it stays in one; rows of one id with different texts are judged each on
@@ -25,6 +28,7 @@ through, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, PIECE_BYTES, arrow_map, broadcast_if_small, buffers, discard, flat, free_name, keyed, materialize, mix64, pieces, span_hashes
+from .common import BROADCAST_BYTES, PIECE_BYTES, arrow_map, broadcast_if_small, buffers, discard, flat, free_name, key_groups, keyed, materialize, mix64, packed, pieces, span_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -219,8 +223,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row of each line: h1, h2, how many texts have it (n), the smallest doc_id, size and bands."""
-    return lines.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), *(F.min(k).alias(k) for k in ("size", *_BAND)))
+    """One row of each line: h1, h2, how many texts have it (n) and the smallest doc_id."""
+    return lines.where("not again").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
 
 
 def _alike(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -229,25 +233,52 @@ def _alike(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return 100 * small.astype(np.int64) >= 80 * large.astype(np.int64)
 
 
+def _bands(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Bands and their lines, of HELD at a time, packed by groups of bands."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(np.stack([np.concatenate([batch.column(k).to_numpy() for k in _BAND]), np.tile(batch.column("line").to_numpy(), BANDS)]).view(np.uint64))
+            size += held[-1].shape[1]
+        if size >= HELD or (batch is None and size):
+            band, line = np.concatenate(held, axis=1)
+            order = np.argsort(band)
+            yield packed(band[order], {"bands": band[order], "lines": line[order]}, groups)
+            held, size = [], 0
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of band: those of bands with two lines or more."""
-    band, line, out = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether its band is known to be shared
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        band, line = np.append(band, batch.column("band").to_numpy()), np.append(line, batch.column("line").to_numpy())
+    """From packed rows in order of their group: rows of bands with two lines or more. Of a large group they leave as soon as that is known, so that a line may leave more than once."""
+    none = np.zeros(0, np.int64)
+    now, held, size, known = None, [(none, none)], 0, none  # known: bands of the group that are shared
+
+    def settled() -> tuple[pa.RecordBatch, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        band, line = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.lexsort([line, band])
+        band, line = band[order], line[order]
+        once = np.append(True, (band[1:] != band[:-1]) | (line[1:] != line[:-1]))[: len(band)]
+        band, line = band[once], line[once]
         same = band[1:] == band[:-1]
-        keep = np.append(out, same)[: len(band)] | np.append(same, False)
-        yield pa.RecordBatch.from_arrays([pa.array(v[:-1][keep[:-1]]) for v in (band, line)], names=["band", "line"])
-        band, line, out = band[-1:], line[-1:], bool(keep[-1])
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(line)], names=["band", "line"])
+        keep = (np.append(False, same) | np.append(same, False))[: len(band)] | np.isin(band, known)
+        return pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(line[keep])], names=["band", "line"]), np.union1d(known, band[keep]), (band[~keep], line[~keep])
+
+    for batch in batches:
+        for k, *blobs in zip(batch.column("dealt").to_pylist(), batch.column("bands"), batch.column("lines"), strict=True):
+            if k != now or size > HELD:
+                out, known, rest = settled()
+                yield out
+                held, known = ([rest], known) if k == now else ([(none, none)], none)
+                now, size = k, 0
+            held.append(tuple(np.frombuffer(x.as_buffer(), np.int64) for x in blobs))
+            size += len(held[-1][0])
+    yield settled()[0]
 
 
-def shared(distinct: DataFrame) -> DataFrame:
-    """Rows (band, line) of bands that two different lines or more share."""
-    rows = distinct.select(F.explode(F.array(*_BAND)).alias("band"), F.col("h1").alias("line"))
-    return rows.repartition("band").sortWithinPartitions("band").transform(arrow_map, _shared, "band bigint, line bigint")
+def shared(lines: DataFrame) -> DataFrame:
+    """Rows (band, line) of bands that two different lines or more share. Bands travel packed, many to a row."""
+    groups = key_groups(lines.sparkSession)
+    rows = lines.where("size is not null").select(F.col("h1").alias("line"), *_BAND).transform(arrow_map, lambda b: _bands(b, groups), "dealt int, bands binary, lines binary")
+    return rows.repartition("dealt").sortWithinPartitions("dealt").transform(arrow_map, _shared, "band bigint, line bigint")
 
 
 def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,14 +509,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, STEP):
             part = batch.slice(at, STEP)
             n = part.num_rows
-            key = _sets(part.column("text").to_pylist() + part.column("other").to_pylist())
-            ok = pa.array(_linked(key, _bounds(key, 2 * n), np.arange(n), np.arange(n, 2 * n)))
+            _, first, same = np.unique(part.column("a").to_numpy(), return_index=True, return_inverse=True)  # pairs come by their a: its set is made once
+            key = _sets(part.column("text").take(pa.array(first)).to_pylist() + part.column("other").to_pylist())
+            ok = pa.array(_linked(key, _bounds(key, len(first) + n), same.reshape(-1), len(first) + np.arange(n)))
             yield pa.RecordBatch.from_arrays([part.column(k).filter(ok) for k in "ab"], names=["a", "b"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The linked pairs. texts: line, text."""
-    both = pairs.join(texts.select(F.col("line").alias("a"), "text"), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("other")), "b")
+    both = pairs.join(texts.select(F.col("line").alias("b"), F.col("text").alias("other")), "b").join(texts.select(F.col("line").alias("a"), "text"), "a")
     return both.select("a", "b", "text", "other").transform(arrow_map, _verified, "a bigint, b bigint")
 
 
@@ -571,12 +603,16 @@ def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     return every.join(over.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
 
 
-def line_components(lines: DataFrame, distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """Component of each line that is linked with another: line, h2 (of the text that was compared), component."""
-    met = materialize(shared(distinct), "shared-bands")
+def shared_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `shared`, and line, doc_id, h2, size and parity of lines with a band that another line shares."""
+    met = materialize(shared(lines), "shared-bands")
     known = lines.where("size is not null").select("h1", "h2", "doc_id", "size", "parity").join(met.select(F.col("line").alias("h1")).distinct(), "h1", "left_semi")
     info = known.groupBy(F.col("h1").alias("line")).agg(F.min(F.struct("doc_id", "h2", "size", "parity")).alias("r"))
-    info = materialize(info.select("line", "r.*"), "shared-lines")
+    return met, materialize(info.select("line", "r.*"), "shared-lines")
+
+
+def line_components(met: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
+    """Component of each line that is linked with another: line, h2 (of the text that was compared), component."""
     rows = materialize(mates(met, info), "near-bands")
     discard(met)
     pairs = rows.where("first is not null").select(F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b")).distinct()
@@ -598,9 +634,12 @@ def line_components(lines: DataFrame, distinct: DataFrame, docs: DataFrame) -> D
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (hash of the text) and the positions (array of int) of its lines that go, for texts that lose any."""
-    lines = materialize(measured(docs), "lines")
+    whole = materialize(measured(docs), "lines")
+    met, info = shared_lines(whole)
+    lines = materialize(whole.select("doc_id", "tkey", "pos", "h1", "h2", "again"), "places")
+    discard(whole)  # bands and parities are its most bytes
     distinct = materialize(distinct_lines(lines), "distinct-lines")
-    comp = line_components(lines, distinct, _keyed_texts(docs).select("doc_id", "text"))
+    comp = line_components(met, info, _keyed_texts(docs).select("doc_id", "text"))
     comp = comp.select(F.col("line").alias("h1"), "h2", "component")
     every = distinct.select("h1", "h2", "n", "doc_id").join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null")
     # An exact group of its own keeps its own first line; a component keeps the first of its groups.

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_map, buffers, distinct_spans, flat, materialize, mix64, pieces, release, span_hashes, words
+from .common import arrow_map, buffers, distinct_spans, flat, key_groups, materialize, mix64, packed, pieces, release, span_hashes, unpacked, words
 
 MOST_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Share of the text in the sample: a stretch of STRETCH bytes every so often, so that what repeats within one document is seen
@@ -42,8 +42,6 @@ SAMPLE_SHARE, STRETCH = 1 / 16, 512
 FILTER_BITS = 1 << 26
 #: Bytes of text that a task works on at once, and keys that it holds before they are counted.
 PIECE_BYTES, HELD_KEYS = 1 << 20, 1 << 20
-#: Groups of keys for each of Spark's shuffle partitions; a task counts one at a time.
-GROUPS = 16
 #: Groups that a language's phrases are dealt into before the last ranking, which sees TOP rows of each.
 DEALT = 256
 
@@ -189,21 +187,17 @@ def _summed(batches: Iterator[np.ndarray], groups: int) -> Iterator[pa.RecordBat
         size += len(keys)
         if size >= HELD_KEYS or (last and size):
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            bounds = np.searchsorted((found >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32), np.arange(groups + 1))
-            full = np.flatnonzero(np.diff(bounds))
-            ends = np.append(bounds[full], len(found))
-            blobs = [pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((v.itemsize * ends).astype(np.int32)), pa.py_buffer(v)]) for v in (found, n.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *blobs], names=["dealt", "keys", "n"])
+            yield packed(found, {"keys": found, "n": n.astype("<u4")}, groups)
             held, size = [np.zeros(0, np.uint64)], 0
             release()
 
 
 def _often(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], min_count: int) -> DataFrame:
     """The keys that `keys` finds min_count times or more in the texts; tasks send packed counts, and a group of keys is counted at a time."""
-    groups = GROUPS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = key_groups(docs.sparkSession)
 
     def count(table: pa.Table) -> pa.Table:
-        key, n = (np.frombuffer(buffers(table.column(k))[0], kind) for k, kind in (("keys", np.uint64), ("n", "<u4")))
+        key, n = unpacked(table, "keys", np.uint64), unpacked(table, "n", "<u4")
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
