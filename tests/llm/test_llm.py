@@ -663,3 +663,49 @@ def test_shared_bands_travel_packed(spark, monkeypatch, held):
     assert {(r["band"], r["line"]) for r in got.to_pylist()} == want
     if held > 8:
         assert sent.num_rows <= 5 and got.num_rows == len(want)
+
+
+@pytest.mark.parametrize("held", [500, 1 << 20])
+def test_only_lines_with_a_near_one_leave_shared_bands(monkeypatch, held):
+    """Marks let lines go that no line of their band is near to, and no link; a group that is not held whole loses none."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    draw = np.random.default_rng(21)
+    words = ["".join(draw.choice(list("abcdefghij"), 6)) for _ in range(12)]
+    lines = [" ".join(draw.choice(words, 9)) for _ in range(400)]  # of few words: many bands are shared by lines that differ
+    lines = sorted({*lines, *(x[:-1] + "!" for x in lines[:150])})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(lines))), "tkey": list(range(len(lines))), "text": lines})
+    rows = pa.Table.from_batches(line_dedup._measure(iter([batch]))).to_pylist()
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    have = defaultdict(set)
+    for r in rows:
+        for k in line_dedup._BAND:
+            have[r[k]].add(r["doc_id"])
+    line = {r["doc_id"]: r["h1"] for r in rows}
+    every = {(b, line[i]) for b, v in have.items() if len(v) > 1 for i in v}
+    links = [(b, i, j) for b, v in have.items() for i in v for j in v if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = {(b, line[k]) for b, i, j in links for k in (i, j)}
+
+    sent = [x.filter(x.column("bands").is_valid()) for x in line_dedup._travelling(line_dedup._measure(iter([batch])))]
+    dealt = pa.Table.from_batches(line_dedup._bands(line_dedup._opened(iter(sent)), 3)).sort_by("dealt")
+    got = {(r["band"], r["line"]) for x in line_dedup._shared(iter(dealt.to_batches())) for r in x.to_pylist()}
+    assert want <= got <= every and len(want) > 200
+    if held > 500:
+        assert len(got) < len(every)
+
+
+def test_line_dedup_compares_no_pair_twice(spark):
+    """Two lines that the first round found not to be linked do not come into the second."""
+    draw = np.random.default_rng(22)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lines = []
+    for _ in range(60):  # pairs of a similarity just below 0.8, alone in their bands
+        x = "".join(draw.choice(letters, 150))
+        lines += [x, "".join(x[:40] + "##" + x[42:80] + "##" + x[82:120] + "##" + x[122:])]
+    sets = [{x[k : k + 5] for k in range(len(x) - 4)} for x in lines]
+    assert all(0.7 < len(a & b) / len(a | b) < 0.8 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    met, info = line_dedup.shared_lines(line_dedup.measured(docs, travelling=True))
+    rows = line_dedup.mates(met, info).cache()
+    assert rows.where("first is not null").count() > 0
+    assert line_dedup.crossing(rows, info, spark.createDataFrame([], "node bigint, component bigint")).count() == 0
+    assert line_dedup.dropped_lines(docs).count() == 0

@@ -11,12 +11,14 @@ Candidates are verified by the Jaccard similarity of their shingle sets (0.8 or
 of a band meets the first one in order of size that its parities allow: fewer pairs than lines, which join most
 copies. Then all pairs of a band meet whose lines are still in different components. In a band of very many lines those
 outside its largest component ask all others, in blocks. So no link of two lines that share a band is lost, and copies
-that are joined already make no pairs. Only lines with a candidate are read again, by their hashes, from the documents.
+that are joined already make no pairs, nor do two lines that the first round has compared. Only lines with a candidate
+are read again, by their hashes, from the documents, once for both rounds.
 Linked lines and exact repeats form components by distributed union-find. Of a component only the first line, by
 (doc_id, position), stays; a line that repeats within a text goes at once.
 
-Bands travel packed, many to a row, in groups by their high bits; the tables with bands and parities go when those of shared
-bands are there.
+Bands travel packed, many to a row, in groups by their high bits, each with its line's size and its parities in 256 places:
+where a band has few lines, those with none near leave before any join. The tables with bands and parities go when those of
+shared bands are there.
 
 Lines without a visible character are never compared and always stay. Null and empty texts stay as they are, and so
 do rows without an id. A very long line is a task's piece of its own. Rows that repeat an id are alike if their texts
@@ -46,12 +48,17 @@ BANDS = BINS // ROWS
 LEAST_WORDS, MOST_WORDS, PER_WORD = 2, 10, 84
 #: Lines of a band, and shingles of its lines, that one task holds at a time (twice as many where two blocks meet).
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: Lines of a band up to which those without a near one go before any join.
+FEW = 64
 #: Pairs that are verified in one numpy step, and candidates of a group that are held.
 STEP, HELD = 1 << 14, 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _TURN = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = [f"b{k}" for k in range(BANDS)]
+#: A line and its bands, as they travel; its mark is its parities in the least words.
+_SENT = np.dtype([("line", "<i8"), ("bands", "<i8", BANDS), ("size", "<i8"), ("mark", "<u8", 1 << LEAST_WORDS)])
+_MARK = np.dtype((np.void, 8 << LEAST_WORDS))
 
 
 def _byte_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +77,7 @@ def _code_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shingles(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the spans' shingles, one span after the other, and how many each has."""
+    """Hashes of the spans' shingles, one span after the other, and how many each has. Spans ascend, with a code point or more between them."""
     number = np.maximum(stops - starts - SHINGLE + 1, np.minimum(1, stops - starts))
     padded = np.append(code, np.zeros(SHINGLE, np.uint32)).astype(np.uint64)
     every = np.empty(len(code), np.uint64)
@@ -80,8 +87,11 @@ def _shingles(code: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[
         for k in range(1, SHINGLE):
             part += padded[low + k : high + k] * _TURN[k]
         every[low:high] = part
-    at = flat(starts, number)
-    value = every[at]
+    edge = np.zeros(len(code) + 1, np.int8)  # spans ascend and do not meet, so a running sum says what lies in one
+    some = number > 0
+    edge[starts[some]] = 1
+    edge[(starts + number)[some]] -= 1
+    value = every[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
     short = np.flatnonzero((stops - starts < SHINGLE) & (number > 0))
     if len(short):
         own = np.zeros(len(short), np.uint64)
@@ -147,7 +157,7 @@ def signatures(value: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = np.cumsum(number)
     low = done = 0
     while low < n:  # the number of a span must fit beside its hashes, and the arrays into a cache
-        high = min(n, low + (1 << 20), max(low + 1, int(np.searchsorted(ends, done + (1 << 18), "right"))))
+        high = min(n, low + (1 << 20), max(low + 1, int(np.searchsorted(ends, done + (1 << 17), "right"))))
         count = number[low:high]
         own = value[done : int(ends[high - 1])]
         done = int(ends[high - 1])
@@ -185,7 +195,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, begins, ends, doc = _byte_lines(texts)
         code, starts, stops = _code_lines(texts)
         position = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        seen = np.zeros(len(data) + 1, np.int64)
+        seen = np.zeros(len(data) + 1, np.int32)
         np.cumsum((data > 32) & (data != 127), out=seen[1:])
         full = np.flatnonzero(seen[ends] > seen[begins])
         h1 = span_hashes(data, begins[full], ends[full])
@@ -208,18 +218,40 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "tkey", "pos", "h1", "h2", "again", "size", *_BAND, "parity"])
 
 
+def _folded(words: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Parities of all rows in the least words, rows x words: two rows differ in no more places than before."""
+    step = np.repeat(1 << (level - LEAST_WORDS), 1 << LEAST_WORDS)
+    return np.bitwise_xor.reduceat(words, np.cumsum(step) - step).reshape(-1, 1 << LEAST_WORDS) if len(step) else np.zeros((0, 1 << LEAST_WORDS), np.uint64)
+
+
+def _travelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_measure` with all bands of a batch packed into its first row."""
+    for batch in batches:
+        once = batch.filter(batch.column("size").is_valid())
+        sent = np.empty(once.num_rows, _SENT)
+        sent["line"], sent["size"] = once.column("h1").to_numpy(), once.column("size").to_numpy()
+        for k, name in enumerate(_BAND):
+            sent["bands"][:, k] = once.column(name).to_numpy()
+        sent["mark"] = _folded(buffers(once.column("parity"))[0].view(np.uint64), _level(sent["size"]))
+        rest = batch.drop_columns(_BAND)
+        first = pa.array([sent.tobytes(), *[None] * (batch.num_rows - 1)][: batch.num_rows], pa.binary())
+        yield rest.append_column("bands", first)
+
+
 def _keyed_texts(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (a hash of the text: it tells rows of one id apart) and text of rows that have lines to compare."""
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, travelling: bool = False) -> DataFrame:
     """A row for every line with a visible character: doc_id, tkey, pos, two hashes, again (a repeat in its text), and size, bands and parities.
 
-    These last are null where the same line just went by.
+    These last are null where the same line just went by. travelling: the bands of many lines are packed in the `bands` of one row.
     """
-    numbers = ", ".join(f"{k} bigint" for k in ("size", *_BAND))
-    return _keyed_texts(docs).transform(arrow_map, _measure, f"doc_id bigint, tkey bigint, pos int, h1 bigint, h2 bigint, again boolean, {numbers}, parity binary")
+    places, numbers = "doc_id bigint, tkey bigint, pos int, h1 bigint, h2 bigint, again boolean, size bigint", ", ".join(f"{k} bigint" for k in _BAND)
+    if travelling:
+        return _keyed_texts(docs).transform(arrow_map, lambda b: _travelling(_measure(b)), f"{places}, parity binary, bands binary")
+    return _keyed_texts(docs).transform(arrow_map, _measure, f"{places}, {numbers}, parity binary")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -233,51 +265,101 @@ def _alike(size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return 100 * small.astype(np.int64) >= 80 * large.astype(np.int64)
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line, with its bands, size and mark, of what `_travelling` packed."""
+    for batch in batches:
+        for blob in batch.column("bands"):
+            sent = np.frombuffer(blob.as_buffer(), _SENT)
+            mark = np.ascontiguousarray(sent["mark"])
+            marks = pa.Array.from_buffers(pa.binary(_MARK.itemsize), len(sent), [None, pa.py_buffer(mark)])
+            columns = [np.ascontiguousarray(v) for v in (sent["line"], *sent["bands"].T, sent["size"])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), marks], names=["line", *_BAND, "size", "mark"])
+
+
 def _bands(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    """Bands and their lines, of HELD at a time, packed by groups of bands."""
-    held, size = [], 0
+    """Bands and their lines (with sizes and marks, if there), of half of HELD at a time, packed by groups of bands."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            held.append(np.stack([np.concatenate([batch.column(k).to_numpy() for k in _BAND]), np.tile(batch.column("line").to_numpy(), BANDS)]).view(np.uint64))
-            size += held[-1].shape[1]
-        if size >= HELD or (batch is None and size):
-            band, line = np.concatenate(held, axis=1)
+            held.append(batch)
+            size += BANDS * batch.num_rows
+        if 2 * size >= HELD or (batch is None and size):
+            t = pa.Table.from_batches(held).combine_chunks()
+            band = np.concatenate([t.column(k).to_numpy() for k in _BAND]).view(np.uint64)
             order = np.argsort(band)
-            yield packed(band[order], {"bands": band[order], "lines": line[order]}, groups)
+            row = order % t.num_rows
+            more = {"bands": band[order], "lines": t.column("line").to_numpy()[row]}
+            if "mark" in t.column_names:
+                more |= {"sizes": t.column("size").to_numpy()[row], "marks": np.frombuffer(t.column("mark").chunk(0).buffers()[1], _MARK)[row]}
+            yield packed(more["bands"], more, groups)
             held, size = [], 0
 
 
+def _first(v: np.ndarray) -> np.ndarray:
+    """Which items differ from the one before."""
+    return np.append(True, v[1:] != v[:-1])[: len(v)]
+
+
+def _near_in_band(band: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Which rows have a near one in their band, by sizes and marks; in a band of over FEW lines all. Bands ascend."""
+    out = np.zeros(len(band), bool)
+    group = np.cumsum(_first(band))
+    many = np.bincount(group)[group] > FEW
+    out[many] = True
+    at = np.flatnonzero(~many)
+    at = at[np.lexsort([size[at], group[at]])]
+    own = size[at]
+    parity = Parities(np.frombuffer(mark[at].tobytes(), np.uint64), np.full(len(at), LEAST_WORDS))
+    for x, y in _steps(group[at], lambda x, y: parity.near(own, x, y), own):
+        out[at[x]] = out[at[y]] = True
+    return out
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From packed rows in order of their group: rows of bands with two lines or more. Of a large group they leave as soon as that is known, so that a line may leave more than once."""
-    none = np.zeros(0, np.int64)
-    now, held, size, known = None, [(none, none)], 0, none  # known: bands of the group that are shared
-
-    def settled() -> tuple[pa.RecordBatch, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        band, line = (np.concatenate(v) for v in zip(*held, strict=True))
-        order = np.lexsort([line, band])
-        band, line = band[order], line[order]
-        once = np.append(True, (band[1:] != band[:-1]) | (line[1:] != line[:-1]))[: len(band)]
-        band, line = band[once], line[once]
-        same = band[1:] == band[:-1]
-        keep = (np.append(False, same) | np.append(same, False))[: len(band)] | np.isin(band, known)
-        return pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(line[keep])], names=["band", "line"]), np.union1d(known, band[keep]), (band[~keep], line[~keep])
+    """From packed rows in order of their group: rows of bands with two lines or more; if they have marks, of lines with a near one.
+
+    Of a large group they leave as soon as the band is known to be shared, near or not, so that a line may leave more than once.
+    """
+    now, held, size, known = None, [], 0, np.zeros(0, np.int64)  # known: bands of the group that are shared
+    whole = True  # all of the group is held
+
+    def settled(rest: bool) -> tuple[pa.RecordBatch, np.ndarray, tuple[np.ndarray, ...]]:
+        rows = [np.concatenate(v) for v in zip(*held, strict=True)] if held else [known, known]
+        band, line, *more = rows
+        order = np.argsort(band)
+        first = _first(band[order])
+        alone = first & np.append(first[1:], True)[: len(first)] & ~np.isin(band[order], known)
+        at = order[~alone]
+        at = at[np.lexsort([line[at], band[at]])]
+        at = at[_first(band[at]) | _first(line[at])]  # each line once in a band
+        first = _first(band[at])
+        keep = ~(first & np.append(first[1:], True)[: len(first)]) | np.isin(band[at], known)
+        sent, seen = at[keep], np.union1d(known, band[at[keep]])
+        left = np.append(order[alone], at[~keep]) if rest else at[:0]
+        if more and whole:
+            sent = sent[_near_in_band(band[sent], *(v[sent] for v in more))]
+        return pa.RecordBatch.from_arrays([pa.array(band[sent]), pa.array(line[sent])], names=["band", "line"]), seen, tuple(v[left] for v in rows)
 
     for batch in batches:
-        for k, *blobs in zip(batch.column("dealt").to_pylist(), batch.column("bands"), batch.column("lines"), strict=True):
+        names = [k for k in ("bands", "lines", "sizes", "marks") if k in batch.schema.names]
+        for k, *blobs in zip(batch.column("dealt").to_pylist(), *(batch.column(n) for n in names), strict=True):
             if k != now or size > HELD:
-                out, known, rest = settled()
+                whole = whole and k != now
+                out, known, rest = settled(k == now)
                 yield out
-                held, known = ([rest], known) if k == now else ([(none, none)], none)
-                now, size = k, 0
-            held.append(tuple(np.frombuffer(x.as_buffer(), np.int64) for x in blobs))
+                held, known = ([rest], known) if k == now else ([], known[:0])
+                whole, now, size = k != now, k, 0
+            held.append(tuple(np.frombuffer(x.as_buffer(), _MARK if n == "marks" else np.int64) for n, x in zip(names, blobs, strict=True)))
             size += len(held[-1][0])
-    yield settled()[0]
+    yield settled(False)[0]
 
 
 def shared(lines: DataFrame) -> DataFrame:
-    """Rows (band, line) of bands that two different lines or more share. Bands travel packed, many to a row."""
+    """Rows (band, line) of bands that two different lines or more share, which may be near. Bands travel packed, many to a row; lines: `measured` so."""
     groups = key_groups(lines.sparkSession)
-    rows = lines.where("size is not null").select(F.col("h1").alias("line"), *_BAND).transform(arrow_map, lambda b: _bands(b, groups), "dealt int, bands binary, lines binary")
+    kinds = ", ".join(f"{k} binary" for k in ("bands", "lines", "sizes", "marks"))
+    rows = lines.where("bands is not null").select("bands").transform(arrow_map, lambda b: _bands(_opened(b), groups), f"dealt int, {kinds}")
     return rows.repartition("dealt").sortWithinPartitions("dealt").transform(arrow_map, _shared, "band bigint, line bigint")
 
 
@@ -346,11 +428,11 @@ def mates(rows: DataFrame, info: DataFrame) -> DataFrame:
     return beside.repartition("band").sortWithinPartitions("band", "size", "line").transform(arrow_map, _mates, "band bigint, line bigint, first bigint")
 
 
-def _may(component: np.ndarray, side: np.ndarray, size: np.ndarray, parity: Parities) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Which rows (x, y) of a group are to be compared: of two components and sides, and near."""
+def _may(component: np.ndarray, side: np.ndarray, line: np.ndarray, first: np.ndarray, size: np.ndarray, parity: Parities) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which rows (x, y) of a group are to be compared: of two components and sides, not compared by the first round, and near."""
 
     def ok(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] < 0))
+        out = (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] < 0)) & (line[x] != first[y]) & (line[y] != first[x])
         at = np.flatnonzero(out)
         out[at] = parity.near(size, x[at], y[at])
         return out
@@ -406,25 +488,27 @@ def _group_of(band: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (band, i, j, size): lines with a near one of another component, and of the other side if there are sides, in their group."""
     for t in _whole(batches):
-        band, i, j, side, component, line, size = _numbers(t, [*_PLACE, "side", "component", "line", "size"])
+        band, i, j, side, component, line, first, size = _numbers(t, [*_PLACE, "side", "component", "line", "first", "size"])
         parity = Parities(buffers(t.column("parity"))[0].view(np.uint64), _level(size))
         met = np.zeros(len(band), bool)
-        for x, y in _steps(_group_of(band, i, j), _may(component, side, size, parity), size):
+        for x, y in _steps(_group_of(band, i, j), _may(component, side, line, first, size, parity), size):
             met[x] = met[y] = True
-        yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line)], names=[*_PLACE, "side", "component", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(v[met]) for v in (band, i, j, side, component, line, first)], names=[*_PLACE, "side", "component", "line", "first"])
 
 
 def crossing(rows: DataFrame, info: DataFrame, parts: DataFrame) -> DataFrame:
-    """Groups of the second round, from rows of `mates`: band, i, j, and lines near to one of another component (side, component, line).
+    """Groups of the second round, from rows of `mates`: band, i, j, and lines near to one of another component (side, component, line, first).
+
+    first is the line that the first round compared a line with, or itself: the two are not compared again.
 
     Only bands of two components or more are dealt out. In a band of very many lines those outside its largest
     component ask all others: blocks i of asking lines (side 1) meet blocks j of all lines (side 0).
     """
-    placed = rows.select("band", "line").join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    placed = rows.select("band", "line", F.coalesce("first", "line").alias("first")).join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     placed = materialize(placed, "placed-lines")
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    line = ["component", "line", "size", "parity"]
+    line = ["component", "line", "first", "size", "parity"]
     placed = materialize(placed.join(mixed, "band").join(info.select("line", "size", "parity"), "line"), "mixed-lines")
     mixed = placed.groupBy("band").agg(blocks(F.count("*"), F.sum("size")).alias("blocks"))
     mixed = materialize(mixed, "mixed-bands")
@@ -441,7 +525,7 @@ def crossing(rows: DataFrame, info: DataFrame, parts: DataFrame) -> DataFrame:
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = dealt.unionByName(held.select("band", upto("asking").alias("i"), own("blocks").alias("j"), F.lit(0).alias("side"), *line))
         dealt = dealt.unionByName(held.where("component <> major").select("band", own("asking").alias("i"), upto("blocks").alias("j"), F.lit(1).alias("side"), *line))
-    return dealt.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "size", "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint")
+    return dealt.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "size", "line").transform(arrow_map, _crossed, "band bigint, i bigint, j bigint, side bigint, component bigint, line bigint, first bigint")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +605,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text", "other").transform(arrow_map, _verified, "a bigint, b bigint")
 
 
-def _group_links(group: np.ndarray, side: np.ndarray, component: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _group_links(group: np.ndarray, side: np.ndarray, component: np.ndarray, line: np.ndarray, first: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows (x, y) of links that join components within groups, at most one for each that goes away.
 
     Of the candidates between two components a few are verified at first, then twice as many, until one is a link or
@@ -561,7 +645,7 @@ def _group_links(group: np.ndarray, side: np.ndarray, component: np.ndarray, tex
             x, y, few = x[~now], y[~now], 2 * few
 
     held, rows = [], 0
-    for x, y in _steps(group, _may(root, side, size, parity)):
+    for x, y in _steps(group, _may(root, side, line, first, size, parity)):
         held.append((x, y))
         rows += len(x)
         if rows > HELD:
@@ -576,13 +660,13 @@ def _group_links(group: np.ndarray, side: np.ndarray, component: np.ndarray, tex
 def _verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From lines in order of (band, i, j): links of a Jaccard similarity of 0.8 or more that join components of a group."""
     for t in _whole(pieces(batches)):
-        band, i, j, side, component, line = _numbers(t, [*_PLACE, "side", "component", "line"])
+        band, i, j, side, component, line, first = _numbers(t, [*_PLACE, "side", "component", "line", "first"])
         group = _group_of(band, i, j)
         at = 0
         while at < len(group):  # whole groups, of 16,384 lines or one group at a time
             to = int(np.searchsorted(group, group[at], "right"))
             to = max(to, int(np.searchsorted(group, group[min(len(group) - 1, at + STEP)], "left")) if at + STEP < len(group) else len(group))
-            x, y = _group_links(group[at:to], side[at:to], component[at:to], t.column("text").slice(at, to - at).to_pylist())
+            x, y = _group_links(*(v[at:to] for v in (group, side, component, line, first)), t.column("text").slice(at, to - at).to_pylist())
             a, b = line[at + x], line[at + y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
             at = to
@@ -618,37 +702,33 @@ def line_components(met: DataFrame, info: DataFrame, docs: DataFrame) -> DataFra
     pairs = rows.where("first is not null").select(F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b")).distinct()
     pairs = materialize(pairs, "line-pairs")
     place = info.select("line", "doc_id")
-    asked = place.join(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line", "left_semi")
+    # All lines of both rounds are read at once.
+    asked = place.join(rows.select("line").distinct(), "line", "left_semi")
     texts = materialize(line_texts(asked, docs), "line-texts")
     parts = components(materialize(verify(pairs, texts), "line-links"))
     groups = materialize(crossing(rows, info, parts), "crossing")
-    # Most lines of the second round have been read for the first.
-    more = place.join(groups.select("line").distinct(), "line", "left_semi").join(texts.select("line"), "line", "left_anti")
-    rest = materialize(line_texts(more, docs), "line-texts")
-    links = materialize(verify_groups(groups, texts.unionByName(rest)), "line-links")
+    links = materialize(verify_groups(groups, texts), "line-links")
     whole = merged(parts, links)
     whole = materialize(whole.join(info.select(F.col("line").alias("node"), "h2"), "node").select(F.col("node").alias("line"), "h2", "component"), "components")
-    discard(info, rows, pairs, texts, rest, groups, links)
+    discard(info, rows, pairs, texts, groups, links)
     return whole
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (hash of the text) and the positions (array of int) of its lines that go, for texts that lose any."""
-    whole = materialize(measured(docs), "lines")
+    whole = materialize(measured(docs, travelling=True), "lines")
     met, info = shared_lines(whole)
     lines = materialize(whole.select("doc_id", "tkey", "pos", "h1", "h2", "again"), "places")
     discard(whole)  # bands and parities are its most bytes
-    distinct = materialize(distinct_lines(lines), "distinct-lines")
     comp = line_components(met, info, _keyed_texts(docs).select("doc_id", "text"))
     comp = comp.select(F.col("line").alias("h1"), "h2", "component")
-    every = distinct.select("h1", "h2", "n", "doc_id").join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null")
+    every = materialize(distinct_lines(lines).join(comp, ["h1", "h2"], "left").where("n > 1 or component is not null"), "found-lines")
     # An exact group of its own keeps its own first line; a component keeps the first of its groups.
     first = every.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("first_id"))
     every = every.join(first, "component", "left")
     alone = F.col("component").isNull()
     every = every.select("h1", "h2", F.coalesce("component", "h1").alias("x"), F.when(alone, F.col("h2")).otherwise(0).alias("y"), alone.alias("alone"), F.coalesce("first_id", "doc_id").alias("first_id"))
     every = materialize(every, "repeated-lines")
-    discard(distinct)
     repeats = lines.where("not again").select("doc_id", "tkey", "pos", "h1", "h2").join(broadcast_if_small(every, every.count(), 200_000), ["h1", "h2"])
     repeats = materialize(repeats.drop("h1", "h2"), "repeats")
     # The first line stands in the component's first document; of its lines there only one stays.
