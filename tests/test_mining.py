@@ -166,6 +166,18 @@ def test_density_bounds_hold_their_rank_error(spark):
     assert {r.v for r in got if r.outlier} == {0.0, 1.0, 2.0, 3.0, 95.0, 96.0, 97.0, 98.0, 99.0} - ({95.0} if [r.high for r in got if r.k][0] >= 95 else set()) and len(got) == 102
 
 
+def test_density_bounds_are_exact_beyond_a_sketch(spark):
+    values = sorted((i * 7919 % 50_021) / 100 for i in range(50_000))
+    df = spark.range(50_000).select(F.lit("a").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(50_021)) / 100).alias("v"))
+    odd = [("b", 1.0), ("b", float("nan")), ("b", None), ("c", None), (None, 3.0), (None, 3.0), (None, -2.0)]
+    rows = df.unionByName(spark.createDataFrame(odd, "k string, v double"))
+    got = {r.k: (r.n, r.low, r.high) for r in series.density_bounds(rows, "k", "v").collect()}
+    assert got["a"] == (50_000, values[499], values[49_499]) and got[None] == (3, -2.0, 3.0) and set(got) == {"a", "b", None}
+    assert got["b"][:2] == (2, 1.0) and math.isnan(got["b"][2])
+    out = series.density_outliers(rows, "k", "v").groupBy("k").agg(F.count("*").alias("n"), F.count_if("outlier").alias("o")).collect()
+    assert {r.k: (r.n, r.o) for r in out} == {"a": (50_000, 999), "b": (3, 0), "c": (1, 0), None: (3, 0)}
+
+
 def test_auc_and_isotonic_by_brute_force(spark):
     rng = random.Random(9)
     rows = [(round(rng.random(), 2), int(rng.random() < 0.3 + 0.4 * k / 300)) for k in range(300)]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 
 def daily(df: DataFrame, series: str, day: Column) -> DataFrame:
     """series, day and n: counts of every day from a series' first to its last, 0 where it has none."""
@@ -97,17 +101,32 @@ def arima_backtest(counts: DataFrame, series: str, order: str, value: str, p: in
     return rows.groupBy("series").applyInPandas(run, f"series {kind}, n_points bigint, mae double, persistence_mae double").withColumnRenamed("series", series)
 
 
-def density_bounds(df: DataFrame, series: str, value: str, share: float = 0.01, accuracy: int = 10_000) -> DataFrame:
+def _exact_bounds(df: DataFrame, series: str, value: str, share: float) -> DataFrame:
+    """What density_bounds gives, by ranks: equal values are counted first, counts are summed over ranges of series and values."""
+    least = Fraction(str(share))
+    place = lambda q: F.greatest(F.lit(1), F.expr(f"(_all * {q.numerator} + {q.denominator - 1}) div {q.denominator}"))
+    counts = df.select(F.col(series).alias("_of"), F.col(value).alias("_value")).where("_value is not null").groupBy("_of", "_value").agg(F.count("*").alias("_n"))
+    run = running_sums(counts, [F.col("_of"), F.col("_value")], {"_upto": "_n"})
+    spans = run.groupBy("_of").agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"), F.sum("_n").alias("_all"))
+    spans = spans.select(F.col("_of").alias(series), "_before", F.col("_all").alias("n"), (F.col("_before") + place(least)).alias("_low"), (F.col("_before") + place(1 - least)).alias("_high"))
+    at = lambda c: F.max(F.when((F.col(c) <= F.col("_upto")) & (F.col(c) > F.col("_upto") - F.col("_n")), F.col("_value")))
+    return run.join(spans, F.col("_of").eqNullSafe(spans[series])).groupBy(series, "n").agg(at("_low").alias("low"), at("_high").alias("high"))
+
+
+def density_bounds(df: DataFrame, series: str, value: str, share: float = 0.01, accuracy: int | None = None) -> DataFrame:
     """series, n, low and high: the values that `share` of a series' values at most lie below, and above.
 
-    Quantiles come from a mergeable sketch that is built in each task: exact for series of up to `accuracy` values, else
-    off by n / accuracy ranks at most. Null values do not count.
+    Exact: the values of ranks ceil(share * n) and ceil((1 - share) * n), 1 at least, NaN as the largest. With `accuracy`
+    they come from a mergeable sketch that is built in each task instead, and are off by n / accuracy ranks at most. Null
+    values do not count.
     """
+    if accuracy is None:
+        return _exact_bounds(df, series, value, share)
     at = F.percentile_approx(value, [share, 1 - share], accuracy)
     return df.where(F.col(value).isNotNull()).groupBy(series).agg(F.count("*").alias("n"), at.alias("q")).select(series, "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def density_outliers(df: DataFrame, series: str, value: str, share: float = 0.01, accuracy: int = 10_000) -> DataFrame:
+def density_outliers(df: DataFrame, series: str, value: str, share: float = 0.01, accuracy: int | None = None) -> DataFrame:
     """df with low, high and outlier: whether a row's value lies outside its series' bounds (null without a value)."""
     bounds = density_bounds(df, series, value, share, accuracy).drop("n").withColumnRenamed(series, "_series")
     joined = df.join(bounds, df[series].eqNullSafe(bounds["_series"]), "left").drop("_series")
