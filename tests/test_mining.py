@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import metrics as M
 from tidewater.functions import text as X
 from tidewater.operators import density, fuzzy, graph, isolation, patterns, series, shortlist, trust
+from tidewater.plans import mining, registry
 from tidewater.sources import tables, versions
 
 FOLDER = "/root/testdata/sf0.001"
@@ -200,6 +202,25 @@ def test_auc_and_isotonic_by_brute_force(spark):
     assert M.calibrated(df.limit(0), "y", "s").count() == 0
 
 
+def test_scores_are_rounded_as_in_sql(spark):
+    sql = "SELECT i, round(i / 5000.0, 2)::DOUBLE AS r FROM range(-30000, 30000) t(i)"
+    want = dict(duckdb.sql(sql).fetchall())
+    got = spark.range(-30_000, 30_000).select("id", M.rounded(F.col("id") / 5000.0, 2).alias("r")).collect()
+    assert {r.id: r.r for r in got} == want and want[725] == 0.14
+
+
+def test_isotonic_calibration_of_halves_as_in_sql(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, n, int(rng.random() < n / 6000)) for i, n in enumerate([*range(25, 6000, 50)] * 3)]  # halves of a hundredth
+    spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = mining.isotonic_calibration(spark, str(tmp_path)).select("score", "n", "calibrated").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(f"SELECT score, n, calibrated FROM ({registry.ORACLES['isotonic_calibration']})").fetchall())
+
+
 def test_trust_settles_on_the_better_feeds(spark):
     said = [("a", "v1", "good"), ("a", "v1", "fair"), ("a", "v2", "bad"), ("b", "w1", "good"), ("b", "w2", "bad"), ("c", "u1", "good"), ("c", "u1", "fair"), ("c", "u2", "bad"), ("c", "u2", None), ("d", None, "bad"), ("a", "v2", "bad")]
     winners, feeds = trust.settled(spark.createDataFrame(said, "k string, v string, f string"), ["k"], "v", "f")

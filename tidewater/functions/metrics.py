@@ -9,6 +9,16 @@ from ..operators.ranges import running_sums
 from .fixed import BIN_EDGES
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A number to so many decimals as SQL engines in binary do it: scaled, rounded, scaled back.
+
+    Spark's own round goes by the shortest decimal that a number prints as, so that 0.145 becomes 0.15; 0.145 * 100 is less
+    than 14.5, which makes 0.14 here. Halves go away from zero.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(c.cast("double") * scale) / scale
+
+
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row `average_precision`: precision summed over recall steps at distinct scores; 0 with one class only.
 

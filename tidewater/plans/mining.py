@@ -124,7 +124,7 @@ LABELLED = "SELECT least(1.0, round(n_chars / 5000.0, 2))::DOUBLE AS score, qual
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents, their length as a score of quality."""
-    score = F.least(F.lit(1.0), F.round(F.col("n_chars") / 5000.0, 2))
+    score = F.least(F.lit(1.0), M.rounded(F.col("n_chars") / 5000.0, 2))
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", score.alias("score"), "quality").where("score is not null and quality is not null")
 
 
@@ -143,7 +143,7 @@ SELECT score, n::BIGINT AS n, round(max(rate), 6) AS calibrated FROM least_of JO
 def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Scores as probabilities that never fall as the score rises; in SQL as the largest of smallest means."""
     rows = M.calibrated(_labelled(spark, d), "quality", "score")
-    return rows.groupBy("score").agg(F.count("*").alias("n"), F.round(F.max("calibrated"), 6).alias("calibrated"))
+    return rows.groupBy("score").agg(F.count("*").alias("n"), M.rounded(F.max("calibrated"), 6).alias("calibrated"))
 
 
 CLAIMS = "SELECT DISTINCT l_partkey, 'returnflag' AS field, l_returnflag AS value, l_suppkey FROM lineitem WHERE l_returnflag IS NOT NULL AND l_suppkey IS NOT NULL UNION SELECT DISTINCT l_partkey, 'linestatus', l_linestatus, l_suppkey FROM lineitem WHERE l_linestatus IS NOT NULL AND l_suppkey IS NOT NULL"
