@@ -1,7 +1,12 @@
 """Operators on literal rows."""
 
 import datetime as dt
+import glob
+import os
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +115,42 @@ def test_story_links_have_no_cap_and_whole_texts(spark):
     assert (0, 129, 60) in want and (0, 200, 60) in want and not any(201 in p or 202 in p for p in want)
 
 
+def test_story_links_move_sets_little(spark):
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(4000)]
+    texts = [rng.sample(words, 300) for _ in range(150)]
+    near = [[w for w in texts[0] if rng.random() > 0.04] + [f"own{k}"] for k in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + near)], "id int, text string")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    size = lambda found: sum(os.path.getsize(f) for d in found for f in glob.glob(f"{d}/*.parquet"))
+    before = set(glob.glob(f"{folder}/*"))
+    _, sets = D.story_classes(docs, "id", X.shingles(F.col("text")))
+    classes = set(glob.glob(f"{folder}/*")) - before
+    links = D.story_links(sets).collect()
+    other = set(glob.glob(f"{folder}/*")) - before - classes
+    assert len(links) > 500 and size(other) < 0.25 * size(classes)  # no copy of the sets
+
+
+def test_story_pairs_meet_once_and_sketches_lose_none(spark):
+    sets = [np.sort(np.random.default_rng(i // 8).integers(-(2**63), 2**63, 200 + 37 * (i // 8))) for i in range(24)]
+    sets = [np.sort(np.concatenate([s[np.random.default_rng(99 + i).random(len(s)) > 0.04], np.random.default_rng(500 + i).integers(-(2**63), 2**63, 5)])) for i, s in enumerate(sets)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(24), pa.int64()), pa.array(sets)], names=["class_id", "h"])
+    want = {(a, b) for a in range(24) for b in range(a + 1, 24) if 100 * len(x := np.intersect1d(sets[a], sets[b])) >= 82 * (len(sets[a]) + len(sets[b]) - len(x))}
+    entries = pa.Table.from_batches(D._prefixes(iter([rows]), 82, np.full(1 << D.BUCKET_BITS, 50, np.uint8), 255)).drop_columns(["heavy"])
+    for k in ("block", "j", "i"):
+        entries = entries.add_column(1, k, pa.array(np.zeros(len(entries), np.int32)))
+    met = pa.Table.from_batches(D._pairs(iter(entries.sort_by([("token", "ascending"), ("at", "ascending")]).to_batches()), 82)).to_pydict()
+    pairs = list(zip(met["left_id"], met["right_id"], strict=True))
+    assert want <= set(pairs) and len(pairs) < 1.3 * len(set(pairs)) and len(want) > 60
+    sketches = pa.Table.from_batches(D._sketched(iter([rows]))).to_pylist()
+    homes = [{"g": 0, "i": 0, "j": 0, "id": r["class_id"], "other": None, "n": r["n"], "sketch": r["sketch"]} for r in sketches]
+    asked = [{"g": 0, "i": 0, "j": 0, "id": a, "other": b, "n": None, "sketch": None} for a in range(24) for b in range(a + 1, 24)]
+    kind = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
+    near = pa.Table.from_batches(D._near(iter(pa.Table.from_pylist(homes + asked, kind).to_batches(max_chunksize=10)), 82)).to_pydict()
+    kept = set(zip(near["left_id"], near["right_id"], strict=True))
+    assert want <= kept and len(kept) < 100
+
+
 def test_sector_trends_take_every_sector(spark):
     rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-08"), (1, "b", "2024-01-09"), (2, "c", "2024-01-15"), (None, "a", "2024-01-01"), (1, "a", None)]
     got = A.sector_trends(spark.createDataFrame(rows, "s int, t string, d string"), "s", "t", F.to_date("d"), 1).collect()
