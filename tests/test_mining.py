@@ -44,6 +44,19 @@ def test_all_near_names_are_found(spark, percent):
         fuzzy.name_links(df, "name", 70)
 
 
+def test_names_of_one_edit_are_not_compared_with_others(spark):
+    rng = random.Random(8)
+    names = {"".join(rng.choice("ab") for _ in range(11)) + "tion" for _ in range(300)}  # all share grams
+    names |= {"aabbaabbccc", "aabbaabbcc", "abbaabbccc", "naïveté€漢字abc", "naïveté€漢字ab", "naïveté€漢字xbc"}
+    df = spark.createDataFrame([(n,) for n in names], "name string").withColumn("len", F.length("name"))
+    pairs = [tuple(r) for r in fuzzy._one_edit(df, 88).collect()]
+    allowed = lambda a, b: edits(a, b) <= 1 and 100 <= 12 * max(len(a), len(b)) < 200
+    want = {(a, b) for a in names for b in names if a < b and allowed(a, b)}
+    assert len(pairs) == len(want) and {(min(p), max(p)) for p in pairs} == want and len(want) > 50
+    assert {(r.left_name, r.right_name) for r in fuzzy.name_links(df, "name").where("distance = 1").collect()} >= want
+    assert fuzzy.name_links(df, "name", 100).count() == 0
+
+
 def test_components_of_strings(spark):
     edges = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "b"), ("x", "y"), (None, "z")], "a string, b string")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {"b": "b", "c": "b", "d": "b", "x": "x", "y": "x"}
