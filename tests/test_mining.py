@@ -57,6 +57,19 @@ def test_names_of_one_edit_are_not_compared_with_others(spark):
     assert fuzzy.name_links(df, "name", 100).count() == 0
 
 
+def test_clusters_read_names_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([("abcdefghij",), ("abcdefghix",), ("abcdefghiy",), ("zzzzzzzzzz",), (None,)], "name string").mapInArrow(read, "name string")
+    assert {r.name: r.cluster for r in fuzzy.name_clusters(df, "name").collect()} == {"abcdefghij": "abcdefghij", "abcdefghix": "abcdefghij", "abcdefghiy": "abcdefghij", "zzzzzzzzzz": "zzzzzzzzzz"}
+    assert seen.value == 5
+
+
 def test_components_of_strings(spark):
     edges = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "b"), ("x", "y"), (None, "z")], "a string, b string")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {"b": "b", "c": "b", "d": "b", "x": "x", "y": "x"}

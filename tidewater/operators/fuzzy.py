@@ -70,8 +70,8 @@ def name_links(names: DataFrame, name: str, percent: int = round(100 * FUZZY_AT)
 
 
 def name_clusters(names: DataFrame, name: str, percent: int = round(100 * FUZZY_AT)) -> DataFrame:
-    """name and cluster (its least name) of every distinct name."""
-    links = name_links(names, name, percent).select(F.col("left_name").alias("a"), F.col("right_name").alias("b"))
+    """name and cluster (its least name) of every distinct name; what names are made of is read once."""
+    distinct = written(names.select(F.col(name).cast("string").alias("name")).where("name is not null").distinct(), "all-names")
+    links = name_links(distinct, "name", percent).select(F.col("left_name").alias("a"), F.col("right_name").alias("b"))
     of = components(links).select(F.col("node").alias("name"), "component")
-    distinct = names.select(F.col(name).cast("string").alias("name")).where("name is not null").distinct()
     return distinct.join(of, "name", "left").select("name", F.coalesce("component", "name").alias("cluster"))
